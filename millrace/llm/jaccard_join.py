@@ -17,17 +17,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import discard, stored
 from .textkit import BLANKS, Chunk, byte_codes, chunks, mix, owner
 
 SHINGLE = 3
 #: A shingle that so many different sets of one batch have is counted over the corpus.
 HEAVY_IN_BATCH = 3
 #: Of those, the most frequent ones are ordered last in every prefix; the bound touches the order only, not results.
-HEAVY_SHINGLES = 300_000
+HEAVY_SHINGLES = 200_000
+#: Prefixes are so long that sets with a link share so many shingles of them at least.
+SHARED = 4
 MAX_ROUNDS = 8
+#: Rounds end once the lists hold so many entries of pairs between components for each document, or a round takes few away.
+PAIRS_A_DOCUMENT = 40
 
 
 def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +57,19 @@ def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.searchsorted(text[new], np.arange(chunk.n + 1))
 
 
+def least_size(percent: int) -> int:
+    """The size from which a set can link with a different one, which has one shingle more at least."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+
+
+def least_shared(percent: int) -> int:
+    """Prefix shingles that two different sets with a link have in common, at least."""
+    return max(1, min(SHARED, -(-percent * least_size(percent) // 100)))
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    """Shingles of a set of n of which another set with enough similarity must have one."""
-    return n - -(-percent * n // 100) + 1
+    """Shingles of a set of n of which another set with enough similarity must have ``least_shared``."""
+    return np.minimum(n, n - -(-percent * n // 100) + least_shared(percent))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +111,7 @@ def _prefix_batches(heavy: np.ndarray, rank: np.ndarray, percent: int):
                     order = np.where(heavy[at] == hashes, rank[at], 0)
                 text = owner(first)
                 hashes = hashes[np.lexsort((hashes, order, text))]
-                keep = np.where(n > 0, prefix_length(n, percent), 0)
+                keep = np.where(n >= least_size(percent), prefix_length(n, percent), 0)
                 inside = np.arange(len(hashes)) - first[text] < keep[text]
                 offsets = np.concatenate(([0], np.cumsum(keep)))
                 lists.append(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(hashes[inside].view(np.int64))))
@@ -137,28 +152,35 @@ def _enough(n: Column, m: Column, common: Column, percent: int) -> Column:
 
 
 def _may_link(percent: int) -> Column:
-    """Sizes and positions of two entries of a list leave room for enough common shingles."""
+    """Two entries of a list leave room for enough common shingles: e of those before them are in any other set, and all after them may be."""
     rest = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
-    return _enough(F.col("n1"), F.col("n2"), F.least("i1", "i2") + rest, percent)
+    return _enough(F.col("n1"), F.col("n2"), F.least("e1", "e2") + rest, percent)
 
 
-class _Verifier:
-    """Compares pairs of sets exactly; sets are made from the texts of those documents that are in a pair."""
+def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, compared exactly; sets are made from the texts of documents in a pair."""
+    needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    doc_type = texts.schema["doc"].dataType.simpleString()
+    sets = stored(texts.join(needed, "doc", "left_semi").mapInArrow(_set_batches, f"doc {doc_type}, items array<bigint>"), "sets")
+    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    sized = both.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), common.alias("common"))
+    found = stored(sized.where(_enough(F.col("n"), F.col("m"), F.col("common"), percent)).select("a", "b"), "links")
+    discard(sets)
+    return found
 
-    def __init__(self, texts: DataFrame, doc_type: str, percent: int):
-        self.texts, self.doc_type, self.percent = texts, doc_type, percent
-        self.sets: DataFrame | None = None
 
-    def prepare(self, needed: DataFrame) -> None:
-        rows = self.texts.join(needed, "doc", "left_semi").mapInArrow(_set_batches, f"doc {self.doc_type}, items array<bigint>")
-        self.sets = stored(rows, "sets")
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs that meet in enough lists.
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        first = pairs.join(self.sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
-        both = first.join(self.sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y")).cast("long")
-        sized = both.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), common.alias("common"))
-        return stored(sized.where(_enough(F.col("n"), F.col("m"), F.col("common"), self.percent)).select("a", "b"), "links")
+    Of the two prefixes, all of the one that ends first must be in the other
+    but for the shingles that may differ.
+    """
+    lower = F.col("a") < F.col("b")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(lower, F.col("n1")).otherwise(F.col("n2")).alias("n1"), F.when(lower, F.col("n2")).otherwise(F.col("n1")).alias("n2"))
+    common = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    must = [least_shared(percent) - F.ceil(percent * F.col(n) / 100) + common for n in ("n1", "n2")]  # prefix length - (n - common)
+    return stored(met.groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.least(*must))).select("a", "b"), "pairs")
 
 
 def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
@@ -172,7 +194,6 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     unique and not null; an empty table gives an empty result. Sets are
     compared by 64-bit hashes of their shingles.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
     doc_type = texts.schema["doc"].dataType.simpleString()
     scanned = stored(texts.mapInArrow(_fingerprints, f"doc {doc_type}, n long, p1 long, p2 long"), "prints")
@@ -188,39 +209,40 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     by_name = np.argsort(names)
     prefixes = texts.mapInArrow(_prefix_batches(names[by_name], ranks[by_name], percent), f"doc {doc_type}, n long, prefix array<bigint>")
     owners = members.where("n > 0 and doc = class").select("doc")
-    entries = prefixes.where("n > 0").join(owners, "doc", "left_semi").select("doc", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "shingle"))
-    entries = stored(entries, "entries")
-    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
-    lists = stored(entries.join(shared, "shingle", "left_semi").withColumn("comp", F.col("doc")), "lists")
+    entries = prefixes.where(F.col("n") >= least_size(percent)).join(owners, "doc", "left_semi").select("doc", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "shingle"))
+    shared = entries.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("shingle"))).where("k > 1").drop("k")
+    of = W.partitionBy("doc")
+    shared = shared.withColumn("e", (F.row_number().over(of.orderBy("i")) - 1)).withColumn("k", F.count(F.lit(1)).over(of)).where(F.col("k") >= least_shared(percent)).drop("k")
+    lists = stored(shared.withColumn("comp", F.col("doc")), "lists")
 
     n_docs = owners.count()
-    verifier = _Verifier(texts, doc_type, percent)
-    verifier.prepare(lists.select("doc").distinct())
     links: DataFrame | None = None
     for turn in range(MAX_ROUNDS):
         by_comp = lists.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
         cross = by_comp.groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2")).agg(F.sum(F.col("k") * F.col("k") - F.col("k2"))).first()[0]
-        if (cross or 0) <= 4 * n_docs + 1000 and turn:
+        if (cross or 0) <= PAIRS_A_DOCUMENT * n_docs + 1000 or turn and cross > 0.7 * before:
             break
-        pick = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "i")
-        leaders = lists.groupBy("shingle").agg(F.min(pick).alias("leader"), F.count_distinct("comp").alias("comps")).where("comps > 1")
-        leaders = stored(leaders.select("shingle", F.col("leader.doc").alias("b"), F.col("leader.n").alias("n2"), F.col("leader.i").alias("i2")), "leaders")
-        near = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1")).join(leaders, "shingle").where(F.col("a") != F.col("b")).where(_may_link(percent))
-        found = verifier.links(stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+        before = cross
+        pick = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "i", "e")
+        leaders = lists.groupBy("shingle").agg(F.min(pick).alias("leader")).select("shingle", F.col("leader.doc").alias("b"), F.col("leader.n").alias("n2"), F.col("leader.i").alias("i2"), F.col("leader.e").alias("e2"))
+        near = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1")).join(leaders, "shingle").where(F.col("a") != F.col("b")).where(_may_link(percent))
+        found = _links(_pairs(near, percent), texts, percent)
         links = found if links is None else links.union(found)
         lists = _relabelled(lists, connected(links))
     block = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    left = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("comp").alias("c1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    right = lists.select("shingle", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("comp").alias("c2"), block.alias("block"))
+    left = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1"), F.col("comp").alias("c1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    right = lists.select("shingle", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("e").alias("e2"), F.col("comp").alias("c2"), block.alias("block"))
     rest = left.join(right, ["shingle", "block"]).where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _may_link(percent))
-    found = verifier.links(stored(rest.select("a", "b").distinct(), "pairs"))
+    found = _links(_pairs(rest, percent), texts, percent)
     labels = connected(found if links is None else links.union(found)).select(F.col("doc").alias("class"), "comp")
     return members.join(labels, "class", "left").select(F.col("doc").alias(doc_col), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"))
 
 
 def _relabelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Lists with the components found so far, without those that lie in one component."""
-    lists = lists.drop("comp").join(labels, "doc", "left").select("shingle", "doc", "n", "i", F.coalesce("comp", "doc").alias("comp"))
-    lists = stored(lists, "lists")
-    mixed = lists.groupBy("shingle").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("shingle")
-    return stored(lists.join(mixed, "shingle", "left_semi"), "lists")
+    named = lists.drop("comp").join(labels, "doc", "left").select("shingle", "doc", "n", "i", "e", F.coalesce("comp", "doc").alias("comp"))
+    of = W.partitionBy("shingle")
+    mixed = named.withColumn("c", F.min("comp").over(of)).withColumn("d", F.max("comp").over(of)).where("c <> d").drop("c", "d")
+    kept = stored(mixed, "lists")
+    discard(lists)
+    return kept
