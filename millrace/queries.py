@@ -1,0 +1,429 @@
+"""A query for each operator over the given tables, and the DuckDB SQL for its result."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import cleaning, combine, synthetic, transform
+from .operators.profiling import outlier_rows, profile_dataframe, snapshot
+from .plans import pipeline, recommend
+from .sources import catalog, files
+from .types import PipelineConfig
+
+# Tables with gaps and dirt, derived from the given ones; the text is valid in both engines.
+VIEWS = {
+    "messy_events": """SELECT event_id, ts, user_id,
+        CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type,
+        CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value,
+        CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS ts_gap,
+        CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 2 = 0 END AS flag FROM events""",
+    "messy_strings": """SELECT event_id,
+        CASE WHEN event_id % 50 = 0 THEN 'bad' WHEN event_id % 7 = 0 THEN '   ' ELSE CAST((event_id * 37) % 1000 AS STRING) END AS num_str,
+        CASE event_id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN 'TRUE' WHEN 3 THEN ' f ' ELSE NULL END AS bool_str,
+        CASE event_id % 4 WHEN 0 THEN '2024-01-15' WHEN 1 THEN '15/02/2024' WHEN 2 THEN '03/04/2024' ELSE 'Jan 5, 2024' END AS date_str,
+        CASE WHEN event_id % 8 = 0 THEN '' ELSE event_type END AS cat_str FROM events""",
+    "nation_nullkey": "SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE n_regionkey END AS rk FROM nation",
+    "region_nullkey": "SELECT CASE WHEN r_regionkey = 0 THEN NULL ELSE r_regionkey END AS rk, r_name FROM region",
+    "messy_labels": "SELECT doc_id, quality, toxic, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE quality END AS quality_gap FROM labels",
+}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, or one of VIEWS over given tables."""
+    if name not in VIEWS:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    base = VIEWS[name].rsplit(" ", 1)[1]
+    return spark.sql(VIEWS[name].rsplit(" ", 1)[0] + " {t}", t=load(spark, sf_dir, base))
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (load, spark) under a name, with its SQL."""
+    def register(make: Callable[[Callable[[str], DataFrame], SparkSession], DataFrame]):
+        _queries[name] = lambda spark, sf_dir: make(partial(load, spark, sf_dir), spark)
+        if sql:
+            used = {v: f"({t})" for v, t in VIEWS.items() if v in sql}
+            _oracles[name] = ("WITH " + ", ".join(f"{v} AS {t}" for v, t in used.items()) + " " + sql) if used else sql
+        return make
+
+    return register
+
+
+def rows(spark: SparkSession, data: list, schema: str) -> DataFrame:
+    return spark.createDataFrame(data, schema)
+
+
+# --- sources and sinks ---
+
+@query("ingest_csv")
+def _(t, spark):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp"
+    path = f"{shared}/ingest-{uuid.uuid4().hex}.csv"
+    files.write(t("nation"), path, "csv")
+    part = [f for f in t("nation").sparkSession.read.option("header", True).csv(path).inputFiles()]
+    return files.preview(files.ingest(spark, part[0]).dataframe, 1000)
+
+
+@query("blank_to_null", "SELECT event_id, CASE WHEN regexp_full_match(num_str, '\\s*') THEN NULL ELSE num_str END AS num_str, CASE WHEN regexp_full_match(cat_str, '\\s*') THEN NULL ELSE cat_str END AS cat_str FROM messy_strings")
+def _(t, spark):
+    return files.normalised(t("messy_strings").select("event_id", "num_str", "cat_str"))
+
+
+@query("preview_head", "SELECT event_id, event_type, user_id FROM events ORDER BY event_id LIMIT 50")
+def _(t, spark):
+    return files.preview(t("events").select("event_id", "event_type", "user_id"), 50, ["event_id"])
+
+
+@query("dataset_summary", "SELECT count(*) AS n_rows, 5 AS n_columns FROM customer")
+def _(t, spark):
+    s = catalog.Catalog().add(t("customer"), "customer").summary()
+    return rows(spark, [(s["rows"], s["columns"])], "n_rows long, n_columns int")
+
+
+# --- profiling ---
+
+def _profiles(t, *names: str) -> list:
+    return [(n, p) for n in names for p in profile_dataframe(t(n))]
+
+
+def _counts_sql(name: str, columns: list[str], select: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {select.format(c=c)} FROM {name}" for c in columns)
+
+
+EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "ts_gap", "flag"]
+
+
+@query("profile_counts", _counts_sql("messy_events", EVENTS, "count({c}) AS non_null, count(*) - count({c}) AS nulls, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 4) AS null_ratio"))
+def _(t, spark):
+    return rows(spark, [(p.name, p.non_null_count, p.null_count, round(p.null_ratio, 4)) for _, p in _profiles(t, "messy_events")], "column_name string, non_null long, nulls long, null_ratio double")
+
+
+@query("profile_distinct", _counts_sql("messy_events", EVENTS, "count(DISTINCT {c}) AS n_unique"))
+def _(t, spark):
+    return rows(spark, [(p.name, p.unique_count) for _, p in _profiles(t, "messy_events")], "column_name string, n_unique long")
+
+
+@query("profile_samples", " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, {c} AS sample FROM (SELECT {c}, min(event_id) AS f FROM messy_events WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY f LIMIT 5))" for c in ("event_type",)))
+def _(t, spark):
+    p = profile_dataframe(t("messy_events"), ["event_type"], ["event_id"], samples=True)
+    return rows(spark, [(x.name, v) for x in p for v in x.sample_values], "column_name string, sample string")
+
+
+NUMBER_SQL = "regexp_full_match(trim({c}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
+
+
+@query("profile_numeric_ratio", f"SELECT round(avg(CASE WHEN {NUMBER_SQL.format(c='num_str')} THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM messy_strings WHERE num_str NOT LIKE ' %'")
+def _(t, spark):
+    p = profile_dataframe(files.normalised(t("messy_strings")), ["num_str"])[0]
+    return rows(spark, [(round(p.numeric_convertible_ratio, 6),)], "ratio double")
+
+
+@query("profile_datetime_ratio", "SELECT 1.0::DOUBLE AS ratio")
+def _(t, spark):
+    return rows(spark, [(profile_dataframe(t("messy_strings"), ["date_str"])[0].datetime_convertible_ratio,)], "ratio double")
+
+
+@query("profile_is_boolean", "SELECT bool_and(lower(trim(bool_str)) IN ('true','t','yes','y','1','false','f','no','n','0')) AS is_boolean FROM messy_strings")
+def _(t, spark):
+    return rows(spark, [(profile_dataframe(t("messy_strings"), ["bool_str"])[0].kind == "boolean",)], "is_boolean boolean")
+
+
+KINDS_SQL = {
+    "events": {"event_id": "numeric", "ts": "datetime", "user_id": "numeric", "event_type": None, "value": "numeric", "props": None},
+    "customer": {"c_custkey": "numeric", "c_name": None, "c_nationkey": "numeric", "c_acctbal": "numeric", "c_mktsegment": None},
+    "messy_strings": {"event_id": "numeric", "num_str": "numeric", "bool_str": "boolean", "date_str": "datetime", "cat_str": None},
+}
+
+
+def _kind_sql() -> str:
+    out = []
+    for name, kinds in KINDS_SQL.items():
+        for c, kind in kinds.items():
+            case = f"'{kind}'" if kind else f"(SELECT CASE WHEN count(DISTINCT {c}) = count({c}) AND count({c}) > 20 THEN 'identifier' WHEN count(DISTINCT {c}) <= 50 OR count(DISTINCT {c}) <= 0.5 * count({c}) THEN 'categorical' ELSE 'text' END FROM {name})"
+            out.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, {case} AS kind")
+    return " UNION ALL ".join(out)
+
+
+def _kinds(t, spark):
+    found = [(n, p.name, p.kind) for n in KINDS_SQL for p in profile_dataframe(files.normalised(t(n)))]
+    return rows(spark, found, "table_name string, column_name string, kind string")
+
+
+query("profile_kind", _kind_sql())(_kinds)
+query("kind_histogram", f"SELECT kind, count(*) AS n FROM ({_kind_sql()}) GROUP BY kind")(lambda t, spark: _kinds(t, spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+
+STATS_SQL = "min({c}) AS lowest, max({c}) AS highest, round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median, round(coalesce(stddev_samp({c}), 0), 4) AS std"
+
+
+@query("profile_stats", " UNION ALL ".join(f"SELECT '{c}' AS column_name, {STATS_SQL.format(c=f'CAST({c} AS DOUBLE)')} FROM events" for c in ("event_id", "user_id", "value")))
+def _(t, spark):
+    found = [(p.name, *(round(p.stats[k], 4) if k in ("mean", "median", "std") else p.stats[k] for k in ("min", "max", "mean", "median", "std"))) for p in profile_dataframe(t("events")) if p.kind == "numeric"]
+    return rows(spark, found, "column_name string, lowest double, highest double, mean double, median double, std double")
+
+
+BOUNDS = "(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t})"
+OUTSIDE = "({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AND q1 <> q3"
+
+
+def _outlier_sql(select: str, t: str, c: str, where: str) -> str:
+    return f"SELECT {select} FROM {t}, {BOUNDS.format(c=c, t=t)} b WHERE {where.format(o=OUTSIDE.format(c=c))}"
+
+
+@query("profile_outliers", _outlier_sql("'value' AS column_name, count(*) AS n_outliers", "events", "value", "{o}"))
+def _(t, spark):
+    return rows(spark, [(p.name, p.outlier_count) for p in profile_dataframe(t("events"), ["value"])], "column_name string, n_outliers long")
+
+
+query("outlier_summary", _outlier_sql("'value' AS column_name, count(*) AS n_outliers", "events", "value", "{o}"))(
+    lambda t, spark: rows(spark, [*recommend.answer_question("outliers?", t("events"), "events")["data"].items()], "column_name string, n_outliers long")
+)
+
+
+@query("outlier_indices", _outlier_sql("event_id", "events", "value", "{o}") + " ORDER BY event_id LIMIT 100")
+def _(t, spark):
+    return outlier_rows(t("events"), profile_dataframe(t("events"), ["value"])[0], ["event_id"])
+
+
+@query("snapshot_nulls", _counts_sql("messy_events", EVENTS, "count(*) AS n_rows, count(*) - count({c}) AS nulls"))
+def _(t, spark):
+    s = snapshot(t("messy_events"))
+    return rows(spark, [(c, s.rows, n) for c, n in s.null_counts.items()], "column_name string, n_rows long, nulls long")
+
+
+@query("quality_summary", "SELECT sum(n) AS nulls, count(*) FILTER (WHERE n > 0) AS columns_hit FROM (" + _counts_sql("messy_events", EVENTS, "count(*) - count({c}) AS n") + ")")
+def _(t, spark):
+    gaps = recommend.answer_question("missing values?", t("messy_events"), "messy_events")["data"]
+    return rows(spark, [(sum(gaps.values()), len(gaps))], "nulls long, columns_hit long")
+
+
+@query("profile_all", _counts_sql("messy_events", EVENTS, "count({c}) AS non_null, count(DISTINCT {c}) AS n_unique"))
+def _(t, spark):
+    return rows(spark, [(p.name, p.non_null_count, p.unique_count) for p in profile_dataframe(t("messy_events"))], "column_name string, non_null long, n_unique long")
+
+
+# --- coercion ---
+
+NUM_SQL = f"CASE WHEN {NUMBER_SQL.format(c='num_str')} THEN CAST(trim(num_str) AS DOUBLE) END"
+BOOL_SQL = "CASE WHEN lower(trim(bool_str)) IN ('true','t','yes','y','1') THEN true WHEN lower(trim(bool_str)) IN ('false','f','no','n','0') THEN false END"
+DATE_SQL = "CASE event_id % 4 WHEN 0 THEN '2024-01-15' WHEN 1 THEN '2024-02-15' WHEN 2 THEN '2024-03-04' ELSE '2024-01-05' END"
+
+
+def _coerced(t):
+    return cleaning.coerce_types(files.normalised(t("messy_strings")))
+
+
+query("coerce_numeric", f"SELECT event_id, {NUM_SQL} AS num_str FROM messy_strings")(lambda t, spark: _coerced(t)[0].select("event_id", "num_str"))
+query("coerce_boolean", f"SELECT event_id, {BOOL_SQL} AS bool_str FROM messy_strings")(lambda t, spark: _coerced(t)[0].select("event_id", "bool_str"))
+query("coerce_datetime", f"SELECT event_id, {DATE_SQL} AS day FROM messy_strings")(lambda t, spark: _coerced(t)[0].select("event_id", F.date_format("date_str", "yyyy-MM-dd").alias("day")))
+query("coerce_types", f"SELECT 'num_str' AS column_name, count(*) FILTER (WHERE num_str = 'bad') AS failed FROM messy_strings UNION ALL SELECT 'bool_str', 0 UNION ALL SELECT 'date_str', 0 UNION ALL SELECT 'event_id', 0")(
+    lambda t, spark: rows(spark, [(d["column"], d["failed_count"]) for d in _coerced(t)[1].details], "column_name string, failed long")
+)
+
+# --- imputation ---
+
+MEDIAN = "(SELECT quantile_cont(value, 0.5) FROM messy_events)"
+MODE = "(SELECT event_type FROM messy_events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1)"
+
+
+def _imputed(column: str, strategy: str):
+    def make(t, spark):
+        df = t("messy_events").select("event_id", column)
+        return cleaning.impute_missing(df, overrides={column: strategy}, order_by=["event_id"])[0]
+
+    return make
+
+
+query("impute_mean", "SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM messy_events)), 6) AS value FROM messy_events")(lambda t, spark: _imputed("value", "mean")(t, spark).withColumn("value", F.round("value", 6)))
+query("impute_median", f"SELECT event_id, round(coalesce(value, {MEDIAN}), 6) AS value FROM messy_events")(lambda t, spark: _imputed("value", "median")(t, spark).withColumn("value", F.round("value", 6)))
+query("impute_mode", f"SELECT event_id, coalesce(event_type, {MODE}) AS event_type FROM messy_events")(_imputed("event_type", "mode"))
+query("impute_constant", "SELECT event_id, coalesce(value, 7.5) AS value FROM messy_events")(_imputed("value", "constant:7.5"))
+query("impute_skip", "SELECT event_id, value FROM messy_events")(_imputed("value", "skip"))
+query("impute_ffill_bfill", "SELECT event_id, coalesce(event_type, last_value(event_type IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(event_type IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS event_type FROM messy_events")(_imputed("event_type", "ffill_bfill"))
+
+
+@query("impute_report", "SELECT 'value' AS column_name, 'median' AS strategy, count(*) - count(value) AS filled FROM messy_events UNION ALL SELECT 'event_type', 'mode', count(*) - count(event_type) FROM messy_events UNION ALL SELECT 'flag', 'mode', count(*) - count(flag) FROM messy_events UNION ALL SELECT 'ts_gap', 'ffill_bfill', count(*) - count(ts_gap) FROM messy_events")
+def _(t, spark):
+    report = cleaning.impute_missing(t("messy_events"), order_by=["event_id"])[1]
+    return rows(spark, [(d["column"], d["strategy"], d["filled_count"]) for d in report.details], "column_name string, strategy string, filled long")
+
+
+# --- duplicates ---
+
+query("dup_count", "SELECT count(*) - count(DISTINCT text) AS n FROM documents")(
+    lambda t, spark: rows(spark, [(cleaning.handle_duplicates(t("documents"), subset=["text"], order_by=["doc_id"])[1].details[0]["duplicate_count"],)], "n long")
+)
+query("dup_indices", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k > 1 ORDER BY doc_id LIMIT 200")(
+    lambda t, spark: cleaning.duplicate_flags(t("documents"), ["text"], ["doc_id"]).where("__duplicate").select("doc_id").orderBy("doc_id").limit(200)
+)
+query("dedupe_all", "SELECT DISTINCT lang, source FROM documents")(lambda t, spark: cleaning.handle_duplicates(t("documents").select("lang", "source"), drop=True)[0])
+query("dedupe_subset", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")(lambda t, spark: cleaning.handle_duplicates(t("documents"), drop=True, subset=["text"], order_by=["doc_id"])[0].select("doc_id"))
+
+# --- outliers ---
+
+
+def _outliers(name: str, columns: list[str], strategy: str):
+    return lambda t: transform.handle_outliers(t(name), default_strategy=strategy, columns=columns)
+
+
+query("outlier_flag", _outlier_sql(f"event_id, {OUTSIDE.format(c='value')} AS value__is_outlier", "events", "value", "true"))(lambda t, spark: _outliers("events", ["value"], "flag")(t)[0].select("event_id", "value__is_outlier"))
+query("outlier_clip", _outlier_sql("event_id, round(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) AS value", "events", "value", "true"))(lambda t, spark: _outliers("events", ["value"], "clip")(t)[0].select("event_id", F.round("value", 6).alias("value")))
+query("outlier_remove", _outlier_sql("event_id", "events", "value", "NOT ({o})"))(lambda t, spark: _outliers("events", ["value"], "remove")(t)[0].select("event_id"))
+query("outlier_remove_multi", _outlier_sql("doc_id", "documents", "n_chars", "NOT ({o})"))(lambda t, spark: _outliers("documents", ["doc_id", "n_chars"], "remove")(t)[0].select("doc_id"))
+query("outlier_iqr_zero", "SELECT doc_id, quality, toxic FROM labels")(lambda t, spark: _outliers("labels", ["quality", "toxic"], "remove")(t)[0])
+
+
+@query("outlier_report", _outlier_sql("'value' AS column_name, count(*) AS n_outliers, round(any_value(q1 - 1.5 * (q3 - q1)), 4) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 4) AS upper_bound", "events", "value", "{o}"))
+def _(t, spark):
+    return rows(spark, [(d["column"], d["outlier_count"], round(d["lower"], 4), round(d["upper"], 4)) for d in _outliers("events", ["value"], "flag")(t)[1].details], "column_name string, n_outliers long, lower_bound double, upper_bound double")
+
+
+# --- encoding ---
+
+query("encode_boolean", "SELECT event_id, CAST(flag AS INT) AS flag FROM messy_events")(lambda t, spark: transform.encode_categoricals(t("messy_events").select("event_id", "flag"))[0])
+query("encode_onehot", "SELECT c_custkey, list_transform((SELECT list(DISTINCT c_mktsegment ORDER BY c_mktsegment) FROM customer), v -> CAST(v = c_mktsegment AS INT))::VARCHAR AS bits FROM customer")(
+    lambda t, spark: (lambda df: df.select("c_custkey", F.concat(F.lit("["), F.concat_ws(", ", *(F.col(f"`{c}`").cast("string") for c in df.columns if c.startswith("c_mktsegment_"))), F.lit("]")).alias("bits")))(transform.encode_categoricals(t("customer"))[0])
+)
+query("encode_label", "SELECT p_partkey, (SELECT count(DISTINCT b.p_brand) FROM part b WHERE b.p_brand < a.p_brand)::INT AS p_brand FROM part a")(lambda t, spark: transform.encode_categoricals(t("part").select("p_partkey", "p_brand"))[0])
+query("encode_identifier_untouched", "SELECT c_custkey, c_name FROM customer")(lambda t, spark: transform.encode_categoricals(t("customer").select("c_custkey", "c_name"))[0])
+
+# --- features ---
+
+query("fe_date_parts", "SELECT o_orderkey, year(o_orderdate)::INT AS o_orderdate__year, month(o_orderdate)::INT AS o_orderdate__month, day(o_orderdate)::INT AS o_orderdate__day FROM orders")(
+    lambda t, spark: transform.engineer_features(t("orders").select("o_orderkey", "o_orderdate"))[0].select("o_orderkey", "o_orderdate__year", "o_orderdate__month", "o_orderdate__day")
+)
+query("fe_weekday", "SELECT o_orderkey, (isodow(o_orderdate) - 1)::INT AS o_orderdate__weekday FROM orders")(lambda t, spark: transform.engineer_features(t("orders").select("o_orderkey", "o_orderdate"))[0].select("o_orderkey", "o_orderdate__weekday"))
+query("fe_text_length", "SELECT doc_id, length(text)::INT AS text__length FROM documents")(lambda t, spark: transform.engineer_features(t("documents").select("doc_id", "text"))[0].select("doc_id", "text__length"))
+query("fe_word_count", "SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'))::INT AS text__word_count FROM documents")(lambda t, spark: transform.engineer_features(t("documents").select("doc_id", "text"))[0].select("doc_id", "text__word_count"))
+
+# --- scaling ---
+
+
+def _scaled(name: str, key: str, column: str, method: str, mask=None):
+    return lambda t, spark: transform.scale_features(t(name).select(key, column), method=method, columns=[column], train_mask=mask)[0].withColumn(column, F.round(column, 6))
+
+
+query("scale_standard", "SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders), 6) AS o_totalprice FROM orders")(_scaled("orders", "o_orderkey", "o_totalprice", "standard"))
+query("scale_minmax", "SELECT o_orderkey, round((o_totalprice - (SELECT min(o_totalprice) FROM orders)) / (SELECT max(o_totalprice) - min(o_totalprice) FROM orders), 6) AS o_totalprice FROM orders")(_scaled("orders", "o_orderkey", "o_totalprice", "minmax"))
+query("scale_robust", "SELECT o_orderkey, round((o_totalprice - (SELECT quantile_cont(o_totalprice, 0.5) FROM orders)) / (SELECT quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) FROM orders), 6) AS o_totalprice FROM orders")(_scaled("orders", "o_orderkey", "o_totalprice", "robust"))
+query("scale_train_mask", "SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders WHERE o_orderkey % 2 = 0)) / (SELECT stddev_pop(o_totalprice) FROM orders WHERE o_orderkey % 2 = 0), 6) AS o_totalprice FROM orders")(
+    lambda t, spark: _scaled("orders", "o_orderkey", "o_totalprice", "standard", F.col("o_orderkey") % 2 == 0)(t, spark)
+)
+query("scale_nulls", "SELECT event_id, round((value - (SELECT avg(value) FROM messy_events)) / (SELECT stddev_pop(value) FROM messy_events), 6) AS value FROM messy_events")(_scaled("messy_events", "event_id", "value", "standard"))
+query("scale_skip_binary", "SELECT doc_id, quality, toxic FROM labels")(lambda t, spark: transform.scale_features(t("labels"), columns=["quality", "toxic"])[0])
+
+
+@query("scale_params", "SELECT 'o_totalprice' AS column_name, round(avg(o_totalprice), 4) AS center, round(stddev_pop(o_totalprice), 4) AS scale, count(*) AS fit_rows FROM orders")
+def _(t, spark):
+    return rows(spark, [(d["column"], round(d["center"], 4), round(d["scale"], 4), d["fit_rows"]) for d in transform.scale_features(t("orders"), columns=["o_totalprice"])[1].details], "column_name string, center double, scale double, fit_rows long")
+
+
+# --- combination ---
+
+
+def _merged(how: str):
+    return lambda t, spark: combine.combine_datasets([("customer", t("customer").select(F.col("c_custkey").alias("k"), "c_name")), ("orders", t("orders").select(F.col("o_custkey").alias("k"), "o_orderkey"))], mode="merge", on=["k"], how=how)[0]
+
+
+for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    query(f"merge_{_how}", f"SELECT coalesce(c.c_custkey, o.o_custkey) AS k, c_name, o_orderkey FROM customer c {_join} orders o ON c.c_custkey = o.o_custkey")(_merged(_how))
+
+query("combine_concat", "SELECT c_name, c_acctbal, NULL AS s_name, 'customer' AS __source_file FROM customer UNION ALL SELECT NULL, NULL, s_name, 'supplier' FROM supplier")(
+    lambda t, spark: combine.combine_datasets([("customer", t("customer").select("c_name", "c_acctbal")), ("supplier", t("supplier").select("s_name"))])[0]
+)
+NULL_KEYS = "FROM nation_nullkey n FULL JOIN region_nullkey r ON n.rk IS NOT DISTINCT FROM r.rk"
+_null_merge = lambda t: combine.combine_datasets([("nation", t("nation_nullkey")), ("region", t("region_nullkey"))], mode="merge", on=["rk"])[0]
+query("merge_null_keys", f"SELECT n_nationkey, n_name, coalesce(n.rk, r.rk) AS rk, r_name {NULL_KEYS}")(lambda t, spark: _null_merge(t))
+query("merge_unmatched", f"SELECT count(*) FILTER (WHERE coalesce(n.rk, r.rk) IS NULL) AS n {NULL_KEYS}")(lambda t, spark: rows(spark, [(combine.null_key_rows(_null_merge(t), ["rk"]),)], "n long"))
+query("merge_suffix", "SELECT d.doc_id, d.lang, e.lang AS lang__other FROM documents d JOIN documents e ON d.doc_id = e.doc_id")(
+    lambda t, spark: combine.combine_datasets([("docs", t("documents").select("doc_id", "lang")), ("other", t("documents").select("doc_id", "lang"))], mode="merge", on=["doc_id"], how="inner")[0]
+)
+query("combine_merge_3way", "SELECT d.doc_id, d.lang, l.quality, l.toxic, m.quality_gap FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN messy_labels m USING (doc_id)")(
+    lambda t, spark: combine.combine_datasets([("d", t("documents").select("doc_id", "lang")), ("l", t("labels")), ("m", t("messy_labels").select("doc_id", "quality_gap"))], mode="merge", on=["doc_id"], how="left")[0]
+)
+
+# --- recommendations ---
+
+query("rec_target", "SELECT 'embeddings' AS table_name, 'label' AS target UNION ALL SELECT 'labels', NULL UNION ALL SELECT 'events', 'event_type'")(
+    lambda t, spark: rows(spark, [(n, recommend.detect_target(profile_dataframe(t(n)))) for n in ("embeddings", "labels", "events")], "table_name string, target string")
+)
+query("rec_problem_type", "SELECT 'embeddings' AS table_name, 'regression' AS problem UNION ALL SELECT 'labels', 'clustering' UNION ALL SELECT 'events', 'multiclass_classification'")(
+    lambda t, spark: rows(spark, [(n, recommend.recommend_algorithms(t(n)).problem) for n in ("embeddings", "labels", "events")], "table_name string, problem string")
+)
+query("rec_class_balance", "SELECT count(*) AS classes, round(max(n) / CAST(min(n) AS DOUBLE), 2) AS ratio, max(n) >= 4.0 * min(n) AS is_imbalanced FROM (SELECT count(*) AS n FROM events GROUP BY event_type)")(
+    lambda t, spark: rows(spark, [tuple(recommend.class_balance(t("events"), "event_type").values())], "classes long, ratio double, is_imbalanced boolean")
+)
+
+
+@query("rec_characteristics", "SELECT count(*) AS n_rows, 5 AS n_features, round(5.0 / count(*), 4)::DOUBLE AS ratio, 0.0::DOUBLE AS missing FROM events")
+def _(t, spark):
+    x = recommend.recommend_algorithms(t("events")).traits
+    return rows(spark, [(x.n_rows, x.n_features, x.ratio, x.missing)], "n_rows long, n_features int, ratio double, missing double")
+
+
+def _scores(problem: str, n_rows_table: str):
+    def make(t, spark):
+        x = recommend.Traits(t(n_rows_table).count(), 4, 0.0001, True, False, True, 0.0)
+        return rows(spark, [(a.name, a.to_dict()["score"]) for a in recommend.score_algorithms(problem, x)], "algorithm string, score double")
+
+    return make
+
+
+_n = "(SELECT count(*) FROM lineitem)"
+_values = lambda pairs: " UNION ALL ".join(f"SELECT '{n}' AS algorithm, round(CAST({s} AS DOUBLE), 3) AS score" for n, s in pairs)
+query("rec_scores_classification", _values([("Logistic Regression", "0.6"), ("Random Forest", "0.85"), ("Gradient Boosting", "0.8"), ("Support Vector Machine", f"CASE WHEN {_n} > 20000 THEN 0.2 ELSE 0.5 END"), ("K-Nearest Neighbors", f"CASE WHEN {_n} > 20000 THEN 0.2 ELSE 0.4 END"), ("Naive Bayes", "0.45")]))(_scores("multiclass_classification", "lineitem"))
+query("rec_scores_regression", _values([("Linear Regression", "0.55"), ("Ridge / Lasso Regression", "0.55"), ("Random Forest Regressor", "0.85"), ("Gradient Boosting Regressor", "0.8"), ("Support Vector Regression", f"CASE WHEN {_n} > 20000 THEN 0.15 ELSE 0.45 END")]))(_scores("regression", "lineitem"))
+query("rec_scores_clustering", _values([("K-Means", "0.65"), ("DBSCAN", "0.7"), ("Hierarchical (Agglomerative) Clustering", f"CASE WHEN {_n} > 5000 THEN 0.25 ELSE 0.45 END")]))(_scores("clustering", "lineitem"))
+query("advise_roles", f"SELECT column_name, CASE kind WHEN 'identifier' THEN 'identifier' ELSE 'feature' END AS role, CASE kind WHEN 'identifier' THEN 0.8 WHEN 'text' THEN 0.3 ELSE 0.5 END::DOUBLE AS confidence FROM ({_kind_sql()}) WHERE table_name = 'customer'")(
+    lambda t, spark: rows(spark, [(p.name, *recommend.RuleAdvisor().suggest_column_role(p)) for p in profile_dataframe(t("customer"))], "column_name string, role string, confidence double")
+)
+_has = lambda words: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+query("chat_intent", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_has(w)} THEN '{n}'" for n, w in recommend.INTENTS.items()) + " ELSE 'summary' END AS intent FROM conversations")(
+    lambda t, spark: t("conversations").select("conv_id", "turn", recommend.intent_expr(F.col("text")).alias("intent"))
+)
+
+# --- pipeline ---
+
+
+@query("pipeline_flagship", f"""
+    SELECT event_id AS key, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 5) AS value, e AS signup
+    FROM (SELECT event_id, coalesce(value, {MEDIAN}) AS v, CAST(coalesce(event_type, {MODE}) = 'signup' AS INT) AS e FROM messy_events)""")
+def _(t, spark):
+    out, _ = pipeline.run_pipeline(t("messy_events").withColumn("key", F.concat(F.lit("k"), F.col("event_id").cast("string"))), order_by=["event_id"])
+    return out.select(F.substring("key", 2, 20).cast("long").alias("key"), F.round("value", 5).alias("value"), F.col("event_type_signup").alias("signup"))
+
+
+@query("pipeline_multi_source", "SELECT 'combine_datasets' AS step, 0 AS position, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS rows_after")
+def _(t, spark):
+    _, trail = pipeline.run_pipeline_multi_source([("customer", t("customer").select("c_name", "c_acctbal")), ("supplier", t("supplier").select("s_name"))], PipelineConfig(coerce_types=False, encode_categoricals=False, engineer_features=False, scale_method="none", datetime_impute_strategy="skip", categorical_impute_strategy="skip"), order_by=["c_name", "s_name"])
+    return rows(spark, [(trail.steps[0].name, 0, trail.steps[0].after.rows)], "step string, position int, rows_after long")
+
+
+_STEPS = ("coerce_types", "impute_missing", "handle_duplicates", "handle_outliers", "encode_categoricals", "engineer_features", "scale_features")
+
+
+@query("audit_steps", " UNION ALL ".join(f"SELECT {k} AS position, '{n}' AS step, count(*) AS rows_before, count(*) AS rows_after FROM messy_events" for k, n in enumerate(_STEPS)))
+def _(t, spark):
+    _, trail = pipeline.run_pipeline(t("messy_events"), order_by=["event_id"])
+    return rows(spark, [(k, s.name, s.before.rows, s.after.rows) for k, s in enumerate(trail.steps)], "position int, step string, rows_before long, rows_after long")
+
+
+# --- synthetic rows ---
+
+query("synthetic_rows")(lambda t, spark: synthetic.generate_synthetic(t("events").select("event_id", "ts", "event_type", "value"), n_rows=500, seed=7)[0])
+query("synthetic_augment")(lambda t, spark: synthetic.augment_with_synthetic(t("customer"), n_rows=200, seed=7)[0])
+query("synthetic_identifier", "SELECT 'synthetic_c_name_' || i AS c_name FROM range(100) r(i)")(lambda t, spark: synthetic.generate_synthetic(t("customer").select("c_name"), n_rows=100, seed=1)[0])
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)

@@ -1,0 +1,12 @@
+"""A session with the settings that millrace assumes."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "millrace", **conf: str) -> SparkSession:
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    for key, value in conf.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()

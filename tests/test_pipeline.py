@@ -1,0 +1,152 @@
+import pytest
+
+from millrace.functions.parsing import parse_datetime, parse_number
+from millrace.operators import cleaning, combine, transform
+from millrace.operators.profiling import profile_dataframe
+from millrace.plans import pipeline, recommend
+from millrace.types import ROW_ID, DataLossError, PipelineConfig, Snapshot, StepReport
+from pyspark.sql import functions as F
+
+MESSY = [
+    (1, "30", "NYC", "2023-01-01", "true"), (2, "25", "LA", "2023-01-15", "false"), (3, None, "NYC", "2023-02-15", "true"), (4, "45", None, None, "true"),
+    (5, "1000", "SF", "2023-03-01", "false"), (6, "28", "NYC", "2023-04-01", "true"), (7, "31", "LA", "2023-05-01", "false"), (8, "29", "SF", "2023-06-01", "true"),
+]
+
+
+@pytest.fixture(scope="module")
+def messy(spark):
+    return spark.createDataFrame(MESSY, "id long, age string, city string, signup_date string, is_active string")
+
+
+def test_kinds(messy):
+    kinds = {p.name: p.kind for p in profile_dataframe(messy)}
+    assert kinds == {"id": "numeric", "age": "numeric", "city": "categorical", "signup_date": "datetime", "is_active": "boolean"}
+
+
+def test_unique_strings_become_identifiers_above_twenty(spark):
+    for n, kind in ((20, "categorical"), (21, "identifier")):
+        assert profile_dataframe(spark.createDataFrame([(f"u{k}",) for k in range(n)], "u string"))[0].kind == kind
+
+
+def test_numbers(spark):
+    cases = {"5": 5.0, " 5 ": 5.0, "1e5": 1e5, "+3": 3.0, ".5": 0.5, "5.": 5.0, "inf": float("inf"), "-Infinity": float("-inf"), "0x10": None, "1,000": None, "1_000": None, "1d": None, "1 2": None, "True": None, "": None, "nan": None}
+    got = spark.createDataFrame([(k,) for k in cases], "s string").select("s", parse_number(F.col("s")).alias("v")).collect()
+    assert {r.s: r.v for r in got} == cases
+
+
+def test_dates(spark):
+    cases = {"2023-01-01": "2023-01-01", "01/02/2023": "2023-01-02", "13/02/2023": "2023-02-13", "Jan 5, 2023": "2023-01-05", "5 January 2023": "2023-01-05", "2023/01/05": "2023-01-05", "20230101": "2023-01-01", "2023": "2023-01-01", "2023-01-01T10:00:00Z": "2023-01-01", "2023-01-01 01:00:00+02:00": "2022-12-31", "2023-13-01": None, "Q1 2023": None, "may": None, "5": None, "now": None, "10:30": None}
+    got = spark.createDataFrame([(k,) for k in cases], "s string").select("s", F.date_format(parse_datetime(F.col("s")), "yyyy-MM-dd").alias("v")).collect()
+    assert {r.s: r.v for r in got} == cases
+
+
+def test_coerce_keeps_rows(messy):
+    out, _ = cleaning.coerce_types(messy)
+    assert out.count() == 8 and dict(out.dtypes)["age"] == "double"
+
+
+def test_impute(messy):
+    coerced, _ = cleaning.coerce_types(messy)
+    out, _ = cleaning.impute_missing(coerced, order_by=["id"])
+    rows = {r.id: r for r in out.collect()}
+    assert len(rows) == 8 and rows[3].age == 30.0 and rows[4].city == "NYC" and str(rows[4].signup_date)[:10] == "2023-02-15"
+
+
+def test_fill_carries_over_ranges(spark):
+    df = spark.range(100).select("id", F.when((F.col("id") % 37 == 20), F.col("id")).alias("v"))
+    got = {r.id: r.v for r in cleaning.fill_forward_backward(df, ["v"], ["id"]).collect()}
+    assert got == {k: 20 if k < 57 else 57 if k < 94 else 94 for k in range(100)}
+
+
+def test_duplicates(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "a int, b string")
+    _, report = cleaning.handle_duplicates(df)
+    assert "NOT removed" in report.warnings[0]
+    assert cleaning.handle_duplicates(df, drop=True)[0].count() == 2
+
+
+def test_outliers(spark):
+    df = spark.createDataFrame([(v,) for v in (10, 12, 11, 13, 12, 11, 500, 12, 10, 13)], "value int")
+    assert transform.handle_outliers(df)[0].where("value__is_outlier").count() == 1
+    assert transform.handle_outliers(df, default_strategy="clip")[0].agg(F.max("value")).first()[0] == 15.375
+    assert transform.handle_outliers(df, default_strategy="remove")[0].count() == 9
+
+
+def test_encoding(spark):
+    colours = spark.createDataFrame([(c,) for c in ("red", "blue", "red", "green", "blue")], "color string")
+    assert transform.encode_categoricals(colours)[0].columns == ["color_blue", "color_green", "color_red"]
+    tags = spark.createDataFrame([(f"cat_{k % 30:02d}",) for k in range(60)] + [(None,)], "tag string")
+    codes = {r.tag for r in transform.encode_categoricals(tags)[0].collect()}
+    assert codes == {*range(-1, 30)}
+    users = spark.createDataFrame([(f"u{k}",) for k in range(25)], "user_id string")
+    out, report = transform.encode_categoricals(users)
+    assert out.columns == ["user_id"] and "identifier" in report.warnings[0]
+
+
+def test_scaling(spark):
+    df = spark.createDataFrame([(k % 2, 10.0 * (k + 1)) for k in range(5)], "flag int, value double")
+    out = transform.scale_features(df)[0].agg(F.avg("value").alias("m"), F.max("flag").alias("f")).first()
+    assert abs(out.m) < 1e-9 and out.f == 1
+    assert transform.scale_features(df, method="minmax")[0].agg(F.min("value"), F.max("value")).first() == (0.0, 1.0)
+    assert transform.scale_features(df, method="none")[0] is df
+
+
+def test_default_pipeline(messy):
+    out, trail = pipeline.run_pipeline(messy, order_by=["id"])
+    assert out.columns == ["id", "age", "city_LA", "city_NYC", "city_SF", "signup_date", "is_active", "age__is_outlier", *(f"signup_date__{p}" for p in ("year", "month", "day", "weekday"))]
+    assert all(s.row_delta == 0 for s in trail.steps) and trail.steps[-1].nulls_after == 0
+
+
+def test_pipeline_counts_dropped_duplicates(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, "z")], "a int, b string")
+    _, trail = pipeline.run_pipeline(df, PipelineConfig(dedupe=True), order_by=["a"])
+    assert next(s for s in trail.steps if s.name == "handle_duplicates").row_delta == -1
+
+
+def test_concat_and_multi_source(spark):
+    a = spark.createDataFrame([(1, "3", "NYC"), (2, "4", "LA"), (3, "5", "SF")], "id int, age string, city string")
+    b = spark.createDataFrame([(4, "6"), (5, "7")], "id int, age string")
+    both, _ = combine.combine_datasets([("a", a), ("b", b)])
+    assert both.count() == 5 and both.columns == ["id", "age", "city", "__source_file"]
+    _, trail = pipeline.run_pipeline_multi_source([("a", a), ("b", b)], order_by=["id"])
+    assert trail.steps[0].name == "combine_datasets"
+
+
+def test_merge_rejects_bad_requests(spark):
+    a = spark.createDataFrame([(1,)], "id int")
+    for kwargs in ({"mode": "merge"}, {"mode": "merge", "on": ["x"]}, {"mode": "zip"}):
+        with pytest.raises(ValueError):
+            combine.combine_datasets([("a", a), ("b", a)], **kwargs)
+
+
+def test_lost_rows_raise():
+    report = StepReport("x", "x", Snapshot(3), Snapshot(2))
+    with pytest.raises(DataLossError):
+        pipeline.check_rows(report)
+
+
+def test_augmentation_keeps_source(spark):
+    df = spark.createDataFrame([(k, f"c{k % 3}") for k in range(30)], "id long, c string")
+    out, report = pipeline.run_synthetic_augmentation(df, n_rows=10, seed=1)
+    assert out.count() == 40 and report.row_delta == 10 and df.exceptAll(out).count() == 0
+
+
+def test_recommendations(spark):
+    cls = spark.createDataFrame([(20 + k * 3, 1000 + k * 70, ("yes", "no")[k % 2]) for k in range(8)], "age int, income int, label string")
+    r = recommend.recommend_algorithms(cls)
+    assert (r.target, r.problem) == ("label", "binary_classification")
+    assert [a.name for a in r.algorithms] == ["Random Forest", "Logistic Regression", "Support Vector Machine", "K-Nearest Neighbors", "Gradient Boosting", "Naive Bayes"]
+    imbalanced = spark.createDataFrame([(k, "a" if k < 2 else "b") for k in range(20)], "feature int, label string")
+    assert any("imbalanced" in n for n in recommend.recommend_algorithms(imbalanced).notes)
+    with pytest.raises(ValueError):
+        recommend.recommend_algorithms(cls, "nope")
+
+
+def test_ingest(spark, tmp_path):
+    from millrace.sources.files import ingest
+
+    path = tmp_path / "a.csv"
+    path.write_text('a;b\n1;x\nNA;" "\n3;"y;z"\n')
+    result = ingest(spark, str(path))
+    assert result.delimiter == ";" and ROW_ID in result.dataframe.columns
+    assert [tuple(r) for r in result.dataframe.select("a", "b").collect()] == [("1", "x"), (None, None), ("3", "y;z")]
