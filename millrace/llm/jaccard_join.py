@@ -220,7 +220,7 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     for turn in range(MAX_ROUNDS):
         by_comp = lists.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
         cross = by_comp.groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2")).agg(F.sum(F.col("k") * F.col("k") - F.col("k2"))).first()[0]
-        if (cross or 0) <= PAIRS_A_DOCUMENT * n_docs + 1000 or turn and cross > 0.7 * before:
+        if turn and ((cross or 0) <= PAIRS_A_DOCUMENT * n_docs + 1000 or cross > 0.7 * before):
             break
         before = cross
         pick = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "i", "e")
