@@ -17,6 +17,7 @@ import re
 import struct
 import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -275,7 +276,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     flat = build_lexicon(docs, text_col, tokenizer, words)
-    name = f"lexicon-{hashlib.sha256(flat).hexdigest()[:24]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     folder = tempfile.mkdtemp(prefix="millrace-")
     with open(os.path.join(folder, name), "wb") as f:
         f.write(flat)
