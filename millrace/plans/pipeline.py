@@ -53,12 +53,20 @@ def steps(config: PipelineConfig, order_by: list[str] | None = None) -> list[Ste
     return out
 
 
+def _kept(df: DataFrame, report: StepReport) -> tuple[DataFrame, StepReport]:
+    """Each step is read several times by the next one: its table stays in memory or on disk."""
+    return df.persist(), report
+
+
 def run_pipeline(df: DataFrame, config: PipelineConfig | None = None, order_by: list[str] | None = None) -> tuple[DataFrame, AuditTrail]:
     config = config or PipelineConfig()
     trail = AuditTrail(snapshot(df))
     last = trail.original
     for step in steps(config, order_by):
-        df, report = run_step(df, step, last)
+        before = df
+        df, report = run_step(df, lambda d: _kept(*step(d)), last)
+        if trail.steps:
+            before.unpersist()  # the next table is stored by now
         check_rows(report, allow_decrease=MAY_DROP.get(report.name, lambda _: False)(config))
         trail.steps.append(report)
         last = report.after

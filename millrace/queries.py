@@ -287,7 +287,7 @@ def _(t, spark):
 # --- encoding ---
 
 query("encode_boolean", "SELECT event_id, CAST(flag AS INT) AS flag FROM messy_events")(lambda t, spark: transform.encode_categoricals(t("messy_events").select("event_id", "flag"))[0])
-query("encode_onehot", "SELECT c_custkey, list_transform((SELECT list(DISTINCT c_mktsegment ORDER BY c_mktsegment) FROM customer), v -> CAST(v = c_mktsegment AS INT))::VARCHAR AS bits FROM customer")(
+query("encode_onehot", "SELECT c_custkey, list_transform((SELECT list(DISTINCT c_mktsegment ORDER BY c_mktsegment) FROM customer), lambda v: CAST(v = c_mktsegment AS INT))::VARCHAR AS bits FROM customer")(
     lambda t, spark: (lambda df: df.select("c_custkey", F.concat(F.lit("["), F.concat_ws(", ", *(F.col(f"`{c}`").cast("string") for c in df.columns if c.startswith("c_mktsegment_"))), F.lit("]")).alias("bits")))(transform.encode_categoricals(t("customer"))[0])
 )
 query("encode_label", "SELECT p_partkey, (SELECT count(DISTINCT b.p_brand) FROM part b WHERE b.p_brand < a.p_brand)::INT AS p_brand FROM part a")(lambda t, spark: transform.encode_categoricals(t("part").select("p_partkey", "p_brand"))[0])
