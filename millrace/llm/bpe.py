@@ -19,7 +19,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,12 +68,14 @@ class Model:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.library = Tokenizer.from_file(path)
 
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text without special tokens, in byte letters for unusual texts (marked by a leading NUL)."""
-        if _UNUSUAL.search(text):
-            split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return ["\0" + p for p, _ in split]
-        return _PIECES.findall(unicodedata.normalize("NFC", text).lower())
+    def runs(self, text: str) -> list[str] | None:
+        """The text between blanks, which no word crosses; None for an unusual text."""
+        return None if _UNUSUAL.search(text) else unicodedata.normalize("NFC", text).lower().split()
+
+    def library_pieces(self, text: str) -> list[str]:
+        """The words of an unusual text without special tokens, in byte letters (marked by a leading NUL)."""
+        split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return ["\0" + p for p, _ in split]
 
     def merge(self, piece: str) -> list[int]:
         """The ids of one word, by merging the pair of least rank, leftmost first."""
@@ -83,16 +85,17 @@ class Model:
         ranks, never = self.ranks, len(self.ranks)
         if len(parts) > LONG_WORD:
             return [self.vocab[p] for p in self._merge_long(parts)]
-        while len(parts) > 1:
-            scores = [ranks.get(pair, never) for pair in zip(parts, parts[1:])]
-            best = min(scores)
-            if best == never:
-                break
+        scores = [ranks.get(pair, never) for pair in zip(parts, parts[1:])]
+        while scores and (best := min(scores)) != never:
             k = scores.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            parts[k] += parts.pop(k + 1)
+            del scores[k]  # only the pairs beside the merged part have other ranks now
+            if k < len(scores):
+                scores[k] = ranks.get((parts[k], parts[k + 1]), never)
+            if k:
+                scores[k - 1] = ranks.get((parts[k - 1], parts[k]), never)
         return [self.vocab[p] for p in parts]
 
-
     def _merge_long(self, parts: list[str]) -> list[str]:
         """The same merges with a heap of pairs and linked parts, in n log n steps."""
         after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
@@ -209,22 +212,34 @@ class Lexicon:
         return list(self.ids[self.id_at[rank] : self.id_at[rank + 1]]) if self.ends[node] else None
 
 
-class Codec(dict):
-    """Encodes and decodes; as a dict, it remembers the id bytes of words."""
+class Memory(dict):
+    """Remembers the id bytes of short strings, in a bounded number."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        self.ids_of = ids_of
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.ids_of(key)
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+        if len(key) <= LONG_WORD:
+            self[key] = found
+        return found
+
+
+class Codec:
+    """Encodes and decodes, with a memory of words and one of what stands between blanks."""
 
     def __init__(self, model: Model, lexicon: Lexicon | None):
         self.model, self.lexicon = model, lexicon
-        self.names = [model.token[i] for i in range(max(model.token) + 1)]
+        self.names = np.array([model.token[i] for i in range(max(model.token) + 1)], object)
+        self.words = Memory(self._word)
+        self.runs = Memory(lambda run: b"".join([self.words[p] for p in _PIECES.findall(run)]))
 
-    def __missing__(self, piece: str) -> bytes:
+    def _word(self, piece: str) -> bytes:
         ids = self.lexicon.find(piece.encode()) if self.lexicon else None
         ids = self.model.merge(piece) if ids is None else ids
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= MEMORY_WORDS:
-            self.clear()
-        if len(piece) <= LONG_WORD:
-            self[piece] = found
-        return found
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -235,12 +250,14 @@ class Codec(dict):
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        return b"".join([self[p] for p in self.model.pieces(text)])
+        runs = self.model.runs(text)
+        if runs is None:
+            return b"".join([self.words[p] for p in self.model.library_pieces(text)])
+        return b"".join(map(self.runs.__getitem__, runs))
 
     def decode(self, ids: bytes) -> str:
         """Token names with spaces between them, as the file names no decoder."""
-        names = self.names
-        return " ".join([names[i] for i in memoryview(ids).cast("I")])
+        return " ".join(self.names[np.frombuffer(ids, "<u4")].tolist())
 
 
 def count_pieces(docs: DataFrame, text_col: str, tokenizer: str) -> DataFrame:
@@ -249,10 +266,13 @@ def count_pieces(docs: DataFrame, text_col: str, tokenizer: str) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(tokenizer)
         for batch in batches:
-            found: Counter = Counter()
+            runs: Counter = Counter()
             for text in batch.column(0):
-                if (value := text.as_py()) and not _UNUSUAL.search(value):
-                    found.update(model.pieces(value))
+                runs.update(model.runs(text.as_py() or "") or [])
+            found: Counter = Counter()
+            for run, n in runs.items():
+                for piece in _PIECES.findall(run):
+                    found[piece] += n
             often = [(w, n) for w, n in found.items() if n > 1 and len(w) <= LONG_WORD]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["piece", "n"])
 
