@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .scratch import discard, stored
 from .textkit import BLANKS, Chunk, byte_codes, chunks, mix, owner
 
-SHINGLE = 3
 #: A shingle that so many different sets of one batch have is counted over the corpus.
 HEAVY_IN_BATCH = 3
 #: Of those, the most frequent ones are ordered last in every prefix; the bound touches the order only, not results.
@@ -35,18 +34,18 @@ MAX_ROUNDS = 8
 PAIRS_A_DOCUMENT = 40
 
 
-def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(chunk: Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, text after text, ascending; and the index of each text's first (n + 1 values)."""
     starts, ends, first = chunk.runs(BLANKS)
     words = chunk.hasher(byte_codes(True))(starts, ends)
     n_words = np.diff(first)
-    n_shingles = np.where(n_words == 0, 0, np.maximum(n_words - SHINGLE + 1, 1))
+    n_shingles = np.where(n_words == 0, 0, np.maximum(n_words - shingle + 1, 1))
     text = np.repeat(np.arange(chunk.n), n_shingles)
     at = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles)
-    end = np.minimum(at + SHINGLE, first[text + 1])
+    end = np.minimum(at + shingle, first[text + 1])
     with np.errstate(over="ignore"):
         hashes = np.zeros(len(at), np.uint64)
-        for k in range(SHINGLE):
+        for k in range(shingle):
             inside = at + k < end
             hashes = hashes * np.uint64(0xD6E8FEB86659FD93) + np.where(inside, words[np.minimum(at + k, max(len(words) - 1, 0))] if len(words) else 0, np.uint64(0x5851F42D4C957F2D))
     hashes = mix(hashes)
@@ -72,38 +71,43 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, n - -(-percent * n // 100) + least_shared(percent))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text its set's size and fingerprint; then shingles that several different sets of the batch have."""
-    for batch in batches:
-        docs, sizes, prints, heavy, seen = batch.column(0), [], ([], []), [], np.zeros(0, np.uint64)
-        for chunk in chunks(batch.column(1)):
-            hashes, first = shingle_sets(chunk)
-            total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(h))) for h in (hashes, mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-            both = [mix(t[first[1:]] - t[first[:-1]]) for t in total]
-            sizes.append(np.diff(first))
-            prints[0].append(both[0])
-            prints[1].append(both[1])
-            _, once = np.unique(both[0], return_index=True)
-            once = once[~np.isin(both[0][once], seen)]  # copies don't make a shingle frequent
-            seen = np.concatenate((seen, both[0][once]))
-            heavy.append(hashes[np.isin(owner(first), once)])
-        names, n = np.unique(np.concatenate(heavy), return_counts=True) if heavy else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        often = n >= HEAVY_IN_BATCH
-        names, n = names[often].view(np.int64), n[often]
-        join = lambda parts: pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([docs, pa.nulls(len(n), docs.type)]), pa.concat_arrays([join(sizes), pa.array(n, pa.int64())]), pa.concat_arrays([join(prints[0]), pa.array(names, pa.int64())]), pa.concat_arrays([join(prints[1]), pa.nulls(len(n), pa.int64())])],
-            names=["doc", "n", "p1", "p2"],
-        )
-
-
-def _prefix_batches(heavy: np.ndarray, rank: np.ndarray, percent: int):
+def _fingerprint_batches(shingle: int):
+    """Writes for each text its set's size and fingerprint, then shingles that several different sets of the batch have."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, sizes, prints, heavy, seen = batch.column(0), [], ([], []), [], np.zeros(0, np.uint64)
+            for chunk in chunks(batch.column(1)):
+                hashes, first = shingle_sets(chunk, shingle)
+                total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(h))) for h in (hashes, mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
+                both = [mix(t[first[1:]] - t[first[:-1]]) for t in total]
+                sizes.append(np.diff(first))
+                prints[0].append(both[0])
+                prints[1].append(both[1])
+                _, once = np.unique(both[0], return_index=True)
+                once = once[~np.isin(both[0][once], seen)]  # copies don't make a shingle frequent
+                seen = np.concatenate((seen, both[0][once]))
+                heavy.append(hashes[np.isin(owner(first), once)])
+            names, n = np.unique(np.concatenate(heavy), return_counts=True) if heavy else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = n >= HEAVY_IN_BATCH
+            names, n = names[often].view(np.int64), n[often]
+            join = lambda parts: pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([docs, pa.nulls(len(n), docs.type)]), pa.concat_arrays([join(sizes), pa.array(n, pa.int64())]), pa.concat_arrays([join(prints[0]), pa.array(names, pa.int64())]), pa.concat_arrays([join(prints[1]), pa.nulls(len(n), pa.int64())])],
+                names=["doc", "n", "p1", "p2"],
+            )
+
+    return batches_of
+
+
+def _prefix_batches(heavy: np.ndarray, rank: np.ndarray, shingle: int, percent: int):
     """Writes doc, n and the prefix (shingles in order) of each set."""
+
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, lists = [], []
             for chunk in chunks(batch.column(1)):
-                hashes, first = shingle_sets(chunk)
+                hashes, first = shingle_sets(chunk, shingle)
                 n = np.diff(first)
                 order = np.zeros(len(hashes), np.int64)
                 if len(heavy):
@@ -122,14 +126,19 @@ def _prefix_batches(heavy: np.ndarray, rank: np.ndarray, percent: int):
     return batches_of
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = []
-        for chunk in chunks(batch.column(1)):
-            hashes, first = shingle_sets(chunk)
-            lists.append(pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(hashes.view(np.int64))))
-        column = pa.concat_arrays(lists).cast(pa.list_(pa.int64())) if lists else pa.array([], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["doc", "items"])
+def _set_batches(shingle: int):
+    """Writes doc and the shingles of each set."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for chunk in chunks(batch.column(1)):
+                hashes, first = shingle_sets(chunk, shingle)
+                lists.append(pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(hashes.view(np.int64))))
+            column = pa.concat_arrays(lists).cast(pa.list_(pa.int64())) if lists else pa.array([], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["doc", "items"])
+
+    return batches_of
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -157,11 +166,11 @@ def _may_link(percent: int) -> Column:
     return _enough(F.col("n1"), F.col("n2"), F.least("e1", "e2") + rest, percent)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, compared exactly; sets are made from the texts of documents in a pair."""
     needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     doc_type = texts.schema["doc"].dataType.simpleString()
-    sets = stored(texts.join(needed, "doc", "left_semi").mapInArrow(_set_batches, f"doc {doc_type}, items array<bigint>"), "sets")
+    sets = stored(texts.join(needed, "doc", "left_semi").mapInArrow(_set_batches(shingle), f"doc {doc_type}, items array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     sized = both.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), common.alias("common"))
@@ -183,21 +192,23 @@ def _pairs(met: DataFrame, percent: int) -> DataFrame:
     return stored(met.groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.least(*must))).select("a", "b"), "pairs")
 
 
-def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
+def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_col``, ``n_shingles``, ``class_id`` and ``component_id`` for each row of ``docs``.
 
-    Shingles are SHINGLE words in a row, words being [^\\x20\\x09-\\x0D]+ with
+    Shingles are ``shingle`` words in a row, words being [^\\x20\\x09-\\x0D]+ with
     A-Z lower-cased; a text with fewer words has them all as one. Two texts
     link if 100 * intersection >= percent * union. ``class_id`` is the least
     id with the same set, ``component_id`` the least that links lead to. Null,
-    empty and wordless texts have no shingles and stand alone. Ids are assumed
-    unique and not null; an empty table gives an empty result. Sets are
-    compared by 64-bit hashes of their shingles.
+    empty and wordless texts have no shingles and stand alone. A null id has
+    the class and component of an equal text with an id, else null. Repeated
+    rows are returned each; rows with one id are assumed to have one text. An
+    empty table gives an empty result. Sets are compared by 64-bit hashes of
+    their shingles.
     """
     texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
     doc_type = texts.schema["doc"].dataType.simpleString()
-    scanned = stored(texts.mapInArrow(_fingerprints, f"doc {doc_type}, n long, p1 long, p2 long"), "prints")
-    prints, often = scanned.where("doc is not null"), scanned.where("doc is null")
+    scanned = stored(texts.mapInArrow(_fingerprint_batches(shingle), f"doc {doc_type}, n long, p1 long, p2 long"), "prints")
+    prints, often = scanned.where("p2 is not null"), scanned.where("p2 is null")
     classes = stored(prints.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc").alias("class")), "classes")
     members = stored(
         prints.join(classes, ["p1", "p2", "n"], "left").select("doc", "n", F.coalesce("class", "doc").alias("class")), "members"
@@ -207,7 +218,7 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     names = top["p1"].to_numpy(np.int64).view(np.uint64)
     ranks = np.arange(len(names), 0, -1)  # the most frequent one last
     by_name = np.argsort(names)
-    prefixes = texts.mapInArrow(_prefix_batches(names[by_name], ranks[by_name], percent), f"doc {doc_type}, n long, prefix array<bigint>")
+    prefixes = texts.mapInArrow(_prefix_batches(names[by_name], ranks[by_name], shingle, percent), f"doc {doc_type}, n long, prefix array<bigint>")
     owners = members.where("n > 0 and doc = class").select("doc")
     entries = prefixes.where(F.col("n") >= least_size(percent)).join(owners, "doc", "left_semi").select("doc", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "shingle"))
     shared = entries.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("shingle"))).where("k > 1").drop("k")
@@ -226,14 +237,14 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
         pick = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "i", "e")
         leaders = lists.groupBy("shingle").agg(F.min(pick).alias("leader")).select("shingle", F.col("leader.doc").alias("b"), F.col("leader.n").alias("n2"), F.col("leader.i").alias("i2"), F.col("leader.e").alias("e2"))
         near = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1")).join(leaders, "shingle").where(F.col("a") != F.col("b")).where(_may_link(percent))
-        found = _links(_pairs(near, percent), texts, percent)
+        found = _links(_pairs(near, percent), texts, shingle, percent)
         links = found if links is None else links.union(found)
         lists = _relabelled(lists, connected(links))
     block = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
     left = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1"), F.col("comp").alias("c1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     right = lists.select("shingle", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("e").alias("e2"), F.col("comp").alias("c2"), block.alias("block"))
     rest = left.join(right, ["shingle", "block"]).where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _may_link(percent))
-    found = _links(_pairs(rest, percent), texts, percent)
+    found = _links(_pairs(rest, percent), texts, shingle, percent)
     labels = connected(found if links is None else links.union(found)).select(F.col("doc").alias("class"), "comp")
     return members.join(labels, "class", "left").select(F.col("doc").alias(doc_col), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, quality_rules, sharding, toxicity, url_filter
+from . import bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, oracles, quality_rules, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard_join.components(table(spark, sf_dir, "documents"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat_format.ORACLE_SQL}
+    return {
+        "op1_quality_rules": oracles.QUALITY_RULES,
+        "op4_decontamination": oracles.DECONTAMINATION,
+        "op9_jaccard_join": oracles.JACCARD_JOIN,
+        "op10_chat_format": chat_format.ORACLE_SQL,
+    }
