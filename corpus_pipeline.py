@@ -30,9 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of linked ones."""
-    groups = jaccard_join.components(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Keeps the document with the least id of each group of linked ones: shingles of five words, a similarity of 0.8 or more."""
+    copies = jaccard_join.components(docs, shingle=5, percent=80).where("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
