@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import discard, stored
 from .textkit import NOT_LETTERS, byte_codes, chunks
 
 #: About so many training texts of each language, chosen by a hash of the id.
@@ -144,11 +145,13 @@ def train(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang
                     words = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[where], ends[where])]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(n)], names=["lang", "word", "n"])
 
-    words = labelled.where(chosen).select("lang", "text").mapInArrow(counted, "lang string, word string, n long").where(F.length("word") <= 64).groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1")
+    found = labelled.where(chosen).select("lang", "text").mapInArrow(counted, "lang string, word string, n long").where(F.length("word") <= 64)
+    words = stored(found.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1"), "words")  # the corpus is read once for all languages
     counts: dict[tuple[str, str], int] = {}
     for lang in sorted(sizes):
         top = words.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(max_words)
         counts |= {(lang, r.word): r.n for r in top.collect()}
+    discard(words)
     return Backoff(counts)
 
 
