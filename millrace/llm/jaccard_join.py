@@ -7,6 +7,10 @@ answers of a similar set: in each round every list names a leader, sets are
 compared with their leaders, and what a leader links to is one component that
 needs no comparison inside. Rounds with new leaders follow until few pairs
 between components are left in the lists; those are all compared.
+
+``links`` gives every link, those inside components too: sets that link to one
+leader are described by their differences from it, and their links follow from
+those differences alone; all other pairs of the lists are compared.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ SHARED = 4
 MAX_ROUNDS = 8
 #: Rounds end once the lists hold so many entries of pairs between components for each document, or a round takes few away.
 PAIRS_A_DOCUMENT = 40
+#: Members of one leader whose pairs are made in one task, about; larger groups are cut into squares of so many.
+MEMBERS_A_BUCKET = 500
 
 
 def shingle_sets(chunk: Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,20 +198,8 @@ def _pairs(met: DataFrame, percent: int) -> DataFrame:
     return stored(met.groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.least(*must))).select("a", "b"), "pairs")
 
 
-def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_col``, ``n_shingles``, ``class_id`` and ``component_id`` for each row of ``docs``.
-
-    Shingles are ``shingle`` words in a row, words being [^\\x20\\x09-\\x0D]+ with
-    A-Z lower-cased; a text with fewer words has them all as one. Two texts
-    link if 100 * intersection >= percent * union. ``class_id`` is the least
-    id with the same set, ``component_id`` the least that links lead to. Null,
-    empty and wordless texts have no shingles and stand alone. A null id has
-    the class and component of an equal text with an id, else null. Repeated
-    rows are returned each; rows with one id are assumed to have one text. An
-    empty table gives an empty result. Sets are compared by 64-bit hashes of
-    their shingles.
-    """
-    texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
+def _index(texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Size and class of each row, the document that stands for each class, and the lists of its prefix shingles that others share."""
     doc_type = texts.schema["doc"].dataType.simpleString()
     scanned = stored(texts.mapInArrow(_fingerprint_batches(shingle), f"doc {doc_type}, n long, p1 long, p2 long"), "prints")
     prints, often = scanned.where("p2 is not null"), scanned.where("p2 is null")
@@ -223,8 +217,104 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     entries = prefixes.where(F.col("n") >= least_size(percent)).join(owners, "doc", "left_semi").select("doc", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "shingle"))
     shared = entries.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("shingle"))).where("k > 1").drop("k")
     of = W.partitionBy("doc")
-    shared = shared.withColumn("e", (F.row_number().over(of.orderBy("i")) - 1)).withColumn("k", F.count(F.lit(1)).over(of)).where(F.col("k") >= least_shared(percent)).drop("k")
-    lists = stored(shared.withColumn("comp", F.col("doc")), "lists")
+    lists = shared.withColumn("e", (F.row_number().over(of.orderBy("i")) - 1)).withColumn("k", F.count(F.lit(1)).over(of)).where(F.col("k") >= least_shared(percent)).drop("k")
+    return members, owners, lists
+
+
+def _leader_links(lists: DataFrame, turn: int, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of sets with the leaders of their lists."""
+    pick = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "i", "e")
+    leaders = lists.groupBy("shingle").agg(F.min(pick).alias("leader")).select("shingle", F.col("leader.doc").alias("b"), F.col("leader.n").alias("n2"), F.col("leader.i").alias("i2"), F.col("leader.e").alias("e2"))
+    near = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1")).join(leaders, "shingle").where(F.col("a") != F.col("b")).where(_may_link(percent))
+    return _links(_pairs(near, percent), texts, shingle, percent)
+
+
+def _cross_links(lists: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of sets in a list with different ``comp``."""
+    block = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    left = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1"), F.col("comp").alias("c1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    right = lists.select("shingle", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("e").alias("e2"), F.col("comp").alias("c2"), block.alias("block"))
+    rest = left.join(right, ["shingle", "block"]).where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _may_link(percent))
+    return _links(_pairs(rest, percent), texts, shingle, percent)
+
+
+def _group_links(star: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (``doc``, ``comp``) of sets that link to one leader, by the links with leaders; and all links inside groups.
+
+    A set x of leader l is (l - minus) + plus, so two sets of l share what
+    neither has lost and what both have added: |l| - |minus1 + minus2| +
+    |plus1 & plus2|. The differences are bounded, as x and l link.
+    """
+    doc_type = texts.schema["doc"].dataType.simpleString()
+    named = stored(star.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("comp")), "named")
+    follows = stored(named.join(named.select(F.col("doc").alias("comp")), "comp", "left_anti"), "follows")  # a leader has no leader
+    groups = stored(follows.select("doc", "comp").union(follows.select("comp", "comp").distinct()), "groups")
+    sets = stored(texts.join(groups, "doc", "left_semi").mapInArrow(_set_batches(shingle), f"doc {doc_type}, items array<bigint>"), "sets").dropDuplicates(["doc"])
+    both = groups.join(sets, "doc").join(sets.select(F.col("doc").alias("comp"), F.col("items").alias("l")), "comp")
+    parted = both.select("doc", "comp", F.size("items").cast("long").alias("n"), F.size("l").cast("long").alias("nl"), F.array_except("l", "items").alias("minus"), F.array_except("items", "l").alias("plus"))
+    buckets = groups.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_BUCKET).cast("int").alias("g"))
+    parted = stored(parted.join(buckets, "comp").withColumn("u", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int")), "parted")
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    left = parted.select("comp", F.col("u").alias("k1"), every.alias("k2"), "nl", *(F.col(c).alias(f"{c}1") for c in ("doc", "n", "minus", "plus")))
+    right = parted.select("comp", every.alias("k1"), F.col("u").alias("k2"), *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "minus", "plus")))
+    common = F.col("nl") - F.size(F.array_union("minus1", "minus2")) + F.size(F.array_intersect("plus1", "plus2"))
+    inside = left.join(right, ["comp", "k1", "k2"]).where(F.col("doc1") < F.col("doc2")).where(_enough(F.col("n1"), F.col("n2"), common, percent))
+    return groups, inside.select(F.col("doc1").alias("a"), F.col("doc2").alias("b"))
+
+
+def _all_links(owned: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a < b) of all classes that link, each once."""
+    lists = stored(owned, "lists")
+    groups, inside = _group_links(_leader_links(lists, 0, texts, shingle, percent), texts, shingle, percent)
+    labelled = stored(lists.join(groups, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "lists")
+    return stored(inside.union(_cross_links(labelled, texts, shingle, percent)), "all-links")
+
+
+def links(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``class_a`` and ``class_b`` (the lesser id first) for each pair of different shingle sets that link, each pair once.
+
+    Texts with one set are named by their ``class_id``, as ``components`` gives
+    it, and link with each other besides. The pairs of a group of similar texts
+    grow with the square of its size.
+    """
+    texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
+    _, _, lists = _index(texts, shingle, percent)
+    return _all_links(lists, texts, shingle, percent).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+
+
+def link_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_col`` and ``n_links``, the number of other rows that its text links to, for each row of ``docs``.
+
+    Rows with the same shingle set link. A text without shingles has no links;
+    a null id counts with an equal text that has an id, else ``n_links`` is null.
+    """
+    texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
+    members, _, lists = _index(texts, shingle, percent)
+    found = _all_links(lists, texts, shingle, percent)
+    sizes = stored(members.where("n > 0 and class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("k")), "sizes")
+    both = found.union(found.select("b", "a"))
+    others = both.join(sizes.select(F.col("class").alias("b"), "k"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("k").alias("others"))
+    totals = sizes.join(others, "class", "left").select("class", (F.col("k") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    counted = F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links"))
+    return members.join(totals, "class", "left").select(F.col("doc").alias(doc_col), counted.cast("long").alias("n_links"))
+
+
+def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_col``, ``n_shingles``, ``class_id`` and ``component_id`` for each row of ``docs``.
+
+    Shingles are ``shingle`` words in a row, words being [^\\x20\\x09-\\x0D]+ with
+    A-Z lower-cased; a text with fewer words has them all as one. Two texts
+    link if 100 * intersection >= percent * union. ``class_id`` is the least
+    id with the same set, ``component_id`` the least that links lead to. Null,
+    empty and wordless texts have no shingles and stand alone. A null id has
+    the class and component of an equal text with an id, else null. Repeated
+    rows are returned each; rows with one id are assumed to have one text. An
+    empty table gives an empty result. Sets are compared by 64-bit hashes of
+    their shingles.
+    """
+    texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
+    members, owners, entries = _index(texts, shingle, percent)
+    lists = stored(entries.withColumn("comp", F.col("doc")), "lists")
 
     n_docs = owners.count()
     links: DataFrame | None = None
@@ -234,17 +324,10 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
         if turn and ((cross or 0) <= PAIRS_A_DOCUMENT * n_docs + 1000 or cross > 0.7 * before):
             break
         before = cross
-        pick = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "i", "e")
-        leaders = lists.groupBy("shingle").agg(F.min(pick).alias("leader")).select("shingle", F.col("leader.doc").alias("b"), F.col("leader.n").alias("n2"), F.col("leader.i").alias("i2"), F.col("leader.e").alias("e2"))
-        near = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1")).join(leaders, "shingle").where(F.col("a") != F.col("b")).where(_may_link(percent))
-        found = _links(_pairs(near, percent), texts, shingle, percent)
+        found = _leader_links(lists, turn, texts, shingle, percent)
         links = found if links is None else links.union(found)
         lists = _relabelled(lists, connected(links))
-    block = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    left = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1"), F.col("comp").alias("c1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    right = lists.select("shingle", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("e").alias("e2"), F.col("comp").alias("c2"), block.alias("block"))
-    rest = left.join(right, ["shingle", "block"]).where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _may_link(percent))
-    found = _links(_pairs(rest, percent), texts, shingle, percent)
+    found = _cross_links(lists, texts, shingle, percent)
     labels = connected(found if links is None else links.union(found)).select(F.col("doc").alias("class"), "comp")
     return members.join(labels, "class", "left").select(F.col("doc").alias(doc_col), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"))
 

@@ -114,3 +114,20 @@ def test_run(spark, corpus):
 def test_stages_take_empty_tables(spark, corpus, name):
     empty = spark.createDataFrame([], SCHEMA)
     assert dict(corpus_pipeline.STAGES)[name](spark, empty, corpus[0]).select(F.lit(1)).count() == 0
+
+
+@pytest.mark.parametrize(("shingle", "percent", "bucket"), [(3, 90, 500), (5, 80, 500), (2, 60, 2)])
+def test_links_equal_brute_force(spark, monkeypatch, shingle, percent, bucket):
+    monkeypatch.setattr(jaccard_join, "MEMBERS_A_BUCKET", bucket)
+    texts = near_copies(11)
+    sets = {}
+    for k, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        sets[k] = frozenset(tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1) if words else 0))
+    linked = {(a, b) for a in texts for b in texts if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    first = {k: min(j for j in texts if sets[j] == sets[k]) for k in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [(r.class_a, r.class_b) for r in jaccard_join.links(docs, shingle=shingle, percent=percent).collect()]
+    assert sorted(got) == sorted({(a, b) for a, b in linked if first[a] == a and first[b] == b and sets[a] != sets[b]})
+    counts = {r.doc_id: r.n_links for r in jaccard_join.link_counts(docs, shingle=shingle, percent=percent).collect()}
+    assert counts == {k: sum(k in pair for pair in linked) for k in texts}
