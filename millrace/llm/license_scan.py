@@ -1,39 +1,49 @@
 """License scanning by conditional compression.
 
-Blocks that mention licensing are compressed alone and with each template as a
-raw zstandard dictionary. The template that shrinks a block most is its
-candidate; it is confirmed, or not, by the exact differences in wording.
+The words around each mention of licensing are compressed alone and with each
+template as a raw zstandard dictionary. Templates that shrink them are
+candidates; a line of one is confirmed, or not, by the exact differences in
+wording of the stretch that it fits best, wherever that begins and ends. So a
+notice may be wrapped over lines, commented, or stand inside a longer line.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Public notices by license; the usual wordings of one license are lines of one template.
+#: Public notices by license, as sentences or paragraphs of them; the usual wordings of one license are lines of one template. Words that two licenses share stand in one of them.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "MIT": "Released under the MIT License.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThis project is licensed under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.\nThis program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\nReleased under the BSD 3-Clause License.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0.\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.\nSPDX-License-Identifier: Apache-2.0",
+    "MIT": "Released under the MIT License.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThis project is licensed under the MIT License.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\nSPDX-License-Identifier: MIT",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.\nThis program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\nYou should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.\nSPDX-License-Identifier: GPL-3.0-or-later\nSPDX-License-Identifier: GPL-3.0-only",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\nReleased under the BSD 3-Clause License.\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.\nSPDX-License-Identifier: BSD-3-Clause",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.\nThis work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.\nThis work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.\nReleased into the public domain under CC0 1.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.\nThis program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\nSPDX-License-Identifier: GPL-2.0-or-later\nSPDX-License-Identifier: GPL-2.0-only",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.\nSPDX-License-Identifier: LGPL-2.1-or-later",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.\nIf a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.\nLicensed under the Mozilla Public License, Version 2.0.\nSPDX-License-Identifier: MPL-2.0",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.\nSPDX-License-Identifier: BSD-2-Clause",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.\nReleased under the ISC License.\nSPDX-License-Identifier: ISC",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.\nThis work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
-CUES = r"(?i)licen[sc]e|copyright|public domain|all rights reserved|spdx|warrant|redistribut|cc by"
+CUES = r"(?i)licen[sc]e|copyright|public domain|all rights reserved|spdx|warrant|redistribut|cc[ -]by|\bcc0\b|permission (?:is hereby|to use)|subject to the terms"
 #: Distinct blocks that a worker remembers; it forgets all when there are more.
 MEMORY_BLOCKS = 50_000
 MEMORY_CHARS = 500
 
 
 class Scanner:
-    """Compares blocks with templates."""
+    """Compares stretches of text with templates."""
 
     def __init__(self, templates: dict[str, str], max_changed: float = 0.2):
         self.max_changed = max_changed
@@ -42,58 +52,127 @@ class Scanner:
             name: zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for name, text in templates.items()
         }
-        self.lines = {name: [re.findall(r"\w+", line.lower()) for line in text.split("\n")] for name, text in templates.items()}
+        self.lines = {name: [w for line in text.split("\n") if (w := re.findall(r"\w+", line.lower()))] for name, text in templates.items()}
+        #: Words around a mention that a notice with it may reach to.
+        self.reach = max((len(w) + int(max_changed * len(w)) for lines in self.lines.values() for w in lines), default=0)
+        self.cue = re.compile(CUES)
         self.known: dict[str, tuple] = {}
 
-    def scan(self, block: str) -> tuple[str, int, int, int, bool]:
-        """Best template, bytes alone, bytes with it, words changed, confirmed."""
+    def sizes(self, block: str) -> tuple[int, dict[str, int]]:
+        """Bytes of a stretch alone, and with each template."""
         found = self.known.get(block)
         if found is None:
-            found = self._scan(block)
+            raw = block.encode()
+            found = len(self.plain.compress(raw)), {name: len(c.compress(raw)) for name, c in self.conditional.items()}
             if len(self.known) >= MEMORY_BLOCKS:
                 self.known.clear()
             if len(block) <= MEMORY_CHARS:
                 self.known[block] = found
         return found
 
-    def _scan(self, block: str) -> tuple[str, int, int, int, bool]:
-        raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        sizes = {name: len(c.compress(raw)) for name, c in self.conditional.items()}
-        best = min(sizes, key=lambda name: (sizes[name], name))
-        words = re.findall(r"\w+", block.lower())
-        lines = [line for line in self.lines[best] if abs(len(line) - len(words)) <= self.max_changed * len(line) + 1]
-        changed = min((self._changed(line, words) for line in lines), default=len(words))
-        return best, alone, sizes[best], changed, changed <= self.max_changed * len(words) and sizes[best] < alone
+    def scan(self, text: str) -> list[tuple[int, str, int, int, int, bool]]:
+        """Line, best template, bytes alone, bytes with it, words changed and whether confirmed: of notices, and of lines that mention licensing outside them."""
+        cues = [(m.start(), m.end()) for m in self.cue.finditer(text)]
+        if not cues:
+            return []
+        spans = [m.span() for m in re.finditer(r"\w+", text)]
+        words = [text[a:b].lower() for a, b in spans]
+        starts = [a for a, _ in spans]
+        mentions = [max(0, bisect_right(starts, a) - 1) for a, _ in cues]
+        pieces: list[list[int]] = []
+        for at in mentions:
+            low, high = max(0, at - self.reach), min(len(words), at + self.reach + 1)
+            if pieces and low <= pieces[-1][1]:
+                pieces[-1][1] = high
+            else:
+                pieces.append([low, high])
+        out, notices, todo = [], [], pieces
+        while todo:
+            low, high = todo.pop()
+            if bisect_left(mentions, high) == bisect_left(mentions, low):
+                continue  # no mention is left here
+            alone, with_template = self.sizes(text[spans[low][0] : spans[high - 1][1]])
+            candidates = sorted((n, name) for name, n in with_template.items() if n < alone)
+            found = max((f for _, name in candidates if (f := self._best_line(name, words[low:high]))), key=lambda f: f[0], default=None)
+            if found:
+                _, changed, name, a, b = found
+                first, last = spans[low + a][0], spans[low + b - 1][1]
+                end = re.compile(r"[^\w\s]*").match(text, last).end()
+                alone, with_template = self.sizes(text[first:end])
+                todo += [[low, low + a], [low + b, high]]
+                if with_template[name] < alone and bisect_left(mentions, low + b) > bisect_left(mentions, low + a):
+                    notices.append((first, end))
+                    out.append((text.count("\n", 0, first), name, alone, with_template[name], changed, True))
+        seen = set()
+        for a, b in cues:
+            line = text.count("\n", 0, a)
+            if line in seen or any(x < b and a < y for x, y in notices):
+                continue
+            seen.add(line)
+            block = text[text.rfind("\n", 0, a) + 1 :].split("\n", 1)[0]
+            alone, with_template = self.sizes(block)
+            best = min(with_template, key=lambda name: (with_template[name], name))
+            block_words = re.findall(r"\w+", block.lower())
+            out.append((line, best, alone, with_template[best], min((self._fit(w, block_words)[0] for w in self.lines[best]), default=len(block_words)), False))
+        return sorted(out)
+
+    def _best_line(self, name: str, words: list[str]) -> tuple[int, int, str, int, int] | None:
+        """The line of a template that explains most of ``words`` within the changes allowed: its score, words changed, template, and where it starts and ends."""
+        best, have, named = None, Counter(words), set(re.findall(r"\w+", name.lower()))
+        for line in self.lines[name]:
+            allowed = int(self.max_changed * len(line))
+            if len(line) - sum((Counter(line) & have).values()) > allowed or (best and len(line) <= best[0]):
+                continue  # so many words are missing, or even an exact fit would explain less
+            changed, start, end = self._fit(line, words)
+            score = len(line) - 2 * changed
+            own = named.intersection(line)  # another license's name is no small change
+            if changed <= allowed and start < end and own.issubset(words[start:end]) and (best is None or score > best[0]):
+                best = score, changed, name, start, end
+        return best
 
     @staticmethod
-    def _changed(a: list[str], b: list[str]) -> int:
-        """Words inserted, deleted or replaced between two wordings."""
-        return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal")
+    def _fit(line: list[str], words: list[str]) -> tuple[int, int, int]:
+        """Words inserted, deleted or replaced in the stretch of ``words`` that a line fits best, and where it starts and ends."""
+
+        def costs(a: list[str], b: list[str], free: bool) -> np.ndarray:
+            names = {w: k for k, w in enumerate(dict.fromkeys(a))}
+            codes = np.array([names.get(w, -1) for w in b], np.int64)
+            at = np.arange(len(b) + 1)
+            row = np.zeros(len(b) + 1, np.int64) if free else at.copy()
+            for w in a:
+                step = row + 1
+                step[1:] = np.minimum(step[1:], row[:-1] + (codes != names[w]))
+                row = np.minimum.accumulate(step - at) + at
+            return row
+
+        ends = costs(line, words, True)
+        end = int(ends.argmin())
+        back = costs(line[::-1], words[max(0, end - 2 * len(line)) : end][::-1], False)
+        return int(ends[end]), end - int(back.argmin()), end
 
 
 def scan_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, max_changed: float = 0.2) -> DataFrame:
-    """A row for each block (line) that mentions licensing: ``doc_col``, ``block`` (its number), ``license``, ``plain_bytes``, ``dict_bytes``, ``changed_words``, ``confirmed``.
+    """A row for each block: ``doc_col``, ``block`` (the number of the line where it begins), ``license``, ``plain_bytes``, ``dict_bytes``, ``changed_words``, ``confirmed``.
 
-    A block whose wording differs from the best template's in more than
-    ``max_changed`` of its words is not confirmed. Null and empty texts have
-    no blocks; repeated rows are scanned each; an empty table gives an empty
-    result; other columns are ignored.
+    Blocks are the notices found, which mention licensing and differ from a
+    line of a template in no more than ``max_changed`` of its words, wherever
+    they begin and end; and, not confirmed, the lines with a mention outside
+    them. Null and empty texts have no blocks; repeated rows are scanned each;
+    an empty table gives an empty result; other columns are ignored.
     """
     templates = templates or TEMPLATES
     rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where(F.regexp_like("text", F.lit(CUES)))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, cue = Scanner(templates, max_changed), re.compile(CUES)
+        scanner = Scanner(templates, max_changed)
         names = ["block", "license", "plain_bytes", "dict_bytes", "changed_words", "confirmed"]
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
             at, out = [], []
             for k, text in enumerate(batch.column(1)):
-                for number, block in enumerate(text.as_py().split("\n")):
-                    if cue.search(block):
-                        at.append(k)
-                        out.append((number, *scanner.scan(block)))
+                found = scanner.scan(text.as_py())
+                at += [k] * len(found)
+                out += found
             columns = [pa.array([x[j] for x in out], t) for j, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["doc", *names])
 

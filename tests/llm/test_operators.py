@@ -123,3 +123,17 @@ def test_licenses(spark):
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT License."), (2, "Copyright notes of another kind, with words that no template has"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan_documents(docs).collect()}
     assert got[1].license == "MIT" and got[1].confirmed and got[1].block == 1 and not got[2].confirmed and 3 not in got
+
+
+def test_licenses_inside_lines_and_over_lines(spark):
+    wrapped = "Some code\n\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction, including without limitation the rights\n# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n# copies of the Software, and to permit persons to whom the Software is\n# furnished to do so, subject to the following conditions:\nx = 1"
+    inside = "Many words stand before it. Released under the MIT License. More words stand behind it, and it is licensed under CC BY-NC 4.0. The end."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    docs = spark.createDataFrame([(1, wrapped), (2, inside), (3, mpl), (4, "Released under the Foo License.")], "doc_id long, text string")
+    got = {k: [] for k in range(1, 5)}
+    for r in license_scan.scan_documents(docs).orderBy("doc_id", "block", "license").collect():
+        got[r.doc_id].append((r.block, r.license, r.confirmed))
+    assert got[1] == [(2, "MIT", True)]
+    assert got[2] == [(0, "CC-BY-NC-4.0", True), (0, "MIT", True)]
+    assert (0, "MPL-2.0", True) in got[3] and all(name == "MPL-2.0" and sure for _, name, sure in got[3])
+    assert [sure for _, _, sure in got[4]] == [False]
