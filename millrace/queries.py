@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cleaning, combine, synthetic, transform
-from .operators.profiling import outlier_rows, profile_dataframe, snapshot
+from .operators.profiling import outlier_rows, profile_dataframe, snapshot, visible
 from .plans import pipeline, recommend
 from .sources import catalog, files
 from .types import PipelineConfig
@@ -67,8 +67,9 @@ def _(t, spark):
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp"
     path = f"{shared}/ingest-{uuid.uuid4().hex}.csv"
     files.write(t("nation"), path, "csv")
-    part = [f for f in t("nation").sparkSession.read.option("header", True).csv(path).inputFiles()]
-    return files.preview(files.ingest(spark, part[0]).dataframe, 1000)
+    parts = sorted(spark.read.option("header", True).csv(path).inputFiles())
+    read = [files.ingest(spark, part).dataframe for part in parts]
+    return reduce(DataFrame.unionByName, (df.select(*visible(df)) for df in read))
 
 
 @query("blank_to_null", "SELECT event_id, CASE WHEN regexp_full_match(num_str, '\\s*') THEN NULL ELSE num_str END AS num_str, CASE WHEN regexp_full_match(cat_str, '\\s*') THEN NULL ELSE cat_str END AS cat_str FROM messy_strings")

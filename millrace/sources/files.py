@@ -14,11 +14,12 @@ from ..functions.parsing import blank_to_null, parse_datetime
 from ..operators.profiling import family, quoted, visible
 from ..types import ROW_ID, IngestionError, UnsupportedFileType
 
-# The tokens that stand for a missing value, encodings and delimiters in the order of trial.
+# The tokens that stand for a missing value, and delimiters in the order of trial.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin1")
 DELIMITERS = ",;\t|"
 HEAD_BYTES = 1 << 20
+_DIFFERENT = bytes(b for b in range(0x80, 0xA0) if b not in b"\x81\x8d\x8f\x90\x9d")
+CP1252 = (_DIFFERENT.decode("latin1"), _DIFFERENT.decode("cp1252"))
 
 
 @dataclass
@@ -44,16 +45,16 @@ def head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
-def detect_encoding(raw: bytes) -> str:
-    for name in ENCODINGS:
-        if name == "utf-8-sig" and not raw.startswith(codecs.BOM_UTF8):
-            continue
-        try:
-            codecs.getincrementaldecoder(name)().decode(raw)  # a character may be cut at the end
-        except UnicodeDecodeError:
-            continue
-        return name
-    return ENCODINGS[-1]
+def file_encoding(spark: SparkSession, path: str, raw: bytes) -> str:
+    """The encoding of a whole file that begins with ``raw``, found over all its lines: no line break lies inside a character."""
+    lines = spark.read.text(path)
+    found = lines.agg(
+        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
+        F.coalesce(F.bool_and(~F.regexp_like(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), F.lit("[\\x81\\x8D\\x8F\\x90\\x9D]"))), F.lit(True)).alias("cp1252"),
+    ).first()
+    if found.utf8:
+        return "utf-8-sig" if raw.startswith(codecs.BOM_UTF8) else "utf-8"
+    return "cp1252" if found.cp1252 else "latin1"
 
 
 def sniff_delimiter(text: str) -> str:
@@ -105,12 +106,14 @@ def ingest(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = NA_TOKEN
 
 
 def _csv(spark: SparkSession, path: str, raw: bytes, na_tokens: tuple[str, ...]) -> IngestResult:
-    encoding = detect_encoding(raw)
+    encoding = file_encoding(spark, path, raw)
     text = codecs.getincrementaldecoder(encoding)().decode(raw)
     delimiter = sniff_delimiter(text)
-    charset = {"utf-8-sig": "UTF-8", "latin1": "ISO-8859-1", "cp1252": "windows-1252"}.get(encoding, encoding.upper())
+    charset = {"utf-8-sig": "UTF-8", "latin1": "ISO-8859-1", "cp1252": "ISO-8859-1"}.get(encoding, encoding.upper())
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", charset).option("multiLine", True).option("escape", '"').option("inferSchema", False)
     df = reader.csv(path)
+    if encoding == "cp1252":  # Spark lacks it; it names other characters by some bytes that latin1 has for controls
+        df = df.select(*(F.translate(quoted(c), *CP1252).alias(c) for c in df.columns))
     names, repeated = unique_names(next(csv.reader(text.splitlines(), delimiter=delimiter), df.columns))
     if len(names) == len(df.columns):
         df = df.toDF(*names)

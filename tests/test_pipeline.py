@@ -4,6 +4,7 @@ from millrace.functions.parsing import parse_datetime, parse_number
 from millrace.operators import cleaning, combine, transform
 from millrace.operators.profiling import profile_dataframe
 from millrace.plans import pipeline, recommend
+from millrace.sources import files
 from millrace.types import ROW_ID, DataLossError, PipelineConfig, Snapshot, StepReport
 from pyspark.sql import functions as F
 
@@ -150,3 +151,25 @@ def test_ingest(spark, tmp_path):
     result = ingest(spark, str(path))
     assert result.delimiter == ";" and ROW_ID in result.dataframe.columns
     assert [tuple(r) for r in result.dataframe.select("a", "b").collect()] == [("1", "x"), (None, None), ("3", "y;z")]
+
+
+@pytest.mark.parametrize(("late", "encoding", "value"), [("é€".encode("cp1252"), "cp1252", "é€"), (b"\xe9\x81", "latin1", "é\x81"), ("é€".encode(), "utf-8", "é€")])
+def test_encoding_is_found_over_the_whole_file(spark, tmp_path, late, encoding, value):
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"k,v\n" + b"".join(b"%d,%s\n" % (k, b"x" * 50) for k in range(25_000)) + b"25000," + late + b"\n")
+    assert path.stat().st_size > files.HEAD_BYTES
+    got = files.ingest(spark, str(path))
+    assert got.encoding == encoding
+    assert [r.v for r in got.dataframe.where("k = '25000'").collect()] == [value]
+
+
+def test_ingest_query_reads_every_part_file(spark, tmp_path):
+    from millrace import queries
+
+    spark.range(0, 3000, 1, 3).selectExpr("id AS n_nationkey", "'n' AS n_name").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = queries.queries()["ingest_csv"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(int(r.n_nationkey) for r in got) == list(range(3000))
