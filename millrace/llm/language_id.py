@@ -2,7 +2,8 @@
 
 A word that the training texts have counts with its log frequency in each
 language. An unseen word backs off to its character n-grams: the longest
-length with a known n-gram decides, down to single characters.
+length with a known n-gram decides, down to single characters. A long run of
+letters, such as a line of Chinese, counts as pieces of PIECE characters.
 """
 
 from __future__ import annotations
@@ -16,18 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import discard, stored
-from .textkit import NOT_LETTERS, byte_codes, chunks
+from .textkit import NOT_LETTERS, byte_codes, chunks, sums_by_text
 
 #: About so many training texts of each language, chosen by a hash of the id.
 MAX_TEXTS = 3_000
 #: Words kept of each language, the most frequent ones.
 MAX_WORDS = 30_000
 NGRAM = 5
+#: Characters of a piece of a longer run.
+PIECE = 64
 UNDETERMINED = "und"
 #: Unseen words that a worker remembers; it forgets all when there are more.
 MEMORY_WORDS = 200_000
 
 
+def pieces(run: str) -> list[str]:
+    return [run[k : k + PIECE] for k in range(0, len(run), PIECE)]
+
+
 def ngrams(word: str, n: int) -> list[str]:
     padded = f"^{word}$"
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
@@ -65,7 +72,7 @@ class Backoff:
         if found is not None:
             return found
         for size in range(NGRAM, 0, -1):
-            known = [v for g in ngrams(word[:64], size) if (v := self.grams[size].get(g)) is not None]
+            known = [v for g in ngrams(word, size) if (v := self.grams[size].get(g)) is not None]
             if known:
                 return np.mean(known, axis=0)
         return self.unknown
@@ -76,12 +83,16 @@ class Predictor:
 
     def __init__(self, model: Backoff):
         self.model, self.rows, self.table = model, {}, np.zeros((1024, len(model.langs)), np.float32)
+        self.pieces = np.ones(1024, np.int64)
 
     def _row(self, key: int, word: str) -> int:
         if len(self.rows) == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.pieces = np.concatenate([self.pieces, np.ones_like(self.pieces)])
         row = self.rows[key] = len(self.rows)
-        self.table[row] = self.model.word(word)
+        parts = pieces(word)
+        self.table[row] = np.sum([self.model.word(part) for part in parts], axis=0)
+        self.pieces[row] = len(parts)
         return row
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -102,7 +113,7 @@ class Predictor:
             values = self.table[rows[at]].astype(np.float64)
             total = np.concatenate((np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)))
             per_text = total[first[1:]] - total[first[:-1]]
-            n_words = np.diff(first)
+            n_words = sums_by_text(self.pieces[rows[at]], first)
             if not self.model.langs:
                 best, chance = np.full(chunk.n, -1), np.zeros(chunk.n)
             else:
@@ -142,10 +153,11 @@ def train(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang
                     starts, ends, _ = chunk.runs(NOT_LETTERS)
                     _, where, n = np.unique(chunk.hasher(codes)(starts, ends), return_index=True, return_counts=True)
                     data = chunk.data.tobytes()
-                    words = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[where], ends[where])]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(n)], names=["lang", "word", "n"])
+                    runs = [pieces(data[a:b].decode("utf-8", "replace")) for a, b in zip(starts[where], ends[where])]
+                    words = [part for run in runs for part in run]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(np.repeat(n, [len(run) for run in runs]))], names=["lang", "word", "n"])
 
-    found = labelled.where(chosen).select("lang", "text").mapInArrow(counted, "lang string, word string, n long").where(F.length("word") <= 64)
+    found = labelled.where(chosen).select("lang", "text").mapInArrow(counted, "lang string, word string, n long")
     words = stored(found.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1"), "words")  # the corpus is read once for all languages
     counts: dict[tuple[str, str], int] = {}
     for lang in sorted(sizes):

@@ -137,3 +137,13 @@ def test_licenses_inside_lines_and_over_lines(spark):
     assert got[2] == [(0, "CC-BY-NC-4.0", True), (0, "MIT", True)]
     assert (0, "MPL-2.0", True) in got[3] and all(name == "MPL-2.0" and sure for _, name, sure in got[3])
     assert [sure for _, _, sure in got[4]] == [False]
+
+
+def test_language_of_long_runs(spark):
+    letters = {"aa": "абвгдежз", "bb": "ийклмноп"}
+    data = [(k, lang, (chars[k % 8 :] + chars[: k % 8]) * 20) for k in range(8) for lang, chars in letters.items()]
+    model = language_id.train(spark.createDataFrame(data * 5, "doc_id long, lang string, text string"))
+    assert model.langs == ["aa", "bb"] and all(len(w) <= language_id.PIECE for w in model.words)
+    docs = spark.createDataFrame([(1, "абвг" * 16 + "ийкл" * 100), (2, "ийкл" * 16 + "абвг" * 100)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert got == {1: "bb", 2: "aa"}
