@@ -65,6 +65,7 @@ class Model:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.letters = byte_letters()
+        self.bytes_of = {self.letters[b]: b for b in range(256)}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.library = Tokenizer.from_file(path)
 
@@ -73,9 +74,20 @@ class Model:
         return None if _UNUSUAL.search(text) else unicodedata.normalize("NFC", text).lower().split()
 
     def library_pieces(self, text: str) -> list[str]:
-        """The words of an unusual text without special tokens, in byte letters (marked by a leading NUL)."""
+        """The words of an unusual text without special tokens; in byte letters, marked by a leading NUL, where those are no text or begin with one."""
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return ["\0" + p for p, _ in split]
+        return [self._plain_piece(p) for p, _ in split]
+
+    def _plain_piece(self, spelled: str) -> str:
+        try:
+            piece = bytes([self.bytes_of[c] for c in spelled]).decode()
+        except (KeyError, UnicodeDecodeError):
+            return "\0" + spelled
+        return piece if piece and piece[0] != "\0" else "\0" + spelled
+
+    def plain_parts(self, text: str) -> list[str]:
+        """The text between special tokens."""
+        return self.split_special.split(text)[::2] if self.split_special and "<|" in text else [text]
 
     def merge(self, piece: str) -> list[int]:
         """The ids of one word, by merging the pair of least rank, leftmost first."""
@@ -261,20 +273,32 @@ class Codec:
 
 
 def count_pieces(docs: DataFrame, text_col: str, tokenizer: str) -> DataFrame:
-    """Words of the corpus and how often it has them, of those that come up twice in one batch at least."""
+    """Words of the corpus, of LONG_WORD characters at most, and how often all its texts have them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(tokenizer)
+
+        def rows(found: Counter) -> pa.RecordBatch:
+            short = [(w, n) for w, n in found.items() if len(w) <= LONG_WORD]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], names=["piece", "n"])
+
+        found: Counter = Counter()
         for batch in batches:
-            runs: Counter = Counter()
+            seen: Counter = Counter()
             for text in batch.column(0):
-                runs.update(model.runs(text.as_py() or "") or [])
-            found: Counter = Counter()
-            for run, n in runs.items():
+                for part in model.plain_parts(text.as_py() or ""):
+                    runs = model.runs(part)
+                    if runs is None:
+                        found.update(model.library_pieces(part))
+                    else:
+                        seen.update(runs)
+            for run, n in seen.items():
                 for piece in _PIECES.findall(run):
                     found[piece] += n
-            often = [(w, n) for w, n in found.items() if n > 1 and len(w) <= LONG_WORD]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["piece", "n"])
+            if len(found) > MEMORY_WORDS:
+                yield rows(found)
+                found = Counter()
+        yield rows(found)
 
     return docs.select(text_col).mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 

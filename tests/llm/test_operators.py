@@ -147,3 +147,14 @@ def test_language_of_long_runs(spark):
     docs = spark.createDataFrame([(1, "абвг" * 16 + "ийкл" * 100), (2, "ийкл" * 16 + "абвг" * 100)], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
     assert got == {1: "bb", 2: "aa"}
+
+
+def test_bpe_counts_and_looks_up_words_of_all_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["once upon 5 € <|endoftext|> часы", "часы \x00 nul 😀 upon", "plain words upon"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    counts = {r.piece: r.n for r in bpe.count_pieces(docs, "text", path).collect()}
+    assert counts["upon"] == 3 and counts["часы"] == 2 and counts["€"] == counts["plain"] == counts["once"] == 1
+    library = bpe.Tokenizer.from_file(path)
+    got = {r.doc_id: list(r.ids) for r in bpe.encode_documents(docs, path, with_ids=True).collect()}
+    assert got == {k: library.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
