@@ -30,15 +30,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of linked ones: shingles of five words, a similarity of 0.8 or more."""
-    copies = jaccard_join.components(docs, shingle=5, percent=80).where("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group of linked ones, of the least id that isn't null: shingles of five words, a similarity of 0.8 or more."""
+    keyed = stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")  # ids may be null or repeated
+    found = jaccard_join.components(keyed, doc_col="row_key", shingle=5, percent=80).select("row_key", "component_id")
+    groups = stored(found.join(keyed.select("row_key", "doc_id"), "row_key"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
+    kept = groups.groupBy("component_id").agg(first.alias("first")).select("first.row_key")
+    copies = groups.select("row_key").join(kept, "row_key", "left_anti")
+    return keyed.join(copies, "row_key", "left_anti").select(docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a window of a benchmark item."""
-    hits = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    hits = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("hit_id"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("text_hash"))  # ids may be null or repeated
+    return docs.join(hits, same, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,15 +117,16 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", do
     """For each document, the words that lie in windows of benchmark items, and those items.
 
     Returns ``doc_col``, ``n_words``, ``n_hit``, ``item_ids`` (sorted as
-    strings), ``hit_spans`` (start and length, in words) and ``contaminated``.
-    A null or wordless text has no words and no hits; a null or wordless item
-    hits nothing. Rows that repeat an id are taken as one document by their
-    hits: ids are assumed unique. An empty table on either side gives no hits.
-    Other columns are ignored.
+    strings), ``hit_spans`` (start and length, in words), ``contaminated`` and
+    ``text_hash`` (xxhash64) for each row. A null or wordless text has no words
+    and no hits; a null or wordless item hits nothing. Rows that repeat an id,
+    or have none, are told apart by their texts. An empty table on either side
+    gives no hits. Other columns are ignored.
     """
     bench = items.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).alias("text"), F.size(words_of(F.col(item_text))).alias("n"))
     bench = stored(bench.where("id is not null and n > 0"), "bench-words")
-    texts = docs.select(F.col(doc_col).alias("id"), F.col(doc_text).alias("text"))
+    key = F.struct(F.col(doc_col).alias("doc"), F.xxhash64(doc_text).alias("text_hash"))
+    texts = docs.select(key.alias("id"), F.col(doc_text).alias("text"))
 
     prints = winnowed(bench).where("print is not null").select(
         "print", F.col("id").alias("item_id"), F.least("at", F.lit(WINDOW - K)).alias("item_before"),
@@ -145,10 +146,12 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", do
 
     covered = F.size(F.array_distinct(F.flatten(F.transform("hit_spans", lambda s: F.sequence(s.start, s.start + s.length - 1)))))
     nothing = F.lit(None)
-    rows = found.where("n_words is not null").select("id", "n_words", nothing.cast("string").alias("item_id"), nothing.cast("struct<start:int,length:int>").alias("span"))
-    rows = rows.union(spans.select("id", nothing.cast("long"), "item_id", F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))))
+    rows = found.where("n_words is not null").select("id", "n_words", nothing.cast("string").alias("item_id"), nothing.cast("struct<start:int,length:int>").alias("span"), F.lit(0).alias("rows"))
+    rows = rows.union(spans.select("id", nothing.cast("long"), "item_id", F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length")), F.lit(0)))
+    rows = rows.union(texts.select("id", nothing.cast("long"), nothing.cast("string"), nothing.cast("struct<start:int,length:int>"), F.lit(1)))
     return (
         rows.groupBy("id")
-        .agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sort_array(F.collect_set("span")).alias("hit_spans"))
-        .select(F.col("id").alias(doc_col), "n_words", F.coalesce(covered.cast("long"), F.lit(0)).alias("n_hit"), "item_ids", "hit_spans", (F.size("hit_spans") > 0).alias("contaminated"))
+        .agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sort_array(F.collect_set("span")).alias("hit_spans"), F.sum("rows").cast("int").alias("rows"))
+        .withColumn("row", F.explode(F.sequence(F.lit(1), "rows")))
+        .select(F.col("id.doc").alias(doc_col), "n_words", F.coalesce(covered.cast("long"), F.lit(0)).alias("n_hit"), "item_ids", "hit_spans", (F.size("hit_spans") > 0).alias("contaminated"), F.col("id.text_hash").alias("text_hash"))
     )

@@ -131,3 +131,17 @@ def test_links_equal_brute_force(spark, monkeypatch, shingle, percent, bucket):
     assert sorted(got) == sorted({(a, b) for a, b in linked if first[a] == a and first[b] == b and sets[a] != sets[b]})
     counts = {r.doc_id: r.n_links for r in jaccard_join.link_counts(docs, shingle=shingle, percent=percent).collect()}
     assert counts == {k: sum(k in pair for pair in linked) for k in texts}
+
+
+def test_stages_take_null_and_repeated_ids(spark, corpus):
+    folder, data = corpus
+    passage = "a benchmark passage of ten words that must never remain here"
+    more = " and then so many more words that it is far from any other text"
+    one, two = ("alpha beta gamma delta epsilon zeta eta theta iota kappa", "lorem ipsum dolor sit amet consectetur adipiscing elit sed do")
+    rows = [(7, one), (7, one), (None, one), (None, two), (None, two), (None, passage), (None, None), (8, passage + more), (8, "clean words stay")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], SCHEMA)
+    key = lambda r: (r[0] or 0, r[1] or "")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, folder).select("doc_id", "text").collect()
+    assert sorted(map(tuple, near), key=key) == sorted([(7, one), (None, two), (None, passage), (None, None), (8, passage + more), (8, "clean words stay")], key=key)
+    clean = corpus_pipeline.drop_benchmark_passages(spark, docs, folder).select("doc_id", "text").collect()
+    assert sorted(map(tuple, clean), key=key) == sorted([(k, t) for k, t in rows if passage not in (t or "")], key=key)
