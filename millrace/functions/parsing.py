@@ -62,7 +62,7 @@ def parse_datetime(text: Column) -> Column:
     for date, form in _DATES[:7]:
         for time, time_form in _TIMES:
             tries.append(F.when(F.regexp_like(value, F.lit(f"^{date}{time}$")), F.try_to_timestamp(spaced, F.lit(form + time_form)).cast("timestamp_ntz")))
-    return F.coalesce(*tries)
+    return F.when(F.regexp_like(value, F.lit("[0-9]{4}")), F.coalesce(*tries))  # each form has a year of four digits
 
 
 def word_count(text: Column) -> Column:

@@ -7,8 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_boolean, parse_datetime
+from ..storage import range_parts, stored
 from ..types import ROW_ID, ColumnProfile, StepReport
-from .profiling import clean, family, numbers, position, profile_dataframe, quoted, visible
+from .profiling import PERCENTILE_VALUES, clean, family, numbers, position, profile_dataframe, quoted, visible
+
+#: Repeated rows that a report names.
+NAMED_DUPLICATES = 200
 
 
 def replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -26,6 +30,7 @@ def coerce_types(df: DataFrame, profiles: list[ColumnProfile] | None = None) ->
             continue
         typed = family(dict(df.dtypes)[p.name]) == p.kind
         new[p.name] = clean(df, p.name) if typed else parse
+        report.touched += [] if typed else [p.name]
         report.details.append({"column": p.name, "to": p.kind, "failed_count": 0})
     if new:
         failed = df.agg(*(F.count_if(clean(df, c).isNotNull() & x.isNull()).alias(f"f{k}") for k, (c, x) in enumerate(new.items()))).first()
@@ -39,14 +44,16 @@ def coerce_types(df: DataFrame, profiles: list[ColumnProfile] | None = None) ->
 def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str] | None = None) -> DataFrame:
     """Each null takes the last value before it, or else the first one after it.
 
-    Rows are dealt out by ranges of the order; each range is filled by itself,
-    and the last and first values of the ranges, one row for each, are carried
-    over, so no task sees more than its range.
+    Rows are dealt out by ranges of the order and stored, so that all later
+    reads see the same ranges. Each range is filled forward by itself; the last
+    values of the ranges before it and the first ones from it on, one row for
+    each range, are carried over, so no task sees more than its range. Rows
+    that are equal in the order may be taken in any order.
     """
     names = order_by or ([ROW_ID] if ROW_ID in df.columns else df.columns)
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *(quoted(c) for c in names)).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.sortWithinPartitions(*(quoted(c) for c in names))
+    clear = df.select(*(clean(df, c).alias(c) if c in columns else quoted(c) for c in df.columns))
+    ranged = clear.repartitionByRange(range_parts(clear), *(quoted(c) for c in names)).sortWithinPartitions(*(quoted(c) for c in names))
+    ranged = stored(ranged.withColumn("__part", F.spark_partition_id()), "ranged")
     key = position(df, names)
     edges = ranged.groupBy("__part").agg(
         *(x.alias(f"{side}{k}") for k, c in enumerate(columns) for side, x in (("l", F.max_by(quoted(c), F.when(quoted(c).isNotNull(), key))), ("f", F.min_by(quoted(c), F.when(quoted(c).isNotNull(), key)))))
@@ -54,17 +61,25 @@ def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str]
     over = W.orderBy("__part")  # a row for each range
     carried = edges.select("__part", *(
         x.alias(f"{side}{k}") for k in range(len(columns)) for side, x in (
-            ("l", F.last(f"l{k}", True).over(over.rowsBetween(W.unboundedPreceding, -1))), ("f", F.first(f"f{k}", True).over(over.rowsBetween(1, W.unboundedFollowing))))
+            ("l", F.last(f"l{k}", True).over(over.rowsBetween(W.unboundedPreceding, -1))), ("f", F.first(f"f{k}", True).over(over.rowsBetween(0, W.unboundedFollowing))))
     ))
-    of = W.partitionBy("__part").orderBy(*(quoted(c) for c in names))
+    of = W.partitionBy("__part").orderBy(*(quoted(c) for c in names)).rowsBetween(W.unboundedPreceding, 0)
     filled = ranged.join(F.broadcast(carried), "__part")  # bounded by the number of ranges
-    new = {
-        c: F.coalesce(quoted(c), F.last(quoted(c), True).over(of.rowsBetween(W.unboundedPreceding, 0)), F.col(f"l{k}"), F.first(quoted(c), True).over(of.rowsBetween(0, W.unboundedFollowing)), F.col(f"f{k}"))
-        for k, c in enumerate(columns)
-    }
+    # What is still null stands before its range's first value and has none in an earlier range.
+    new = {c: F.coalesce(quoted(c), F.last(quoted(c), True).over(of), F.col(f"l{k}"), F.col(f"f{k}")) for k, c in enumerate(columns)}
     return filled.select(*(new[c].alias(c) if c in new else quoted(c) for c in df.columns))
 
 
+def most_frequent(df: DataFrame, profiles: list[ColumnProfile]) -> dict[str, object]:
+    """The most frequent value of each column, the least one of several: in one aggregate where values are few, else by counts of each value."""
+    few = [p.name for p in profiles if p.unique_count <= PERCENTILE_VALUES]
+    found = dict(zip(few, df.agg(*(F.mode(clean(df, c), True) for c in few)).first())) if few else {}
+    for c in (p.name for p in profiles if p.name not in few):
+        counts = df.select(clean(df, c).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        found[c] = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "v"))).first()[0].v
+    return found
+
+
 def impute_missing(
     df: DataFrame, *, numeric_strategy: str = "median", categorical_strategy: str = "mode", datetime_strategy: str = "ffill_bfill",
     overrides: dict[str, str] | None = None, order_by: list[str] | None = None, profiles: list[ColumnProfile] | None = None,
@@ -73,7 +88,8 @@ def impute_missing(
     report = StepReport("impute_missing", "Fill missing values")
     by_kind = {"numeric": numeric_strategy, "datetime": datetime_strategy} | dict.fromkeys(("categorical", "boolean", "text", "identifier"), categorical_strategy)
     constants: dict[str, Column] = {}
-    wanted: dict[str, Column] = {}
+    fills: dict[str, object] = {}
+    modes: dict[str, ColumnProfile] = {}
     carried: list[str] = []
     plan: dict[str, str] = {}
     types = dict(df.dtypes)
@@ -87,10 +103,10 @@ def impute_missing(
         if strategy == "skip":
             report.warnings.append(f"{p.name}: {p.null_count} missing values left as they are")
         elif strategy in ("mean", "median") and p.kind == "numeric":
-            x = numbers(df, p.name)
-            wanted[p.name] = F.avg(x) if strategy == "mean" else F.percentile(x, F.lit(0.5))
+            if strategy in p.stats:
+                fills[p.name] = p.stats[strategy]
         elif strategy == "mode":
-            wanted[p.name] = F.mode(clean(df, p.name), True)
+            modes[p.name] = p
         elif strategy == "ffill_bfill":
             carried.append(p.name)
         elif strategy.startswith("constant:"):
@@ -103,16 +119,14 @@ def impute_missing(
         else:
             report.warnings.append(f"{p.name}: strategy {strategy!r} is not applicable to kind {p.kind}")
             plan[p.name] = "skip"
-    fills = {}
-    if wanted:
-        row = df.agg(*(x.alias(f"v{k}") for k, x in enumerate(wanted.values()))).first()
-        fills = {c: row[k] for k, c in enumerate(wanted) if row[k] is not None}
+    fills |= {c: v for c, v in most_frequent(df, [*modes.values()]).items() if v is not None}
     new: dict[str, Column] = {}
     for c, value in fills.items():
         base = numbers(df, c) if plan[c] in ("mean", "median") else clean(df, c)
         literal = F.lit(value) if plan[c] in ("mean", "median") else F.lit(value).cast(types[c])
         new[c] = F.coalesce(base, literal)
     new |= {c: F.coalesce(clean(df, c), x) for c, x in constants.items()}
+    report.touched = [*new, *carried]
     filled = replaced(df, new)
     if carried:
         filled = fill_forward_backward(filled, carried, order_by)
@@ -132,11 +146,18 @@ def duplicate_flags(df: DataFrame, subset: list[str] | None = None, order_by: li
 
 
 def handle_duplicates(df: DataFrame, *, drop: bool = False, subset: list[str] | None = None, order_by: list[str] | None = None) -> tuple[DataFrame, StepReport]:
-    """Counts rows that repeat an earlier one and drops them if asked to."""
+    """Counts rows that repeat an earlier one, by 128-bit hashes, names the first of them by ``order_by``, and drops them if asked to."""
     report = StepReport("handle_duplicates", "Find repeated rows")
     keys = subset or visible(df)
-    counts = df.groupBy(*(quoted(c) for c in keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")).first()
-    report.details.append({"duplicate_count": counts.d, "dropped": bool(drop)})
+    marked = [x for c in keys for x in (clean(df, c), clean(df, c).isNull())]  # hashes skip nulls
+    hashes = df.select(F.xxhash64(*marked).alias("h1"), F.xxhash64(F.lit(1), *marked).alias("h2"))
+    counts = hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")).first()
+    named = order_by or ([ROW_ID] if ROW_ID in df.columns else None)
+    first = []
+    if counts.d and named:
+        rows = duplicate_flags(df, keys, named).where("__duplicate").select(*(quoted(c) for c in named)).orderBy(*(quoted(c) for c in named)).limit(NAMED_DUPLICATES).collect()
+        first = [r[0] if len(named) == 1 else tuple(r) for r in rows]
+    report.details.append({"duplicate_count": counts.d, "dropped": bool(drop), "first_duplicates": first})
     if counts.d and not drop:
         report.warnings.append(f"{counts.d} duplicate rows found and NOT removed")
     if drop and counts.d:

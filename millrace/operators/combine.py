@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..types import StepReport
-from .profiling import family, quoted, snapshot, visible
+from .profiling import clean, family, quoted, visible
 
 SOURCE = "__source_file"
 
@@ -41,8 +41,9 @@ def concat(sources: list[tuple[str, DataFrame]], report: StepReport) -> DataFram
             report.warnings.append(f"{name}: has no {', '.join(missing)}, filled with missing values")
         columns = [(quoted(c) if len(types[c]) == 1 else quoted(c).cast("string")).alias(c) if c in df.columns else F.lit(None).cast(next(iter(types[c])) if len(types[c]) == 1 else "string").alias(c) for c in names]
         tables.append(df.select(*columns, F.lit(name).alias(SOURCE)))
-    report.details.append({"sources": [n for n, _ in sources], "union_columns": names})
-    return reduce(DataFrame.union, tables)
+    both = reduce(DataFrame.union, tables)
+    report.details.append({"sources": [n for n, _ in sources], "union_columns": names, "rows_expected": sum(df.count() for _, df in sources), "rows_produced": both.count()})
+    return both
 
 
 def merge(sources: list[tuple[str, DataFrame]], on: list[str], how: str, report: StepReport) -> DataFrame:
@@ -53,6 +54,7 @@ def merge(sources: list[tuple[str, DataFrame]], on: list[str], how: str, report:
         if lost := [c for c in on if c not in df.columns]:
             raise ValueError(f"{name} has no key {', '.join(lost)}")
     left = sources[0][1].select(*(quoted(c) for c in visible(sources[0][1])))
+    produced = left.count()
     for position, (name, df) in enumerate(sources[1:], 2):
         for key in on:
             if family(dict(left.dtypes)[key]) != family(dict(df.dtypes)[key]):
@@ -66,12 +68,21 @@ def merge(sources: list[tuple[str, DataFrame]], on: list[str], how: str, report:
         right = df.select(*(quoted(c).alias(f"__key{k}") for k, c in enumerate(on)), *(quoted(c).alias(names[c]) for c in rest))
         same = reduce(lambda a, b: a & b, (left[f"`{c}`"].eqNullSafe(right[f"__key{k}"]) for k, c in enumerate(on)))
         keys = {c: F.coalesce(quoted(c), F.col(f"__key{k}")) for k, c in enumerate(on)}
+        unmatched = {side: one.join(other, same, "left_anti").count() for side, one, other in (("left", left, right), ("right", right, left))}
         left = left.join(right, same, kind).select(*(keys[c].alias(c) if c in keys else quoted(c) for c in left.columns), *(quoted(names[c]) for c in rest))
-    report.details.append({"sources": [n for n, _ in sources], "join_on": on, "how": how})
+        before, (produced, null_keys) = produced, counted(left, on)
+        report.details.append({"merged": name, "rows_before": before, "rows_produced": produced, "null_key_rows": null_keys if how != "inner" else 0, "unmatched_left": unmatched["left"], "unmatched_right": unmatched["right"]})
+        report.warnings.append(f"{name}: {before} rows became {produced} ({how} join); {unmatched['left']} rows before and {unmatched['right']} of {name} have no match, {null_keys} rows have a null key")
+    report.details.append({"sources": [n for n, _ in sources], "join_on": on, "how": how, "rows_produced": produced})
     return left
 
 
+def counted(df: DataFrame, on: list[str]) -> tuple[int, int]:
+    """Rows, and rows with a null in a key."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(reduce(lambda a, b: a | b, (clean(df, c).isNull() for c in on))).alias("k")).first()
+    return row.n, row.k
+
+
 def null_key_rows(df: DataFrame, on: list[str]) -> int:
     """Rows of a merge's result with a null in a key."""
-    shot = snapshot(df.select(*on))
-    return shot.rows - df.dropna(subset=on).count() if any(shot.null_counts.values()) else 0
+    return counted(df, on)[1]

@@ -1,18 +1,25 @@
-"""Column profiles: one aggregate for all columns, one shuffle for all values."""
+"""Column profiles: aggregates over all columns at once, one shuffle of hashes for their distinct values."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parsing import FALSE_WORDS, TRUE_WORDS, parse_datetime, parse_number, strip
 from ..types import ROW_ID, ColumnProfile, Snapshot
+from .ranks import quantiles
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 NESTED = ("array", "struct", "map", "binary", "variant")
 UNIQUE_LIMIT, UNIQUE_SHARE, IDENTIFIER_ROWS, KIND_SHARE = 50, 0.5, 20, 0.95
+#: Text with so large a share of numbers is not tried as dates.
+DATE_SHARE = 0.9
+QUARTILES = (0.25, 0.5, 0.75)
+#: Different values up to which one aggregate buffer holds a column for its quantiles.
+PERCENTILE_VALUES = 1_000_000
 
 
 def visible(df: DataFrame) -> list[str]:
@@ -57,7 +64,7 @@ def finite(x: Column) -> Column:
 def snapshot(df: DataFrame) -> Snapshot:
     names = visible(df)
     row = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(clean(df, c).isNull()).alias(f"n{k}") for k, c in enumerate(names))).first()
-    return Snapshot(row.rows, names, {c: row[f"n{k}"] for k, c in enumerate(names)}, {c: t for c, t in df.dtypes if c != ROW_ID})
+    return Snapshot(row.rows, {c: row[f"n{k}"] for k, c in enumerate(names)}, {c: t for c, t in df.dtypes if c != ROW_ID})
 
 
 def classify(dtype: str, non_null: int, unique: int, numeric_ratio: float, datetime_ratio: float, is_boolean: bool) -> str:
@@ -95,56 +102,89 @@ def value_counts(df: DataFrame, names: list[str], order: Column | None = None) -
     return rows.groupBy(F.col("p.column").alias("column"), F.col("p.value").alias("value")).agg(*aggs)
 
 
-def profile_dataframe(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, samples: bool = False) -> list[ColumnProfile]:
-    """A profile of each column in two actions; a third one with ``samples``, which follow ``order_by``."""
+def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Distinct values of each column; values are shuffled as 128-bit hashes, never as text."""
+    hashed = (F.struct(F.lit(k).alias("k"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(k), v).alias("h2"), v.isNotNull().alias("there")) for k, c in enumerate(names) for v in (clean(df, c).cast("string"),))
+    rows = df.select(F.explode(F.array(*hashed)).alias("p")).where("p.there").select("p.k", "p.h1", "p.h2")
+    found = {r.k: r.u for r in rows.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("u")).collect()}
+    return {c: found.get(k, 0) for k, c in enumerate(names)}
+
+
+def first_values(df: DataFrame, names: list[str], order: Column, limit: int = 5) -> dict[str, list[str]]:
+    """The first distinct values of each column; tasks hand on ``limit`` rows of a column at most."""
+    place = F.row_number().over(W.partitionBy("column").orderBy("first", "value"))
+    rows = value_counts(df, names, order).select("column", "value", "first", place.alias("place")).where(F.col("place") <= limit).collect()
+    found: dict[str, list[str]] = {c: [] for c in names}
+    for r in sorted(rows, key=lambda r: r.place):
+        found[r.column].append(r.value)
+    return found
+
+
+def quartiles_of(df: DataFrame, names: list[str], unique: dict[str, int]) -> dict[str, list[float]]:
+    """Quartiles of numeric columns: by one aggregate where they have few different values, else by a distributed sort."""
+    few = [c for c in names if unique[c] <= PERCENTILE_VALUES]
+    found: dict[str, list[float]] = {}
+    if few:
+        row = df.agg(*(F.percentile(finite(numbers(df, c)), F.array(*map(F.lit, QUARTILES))).alias(f"q{k}") for k, c in enumerate(few))).first()
+        found = {c: list(row[f"q{k}"]) for k, c in enumerate(few) if row[f"q{k}"] is not None}
+    if rest := [c for c in names if c not in few]:
+        found |= quantiles(df, {c: finite(numbers(df, c)) for c in rest}, QUARTILES)
+    return found
+
+
+def profile_dataframe(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, samples: bool = False, outlier_keys: list[str] | None = None) -> list[ColumnProfile]:
+    """A profile of each column.
+
+    Dates are looked for only in text that is neither numeric nor boolean.
+    ``samples`` adds the first distinct values, in the order of ``order_by``;
+    ``outlier_keys`` the keys of the first outlying rows, in their own order.
+    """
     names = columns or visible(df)
     if not names:
         return []
+    outlier_keys = outlier_keys or ([ROW_ID] if ROW_ID in df.columns else None)
     types = dict(df.dtypes)
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for k, c in enumerate(names):
         value, kind = clean(df, c), family(types[c])
         aggs.append(F.count(value).alias(f"n{k}"))
         if kind == "string":
-            aggs += [
-                F.count(parse_number(value)).alias(f"num{k}"),
-                F.count(parse_datetime(value)).alias(f"dt{k}"),
-                F.bool_and(F.lower(strip(value)).isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"bool{k}"),
-            ]
+            aggs += [F.count(parse_number(value)).alias(f"num{k}"), F.bool_and(F.lower(strip(value)).isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"bool{k}")]
         if kind in ("string", "numeric"):
             x = finite(numbers(df, c))
             aggs += [f(x).alias(f"{f.__name__}{k}") for f in (F.min, F.max, F.avg, F.stddev_samp, F.count)]
-            aggs.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}"))
     row = df.agg(*aggs).first()
-    unique = {r.column: r.u for r in value_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("u")).collect()}
+    unique = distinct_counts(df, names)
+    numeric = {k: row[f"num{k}"] / row[f"n{k}"] if row[f"n{k}"] else 0.0 for k, c in enumerate(names) if family(types[c]) == "string"}
+    maybe_dates = [k for k, share in numeric.items() if row[f"n{k}"] and share < DATE_SHARE]
+    dates = df.agg(*(F.count(parse_datetime(clean(df, names[k]))).alias(f"dt{k}") for k in maybe_dates)).first() if maybe_dates else None
     out = []
     for k, c in enumerate(names):
         n, kind = row[f"n{k}"], family(types[c])
-        p = ColumnProfile(c, "", n, row.rows - n, (row.rows - n) / row.rows if row.rows else 0.0, unique.get(c, 0))
-        numeric_ratio = datetime_ratio = 0.0
-        if n and kind == "string":
-            numeric_ratio = row[f"num{k}"] / n
-            datetime_ratio = row[f"dt{k}"] / n if numeric_ratio < 0.9 else 0.0
+        p = ColumnProfile(c, "", n, row.rows - n, (row.rows - n) / row.rows if row.rows else 0.0, unique[c])
+        if kind == "string":
+            p.numeric_convertible_ratio, p.datetime_convertible_ratio = numeric[k], dates[f"dt{k}"] / n if k in maybe_dates else 0.0
         elif n:
-            numeric_ratio, datetime_ratio = float(kind == "numeric"), float(kind == "datetime")
-        p.numeric_convertible_ratio, p.datetime_convertible_ratio = numeric_ratio, datetime_ratio
-        p.kind = classify(types[c], n, p.unique_count, numeric_ratio, datetime_ratio, kind == "string" and bool(row[f"bool{k}"]))
+            p.numeric_convertible_ratio, p.datetime_convertible_ratio = float(kind == "numeric"), float(kind == "datetime")
+        p.kind = classify(types[c], n, p.unique_count, p.numeric_convertible_ratio, p.datetime_convertible_ratio, kind == "string" and bool(row[f"bool{k}"]))
         if p.kind == "numeric" and row[f"count{k}"]:
-            p.quartiles = tuple(row[f"q{k}"])
-            p.stats = {"min": row[f"min{k}"], "max": row[f"max{k}"], "mean": row[f"avg{k}"], "median": p.quartiles[1], "std": row[f"stddev_samp{k}"] or 0.0}
-            p.bounds = iqr_bounds(row[f"count{k}"], p.quartiles[0], p.quartiles[2])
+            p.stats = {"min": row[f"min{k}"], "max": row[f"max{k}"], "mean": row[f"avg{k}"], "std": row[f"stddev_samp{k}"] or 0.0}
         out.append(p)
+    measured = {p.name: (k, p) for k, p in enumerate(out) if p.stats}
+    for c, q in quartiles_of(df, [*measured], unique).items():
+        k, p = measured[c]
+        p.quartiles, p.stats["median"] = tuple(q), q[1]
+        p.bounds = iqr_bounds(row[f"count{k}"], q[0], q[2])
     bounded = [p for p in out if p.bounds]
     if bounded:
         counts = df.agg(*(F.count_if(is_outlier(numbers(df, p.name), p.bounds)).alias(f"o{k}") for k, p in enumerate(bounded))).first()
         for k, p in enumerate(bounded):
             p.outlier_count = counts[k]
+            if outlier_keys and p.outlier_count:
+                p.outlier_indices = [r[0] if len(r) == 1 else tuple(r) for r in outlier_rows(df, p, outlier_keys).collect()]
     if samples:
-        order = position(df, order_by)
-        first = value_counts(df, names, order).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("first", "value"))).alias("s"))
-        found = {r.column: [x.value for x in r.s] for r in first.select("column", F.slice("s", 1, 5).alias("s")).collect()}
-        for p in out:
-            p.sample_values = found.get(p.name, [])
+        for c, found in first_values(df, names, position(df, order_by)).items():
+            next(p for p in out if p.name == c).sample_values = found
     return out
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parsing import parse_datetime
 from ..types import DataLossError, StepReport
 from .profiling import clean, family, numbers, profile_dataframe, quoted, visible
+from .ranks import number_rows
 
 
 def generate_synthetic(df: DataFrame, *, n_rows: int = 100, seed: int | None = None) -> tuple[DataFrame, StepReport]:
@@ -24,20 +26,22 @@ def generate_synthetic(df: DataFrame, *, n_rows: int = 100, seed: int | None = N
     types = dict(df.dtypes)
     out = df.sparkSession.range(n_rows).withColumnRenamed("id", "__i")
     for k, p in enumerate(profile_dataframe(df)):
-        target, draw = f"`{p.name}`", F.rand(seed + 2 * k)
+        draw = F.rand(seed + 2 * k)
         if p.kind == "empty":
             out = out.withColumn(p.name, F.lit(None).cast(types[p.name]))
         elif p.kind == "identifier":
             out = out.withColumn(p.name, F.concat(F.lit(f"synthetic_{p.name}_"), F.col("__i").cast("string")))
-        elif p.kind == "datetime" and family(types[p.name]) == "datetime":
-            span = df.agg(*(f(F.unix_micros(quoted(p.name).cast("timestamp"))) for f in (F.min, F.max))).first()
-            out = out.withColumn(p.name, F.timestamp_micros((F.lit(span[0]) + F.floor(draw * (span[1] - span[0] + 1))).cast("long")).cast(types[p.name]))
+        elif p.kind == "datetime":
+            native = family(types[p.name]) == "datetime"
+            moment = quoted(p.name) if native else parse_datetime(clean(df, p.name).cast("string"))
+            span = df.agg(*(f(F.unix_micros(moment.cast("timestamp"))) for f in (F.min, F.max))).first()
+            drawn = F.timestamp_micros((F.lit(span[0]) + F.floor(draw * (span[1] - span[0] + 1))).cast("long"))
+            out = out.withColumn(p.name, drawn.cast(types[p.name] if native else "timestamp_ntz"))
         else:
             binary = p.kind == "numeric" and set(p.stats.values()) and p.unique_count <= 2 and {p.stats["min"], p.stats["max"]} <= {0.0, 1.0}
             jittered = p.kind == "numeric" and not binary
             value = numbers(df, p.name) if jittered else clean(df, p.name)
-            ranked = df.select(value.alias("__v")).where("__v is not null").rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-            ranked = ranked.toDF(f"__rank long, __v {'double' if jittered else types[p.name]}")
+            ranked = number_rows(df.select(value.alias("__v")).where("__v is not null"))
             n = p.non_null_count
             out = out.withColumn("__rank", F.floor(draw * n).cast("long")).join(ranked, "__rank", "left").drop("__rank")
             if jittered:
@@ -48,7 +52,6 @@ def generate_synthetic(df: DataFrame, *, n_rows: int = 100, seed: int | None = N
                 out = out.withColumnRenamed("__v", p.name)
             if p.kind == "text":
                 report.warnings.append(f"{p.name}: free text is drawn from the source as it is")
-        del target
     return out.select(*(quoted(c) for c in visible(df))), report
 
 

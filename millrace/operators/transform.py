@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.parsing import word_count
 from ..types import ColumnProfile, StepReport
 from .cleaning import replaced
-from .profiling import any_of, clean, family, finite, is_outlier, numbers, profile_dataframe, quoted, value_counts, visible
+from .profiling import PERCENTILE_VALUES, any_of, clean, distinct_counts, family, finite, is_outlier, numbers, profile_dataframe, quoted, value_counts, visible
+from .ranks import number_rows, quantiles
 
 #: Distinct values from which label codes come by a join, not from an array.
 LABEL_JOIN_VALUES = 1_000
+#: Distinct values that may become a column each.
+ONE_HOT_VALUES = 5_000
 
 
 def handle_outliers(
@@ -26,20 +29,27 @@ def handle_outliers(
         if p.kind != "numeric" or columns is not None and p.name not in columns:
             continue
         strategy = (overrides or {}).get(p.name, default_strategy)
-        if strategy == "skip" or not p.outlier_count:
+        if strategy not in ("flag", "clip", "remove", "skip"):
+            report.warnings.append(f"{p.name}: unknown outlier strategy {strategy!r}")
+            continue
+        if strategy == "skip":
+            if p.outlier_count:
+                report.warnings.append(f"{p.name}: {p.outlier_count} outliers left as they are")
+            continue
+        if not p.outlier_count:
             continue
         x, (low, high) = numbers(df, p.name), p.bounds
         if strategy == "flag":
             flags[f"{p.name}__is_outlier"] = is_outlier(x, p.bounds)
         elif strategy == "clip":
             new[p.name] = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
-        elif strategy == "remove":
-            masks.append(is_outlier(x, p.bounds))
         else:
-            report.warnings.append(f"{p.name}: unknown outlier strategy {strategy!r}")
-            continue
+            masks.append(is_outlier(x, p.bounds))
         report.details.append({"column": p.name, "strategy": strategy, "outlier_count": p.outlier_count, "lower": low, "upper": high})
+    report.touched = [*new]
     if masks:
+        removed = df.where(any_of(masks)).count()
+        report.details.append({"strategy": "remove", "rows_removed": removed})
         df = df.where(~any_of(masks))
     kept = [c for c in df.columns if c not in flags]
     return df.select(*(new[c].alias(c) if c in new else quoted(c) for c in kept), *(x.alias(c) for c, x in flags.items())), report
@@ -59,12 +69,15 @@ def encode_categoricals(df: DataFrame, *, one_hot_max_cardinality: int = 15, ove
                 chosen[c] = strategy
             elif strategy != "skip":
                 report.warnings.append(f"{c}: unknown encoding {strategy!r}")
+    for c in [c for c, s in chosen.items() if s == "one_hot" and by_name[c].unique_count > ONE_HOT_VALUES]:
+        raise ValueError(f"{c} has {by_name[c].unique_count} values, too many for a column each")
     inline = [c for c, s in chosen.items() if s == "one_hot" or by_name[c].unique_count <= LABEL_JOIN_VALUES]
     values: dict[str, list[str]] = {c: [] for c in inline}
     if inline:
         for r in value_counts(df, inline).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect():
             values[r.column] = r.v
     taken = set(df.columns)
+    report.touched = [c for c, p in by_name.items() if p.kind == "boolean" or chosen.get(c) == "label"]
     out: list[Column] = []
     for c in df.columns:
         value = clean(df, c).cast("string") if c in by_name else quoted(c)
@@ -91,9 +104,9 @@ def encode_categoricals(df: DataFrame, *, one_hot_max_cardinality: int = 15, ove
 
 
 def _label_by_join(df: DataFrame, column: str) -> DataFrame:
-    """Codes of a column with many values: its sorted distinct values are numbered range by range, and joined."""
+    """Codes of a column with many values: its sorted distinct values are numbered, and joined."""
     distinct = df.select(clean(df, column).cast("string").alias("__value")).where("__value is not null").distinct()
-    numbered = distinct.sort("__value").rdd.map(lambda r: r[0]).zipWithIndex().toDF("__value string, __code long")
+    numbered = number_rows(distinct, ["__value"], "__code")
     joined = df.join(numbered, clean(df, column).cast("string") == F.col("__value"), "left")
     return joined.select(*(F.coalesce("__code", F.lit(-1)).cast("int").alias(c) if c == column else quoted(c) for c in df.columns))
 
@@ -130,11 +143,17 @@ def scale_features(
     if not names:
         return df, report
     fit = (lambda x: F.when(train_mask, x)) if train_mask is not None else (lambda x: x)
+    ranges: dict[str, list[float]] = {}
+    if method == "robust":
+        values = {c: fit(finite(numbers(df, c))) for c in names}
+        known = {p.name: p.unique_count for p in profiles or []}
+        unique = known | distinct_counts(df, [c for c in names if c not in known]) if any(c not in known for c in names) else known
+        ranges = quantiles(df, {c: x for c, x in values.items() if unique[c] > PERCENTILE_VALUES}, (0.25, 0.5, 0.75)) if any(unique[c] > PERCENTILE_VALUES for c in names) else {}
     aggs = []
     for k, c in enumerate(names):
         x = numbers(df, c)
         y = fit(finite(x))
-        pair = {"standard": (F.avg(y), F.stddev_pop(y)), "minmax": (F.min(y), F.max(y) - F.min(y)), "robust": (F.percentile(y, F.lit(0.5)), F.percentile(y, F.lit(0.75)) - F.percentile(y, F.lit(0.25)))}[method]
+        pair = {"standard": (F.avg(y), F.stddev_pop(y)), "minmax": (F.min(y), F.max(y) - F.min(y)), "robust": tuple(map(F.lit, (ranges[c][1], ranges[c][2] - ranges[c][0]))) if c in ranges else (F.percentile(y, F.lit(0.5)), F.percentile(y, F.lit(0.75)) - F.percentile(y, F.lit(0.25)))}[method]
         aggs += [F.count(y).alias(f"n{k}"), F.coalesce(F.bool_and(x.isin(0.0, 1.0)), F.lit(True)).alias(f"b{k}"), pair[0].alias(f"c{k}"), pair[1].alias(f"s{k}"), F.count_if(clean(df, c).isNotNull() & x.isNull()).alias(f"l{k}"), F.count_if(x.isNull()).alias(f"m{k}")]
     row = df.agg(*aggs).first()
     new = {}
@@ -152,4 +171,5 @@ def scale_features(
         center, spread = row[f"c{k}"], row[f"s{k}"] or 1.0
         new[c] = (numbers(df, c) - F.lit(center)) / F.lit(spread)
         report.details.append({"column": c, "method": method, "center": center, "scale": spread, "fit_rows": row[f"n{k}"]})
+    report.touched = [*new]
     return replaced(df, new), report

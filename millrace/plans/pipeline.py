@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..operators import cleaning, combine, synthetic, transform
-from ..operators.profiling import snapshot
-from ..types import AuditTrail, DataLossError, PipelineConfig, Snapshot, StepReport
+from ..operators.profiling import profile_dataframe, snapshot, visible
+from ..storage import discard, stored
+from ..types import AuditTrail, ColumnProfile, DataLossError, PipelineConfig, Snapshot, StepReport
 
 Step = Callable[[DataFrame], tuple[DataFrame, StepReport]]
+ProfiledStep = Callable[[DataFrame, list[ColumnProfile]], tuple[DataFrame, StepReport]]
+#: Steps whose results are read by several later jobs and are dear to compute again: their tables are written.
+WRITTEN = ("coerce_types", "impute_missing", "handle_duplicates")
 #: Steps that may lower the number of rows, and the condition on the configuration; no step may raise it.
 MAY_DROP: dict[str, Callable[[PipelineConfig], bool]] = {
     "handle_duplicates": lambda c: c.dedupe,
@@ -25,7 +29,7 @@ def run_step(df: DataFrame, step: Step, before: Snapshot | None = None) -> tuple
     began = time.perf_counter()
     out, report = step(df)
     report.before, report.after = before, snapshot(out)
-    report.duration_ms = (time.perf_counter() - began) * 1000
+    report.seconds = time.perf_counter() - began
     return out, report
 
 
@@ -34,42 +38,75 @@ def check_rows(report: StepReport, allow_decrease: bool = False, allow_increase:
         raise DataLossError(f"{report.name} changed the rows from {report.before.rows} to {report.after.rows}")
 
 
-def steps(config: PipelineConfig, order_by: list[str] | None = None) -> list[Step]:
-    """The configured steps, in order."""
-    out: list[Step] = []
+def steps(config: PipelineConfig, order_by: list[str] | None = None) -> list[ProfiledStep]:
+    """The configured steps, in order; each takes the table and its profiles."""
+    out: list[ProfiledStep] = []
     if config.coerce_types:
         out.append(cleaning.coerce_types)
-    out.append(lambda df: cleaning.impute_missing(
+    out.append(lambda df, profiles: cleaning.impute_missing(
         df, numeric_strategy=config.numeric_impute_strategy, categorical_strategy=config.categorical_impute_strategy,
-        datetime_strategy=config.datetime_impute_strategy, overrides=config.impute_overrides, order_by=order_by,
+        datetime_strategy=config.datetime_impute_strategy, overrides=config.impute_overrides, order_by=order_by, profiles=profiles,
     ))
-    out.append(lambda df: cleaning.handle_duplicates(df, drop=config.dedupe, subset=config.dedupe_subset, order_by=order_by))
-    out.append(lambda df: transform.handle_outliers(df, default_strategy=config.outlier_strategy, overrides=config.outlier_overrides))
+    out.append(lambda df, profiles: cleaning.handle_duplicates(df, drop=config.dedupe, subset=config.dedupe_subset, order_by=order_by))
+    out.append(lambda df, profiles: transform.handle_outliers(df, default_strategy=config.outlier_strategy, overrides=config.outlier_overrides, profiles=profiles))
     if config.encode_categoricals:
-        out.append(lambda df: transform.encode_categoricals(df, one_hot_max_cardinality=config.one_hot_max_cardinality, overrides=config.encoding_overrides))
+        out.append(lambda df, profiles: transform.encode_categoricals(df, one_hot_max_cardinality=config.one_hot_max_cardinality, overrides=config.encoding_overrides, profiles=profiles))
     if config.engineer_features:
-        out.append(transform.engineer_features)
-    out.append(lambda df: transform.scale_features(df, method=config.scale_method, columns=config.scale_columns))
+        out.append(lambda df, profiles: transform.engineer_features(df, profiles=profiles))
+    out.append(lambda df, profiles: transform.scale_features(df, method=config.scale_method, columns=config.scale_columns, profiles=profiles))
     return out
 
 
-def _kept(df: DataFrame, report: StepReport) -> tuple[DataFrame, StepReport]:
-    """Each step is read several times by the next one: its table stays in memory or on disk."""
-    return df.persist(), report
+def _shot(df: DataFrame, profiles: list[ColumnProfile]) -> Snapshot:
+    """The snapshot that profiles of all columns amount to."""
+    if not profiles:
+        return snapshot(df)
+    types = dict(df.dtypes)
+    return Snapshot(profiles[0].non_null_count + profiles[0].null_count, {p.name: p.null_count for p in profiles}, {p.name: types[p.name] for p in profiles})
+
+
+def _refreshed(df: DataFrame, known: list[ColumnProfile], report: StepReport, rows: int | None) -> list[ColumnProfile]:
+    """Profiles after a step: only columns that are new or touched are profiled anew, or all if rows went (``rows``: how many there should be)."""
+    by_name = {p.name: p for p in known if p.name not in report.touched}
+    changed = [c for c in visible(df) if c not in by_name]
+    fresh = profile_dataframe(df, changed) if changed and rows is not None else []
+    if rows is None or fresh and fresh[0].non_null_count + fresh[0].null_count != rows:
+        return profile_dataframe(df)
+    by_name |= {p.name: p for p in fresh}
+    return [by_name[c] for c in visible(df)]
 
 
 def run_pipeline(df: DataFrame, config: PipelineConfig | None = None, order_by: list[str] | None = None) -> tuple[DataFrame, AuditTrail]:
+    """Runs the configured steps; the table is profiled once, and after each step only where it changed.
+
+    A step that only projects stays in the plan of the next one; the tables of
+    WRITTEN steps are written to the shared folder, and removed once a later
+    one has been written.
+    """
     config = config or PipelineConfig()
-    trail = AuditTrail(snapshot(df))
-    last = trail.original
-    for step in steps(config, order_by):
-        before = df
-        df, report = run_step(df, lambda d: _kept(*step(d)), last)
-        if trail.steps:
-            before.unpersist()  # the next table is stored by now
-        check_rows(report, allow_decrease=MAY_DROP.get(report.name, lambda _: False)(config))
+    profiles = profile_dataframe(df)
+    trail = AuditTrail(_shot(df, profiles))
+    last, written = trail.original, None
+    for step in (todo := steps(config, order_by)):
+        began = time.perf_counter()
+        out, report = step(df, profiles)
+        may_drop = MAY_DROP.get(report.name, lambda _: False)(config)
+        if report.name in WRITTEN and (report.touched or may_drop):
+            out = stored(out, report.name)
+            if written is not None:
+                discard(written)
+            written = out
+        if out is df:
+            report.before = report.after = last
+        elif step is todo[-1]:
+            report.before, report.after = last, snapshot(out)
+        else:
+            profiles = _refreshed(out, profiles, report, None if may_drop else last.rows)
+            report.before, report.after = last, _shot(out, profiles)
+        report.seconds = time.perf_counter() - began
+        check_rows(report, allow_decrease=may_drop)
         trail.steps.append(report)
-        last = report.after
+        df, last = out, report.after
     return df, trail
 
 

@@ -14,6 +14,8 @@ from ..types import AuditTrail, ColumnProfile, StepReport
 # Names of target columns, score tables and words of questions.
 TARGET_HINTS = ("target", "label", "class", "y", "outcome", "result")
 LARGE_ROWS, SMALL_ROWS, HIERARCHICAL_ROWS, HIGH_DIM, IMBALANCE, MANY_VALUES = 20_000, 200, 5_000, 0.5, 4.0, 15
+#: Classes that a balance names.
+NAMED_CLASSES = 1_000
 
 
 @dataclass
@@ -68,12 +70,14 @@ def problem_type(target: ColumnProfile | None) -> str:
 
 
 def class_balance(df: DataFrame, target: str) -> dict | None:
+    """Number of classes, the largest one's ratio to the least, and the counts of the NAMED_CLASSES most frequent ones; None below two classes."""
     sizes = df.select(clean(df, target).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     row = sizes.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("most"), F.min("n").alias("least")).first()
     if row.k < 2:
         return None
     ratio = row.most / row.least
-    return {"classes": row.k, "ratio": round(ratio, 2), "is_imbalanced": ratio >= IMBALANCE}
+    counts = {r.v: r.n for r in sizes.orderBy(F.desc("n"), "v").limit(NAMED_CLASSES).collect()}
+    return {"classes": row.k, "ratio": round(ratio, 2), "is_imbalanced": ratio >= IMBALANCE, "class_counts": counts}
 
 
 def traits(profiles: list[ColumnProfile], target: str | None) -> Traits:

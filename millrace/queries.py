@@ -82,10 +82,10 @@ def _(t, spark):
     return files.preview(t("events").select("event_id", "event_type", "user_id"), 50, ["event_id"])
 
 
-@query("dataset_summary", "SELECT count(*) AS n_rows, 5 AS n_columns FROM customer")
+@query("dataset_summary", "SELECT count(*) AS n_rows, (SELECT count(*)::INT FROM (DESCRIBE customer)) AS n_columns, 'customer' AS name, (SELECT string_agg(column_name, ',') FROM (DESCRIBE customer)) AS columns, NULL AS parent, 0 AS n_warnings FROM customer")
 def _(t, spark):
-    s = catalog.Catalog().add(t("customer"), "customer").summary()
-    return rows(spark, [(s["rows"], s["columns"])], "n_rows long, n_columns int")
+    s = catalog.summary(spark, catalog.register(t("customer"), "customer"))
+    return rows(spark, [(s["rows"], len(s["columns"]), s["name"], ",".join(s["columns"]), s["parent"], len(s["warnings"]))], "n_rows long, n_columns int, name string, columns string, parent string, n_warnings int")
 
 
 # --- profiling ---
@@ -358,7 +358,7 @@ query("rec_problem_type", "SELECT 'embeddings' AS table_name, 'regression' AS pr
     lambda t, spark: rows(spark, [(n, recommend.recommend_algorithms(t(n)).problem) for n in ("embeddings", "labels", "events")], "table_name string, problem string")
 )
 query("rec_class_balance", "SELECT count(*) AS classes, round(max(n) / CAST(min(n) AS DOUBLE), 2) AS ratio, max(n) >= 4.0 * min(n) AS is_imbalanced FROM (SELECT count(*) AS n FROM events GROUP BY event_type)")(
-    lambda t, spark: rows(spark, [tuple(recommend.class_balance(t("events"), "event_type").values())], "classes long, ratio double, is_imbalanced boolean")
+    lambda t, spark: rows(spark, [tuple(recommend.class_balance(t("events"), "event_type")[k] for k in ("classes", "ratio", "is_imbalanced"))], "classes long, ratio double, is_imbalanced boolean")
 )
 
 

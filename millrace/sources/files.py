@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.parsing import blank_to_null, parse_datetime
 from ..operators.profiling import family, quoted, visible
 from ..types import ROW_ID, IngestionError, UnsupportedFileType
+from . import catalog
 
 # The tokens that stand for a missing value, and delimiters in the order of trial.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 DELIMITERS = ",;\t|"
 HEAD_BYTES = 1 << 20
+#: Rows of a spreadsheet, without its header.
+SHEET_ROWS = 1_048_575
 _DIFFERENT = bytes(b for b in range(0x80, 0xA0) if b not in b"\x81\x8d\x8f\x90\x9d")
 CP1252 = (_DIFFERENT.decode("latin1"), _DIFFERENT.decode("cp1252"))
 
@@ -45,16 +48,17 @@ def head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
-def file_encoding(spark: SparkSession, path: str, raw: bytes) -> str:
-    """The encoding of a whole file that begins with ``raw``, found over all its lines: no line break lies inside a character."""
+def file_traits(spark: SparkSession, path: str, raw: bytes) -> tuple[str, bool]:
+    """The encoding of a whole file that begins with ``raw``, found over all its lines, as no line break lies inside a character; and whether a quoted value may hold a line break."""
     lines = spark.read.text(path)
     found = lines.agg(
         F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
         F.coalesce(F.bool_and(~F.regexp_like(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), F.lit("[\\x81\\x8D\\x8F\\x90\\x9D]"))), F.lit(True)).alias("cp1252"),
+        F.coalesce(F.bool_or(F.length(F.translate(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), '"', "")) % 2 != F.length(F.decode(F.col("value").cast("binary"), "ISO-8859-1")) % 2), F.lit(False)).alias("open"),
     ).first()
     if found.utf8:
-        return "utf-8-sig" if raw.startswith(codecs.BOM_UTF8) else "utf-8"
-    return "cp1252" if found.cp1252 else "latin1"
+        return "utf-8-sig" if raw.startswith(codecs.BOM_UTF8) else "utf-8", found.open
+    return "cp1252" if found.cp1252 else "latin1", found.open
 
 
 def sniff_delimiter(text: str) -> str:
@@ -105,12 +109,23 @@ def ingest(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = NA_TOKEN
     return result
 
 
+def ingest_all(spark: SparkSession, paths: list[str], na_tokens: tuple[str, ...] = NA_TOKENS) -> list[tuple[str, IngestResult]]:
+    """Reads and registers files one after another, each by its own name; the first that can't be read raises, and those before it stay registered."""
+    if not paths:
+        raise IngestionError("no files were given")
+    found = []
+    for path in paths:
+        result = ingest(spark, path, na_tokens)
+        found.append((catalog.register(result.dataframe, path.rstrip("/").rsplit("/", 1)[-1], warnings=result.warnings), result))
+    return found
+
+
 def _csv(spark: SparkSession, path: str, raw: bytes, na_tokens: tuple[str, ...]) -> IngestResult:
-    encoding = file_encoding(spark, path, raw)
+    encoding, breaks = file_traits(spark, path, raw)
     text = codecs.getincrementaldecoder(encoding)().decode(raw)
     delimiter = sniff_delimiter(text)
     charset = {"utf-8-sig": "UTF-8", "latin1": "ISO-8859-1", "cp1252": "ISO-8859-1"}.get(encoding, encoding.upper())
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", charset).option("multiLine", True).option("escape", '"').option("inferSchema", False)
+    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", charset).option("multiLine", breaks).option("escape", '"').option("inferSchema", False)  # without breaks in values, a file of any size is split
     df = reader.csv(path)
     if encoding == "cp1252":  # Spark lacks it; it names other characters by some bytes that latin1 has for controls
         df = df.select(*(F.translate(quoted(c), *CP1252).alias(c) for c in df.columns))
@@ -129,9 +144,11 @@ def _json(spark: SparkSession, path: str, raw: bytes, na_tokens: tuple[str, ...]
         raise IngestionError(f"{path} is no JSON table")
     if raw.lstrip()[:1] == b"{" and all(family(t) == "nested" for _, t in df.dtypes):
         df = _from_columns(df)
-    for c, t in df.dtypes:
-        if t == "string" and re.search(r"(_at|_time)$|^timestamp|^(date|modified)$", c.lower()):
-            df = df.withColumn(c, F.coalesce(parse_datetime(quoted(c)).cast("string"), quoted(c)))
+    named = [c for c, t in df.dtypes if t == "string" and re.search(r"(_at|_time)$|^timestamp|^(date|modified)$", c.lower())]
+    if named:
+        found = df.agg(*(F.count_if(blank_to_null(quoted(c)).isNotNull() & parse_datetime(quoted(c)).isNull()).alias(f"c{k}") for k, c in enumerate(named))).first()
+        dates = [c for k, c in enumerate(named) if not found[k]]  # columns named like dates whose values all are dates
+        df = df.select(*(parse_datetime(quoted(c)).alias(c) if c in dates else quoted(c) for c in df.columns))
     return IngestResult(normalised(df), "json", "utf-8")
 
 
@@ -168,8 +185,19 @@ def preview(df: DataFrame, limit: int = 50, order_by: list[str] | None = None) -
     return (df.orderBy(*order) if order else df).limit(limit).select(*(quoted(c) for c in visible(df)))
 
 
+def preview_counts(df: DataFrame, limit: int = 50) -> dict[str, int]:
+    """Rows of the table, and rows that ``preview`` returns."""
+    total = df.count()
+    return {"total_rows": total, "returned_rows": min(limit, total)}
+
+
+def cleaned_name(name: str, format: str = "csv") -> str:
+    """The name under which a cleaned dataset is written."""
+    return f"{name.rsplit('.', 1)[0] or 'dataset'}_cleaned.{format}"
+
+
 def write(df: DataFrame, path: str, format: str = "csv", order_by: list[str] | None = None) -> None:
-    """Writes csv, json (one array of records), jsonl, parquet or xlsx."""
+    """Writes csv, json (arrays of records), jsonl or parquet as a folder of part files, so no task holds the table; or xlsx, up to the rows of a sheet."""
     order = order_by or ([ROW_ID] if ROW_ID in df.columns else [])
     rows = (df.orderBy(*order) if order else df).select(*(quoted(c) for c in visible(df)))
     if format == "csv":
@@ -179,7 +207,7 @@ def write(df: DataFrame, path: str, format: str = "csv", order_by: list[str] | N
     elif format == "parquet":
         rows.write.parquet(path)
     elif format == "json":
-        lines = rows.select(F.to_json(F.struct(*(quoted(c) for c in rows.columns)), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
+        lines = rows.select(F.to_json(F.struct(*(quoted(c) for c in rows.columns)), {"ignoreNullFields": "false"}).alias("value"))
 
         def bracketed(batches):
             first = True
@@ -194,6 +222,8 @@ def write(df: DataFrame, path: str, format: str = "csv", order_by: list[str] | N
 
         lines.mapInPandas(bracketed, "value string").write.text(path)
     elif format == "xlsx":
+        if rows.count() > SHEET_ROWS:
+            raise ValueError(f"a sheet holds {SHEET_ROWS} rows: write csv or parquet")
         rows.toPandas().to_excel(path, index=False)
     else:
         raise ValueError(f"unknown format {format!r}")
