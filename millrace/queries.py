@@ -13,7 +13,8 @@ from .operators import cleaning, combine, synthetic, transform
 from .operators.profiling import outlier_rows, profile_dataframe, snapshot, visible
 from .plans import pipeline, recommend
 from .sources import catalog, files
-from .types import PipelineConfig
+from .storage import shared_dir
+from .types import PipelineConfig, profile_table
 
 # Tables with gaps and dirt, derived from the given ones; the text is valid in both engines.
 VIEWS = {
@@ -62,10 +63,9 @@ def rows(spark: SparkSession, data: list, schema: str) -> DataFrame:
 
 # --- sources and sinks ---
 
-@query("ingest_csv")
+@query("ingest_csv", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 def _(t, spark):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp"
-    path = f"{shared}/ingest-{uuid.uuid4().hex}.csv"
+    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}.csv"
     files.write(t("nation"), path, "csv")
     parts = sorted(spark.read.option("header", True).csv(path).inputFiles())
     read = [files.ingest(spark, part).dataframe for part in parts]
@@ -126,9 +126,14 @@ def _(t, spark):
     return rows(spark, [(round(p.numeric_convertible_ratio, 6),)], "ratio double")
 
 
-@query("profile_datetime_ratio", "SELECT 1.0::DOUBLE AS ratio")
+SOME_DATES = "CASE WHEN event_id % 5 = 0 THEN concat('on ', date_str) WHEN event_id % 7 = 0 THEN '2024-13-40' ELSE date_str END"
+IS_DATE = "coalesce(try_strptime({c}, '%Y-%m-%d'), try_strptime({c}, '%d/%m/%Y'), try_strptime({c}, '%m/%d/%Y'), try_strptime({c}, '%b %-d, %Y')) IS NOT NULL"
+
+
+@query("profile_datetime_ratio", f"SELECT round(avg(CASE WHEN {IS_DATE.format(c='d')} THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM (SELECT {SOME_DATES} AS d FROM messy_strings)")
 def _(t, spark):
-    return rows(spark, [(profile_dataframe(t("messy_strings"), ["date_str"])[0].datetime_convertible_ratio,)], "ratio double")
+    p = profile_dataframe(t("messy_strings").select(F.expr(SOME_DATES).alias("d")))[0]
+    return rows(spark, [(round(p.datetime_convertible_ratio, 6),)], "ratio double")
 
 
 @query("profile_is_boolean", "SELECT bool_and(lower(trim(bool_str)) IN ('true','t','yes','y','1','false','f','no','n','0')) AS is_boolean FROM messy_strings")
@@ -223,7 +228,7 @@ def _coerced(t):
 query("coerce_numeric", f"SELECT event_id, {NUM_SQL} AS num_str FROM messy_strings")(lambda t, spark: _coerced(t)[0].select("event_id", "num_str"))
 query("coerce_boolean", f"SELECT event_id, {BOOL_SQL} AS bool_str FROM messy_strings")(lambda t, spark: _coerced(t)[0].select("event_id", "bool_str"))
 query("coerce_datetime", f"SELECT event_id, {DATE_SQL} AS day FROM messy_strings")(lambda t, spark: _coerced(t)[0].select("event_id", F.date_format("date_str", "yyyy-MM-dd").alias("day")))
-query("coerce_types", f"SELECT 'num_str' AS column_name, count(*) FILTER (WHERE num_str = 'bad') AS failed FROM messy_strings UNION ALL SELECT 'bool_str', 0 UNION ALL SELECT 'date_str', 0 UNION ALL SELECT 'event_id', 0")(
+query("coerce_types", f"SELECT 'num_str' AS column_name, count(*) FILTER (WHERE num_str = 'bad') AS failed FROM messy_strings UNION ALL SELECT 'bool_str', count(bool_str) FILTER (WHERE {BOOL_SQL} IS NULL) FROM messy_strings UNION ALL SELECT 'date_str', count(date_str) FILTER (WHERE NOT ({IS_DATE.format(c='date_str')})) FROM messy_strings UNION ALL SELECT 'event_id', count(*) - count(event_id) FROM messy_strings")(
     lambda t, spark: rows(spark, [(d["column"], d["failed_count"]) for d in _coerced(t)[1].details], "column_name string, failed long")
 )
 
@@ -248,6 +253,12 @@ query("impute_constant", "SELECT event_id, coalesce(value, 7.5) AS value FROM me
 query("impute_skip", "SELECT event_id, value FROM messy_events")(_imputed("value", "skip"))
 query("impute_ffill_bfill", "SELECT event_id, coalesce(event_type, last_value(event_type IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(event_type IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS event_type FROM messy_events")(_imputed("event_type", "ffill_bfill"))
 
+FILLED = "coalesce({c}, last_value({c} IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+query("impute_ffill_all", f"SELECT event_id, ts, user_id, {FILLED.format(c='event_type')} AS event_type, value, {FILLED.format(c='ts_gap')} AS ts_gap, {FILLED.format(c='flag')} AS flag FROM messy_events")(
+    lambda t, spark: cleaning.fill_forward_backward(t("messy_events"), ["event_type", "ts_gap", "flag"], ["event_id"])
+)
+query("impute_inapplicable", "SELECT event_id, event_type FROM messy_events")(_imputed("event_type", "mean"))
+
 
 @query("impute_report", "SELECT 'value' AS column_name, 'median' AS strategy, count(*) - count(value) AS filled FROM messy_events UNION ALL SELECT 'event_type', 'mode', count(*) - count(event_type) FROM messy_events UNION ALL SELECT 'flag', 'mode', count(*) - count(flag) FROM messy_events UNION ALL SELECT 'ts_gap', 'ffill_bfill', count(*) - count(ts_gap) FROM messy_events")
 def _(t, spark):
@@ -277,7 +288,8 @@ query("outlier_flag", _outlier_sql(f"event_id, {OUTSIDE.format(c='value')} AS va
 query("outlier_clip", _outlier_sql("event_id, round(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) AS value", "events", "value", "true"))(lambda t, spark: _outliers("events", ["value"], "clip")(t)[0].select("event_id", F.round("value", 6).alias("value")))
 query("outlier_remove", _outlier_sql("event_id", "events", "value", "NOT ({o})"))(lambda t, spark: _outliers("events", ["value"], "remove")(t)[0].select("event_id"))
 query("outlier_remove_multi", _outlier_sql("doc_id", "documents", "n_chars", "NOT ({o})"))(lambda t, spark: _outliers("documents", ["doc_id", "n_chars"], "remove")(t)[0].select("doc_id"))
-query("outlier_iqr_zero", "SELECT doc_id, quality, toxic FROM labels")(lambda t, spark: _outliers("labels", ["quality", "toxic"], "remove")(t)[0])
+_ZERO = " AND ".join(f"NOT ({OUTSIDE.format(c=c).replace('q1', f'{c}_1').replace('q3', f'{c}_3')})" for c in ("quality", "toxic"))
+query("outlier_iqr_zero", f"SELECT doc_id, quality, toxic FROM labels, (SELECT quantile_cont(quality, 0.25) AS quality_1, quantile_cont(quality, 0.75) AS quality_3, quantile_cont(toxic, 0.25) AS toxic_1, quantile_cont(toxic, 0.75) AS toxic_3 FROM labels) b WHERE {_ZERO}")(lambda t, spark: _outliers("labels", ["quality", "toxic"], "remove")(t)[0])
 
 
 @query("outlier_report", _outlier_sql("'value' AS column_name, count(*) AS n_outliers, round(any_value(q1 - 1.5 * (q3 - q1)), 4) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 4) AS upper_bound", "events", "value", "{o}"))
@@ -317,7 +329,8 @@ query("scale_train_mask", "SELECT o_orderkey, round((o_totalprice - (SELECT avg(
     lambda t, spark: _scaled("orders", "o_orderkey", "o_totalprice", "standard", F.col("o_orderkey") % 2 == 0)(t, spark)
 )
 query("scale_nulls", "SELECT event_id, round((value - (SELECT avg(value) FROM messy_events)) / (SELECT stddev_pop(value) FROM messy_events), 6) AS value FROM messy_events")(_scaled("messy_events", "event_id", "value", "standard"))
-query("scale_skip_binary", "SELECT doc_id, quality, toxic FROM labels")(lambda t, spark: transform.scale_features(t("labels"), columns=["quality", "toxic"])[0])
+_BINARY = ", ".join(f"CASE WHEN (SELECT bool_and({c} IN (0, 1)) FROM labels) THEN {c} ELSE ({c} - (SELECT avg({c}) FROM labels)) / (SELECT stddev_pop({c}) FROM labels) END AS {c}" for c in ("quality", "toxic"))
+query("scale_skip_binary", f"SELECT doc_id, {_BINARY} FROM labels")(lambda t, spark: transform.scale_features(t("labels"), columns=["quality", "toxic"])[0])
 
 
 @query("scale_params", "SELECT 'o_totalprice' AS column_name, round(avg(o_totalprice), 4) AS center, round(stddev_pop(o_totalprice), 4) AS scale, count(*) AS fit_rows FROM orders")
@@ -325,6 +338,26 @@ def _(t, spark):
     return rows(spark, [(d["column"], round(d["center"], 4), round(d["scale"], 4), d["fit_rows"]) for d in transform.scale_features(t("orders"), columns=["o_totalprice"])[1].details], "column_name string, center double, scale double, fit_rows long")
 
 
+query("scale_columns", "SELECT o_orderkey, o_custkey, round((o_totalprice - (SELECT min(o_totalprice) FROM orders)) / (SELECT max(o_totalprice) - min(o_totalprice) FROM orders), 6) AS o_totalprice FROM orders")(
+    lambda t, spark: transform.scale_features(t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), method="minmax", columns=["o_totalprice", "gone"])[0].withColumn("o_totalprice", F.round("o_totalprice", 6))
+)
+query("scale_none", "SELECT o_orderkey, o_totalprice FROM orders")(lambda t, spark: transform.scale_features(t("orders").select("o_orderkey", "o_totalprice"), method="none")[0])
+query("encode_skip", "SELECT c_custkey, c_mktsegment FROM customer")(lambda t, spark: transform.encode_categoricals(t("customer").select("c_custkey", "c_mktsegment"), overrides={"c_mktsegment": "skip"})[0])
+query("fe_none", "SELECT c_custkey, c_acctbal FROM customer")(lambda t, spark: transform.engineer_features(t("customer").select("c_custkey", "c_acctbal"))[0])
+query("outlier_skip", "SELECT event_id, value FROM events")(lambda t, spark: _outliers("events", ["value"], "skip")(t)[0].select("event_id", "value"))
+query("outlier_remove_report", _outlier_sql("count(*) AS rows_removed", "events", "value", "{o}"))(
+    lambda t, spark: rows(spark, [(_outliers("events", ["value"], "remove")(t)[1].details[-1]["rows_removed"],)], "rows_removed long")
+)
+query("dup_report", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k > 1 ORDER BY doc_id LIMIT 200")(
+    lambda t, spark: rows(spark, [(k,) for k in cleaning.handle_duplicates(t("documents"), subset=["text"], order_by=["doc_id"])[1].details[0]["first_duplicates"]], "doc_id long")
+)
+query("profile_outlier_rows", _outlier_sql("event_id", "events", "value", "{o}") + " ORDER BY event_id LIMIT 100")(
+    lambda t, spark: rows(spark, [(k,) for k in profile_dataframe(t("events"), ["value"], outlier_keys=["event_id"])[0].outlier_indices], "event_id long")
+)
+query("profile_table", " UNION ALL ".join(f"SELECT {k} AS position, '{c}' AS column_name, count({c}) AS non_null, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 4) AS null_ratio, count(DISTINCT {c}) AS n_unique FROM messy_events" for k, c in enumerate(EVENTS)))(
+    lambda t, spark: profile_table(spark, profile_dataframe(t("messy_events"))).select("position", "column_name", "non_null", "null_ratio", "n_unique")
+)
+
 # --- combination ---
 
 
@@ -342,6 +375,23 @@ NULL_KEYS = "FROM nation_nullkey n FULL JOIN region_nullkey r ON n.rk IS NOT DIS
 _null_merge = lambda t: combine.combine_datasets([("nation", t("nation_nullkey")), ("region", t("region_nullkey"))], mode="merge", on=["rk"])[0]
 query("merge_null_keys", f"SELECT n_nationkey, n_name, coalesce(n.rk, r.rk) AS rk, r_name {NULL_KEYS}")(lambda t, spark: _null_merge(t))
 query("merge_unmatched", f"SELECT count(*) FILTER (WHERE coalesce(n.rk, r.rk) IS NULL) AS n {NULL_KEYS}")(lambda t, spark: rows(spark, [(combine.null_key_rows(_null_merge(t), ["rk"]),)], "n long"))
+query("combine_single", "SELECT s_suppkey, s_name FROM supplier")(lambda t, spark: combine.combine_datasets([("supplier", t("supplier").select("s_suppkey", "s_name"))])[0])
+
+
+@query("merge_report", """SELECT (SELECT count(*) FROM customer) AS rows_before, count(*) AS rows_produced, count(*) FILTER (WHERE o_orderkey IS NULL) AS unmatched_left, count(*) FILTER (WHERE c_name IS NULL) AS unmatched_right
+    FROM customer FULL JOIN orders ON c_custkey = o_custkey""")
+def _(t, spark):
+    parts = [("customer", t("customer").select(F.col("c_custkey").alias("k"), "c_name")), ("orders", t("orders").select(F.col("o_custkey").alias("k"), "o_orderkey"))]
+    d = combine.combine_datasets(parts, mode="merge", on=["k"])[1].details[0]
+    return rows(spark, [(d["rows_before"], d["rows_produced"], d["unmatched_left"], d["unmatched_right"])], "rows_before long, rows_produced long, unmatched_left long, unmatched_right long")
+
+
+@query("concat_report", "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS rows_expected, count(*) AS rows_produced FROM (SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier)")
+def _(t, spark):
+    d = combine.combine_datasets([("customer", t("customer")), ("supplier", t("supplier"))])[1].details[0]
+    return rows(spark, [(d["rows_expected"], d["rows_produced"])], "rows_expected long, rows_produced long")
+
+
 query("merge_suffix", "SELECT d.doc_id, d.lang, e.lang AS lang__other FROM documents d JOIN documents e ON d.doc_id = e.doc_id")(
     lambda t, spark: combine.combine_datasets([("docs", t("documents").select("doc_id", "lang")), ("other", t("documents").select("doc_id", "lang"))], mode="merge", on=["doc_id"], how="inner")[0]
 )
@@ -351,16 +401,21 @@ query("combine_merge_3way", "SELECT d.doc_id, d.lang, l.quality, l.toxic, m.qual
 
 # --- recommendations ---
 
-query("rec_target", "SELECT 'embeddings' AS table_name, 'label' AS target UNION ALL SELECT 'labels', NULL UNION ALL SELECT 'events', 'event_type'")(
+_named = lambda t: f"(SELECT min(column_name) FROM (DESCRIBE {t}) WHERE lower(column_name) IN ('target', 'label', 'class', 'y'))"
+query("rec_target", f"SELECT 'embeddings' AS table_name, {_named('embeddings')} AS target UNION ALL SELECT 'labels', {_named('labels')} UNION ALL SELECT 'events', coalesce({_named('events')}, (SELECT CASE WHEN count(DISTINCT event_type) BETWEEN 2 AND 20 THEN 'event_type' END FROM events))")(
     lambda t, spark: rows(spark, [(n, recommend.detect_target(profile_dataframe(t(n)))) for n in ("embeddings", "labels", "events")], "table_name string, target string")
 )
-query("rec_problem_type", "SELECT 'embeddings' AS table_name, 'regression' AS problem UNION ALL SELECT 'labels', 'clustering' UNION ALL SELECT 'events', 'multiclass_classification'")(
+query("rec_problem_type", f"""SELECT 'embeddings' AS table_name, CASE WHEN {_named('embeddings')} IS NULL THEN 'clustering' WHEN (SELECT column_type FROM (DESCRIBE embeddings) WHERE column_name = 'label') LIKE '%INT%' THEN 'regression' END AS problem
+    UNION ALL SELECT 'labels', CASE WHEN {_named('labels')} IS NULL AND (SELECT bool_and(column_type LIKE '%INT%') FROM (DESCRIBE labels)) THEN 'clustering' END
+    UNION ALL SELECT 'events', (SELECT CASE WHEN count(DISTINCT event_type) = 2 THEN 'binary_classification' WHEN count(DISTINCT event_type) <= 20 THEN 'multiclass_classification' END FROM events)""")(
     lambda t, spark: rows(spark, [(n, recommend.recommend_algorithms(t(n)).problem) for n in ("embeddings", "labels", "events")], "table_name string, problem string")
 )
 query("rec_class_balance", "SELECT count(*) AS classes, round(max(n) / CAST(min(n) AS DOUBLE), 2) AS ratio, max(n) >= 4.0 * min(n) AS is_imbalanced FROM (SELECT count(*) AS n FROM events GROUP BY event_type)")(
     lambda t, spark: rows(spark, [tuple(recommend.class_balance(t("events"), "event_type")[k] for k in ("classes", "ratio", "is_imbalanced"))], "classes long, ratio double, is_imbalanced boolean")
 )
 
+query("rec_class_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")(lambda t, spark: rows(spark, [*recommend.class_balance(t("events"), "event_type")["class_counts"].items()], "event_type string, n long"))
+
 
 @query("rec_characteristics", "SELECT count(*) AS n_rows, 5 AS n_features, round(5.0 / count(*), 4)::DOUBLE AS ratio, 0.0::DOUBLE AS missing FROM events")
 def _(t, spark):
@@ -393,11 +448,12 @@ query("chat_intent", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_has(w)} T
 
 
 @query("pipeline_flagship", f"""
-    SELECT event_id AS key, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 5) AS value, e AS signup
-    FROM (SELECT event_id, coalesce(value, {MEDIAN}) AS v, CAST(coalesce(event_type, {MODE}) = 'signup' AS INT) AS e FROM messy_events)""")
+    SELECT event_id AS key, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 5) AS value, e AS signup, strftime(g, '%Y-%m-%d %H:%M:%S') AS ts_gap,
+        round(coalesce((day(g) - avg(day(g)) OVER ()) / nullif(stddev_pop(day(g)) OVER (), 0), 0), 5) AS gap_day
+    FROM (SELECT event_id, coalesce(value, {MEDIAN}) AS v, CAST(coalesce(event_type, {MODE}) = 'signup' AS INT) AS e, {FILLED.format(c='ts_gap')} AS g FROM messy_events)""")
 def _(t, spark):
     out, _ = pipeline.run_pipeline(t("messy_events").withColumn("key", F.concat(F.lit("k"), F.col("event_id").cast("string"))), order_by=["event_id"])
-    return out.select(F.substring("key", 2, 20).cast("long").alias("key"), F.round("value", 5).alias("value"), F.col("event_type_signup").alias("signup"))
+    return out.select(F.substring("key", 2, 20).cast("long").alias("key"), F.round("value", 5).alias("value"), F.col("event_type_signup").alias("signup"), F.date_format("ts_gap", "yyyy-MM-dd HH:mm:ss").alias("ts_gap"), F.round("ts_gap__day", 5).alias("gap_day"))
 
 
 @query("pipeline_multi_source", "SELECT 'combine_datasets' AS step, 0 AS position, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS rows_after")
@@ -409,16 +465,49 @@ def _(t, spark):
 _STEPS = ("coerce_types", "impute_missing", "handle_duplicates", "handle_outliers", "encode_categoricals", "engineer_features", "scale_features")
 
 
-@query("audit_steps", " UNION ALL ".join(f"SELECT {k} AS position, '{n}' AS step, count(*) AS rows_before, count(*) AS rows_after FROM messy_events" for k, n in enumerate(_STEPS)))
+_PAIRS = f"(SELECT count(*) FROM (SELECT DISTINCT user_id, coalesce(event_type, {MODE}) FROM messy_events))"
+
+
+@query("audit_steps", " UNION ALL ".join(
+    f"SELECT {k} AS position, '{n}' AS step, {'count(*)' if k <= 2 else f'any_value({_PAIRS})'} AS rows_before, {'count(*)' if k < 2 else f'any_value({_PAIRS})'} AS rows_after, "
+    f"{'sum(' + ' + '.join(f'({c} IS NULL)::INT' for c in EVENTS) + ')' if k <= 1 else '0'}::BIGINT AS nulls_before, {'sum(' + ' + '.join(f'({c} IS NULL)::INT' for c in EVENTS) + ')' if k < 1 else '0'}::BIGINT AS nulls_after FROM messy_events"
+    for k, n in enumerate(_STEPS)
+))
+def _(t, spark):
+    _, trail = pipeline.run_pipeline(t("messy_events"), PipelineConfig(dedupe=True, dedupe_subset=["user_id", "event_type"]), order_by=["event_id"])
+    return trail.table(spark).select("position", "step", "rows_before", "rows_after", "nulls_before", "nulls_after")
+
+
+@query("run_step", "SELECT 'handle_duplicates' AS step, count(*) AS rows_before, count(DISTINCT text) AS rows_after FROM documents")
 def _(t, spark):
-    _, trail = pipeline.run_pipeline(t("messy_events"), order_by=["event_id"])
-    return rows(spark, [(k, s.name, s.before.rows, s.after.rows) for k, s in enumerate(trail.steps)], "position int, step string, rows_before long, rows_after long")
+    _, report = pipeline.run_step(t("documents").select("text"), lambda df: cleaning.handle_duplicates(df, drop=True))
+    return rows(spark, [(report.name, report.before.rows, report.after.rows)], "step string, rows_before long, rows_after long")
 
 
 # --- synthetic rows ---
 
 query("synthetic_rows")(lambda t, spark: synthetic.generate_synthetic(t("events").select("event_id", "ts", "event_type", "value"), n_rows=500, seed=7)[0])
 query("synthetic_augment")(lambda t, spark: synthetic.augment_with_synthetic(t("customer"), n_rows=200, seed=7)[0])
+
+@query("synthetic_invariants", "SELECT 500 AS n_rows, 0 AS nulls, count(DISTINCT event_type)::INT AS n_types, 0 AS foreign_types, 0 AS outside_span FROM events")
+def _(t, spark):
+    """Many draws have every frequent category, none that the source lacks, and no moment outside of its span."""
+    events = t("events").select("event_id", "ts", "event_type", "value")
+    made = synthetic.generate_synthetic(events, n_rows=500, seed=7)[0]
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    known = events.select("event_type").distinct().withColumn("known", F.lit(True))
+    marked = made.join(F.broadcast(known), "event_type", "left").join(F.broadcast(span))  # few types, one span
+    nulls = F.count_if(F.col("ts").isNull() | F.col("event_type").isNull() | F.col("value").isNull() | F.col("event_id").isNull())
+    return marked.agg(F.count(F.lit(1)).cast("int").alias("n_rows"), nulls.cast("int").alias("nulls"), F.count_distinct("event_type").cast("int").alias("n_types"), F.count_if(F.col("known").isNull()).cast("int").alias("foreign_types"), F.count_if((F.col("ts") < F.col("lo")) | (F.col("ts") > F.col("hi"))).cast("int").alias("outside_span"))
+
+
+@query("augment_keeps_source", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def _(t, spark):
+    """The source's rows among the augmented ones: placeholders name the others."""
+    out, _ = pipeline.run_synthetic_augmentation(t("customer"), n_rows=200, seed=7)
+    return out.where(~F.startswith("c_name", F.lit("synthetic_")))
+
+
 query("synthetic_identifier", "SELECT 'synthetic_c_name_' || i AS c_name FROM range(100) r(i)")(lambda t, spark: synthetic.generate_synthetic(t("customer").select("c_name"), n_rows=100, seed=1)[0])
 
 

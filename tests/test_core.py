@@ -1,10 +1,11 @@
 import pytest
 
 from millrace.functions.parsing import parse_datetime, parse_number
-from millrace.operators import cleaning, combine, transform
+from millrace.operators import cleaning, combine, profiling, ranks, synthetic, transform
 from millrace.operators.profiling import profile_dataframe
 from millrace.plans import pipeline, recommend
-from millrace.sources import files
+from millrace.sources import catalog, files
+from millrace.streaming import apply
 from millrace.types import ROW_ID, DataLossError, PipelineConfig, Snapshot, StepReport
 from pyspark.sql import functions as F
 
@@ -173,3 +174,138 @@ def test_ingest_query_reads_every_part_file(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sorted(int(r.n_nationkey) for r in got) == list(range(3000))
+
+
+def filled_by_force(values):
+    last, out = None, []
+    for v in values:
+        last = v if v is not None else last
+        out.append(last)
+    first = next((v for v in values if v is not None), None)
+    return [first if v is None else v for v in out]
+
+
+def test_fill_of_many_rows_with_other_columns(spark):
+    n = 100_000
+    gap = lambda k, head, every: None if k < head or k % every == 0 or 30_000 < k < 62_000 else k
+    df = spark.range(n, numPartitions=7).select("id", (F.col("id") * 7 % 1000).alias("other"), F.concat(F.lit("t"), "id").alias("text"),
+        F.when(~((F.col("id") < 27_001) | (F.col("id") % 3 == 0) | F.col("id").between(30_001, 61_999)), F.col("id")).alias("a"),
+        F.when(~((F.col("id") < 5) | (F.col("id") % 11 == 0) | F.col("id").between(30_001, 61_999)), F.col("id")).alias("b"), F.lit(None).cast("int").alias("never"))
+    got = {r.id: (r.other, r.text, r.a, r.b, r.never) for r in cleaning.fill_forward_backward(df, ["a", "b", "never"], ["id"]).collect()}
+    a, b = (filled_by_force([gap(k, head, every) for k in range(n)]) for head, every in ((27_001, 3), (5, 11)))
+    assert len(got) == n and all(got[k] == (k * 7 % 1000, f"t{k}", a[k], b[k], None) for k in range(n))
+
+
+def test_row_numbers_and_quantiles(spark):
+    df = spark.range(1000, numPartitions=5).select(((F.col("id") * 37) % 1000).alias("v"), F.when(F.col("id") < 10, F.col("id").cast("double")).alias("w"), F.lit(None).cast("double").alias("none"))
+    assert all(r.v == r.n for r in ranks.number_rows(df.select("v"), ["v"], "n").collect())
+    assert sorted(r.n for r in ranks.number_rows(df.select("v"), name="n").collect()) == [*range(1000)]
+    assert ranks.quantiles(df, {"v": F.col("v"), "w": F.col("w"), "none": F.col("none")}, (0.25, 0.5, 1.0)) == {"v": [249.75, 499.5, 999.0], "w": [2.25, 4.5, 9.0]}
+
+
+def test_profiles_with_many_values_take_the_sort(spark, monkeypatch):
+    df = spark.createDataFrame([(float(v),) for v in (10, 12, 11, 13, 12, 11, 500, 12, 10, 13)], "value double")
+    direct = profile_dataframe(df)[0]
+    monkeypatch.setattr(profiling, "PERCENTILE_VALUES", 3)
+    sorted_ = profile_dataframe(df)[0]
+    assert direct.quartiles == sorted_.quartiles == (11.0, 12.0, 12.75) and direct.bounds == sorted_.bounds == (8.375, 15.375) and sorted_.outlier_count == 1
+
+
+def test_profile_names_outlying_rows_and_samples(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate((10, 12, 11, 13, 12, 11, 500, 12, 10, 13))], f"{ROW_ID} long, value int")
+    p = profile_dataframe(df, samples=True)[0]
+    assert p.outlier_indices == [6] and p.sample_values == ["10", "12", "11", "13", "500"]
+
+
+def test_many_labels_are_numbered_without_a_map(spark, monkeypatch):
+    monkeypatch.setattr(transform, "LABEL_JOIN_VALUES", 5)
+    df = spark.createDataFrame([(k, f"cat_{k % 30:02d}") for k in range(120)] + [(200, None)], "k int, tag string")
+    got = {r.k: r.tag for r in transform.encode_categoricals(df)[0].collect()}
+    assert got == {k: k % 30 for k in range(120)} | {200: -1}
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(transform, "ONE_HOT_VALUES", 10)
+        transform.encode_categoricals(df, overrides={"tag": "one_hot"})
+
+
+def test_outlier_warnings_and_removed_rows(spark):
+    df = spark.createDataFrame([(v,) for v in (10, 12, 11, 13, 12, 11, 500, 12, 10, 13)], "value int")
+    assert "left as they are" in transform.handle_outliers(df, default_strategy="skip")[1].warnings[0]
+    assert "unknown" in transform.handle_outliers(df, default_strategy="burn")[1].warnings[0]
+    assert transform.handle_outliers(df, default_strategy="remove")[1].details[-1]["rows_removed"] == 1
+
+
+def test_merge_accounts_for_rows(spark):
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, x string")
+    b = spark.createDataFrame([(2, "d"), (3, "e"), (None, "f")], "id int, y string")
+    out, report = combine.combine_datasets([("a", a), ("b", b)], mode="merge", on=["id"])
+    d = report.details[0]
+    assert (out.count(), d["rows_before"], d["rows_produced"], d["unmatched_left"], d["unmatched_right"], d["null_key_rows"]) == (4, 3, 4, 1, 1, 1)
+    assert "4" in report.warnings[0]
+
+
+def test_catalog_keeps_lineage(spark):
+    parent = catalog.register(spark.range(3).toDF("x"), "raw")
+    child = catalog.register(catalog.get(spark, parent).where("x > 0"), "clean", parent=parent, warnings=["one"])
+    noted = {r.view: r for r in catalog.datasets(spark).collect()}
+    assert noted[child].parent == parent and catalog.summary(spark, child)["rows"] == 2
+    with pytest.raises(KeyError):
+        catalog.get(spark, "dataset_none")
+
+
+def test_many_files_and_json_dates(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"two\nlines"\n2,x\n')
+    (tmp_path / "b.json").write_text('[{"created_at": "2024-01-02", "date": "soon"}, {"created_at": null, "date": "2024-01-01"}]')
+    found = files.ingest_all(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.json")])
+    assert [r.b for r in found[0][1].dataframe.collect()] == ["two\nlines", "x"]
+    assert {c: t for c, t in found[1][1].dataframe.dtypes if c != ROW_ID} == {"created_at": "timestamp_ntz", "date": "string"}
+    assert catalog.get(spark, found[0][0]).count() == 2
+    with pytest.raises(ValueError):
+        files.ingest_all(spark, [str(tmp_path / "gone.csv")])
+    assert files.cleaned_name("sales.v2.csv", "json") == "sales.v2_cleaned.json"
+
+
+def test_json_folder_holds_arrays(spark, tmp_path):
+    df = spark.range(10, numPartitions=3).select("id", F.lit(None).cast("string").alias("none"))
+    files.write(df, str(tmp_path / "out.json"), "json")
+    back = spark.read.option("multiLine", True).json(str(tmp_path / "out.json"))
+    assert sorted(r.id for r in back.collect()) == [*range(10)]
+    assert files.preview_counts(df, 4) == {"total_rows": 10, "returned_rows": 4}
+
+
+def test_text_datetimes_are_drawn_from_their_span(spark):
+    df = spark.createDataFrame([(f"2024-01-{1 + k % 20:02d}",) for k in range(60)], "day string")
+    made, _ = synthetic.generate_synthetic(df, n_rows=50, seed=3)
+    low, high = made.agg(F.min("day"), F.max("day")).first()
+    assert dict(made.dtypes)["day"] == "timestamp_ntz" and str(low) >= "2024-01-01" and str(high) < "2024-01-20 00:00:01" and made.distinct().count() > 20
+
+
+def test_fitted_steps_on_a_stream(spark, tmp_path):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate((10.0, 12.0, 11.0, 13.0, 12.0, 11.0, 500.0, 12.0, None, 13.0))], "id int, value double")
+    df.write.parquet(str(tmp_path / "in"))
+    fills = cleaning.impute_missing(df)[1]
+    flags = transform.handle_outliers(df, columns=["value"])[1]
+    scaling = transform.scale_features(df, columns=["value"])[1]
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = apply.apply_scaling(apply.apply_outlier_flags(apply.apply_fills(stream, fills), flags), scaling)
+    query = out.writeStream.format("memory").queryName("fitted").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.awaitTermination(120)
+    got = {r.id: r for r in spark.table("fitted").collect()}
+    assert len(got) == 10 and [k for k, r in got.items() if r.value__is_outlier] == [6]
+    d = scaling.details[0]
+    assert abs(got[8].value - (12.0 - d["center"]) / d["scale"]) < 1e-9
+
+
+def test_repeats_are_dropped_within_the_watermark(spark, tmp_path):
+    spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:05"), (2, "2024-01-01 00:00:07")], "k int, at string").selectExpr("k", "cast(at AS timestamp) AS at").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, at timestamp").parquet(str(tmp_path / "in"))
+    query = apply.drop_repeats(stream, ["k"], "at", "1 minute").writeStream.format("memory").queryName("repeats").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.awaitTermination(120)
+    assert sorted(r.k for r in spark.table("repeats").collect()) == [1, 2]
+
+
+def test_class_counts_and_trail_table(spark):
+    df = spark.createDataFrame([(k, "a" if k < 4 else "b") for k in range(20)], "feature int, label string")
+    assert recommend.class_balance(df, "label")["class_counts"] == {"b": 16, "a": 4}
+    _, trail = pipeline.run_pipeline(df, order_by=["feature"])
+    assert [r.step for r in trail.table(spark).orderBy("position").collect()] == [s.name for s in trail.steps]
+    assert trail.columns(spark).count() > 0
