@@ -1,12 +1,17 @@
 """Exact Jaccard self-join of word shingles by relations between sets.
 
-The inverted index holds the prefix of each set, rarest shingles first, with
-positions. Its lists are cut into blocks of like set sizes, and a block, or an
-entry whose position leaves too few shingles, is skipped. Sets take over the
-answers of a similar set: in each round every list names a leader, sets are
-compared with their leaders, and what a leader links to is one component that
-needs no comparison inside. Rounds with new leaders follow until few pairs
-between components are left in the lists; those are all compared.
+Sets take over the answers of a highly similar set: near copies, which agree in
+minima of their shingles, name a leader, are compared with it, and what leads
+to one leader is one component that needs no comparison inside. Rounds with new
+leaders follow while many near copies stand in different components.
+
+The inverted index then holds the prefix of each set, rarest shingles first,
+with positions. A list inside one component is skipped; long lists are cut into
+blocks of like set sizes, and a pair of entries is skipped whose sizes or
+positions leave too few common shingles, counting only those that any set of
+another component has. Pairs of different components that
+meet in enough lists are compared exactly, those first that may join two
+components, so that the others need no comparison.
 
 ``links`` gives every link, those inside components too: sets that link to one
 leader are described by their differences from it, and their links follow from
@@ -15,7 +20,6 @@ those differences alone; all other pairs of the lists are compared.
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import discard, stored
+from .joins import checked_broadcast
+from .scratch import discard, small_batches, stored
 from .textkit import BLANKS, Chunk, byte_codes, chunks, mix, owner
 
 #: A shingle that so many different sets of one batch have is counted over the corpus.
@@ -33,9 +38,19 @@ HEAVY_IN_BATCH = 3
 HEAVY_SHINGLES = 200_000
 #: Prefixes are so long that sets with a link share so many shingles of them at least.
 SHARED = 4
+#: Minima of a set's shingles under so many hash functions; near copies agree in most.
+SKETCH = 4
+#: A set is compared with a leader that has so many of these minima too; the index finds what this misses.
+SAME_MINIMA = 2
 MAX_ROUNDS = 8
-#: Rounds end once the lists hold so many entries of pairs between components for each document, or a round takes few away.
-PAIRS_A_DOCUMENT = 40
+#: Another round follows one that finds so many links for each set.
+LINKS_A_SET = 0.05
+#: A list of so many entries is paired where it is gathered; longer ones are joined by blocks of like sizes.
+SHORT_LIST = 64
+#: Lists of frequent shingles are gathered in so many parts.
+SALTS = 64
+#: Pairs of texts that are compared at once.
+PAIRS_AT_ONCE = 256
 #: Members of one leader whose pairs are made in one task, about; larger groups are cut into squares of so many.
 MEMBERS_A_BUCKET = 500
 
@@ -77,12 +92,41 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, n - -(-percent * n // 100) + least_shared(percent))
 
 
+def _lists(values: list[np.ndarray], first: list[np.ndarray]) -> pa.Array:
+    """An Arrow column of lists, from the values and list starts of each chunk."""
+    parts = [pa.LargeListArray.from_arrays(pa.array(f, pa.int64()), pa.array(v.view(np.int64))) for v, f in zip(values, first)]
+    return pa.concat_arrays(parts).cast(pa.list_(pa.int64())) if parts else pa.array([], pa.list_(pa.int64()))
+
+
+def _minima(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SKETCH minima for each set, one after another; zeros for an empty one."""
+    found = np.zeros((len(first) - 1, SKETCH), np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    for k in range(SKETCH if len(full) else 0):
+        with np.errstate(over="ignore"):
+            found[full, k] = np.minimum.reduceat(mix(hashes + np.uint64(k)), first[full])
+    return found.ravel()
+
+
+def _often(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that come up HEAVY_IN_BATCH times at least in all parts together, and how often; by ranges of hashes, to hold few of them twice."""
+    names, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(16 if parts else 0):
+        some = np.concatenate([p[p >> np.uint64(60) == k] for p in parts])
+        some.sort()
+        last = np.flatnonzero(np.append(some[1:] != some[:-1], True)) if len(some) else np.zeros(0, np.int64)
+        n = np.diff(last, prepend=-1)
+        names.append(some[last[n >= HEAVY_IN_BATCH]].view(np.int64))
+        counts.append(n[n >= HEAVY_IN_BATCH])
+    return np.concatenate(names), np.concatenate(counts)
+
+
 def _fingerprint_batches(shingle: int):
-    """Writes for each text its set's size and fingerprint, then shingles that several different sets of the batch have."""
+    """Writes for each text its set's size, fingerprint and minima, then shingles that several different sets of the batch have."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, sizes, prints, heavy, seen = batch.column(0), [], ([], []), [], np.zeros(0, np.uint64)
+            docs, sizes, prints, minima, heavy, seen = batch.column(0), [], ([], []), [], [], np.zeros(0, np.uint64)
             for chunk in chunks(batch.column(1)):
                 hashes, first = shingle_sets(chunk, shingle)
                 total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(h))) for h in (hashes, mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
@@ -90,28 +134,27 @@ def _fingerprint_batches(shingle: int):
                 sizes.append(np.diff(first))
                 prints[0].append(both[0])
                 prints[1].append(both[1])
+                minima.append(_minima(hashes, first))
                 _, once = np.unique(both[0], return_index=True)
                 once = once[~np.isin(both[0][once], seen)]  # copies don't make a shingle frequent
                 seen = np.concatenate((seen, both[0][once]))
                 heavy.append(hashes[np.isin(owner(first), once)])
-            names, n = np.unique(np.concatenate(heavy), return_counts=True) if heavy else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= HEAVY_IN_BATCH
-            names, n = names[often].view(np.int64), n[often]
+            names, n = _often(heavy)
             join = lambda parts: pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([docs, pa.nulls(len(n), docs.type)]), pa.concat_arrays([join(sizes), pa.array(n, pa.int64())]), pa.concat_arrays([join(prints[0]), pa.array(names, pa.int64())]), pa.concat_arrays([join(prints[1]), pa.nulls(len(n), pa.int64())])],
-                names=["doc", "n", "p1", "p2"],
-            )
+            sketches = _lists(minima, [np.arange(0, len(m) + 1, SKETCH) for m in minima])
+            more = pa.nulls(len(n), pa.int64())
+            columns = ((docs, pa.nulls(len(n), docs.type)), (join(sizes), pa.array(n, pa.int64())), (join(prints[0]), pa.array(names, pa.int64())), (join(prints[1]), more), (sketches, pa.nulls(len(n), sketches.type)))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(parts) for parts in columns], names=["doc", "n", "p1", "p2", "minima"])
 
     return batches_of
 
 
 def _prefix_batches(heavy: np.ndarray, rank: np.ndarray, shingle: int, percent: int):
-    """Writes doc, n and the prefix (shingles in order) of each set."""
+    """Writes doc, n, the prefix (shingles in order) of each set and how many shingles of it come before the frequent ones."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, lists = [], []
+            sizes, rare, values, starts = [], [], [], []
             for chunk in chunks(batch.column(1)):
                 hashes, first = shingle_sets(chunk, shingle)
                 n = np.diff(first)
@@ -120,122 +163,234 @@ def _prefix_batches(heavy: np.ndarray, rank: np.ndarray, shingle: int, percent:
                     at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
                     order = np.where(heavy[at] == hashes, rank[at], 0)
                 text = owner(first)
-                hashes = hashes[np.lexsort((hashes, order, text))]
+                ordered = np.lexsort((hashes, order, text))
                 keep = np.where(n >= least_size(percent), prefix_length(n, percent), 0)
                 inside = np.arange(len(hashes)) - first[text] < keep[text]
-                offsets = np.concatenate(([0], np.cumsum(keep)))
-                lists.append(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(hashes[inside].view(np.int64))))
+                values.append(hashes[ordered][inside])
+                starts.append(np.concatenate(([0], np.cumsum(keep))))
+                rare.append(np.bincount(text[order == 0], minlength=len(n)))
                 sizes.append(n)
-            column = pa.concat_arrays(lists).cast(pa.list_(pa.int64())) if lists else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), column], names=["doc", "n", "prefix"])
+            join = lambda parts: pa.array(np.concatenate(parts).astype(np.int32) if parts else [], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), join(sizes), join(rare), _lists(values, starts)], names=["doc", "n", "rare", "prefix"])
 
     return batches_of
 
 
+def _sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The shingles of each text, ascending."""
+    found = []
+    for chunk in chunks(texts):
+        hashes, first = shingle_sets(chunk, shingle)
+        found += np.split(hashes, first[1:-1])
+    return found
+
+
 def _set_batches(shingle: int):
     """Writes doc and the shingles of each set."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = []
-            for chunk in chunks(batch.column(1)):
-                hashes, first = shingle_sets(chunk, shingle)
-                lists.append(pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(hashes.view(np.int64))))
-            column = pa.concat_arrays(lists).cast(pa.list_(pa.int64())) if lists else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["doc", "items"])
+            found = [shingle_sets(chunk, shingle) for chunk in chunks(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([h for h, _ in found], [f for _, f in found])], names=["doc", "items"])
+
+    return batches_of
+
+
+def _link_batches(shingle: int, percent: int):
+    """Keeps the pairs (a, b, and their texts) whose sets are similar enough."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, PAIRS_AT_ONCE):
+                batch = whole.slice(start, PAIRS_AT_ONCE)
+                both = zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle))
+                linked = []
+                for x, y in both:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+
+    return batches_of
+
+
+#: Kinds of rows of ``_meeting_batches``, and of index entries.
+PAIR, ENTRY, SHARED = 0, 1, 2
+PLAIN, BESIDE_FREQUENT, FREQUENT = 0, 1, 2
+
+
+def _meeting_batches(percent: int):
+    """From index entries in order of shingles: the pairs of short lists that may link, and the entries of other lists as they are.
+
+    Of sets that have frequent shingles in their prefix, the entries of short
+    lists that hold several components come too (SHARED).
+    """
+    names = ["kind", "shingle", "a", "b", "c1", "c2", "n1", "n2", "i", "known"]
+
+    def rows(kind: int, x: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) -> dict[str, np.ndarray]:
+        found = {"kind": np.full(len(one), kind), "shingle": x["shingle"][one], "i": x["i"][one], "known": (x["often"][one] > PLAIN).astype(np.int64)}
+        return found | {f: x[k][at] for f, k, at in (("a", "doc", one), ("b", "doc", two), ("c1", "comp", one), ("c2", "comp", two), ("n1", "n", one), ("n2", "n", two))}
+
+    def pairs_of(x: dict[str, np.ndarray], at: np.ndarray, run: np.ndarray) -> list[dict[str, np.ndarray]]:
+        """Pairs of the entries ``at``, which lie in lists ``run``."""
+        found = []
+        for step in range(1, int(np.unique(run, return_counts=True)[1].max(initial=0))):
+            one = np.flatnonzero(run[step:] == run[:-step])
+            one, two = at[one], at[one + step]
+            swap = x["doc"][one] > x["doc"][two]
+            one, two = np.where(swap, two, one), np.where(swap, one, two)
+            n1, n2, i1, i2 = x["n"][one], x["n"][two], x["i"][one], x["i"][two]
+            most = np.minimum(i1, i2) + np.minimum(n1 - i1, n2 - i2)
+            good = (x["comp"][one] != x["comp"][two]) & (100 * most >= percent * (n1 + n2 - most)) & (x["doc"][one] != x["doc"][two])
+            found.append(rows(PAIR, x, one[good], two[good]))
+        return found
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+        long = None  # the shingle of a long list that goes on in the next batch
+
+        def settle(x: dict[str, np.ndarray], ended: bool) -> pa.RecordBatch:
+            """Rows of the lists that have ended; the entries of the last one are kept until it has."""
+            nonlocal long, rest
+            size = len(x["shingle"])
+            if not size:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * len(names), names=names)
+            starts = np.flatnonzero(np.concatenate(([True], x["shingle"][1:] != x["shingle"][:-1])))
+            length = np.diff(np.append(starts, size))
+            run = np.repeat(np.arange(len(starts)), length)
+            several = (np.minimum.reduceat(x["comp"], starts) != np.maximum.reduceat(x["comp"], starts))[run]
+            whole = (length[run] > SHORT_LIST) | (x["often"] == FREQUENT)
+            whole |= False if long is None else x["shingle"] == long
+            going = np.zeros(size, bool) if ended else (run == run[-1]) & ~whole
+            long = x["shingle"][-1] if not ended and whole[-1] else None
+            rest = {k: v[going] for k, v in x.items()}
+            mixed = np.flatnonzero(~whole & ~going & several)
+            entry, beside = np.flatnonzero(whole), mixed[x["often"][mixed] == BESIDE_FREQUENT]
+            parts = [rows(ENTRY, x, entry, entry), rows(SHARED, x, beside, beside), *pairs_of(x, mixed, run[mixed])]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]), pa.int64()) for k in names], names=names)
+
+        for batch in batches:
+            x = {k: batch.column(j).to_numpy(zero_copy_only=False).astype(np.int64) for j, k in enumerate(("shingle", "doc", "comp", "n", "i", "often"))}
+            yield settle({k: np.concatenate((rest[k], v)) for k, v in x.items()} if rest else x, False)
+        if rest:
+            yield settle(rest, True)
 
     return batches_of
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``doc`` and ``comp``, the least document that links lead to, for the ends of ``edges`` (a, b); labels spread to neighbours and jump along labels."""
+    """A stored table of ``doc`` and ``comp``, the least document that links lead to, for the ends of ``edges`` (a, b); labels spread to neighbours and jump along labels."""
     both = stored(edges.select(F.col("a").alias("doc"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy("doc").agg(F.least(F.min("doc"), F.min("other")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("doc").alias("other"), "comp"), "other").groupBy("doc").agg(F.min("comp").alias("near"))
-        lower = labels.join(near, "doc").select("doc", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
+        lower = labels.select("doc", "comp").join(near, "doc").select("doc", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         jump = labels.select(F.col("doc").alias("to"), F.col("comp").alias("far"))
         moved = stored(lower.join(jump, "to", "left").select("doc", F.least("to", F.coalesce("far", "to")).alias("comp"), "was"), "labels")
+        discard(labels)
+        labels = moved
         if not moved.where("comp <> was").limit(1).count():
-            return moved.select("doc", "comp")
-        labels = moved.select("doc", "comp")
-
-
-def _enough(n: Column, m: Column, common: Column, percent: int) -> Column:
-    """100 * intersection >= percent * union."""
-    return 100 * common >= percent * (n + m - common)
-
-
-def _may_link(percent: int) -> Column:
-    """Two entries of a list leave room for enough common shingles: e of those before them are in any other set, and all after them may be."""
-    rest = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
-    return _enough(F.col("n1"), F.col("n2"), F.least("e1", "e2") + rest, percent)
+            discard(both)
+            return moved
 
 
 def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, compared exactly; sets are made from the texts of documents in a pair."""
+    """The pairs (a, b) whose sets are similar enough, compared exactly; only texts of documents in a pair are moved."""
     needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    spelled = texts.join(checked_broadcast(needed), "doc", "left_semi")
     doc_type = texts.schema["doc"].dataType.simpleString()
-    sets = stored(texts.join(needed, "doc", "left_semi").mapInArrow(_set_batches(shingle), f"doc {doc_type}, items array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    sized = both.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), common.alias("common"))
-    found = stored(sized.where(_enough(F.col("n"), F.col("m"), F.col("common"), percent)).select("a", "b"), "links")
-    discard(sets)
-    return found
-
-
-def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs that meet in enough lists.
-
-    Of the two prefixes, all of the one that ends first must be in the other
-    but for the shingles that may differ.
-    """
-    lower = F.col("a") < F.col("b")
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(lower, F.col("n1")).otherwise(F.col("n2")).alias("n1"), F.when(lower, F.col("n2")).otherwise(F.col("n1")).alias("n2"))
-    common = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
-    must = [least_shared(percent) - F.ceil(percent * F.col(n) / 100) + common for n in ("n1", "n2")]  # prefix length - (n - common)
-    return stored(met.groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.least(*must))).select("a", "b"), "pairs")
+    one = pairs.join(spelled.alias("s1"), F.col("a") == F.col("s1.doc")).select("a", "b", F.col("s1.text").alias("x"))
+    both = one.join(spelled.alias("s2"), F.col("b") == F.col("s2.doc")).select("a", "b", "x", F.col("s2.text").alias("y"))
+    with small_batches(pairs.sparkSession):
+        return stored(both.mapInArrow(_link_batches(shingle, percent), f"a {doc_type}, b {doc_type}"), "links")
 
 
-def _index(texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Size and class of each row, the document that stands for each class, and the lists of its prefix shingles that others share."""
+def _index(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """Size and class of each row; size and minima of each class, by the document that stands for it; names of frequent shingles, ascending, with their places in the order."""
     doc_type = texts.schema["doc"].dataType.simpleString()
-    scanned = stored(texts.mapInArrow(_fingerprint_batches(shingle), f"doc {doc_type}, n long, p1 long, p2 long"), "prints")
+    with small_batches(texts.sparkSession):
+        scanned = stored(texts.mapInArrow(_fingerprint_batches(shingle), f"doc {doc_type}, n long, p1 long, p2 long, minima array<bigint>"), "prints")
     prints, often = scanned.where("p2 is not null"), scanned.where("p2 is null")
-    classes = stored(prints.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc").alias("class")), "classes")
-    members = stored(
-        prints.join(classes, ["p1", "p2", "n"], "left").select("doc", "n", F.coalesce("class", "doc").alias("class")), "members"
-    )
+    classes = stored(prints.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc").alias("class"), F.any_value("minima").alias("minima")), "classes")
+    named = prints.select("doc", "n", "p1", "p2").join(classes.drop("minima"), ["p1", "p2", "n"], "left").select("doc", "n", F.coalesce("class", "doc").alias("class"))
+    members = stored(named, "members")
+    owners = classes.where("class is not null").select(F.col("class").alias("doc"), F.col("n").cast("int").alias("n"), "minima")
 
     top = often.groupBy("p1").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "p1").limit(HEAVY_SHINGLES).toPandas()
+    discard(scanned)
     names = top["p1"].to_numpy(np.int64).view(np.uint64)
     ranks = np.arange(len(names), 0, -1)  # the most frequent one last
     by_name = np.argsort(names)
-    prefixes = texts.mapInArrow(_prefix_batches(names[by_name], ranks[by_name], shingle, percent), f"doc {doc_type}, n long, prefix array<bigint>")
-    owners = members.where("n > 0 and doc = class").select("doc")
-    entries = prefixes.where(F.col("n") >= least_size(percent)).join(owners, "doc", "left_semi").select("doc", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "shingle"))
-    shared = entries.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("shingle"))).where("k > 1").drop("k")
-    of = W.partitionBy("doc")
-    lists = shared.withColumn("e", (F.row_number().over(of.orderBy("i")) - 1)).withColumn("k", F.count(F.lit(1)).over(of)).where(F.col("k") >= least_shared(percent)).drop("k")
-    return members, owners, lists
+    return members, owners, (names[by_name], ranks[by_name])
 
 
 def _leader_links(lists: DataFrame, turn: int, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links of sets with the leaders of their lists."""
-    pick = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "i", "e")
-    leaders = lists.groupBy("shingle").agg(F.min(pick).alias("leader")).select("shingle", F.col("leader.doc").alias("b"), F.col("leader.n").alias("n2"), F.col("leader.i").alias("i2"), F.col("leader.e").alias("e2"))
-    near = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1")).join(leaders, "shingle").where(F.col("a") != F.col("b")).where(_may_link(percent))
-    return _links(_pairs(near, percent), texts, shingle, percent)
+    """Links (a < b) of sets with a leader: of those with the same minima, the one that agrees in most of them."""
+    pick = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "comp")
+    leaders = lists.groupBy("k", "least").agg(F.min(pick).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    leaders = stored(leaders.select("k", "least", F.col("leader.doc").alias("b"), F.col("leader.n").alias("n2"), F.col("leader.comp").alias("c2")), "leaders")
+    near = lists.join(leaders, ["k", "least"]).where((F.col("comp") != F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+    best = near.groupBy("doc", "b").agg(F.count(F.lit(1)).alias("same")).where(F.col("same") >= SAME_MINIMA).groupBy("doc").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
+    pairs = stored(best.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct(), "pairs")
+    found = _links(pairs, texts, shingle, percent)
+    discard(leaders)
+    discard(pairs)
+    return found
+
+
+def _minima_lists(owners: DataFrame, percent: int) -> DataFrame:
+    """``doc``, ``n``, ``comp`` (itself) and a row for each minimum."""
+    return stored(owners.where(F.col("n") >= least_size(percent)).select("doc", "n", F.col("doc").alias("comp"), F.posexplode("minima").alias("k", "least")), "minima")
+
 
+def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``comp`` of each row by labels, or its own document."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("doc"))
+    return rows.drop("comp").join(labels.select("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
-def _cross_links(lists: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links of sets in a list with different ``comp``."""
+
+def _candidates(texts: DataFrame, owners: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int, percent: int) -> DataFrame:
+    """Pairs (a < b) of different ``comp`` (c1, c2) that meet in enough lists; ``owners`` has doc and comp."""
+    doc_type = texts.schema["doc"].dataType.simpleString()
+    prefixes = texts.mapInArrow(_prefix_batches(*frequent, shingle, percent), f"doc {doc_type}, n int, rare int, prefix array<bigint>").where("size(prefix) > 0")
+    entries = prefixes.join(owners.select(F.col("doc").cast("long").alias("doc"), F.col("comp").cast("long").alias("comp")), "doc").select("doc", "comp", "n", "rare", F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "shingle"))
+    often = F.when(F.col("i") >= F.col("rare"), FREQUENT).when(F.col("size") > F.col("rare"), BESIDE_FREQUENT).otherwise(PLAIN)
+    salt = F.when(often == FREQUENT, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int")
+    gathered = entries.select("shingle", "doc", "comp", "n", "i", often.alias("often"), salt.alias("salt")).repartition("shingle", "salt").sortWithinPartitions("shingle").drop("salt")
+    with small_batches(texts.sparkSession):
+        met = stored(gathered.mapInArrow(_meeting_batches(percent), "kind long, shingle long, a long, b long, c1 long, c2 long, n1 long, n2 long, i long, known long"), "met")
+
+    entries = met.where(F.col("kind") == ENTRY).select("shingle", F.col("a").alias("doc"), F.col("c1").alias("comp"), F.col("n1").alias("n"), "i", "known")
+    mixed = stored(entries.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle"), "mixed")
+    listed = stored(entries.join(mixed, "shingle"), "listed")
+    beside = met.where(F.col("kind") == SHARED).select(F.col("a").alias("doc"), "i").join(listed.select("doc").distinct(), "doc", "left_semi")
+    both = listed.unionByName(beside, allowMissingColumns=True)
+    of = W.partitionBy("doc")  # a prefix
+    counted = both.withColumn("e", F.count(F.lit(1)).over(of.orderBy("i").rowsBetween(W.unboundedPreceding, -1))).withColumn("shared", F.count(F.lit(1)).over(of)).where("shingle is not null")
+    enough = (F.col("known") == 0) | (F.col("shared") >= least_shared(percent))
+    lists = stored(counted.where(enough).select("shingle", "doc", "comp", "n", "i", F.when(F.col("known") == 1, F.col("e")).otherwise(F.col("i")).alias("e")), "lists")
     block = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    left = lists.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("e").alias("e1"), F.col("comp").alias("c1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    right = lists.select("shingle", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("e").alias("e2"), F.col("comp").alias("c2"), block.alias("block"))
-    rest = left.join(right, ["shingle", "block"]).where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _may_link(percent))
-    return _links(_pairs(rest, percent), texts, shingle, percent)
+    left = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "a"), ("n", "n1"), ("i", "i1"), ("e", "e1"), ("comp", "c1"))), F.explode(F.array(block, block + 1)).alias("block"))
+    right = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "b"), ("n", "n2"), ("i", "i2"), ("e", "e2"), ("comp", "c2"))), block.alias("block"))
+    larger = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
+    most = F.least("e1", "e2") + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
+    joined = left.join(right, ["shingle", "block"]).where(larger & (F.col("c1") != F.col("c2")) & _enough(F.col("n1"), F.col("n2"), most, percent))
+    turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("c1", "c2", "c1"), ("c2", "c1", "c2"), ("n1", "n2", "n1"), ("n2", "n1", "n2"))]
+    pairs = met.where(F.col("kind") == PAIR).select("a", "b", "c1", "c2", "n1", "n2").union(joined.select(*turned))
+
+    # Of the two prefixes, all of the one that ends first must be in the other but for the shingles that may differ.
+    common = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    must = [least_shared(percent) - F.ceil(percent * F.col(n) / 100) + common for n in ("n1", "n2")]  # prefix length - (n - common)
+    enough = pairs.groupBy("a", "b", "c1", "c2", "n1", "n2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.least(*must)))
+    found = stored(enough.select(F.col("a").cast(doc_type).alias("a"), F.col("b").cast(doc_type).alias("b"), F.col("c1").cast(doc_type).alias("c1"), F.col("c2").cast(doc_type).alias("c2"), "k"), "candidates")
+    for table in (met, mixed, listed, lists):
+        discard(table)
+    return found
+
+
+def _enough(n: Column, m: Column, common: Column, percent: int) -> Column:
+    """100 * intersection >= percent * union."""
+    return 100 * common >= percent * (n + m - common)
 
 
 def _group_links(star: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -262,12 +417,17 @@ def _group_links(star: DataFrame, texts: DataFrame, shingle: int, percent: int)
     return groups, inside.select(F.col("doc1").alias("a"), F.col("doc2").alias("b"))
 
 
-def _all_links(owned: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _all_links(owners: DataFrame, frequent: tuple[np.ndarray, np.ndarray], texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a < b) of all classes that link, each once."""
-    lists = stored(owned, "lists")
-    groups, inside = _group_links(_leader_links(lists, 0, texts, shingle, percent), texts, shingle, percent)
-    labelled = stored(lists.join(groups, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "lists")
-    return stored(inside.union(_cross_links(labelled, texts, shingle, percent)), "all-links")
+    groups, inside = _group_links(_leader_links(_minima_lists(owners, percent), 0, texts, shingle, percent), texts, shingle, percent)
+    candidates = _candidates(texts, stored(_named(owners.select("doc"), groups), "owners"), frequent, shingle, percent)
+    return stored(inside.union(_links(candidates.select("a", "b"), texts, shingle, percent)), "all-links")
+
+
+def _texts(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    if docs.schema[doc_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_col} must be an integer: number the rows and join other names afterwards")
+    return docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
 
 
 def links(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -277,9 +437,9 @@ def links(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shin
     it, and link with each other besides. The pairs of a group of similar texts
     grow with the square of its size.
     """
-    texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
-    _, _, lists = _index(texts, shingle, percent)
-    return _all_links(lists, texts, shingle, percent).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+    texts = _texts(docs, doc_col, text_col)
+    _, owners, frequent = _index(texts, shingle)
+    return _all_links(owners, frequent, texts, shingle, percent).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
 
 
 def link_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -288,9 +448,9 @@ def link_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text"
     Rows with the same shingle set link. A text without shingles has no links;
     a null id counts with an equal text that has an id, else ``n_links`` is null.
     """
-    texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
-    members, _, lists = _index(texts, shingle, percent)
-    found = _all_links(lists, texts, shingle, percent)
+    texts = _texts(docs, doc_col, text_col)
+    members, owners, frequent = _index(texts, shingle)
+    found = _all_links(owners, frequent, texts, shingle, percent)
     sizes = stored(members.where("n > 0 and class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("k")), "sizes")
     both = found.union(found.select("b", "a"))
     others = both.join(sizes.select(F.col("class").alias("b"), "k"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("k").alias("others"))
@@ -307,36 +467,33 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     link if 100 * intersection >= percent * union. ``class_id`` is the least
     id with the same set, ``component_id`` the least that links lead to. Null,
     empty and wordless texts have no shingles and stand alone. A null id has
-    the class and component of an equal text with an id, else null. Repeated
+    the class and component of an equal text with an id, else null. Other ids
+    than integers raise a TypeError. Texts of any length are read whole; of
+    several least or best ones the lesser id counts. Repeated
     rows are returned each; rows with one id are assumed to have one text. An
     empty table gives an empty result. Sets are compared by 64-bit hashes of
     their shingles.
     """
-    texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
-    members, owners, entries = _index(texts, shingle, percent)
-    lists = stored(entries.withColumn("comp", F.col("doc")), "lists")
-
-    n_docs = owners.count()
-    links: DataFrame | None = None
+    texts = _texts(docs, doc_col, text_col)
+    members, owners, frequent = _index(texts, shingle)
+    lists, labels, found = _minima_lists(owners, percent), None, None
+    few = LINKS_A_SET * owners.count()
     for turn in range(MAX_ROUNDS):
-        by_comp = lists.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
-        cross = by_comp.groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2")).agg(F.sum(F.col("k") * F.col("k") - F.col("k2"))).first()[0]
-        if turn and ((cross or 0) <= PAIRS_A_DOCUMENT * n_docs + 1000 or cross > 0.7 * before):
+        named = stored(_named(lists, labels), "minima") if turn else lists
+        more = _leader_links(named, turn, texts, shingle, percent)
+        found = stored(found.union(more), "links") if turn else more
+        labels = connected(found)
+        if more.count() <= few:
             break
-        before = cross
-        found = _leader_links(lists, turn, texts, shingle, percent)
-        links = found if links is None else links.union(found)
-        lists = _relabelled(lists, connected(links))
-    found = _cross_links(lists, texts, shingle, percent)
-    labels = connected(found if links is None else links.union(found)).select(F.col("doc").alias("class"), "comp")
+    named = stored(_named(owners.select("doc"), labels), "owners")
+    candidates = _candidates(texts, named, frequent, shingle, percent)
+    ends = (F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"))
+    first = stored(candidates.select("a", "b", "k", *ends).groupBy("c1", "c2").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
+    found = stored(found.union(_links(first, texts, shingle, percent)), "links")
+    labels = connected(found)
+    rest = candidates.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for end, comp in (("a", "c1"), ("b", "c2")):
+        rest = rest.join(labels.select(F.col("doc").alias(end), F.col("comp").alias(comp)), end, "left")
+    apart = stored(rest.where(F.coalesce("c1", "a") != F.coalesce("c2", "b")).select("a", "b"), "pairs")
+    labels = connected(found.union(_links(apart, texts, shingle, percent))).select(F.col("doc").alias("class"), "comp")
     return members.join(labels, "class", "left").select(F.col("doc").alias(doc_col), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"))
-
-
-def _relabelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists with the components found so far, without those that lie in one component."""
-    named = lists.drop("comp").join(labels, "doc", "left").select("shingle", "doc", "n", "i", "e", F.coalesce("comp", "doc").alias("comp"))
-    of = W.partitionBy("shingle")
-    mixed = named.withColumn("c", F.min("comp").over(of)).withColumn("d", F.max("comp").over(of)).where("c <> d").drop("c", "d")
-    kept = stored(mixed, "lists")
-    discard(lists)
-    return kept

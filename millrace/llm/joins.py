@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Largest lookup table that is broadcast: rows, and bytes of its text keys.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
+#: Most keys that are broadcast: ids, or ids with a hash, of 48 bytes at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -21,3 +23,8 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
     if size.n <= BROADCAST_ROWS and size.b <= BROADCAST_BYTES:
         lookup = F.broadcast(lookup)
     return rows.join(lookup, key, how)
+
+
+def checked_broadcast(keys: DataFrame) -> DataFrame:
+    """Short keys, broadcast if they are counted to be few; else left to a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

@@ -1,65 +1,25 @@
-"""Intermediate tables in the folder that the cluster shares.
-
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: the files
-outlive lost executors, are columnar, and are computed once.
-"""
+"""Intermediate tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named (tests, local runs)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.millrace_path = path
-    return found
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing reads any more."""
-    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.millrace_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _written.remove(df.millrace_path)
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.sql import SparkSession
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table of this process; call it once results are written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+from ..storage import discard, release, shared_dir, stored
 
+__all__ = ["discard", "release", "shared_dir", "small_batches", "stored"]
 
-def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _written:
-        try:
-            release(spark)
-        except Exception:  # the JVM may be gone already
-            _written.clear()
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-atexit.register(_at_exit)
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "16m") -> Iterator[None]:
+    """Within it, jobs hand texts to Python in Arrow batches of that size at most: a bound on memory, not on results."""
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
