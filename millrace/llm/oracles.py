@@ -31,7 +31,7 @@ failed AS (
     FROM features),
 hosts AS (SELECT host, count(*)::DOUBLE AS docs, {", ".join(f"sum({r}::INT)::DOUBLE AS {r}" for r in _RULES)} FROM failed GROUP BY host),
 prior AS (SELECT {", ".join(map(_prior, _RULES))} FROM hosts),
-verdicts AS (SELECT host, greatest({", ".join(f"({r} + m_{r} * s_{r}) / (docs + s_{r})" for r in _RULES)}) > 0.5 AS rejected FROM hosts, prior)
+verdicts AS (SELECT host, {" OR ".join(f"({r} + m_{r} * s_{r}) / (docs + s_{r}) > least(greatest(m_{r} + 3.0::DOUBLE * sqrt(m_{r} * (1 - m_{r}) / (s_{r} + 1)), 0.2::DOUBLE), 0.5::DOUBLE)" for r in _RULES)} AS rejected FROM hosts, prior)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
     short OR repeats AS base_failed, NOT (short OR repeats) AND NOT rejected AS kept
 FROM failed JOIN verdicts USING (host)"""

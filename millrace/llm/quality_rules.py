@@ -3,12 +3,13 @@
 Rules are checked for each document; their failures are summed by host, and
 each host's failure rate is shrunk towards the mean of all hosts with a beta
 prior whose strength comes from the spread between hosts. A host whose shrunk
-rate for any rule is above ``max_rate`` is rejected, and that verdict is
+rate for any rule is far out in that prior is rejected, and that verdict is
 joined back to its documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +101,7 @@ def beta_prior(rates: DataFrame, rule: str) -> tuple[float, float]:
 
 
 def score_hosts(
-    docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, max_symbols: float = 0.3, max_dup_lines: float = 0.5
+    docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_rate: float = 0.2, max_rate: float = 0.5, deviations: float = 3.0, max_symbols: float = 0.3, max_dup_lines: float = 0.5
 ) -> DataFrame:
     """Features, base verdict, host failure rates and final verdict for each row of ``docs``.
 
@@ -108,11 +109,14 @@ def score_hosts(
     repeated windows), ``symbols`` (over ``max_symbols`` symbols a word),
     ``dup_lines`` (over that share of lines repeat an earlier one). A document
     is dropped if it fails one of the first two, or if its host's shrunk rate
-    of any rule is above ``max_rate``.
+    of any rule is above the limit of the rule: ``deviations`` standard
+    deviations above the mean of the fitted prior, but neither under
+    ``min_rate`` nor over ``max_rate``.
 
     Null or blank texts have no words and fail ``short``; a null host counts
     as the host ''; repeated rows are judged and returned each; an empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored. Texts of any length
+    are read whole; a rate that equals a limit is within it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_col).alias("doc"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
@@ -125,12 +129,14 @@ def score_hosts(
     }
     features = stored(rows.mapInArrow(_feature_batches, schema).withColumns({k: v for k, v in rules.items()}), "rules")
     hosts = stored(features.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(F.col(k).cast("long")).alias(k) for k in rules)), "hosts")
-    shrunk = {}
+    shrunk, over = {}, F.lit(False)
     for rule in rules:
         a, b = beta_prior(hosts, rule)
         shrunk[f"host_{rule}_rate"] = (F.col(rule) + F.lit(a)) / (F.col("docs") + F.lit(a + b))
-    verdicts = hosts.select("host", *(v.alias(k) for k, v in shrunk.items()))
-    verdicts = stored(verdicts.withColumn("host_rejected", F.greatest(*shrunk) > max_rate), "verdicts")
+        mean = a / (a + b)
+        limit = min(max(mean + deviations * math.sqrt(mean * (1 - mean) / (a + b + 1)), min_rate), max_rate)
+        over = over | (shrunk[f"host_{rule}_rate"] > limit)
+    verdicts = stored(hosts.select("host", *(v.alias(k) for k, v in shrunk.items()), over.alias("host_rejected")), "verdicts")
     base_failed = F.col("short") | F.col("repeats")
     return (
         lookup_join(features, verdicts, "host")
