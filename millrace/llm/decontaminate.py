@@ -10,9 +10,12 @@ up by the hash of all its words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import checked_broadcast
 from .scratch import stored
 
 #: Words of a window; an occurrence of one in a document is a hit.
@@ -61,36 +64,38 @@ def _least(runs: Column, length: int = 1) -> Column:
     return let(stretch, lambda x: _least(x, longer))
 
 
-def winnowed(rows: DataFrame) -> DataFrame:
-    """Fingerprints of ``rows`` (``id``, ``text``): ``id``, ``words``, ``n``, ``print``, ``at``."""
-    return _prints(rows, WINDOW, lambda words: let(_runs(words, K), lambda runs: _least(runs)))
+def winnowed(words: Column) -> Column:
+    """Fingerprints of a text of a window at least; null for a shorter one."""
+    return F.when(F.size(words) >= WINDOW, let(_runs(words, K), lambda runs: _least(runs)))
+
+
+def _packed(rows: DataFrame, of: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``id``, ``n_words`` and, for each name, packed runs of the words."""
+    # Words and runs are made in one expression, or the optimizer would repeat the split for every use of the words.
+    made = let(words_of(F.col("text")), lambda words: F.struct(F.size(words).cast("long").alias("n_words"), *(f(words).alias(name) for name, f in of.items())))
+    return rows.select("id", made.alias("m")).select("id", "m.*")
 
 
-def whole(rows: DataFrame, n_words: int) -> DataFrame:
-    """The same with the hash of each run of ``n_words`` words."""
-    return _prints(rows, n_words, lambda words: _runs(words, n_words))
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """``print`` and ``at`` of ``packed``."""
+    at = F.col("packed").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
+    return rows.withColumns({"print": F.shiftright("packed", POSITION_BITS), "at": at}).drop("packed")
 
 
-def _prints(rows: DataFrame, least: int, of) -> DataFrame:
+def _prints(rows: DataFrame) -> DataFrame:
     """A row for each fingerprint, the first of each text with ``k`` 0; one row with a null ``print`` for a text without any."""
-    # Words and fingerprints are made in one expression, or the optimizer would repeat the split for every use of the words.
-    both = let(words_of(F.col("text")), lambda words: F.struct(words.alias("words"), F.when(F.size(words) >= least, of(words)).alias("kept")))
-    rows = rows.select("id", both.alias("both")).select("id", F.col("both.words").alias("words"), F.posexplode_outer("both.kept").alias("k", "packed"))
-    return rows.select(
-        "id", "words", F.coalesce("k", F.lit(0)).alias("k"), F.shiftright("packed", POSITION_BITS).alias("print"),
-        F.col("packed").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int").alias("at"),
-    )
-
-
-def _matched(prints: DataFrame, items: DataFrame, broadcast: bool) -> DataFrame:
-    """Occurrences of fingerprints of ``items`` in documents, with the words around them; the first row of each document stays in any case."""
-    around = F.slice("words", F.greatest(F.col("at") - (WINDOW - K), F.lit(0)) + 1, F.lit(2 * WINDOW - K))
-    found = prints.join(F.broadcast(items) if broadcast else items, "print", "left").where(F.col("item_id").isNotNull() | (F.col("k") == 0))
-    hit = F.col("item_id").isNotNull()
-    return found.select(
-        "id", F.when(F.col("k") == 0, F.size("words")).cast("long").alias("n_words"), "at", F.least("at", F.lit(WINDOW - K)).alias("before"),
-        F.when(hit, around).alias("words"), "item_id", "item_before", "item_words",
-    )
+    packed = _packed(rows, {"kept": winnowed}).select("id", "n_words", F.posexplode_outer("kept").alias("k", "packed"))
+    return _unpacked(packed).withColumn("k", F.coalesce("k", F.lit(0)))
+
+
+def _met(prints: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of documents whose fingerprint an item has, and the first row of each document in any case."""
+    if items.count() <= BROADCAST_FINGERPRINTS:
+        items = F.broadcast(items)
+        return prints.join(items, "print", "left").where(F.col("item_id").isNotNull() | (F.col("k") == 0))
+    hits = prints.where("print is not null").join(items, "print")  # a null, of which there may be many, meets nothing
+    none = [F.lit(None).cast(t).alias(c) for c, t in items.dtypes if c != "print"]
+    return hits.unionByName(prints.where("k = 0").select("print", "id", "n_words", "k", "at", *none))
 
 
 def _extended(found: DataFrame) -> DataFrame:
@@ -109,10 +114,22 @@ def _extended(found: DataFrame) -> DataFrame:
     same = F.lit(True)
     for shift in range(K):
         same = same & agrees(shift)
-    spans = found.where("item_id is not null").where(same).select("id", "item_id", "at", reach(range(-1, K - WINDOW - 1, -1)).alias("left"), reach(range(K, WINDOW)).alias("right"))
+    spans = found.where(same).select("id", "item_id", "at", reach(range(-1, K - WINDOW - 1, -1)).alias("left"), reach(range(K, WINDOW)).alias("right"))
     return spans.where(F.col("left") + F.col("right") + K >= WINDOW).select("id", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("left") + K + F.col("right")).alias("length"))
 
 
+def _around() -> Column:
+    """The words beside a fingerprint that an extension may look at."""
+    return F.slice("words", F.greatest(F.col("at") - (WINDOW - K), F.lit(0)) + 1, F.lit(2 * WINDOW - K))
+
+
+def _short_runs(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``id``, ``n_words``, ``length``, ``print`` and ``at`` of all runs of each of a few lengths, in one pass over the texts."""
+    packed = _packed(rows, {f"runs{n}": (lambda words, n=n: F.when(F.size(words) >= n, _runs(words, n))) for n in lengths})
+    each = F.array(*(F.struct(F.lit(n).alias("length"), F.col(f"runs{n}").alias("runs")) for n in lengths))
+    return _unpacked(packed.select("id", "n_words", F.explode(each).alias("r")).select("id", "n_words", "r.length", F.explode("r.runs").alias("packed")))
+
+
 def find_overlaps(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", doc_text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """For each document, the words that lie in windows of benchmark items, and those items.
 
@@ -121,32 +138,39 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", do
     ``text_hash`` (xxhash64) for each row. A null or wordless text has no words
     and no hits; a null or wordless item hits nothing. Rows that repeat an id,
     or have none, are told apart by their texts. An empty table on either side
-    gives no hits. Other columns are ignored.
+    gives no hits. Texts of any length are read whole; items that repeat count
+    once each by id. Other columns are ignored.
     """
     bench = items.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).alias("text"), F.size(words_of(F.col(item_text))).alias("n"))
     bench = stored(bench.where("id is not null and n > 0"), "bench-words")
     key = F.struct(F.col(doc_col).alias("doc"), F.xxhash64(doc_text).alias("text_hash"))
     texts = docs.select(key.alias("id"), F.col(doc_text).alias("text"))
 
-    prints = winnowed(bench).where("print is not null").select(
-        "print", F.col("id").alias("item_id"), F.least("at", F.lit(WINDOW - K)).alias("item_before"),
-        F.slice("words", F.greatest(F.col("at") - (WINDOW - K), F.lit(0)) + 1, F.lit(2 * WINDOW - K)).alias("item_words"),
-    )
-    prints = stored(prints.distinct(), "bench-prints")
-    small = prints.count() <= BROADCAST_FINGERPRINTS
-    found = stored(_matched(winnowed(texts), prints, small), "matched")
-    spans = _extended(found)
-
-    lengths = [r.n for r in bench.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # nine at most
-    for n in sorted(lengths):
-        short = whole(bench.where(F.col("n") == n), n).select("print", F.col("id").alias("item_id"), F.col("words").alias("item_words")).distinct()
-        occurring = whole(texts, n).join(F.broadcast(short) if small else short, "print")
-        exact = F.slice("words", F.col("at") + 1, F.lit(n)) == F.col("item_words")
-        spans = spans.union(occurring.where(exact).select("id", "item_id", F.col("at").alias("start"), F.lit(n).alias("length")))
+    spelled = bench.select("id", words_of(F.col("text")).alias("words"))
+    before = F.least("at", F.lit(WINDOW - K))
+    of_items = _prints(bench).where("print is not null").join(spelled, "id")
+    items = stored(of_items.select("print", F.col("id").alias("item_id"), before.alias("item_before"), _around().alias("item_words")).distinct(), "bench-prints")
+    met = stored(_met(_prints(texts), items), "met")
+
+    # Only texts with a hit are cut into words again; their words never go through the join of the fingerprints.
+    hits = met.where("item_id is not null").select("id", "at", "item_id", "item_before", "item_words")
+    hit_ids = stored(hits.select("id").distinct(), "hit-ids")
+    spelled = texts.join(checked_broadcast(hit_ids), "id", "left_semi").select("id", words_of(F.col("text")).alias("words")).dropDuplicates(["id"])
+    spans = _extended(hits.join(spelled, "id").select("id", "at", before.alias("before"), _around().alias("words"), "item_id", "item_before", "item_words"))
+
+    lengths = sorted(r.n for r in bench.where(F.col("n") < WINDOW).select("n").distinct().collect())  # nine at most
+    if lengths:
+        short = stored(_short_runs(bench.where(F.col("n") < WINDOW), lengths).where("n_words = length").join(bench.select("id", words_of(F.col("text")).alias("item_words")), "id").select("print", "length", F.col("id").alias("item_id"), "item_words").distinct(), "bench-short")
+        shorts = F.broadcast(short) if short.count() <= BROADCAST_FINGERPRINTS else short
+        occurring = stored(_short_runs(texts, lengths).join(shorts, ["print", "length"]).select("id", "at", "length", "item_id", "item_words"), "short-met")
+        short_ids = stored(occurring.select("id").distinct(), "hit-ids")
+        spelled = texts.join(checked_broadcast(short_ids), "id", "left_semi").select("id", words_of(F.col("text")).alias("words")).dropDuplicates(["id"])
+        exact = F.slice("words", F.col("at") + 1, F.col("length")) == F.col("item_words")
+        spans = spans.union(occurring.join(spelled, "id").where(exact).select("id", "item_id", F.col("at").alias("start"), "length"))
 
     covered = F.size(F.array_distinct(F.flatten(F.transform("hit_spans", lambda s: F.sequence(s.start, s.start + s.length - 1)))))
     nothing = F.lit(None)
-    rows = found.where("n_words is not null").select("id", "n_words", nothing.cast("string").alias("item_id"), nothing.cast("struct<start:int,length:int>").alias("span"), F.lit(0).alias("rows"))
+    rows = met.where("k = 0").select("id", "n_words", nothing.cast("string").alias("item_id"), nothing.cast("struct<start:int,length:int>").alias("span"), F.lit(0).alias("rows"))
     rows = rows.union(spans.select("id", nothing.cast("long"), "item_id", F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length")), F.lit(0)))
     rows = rows.union(texts.select("id", nothing.cast("long"), nothing.cast("string"), nothing.cast("struct<start:int,length:int>"), F.lit(1)))
     return (
