@@ -1,10 +1,12 @@
 """URL filtering with a path-template tree for each host.
 
-Level by level, a path segment stays literal only where its host has it often
-under the same template so far; other segments become a wildcard. Literal
-branches whose shares of good and of bad pages don't differ statistically from
-their siblings' are merged into the wildcard too. A template is rejected if its labelled
-purity, smoothed towards that of all labelled pages, is low.
+Segments that look variable become wildcards at once. Level by level, another
+segment stays literal only where its host has it often under the same template
+so far, and where its pages are labelled differently from their siblings, on
+this host or on all hosts that share the template; other branches are merged
+into the wildcard. A template is rejected if its labelled purity is low, after
+smoothing towards that of the same template on all hosts, which is smoothed
+towards that of all labelled pages.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import lookup_join
-from .scratch import stored
+from .scratch import discard, stored
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WILDCARD = "*"
+#: Segments that always become a wildcard: numbers and hexadecimal names, with or without an extension.
+VARIABLE = r"^[0-9a-f-]*[0-9][0-9a-f-]*(\.\w+)?$"
 
 
 @dataclass(frozen=True)
@@ -52,13 +56,17 @@ def _first_rule(rules: list[Rule], value) -> Column:
 
 def judge(
     pages: DataFrame, rules: list[Rule], page_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, label_col: str = "good",
-    min_pages: int = 5, min_share: float = 0.02, z_limit: float = 1.96, smoothing: float = 4.0, min_purity: float = 0.25, max_depth: int = 8,
+    min_pages: int = 5, min_share: float = 0.02, z_limit: float = 1.96, smoothing: float = 4.0, unlabelled_weight: float = 0.1, min_purity: float = 0.25, max_depth: int = 8,
 ) -> DataFrame:
     """``page_col``, ``host``, ``path``, ``rule``, ``template``, ``purity`` and ``verdict`` for each page.
 
     Labels come from ``labels`` (``page_col``, boolean ``label_col``) or, by
     default, from the rules: pages that a rule blocks or allows are its bad or
-    good examples. Segments after ``max_depth`` count as one. A url that is
+    good examples. Each unlabelled page of a template adds ``unlabelled_weight``
+    to the pull towards the purity of the same template on all hosts. A page
+    without a rule is blocked if its template's purity is under ``min_purity``
+    times that of all labelled pages; one that equals it is allowed. Segments
+    after ``max_depth`` count as one; urls of any length are read whole. A url that is
     null or has no ``://`` has an empty host and path and the template of the
     empty host's root. Repeated rows are judged each; an empty table gives an
     empty result; without any label every purity is 1.
@@ -72,38 +80,57 @@ def judge(
         rows = rows.join(marks, "page", "left")
     parts = F.array_remove(F.split("path", "/"), "")
     parts = F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("**")))).otherwise(parts)
-    rows = stored(rows.select("*", parts.alias("parts"), F.col("host").alias("template")), "urls")
-    depth = rows.agg(F.coalesce(F.max(F.size("parts")), F.lit(0)).alias("d")).first().d
+    shape = F.transform(parts, lambda part: F.when(F.regexp_like(part, F.lit(VARIABLE)), WILDCARD).otherwise(part))
+    rows = stored(rows.select("page", "host", "path", "rule", "ruled", "good", shape.alias("parts")).withColumn("key", F.array_join(F.concat(F.array("host"), "parts"), "/")), "urls")
+    counts = (F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    shapes = stored(rows.groupBy("key").agg(F.any_value("host").alias("host"), F.any_value("parts").alias("parts"), *counts).withColumn("path", F.lit("")), "shapes")
+    depth = shapes.agg(F.coalesce(F.max(F.size("parts")), F.lit(0)).alias("d")).first().d
     for level in range(depth):
-        rows = _generalised(rows, level, min_pages, min_share, z_limit)
+        longer = _generalised(shapes, level, min_pages, min_share, z_limit)
+        discard(shapes)
+        shapes = longer
 
-    counts = rows.groupBy("template").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
-    counts = stored(counts, "templates")
-    seen = counts.agg(F.coalesce(F.sum("n_good"), F.lit(0)).alias("g"), F.coalesce(F.sum("n_bad"), F.lit(0)).alias("b")).first()
+    seen = shapes.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
     prior = seen.g / (seen.g + seen.b) if seen.g + seen.b else 1.0
-    purity = (F.col("n_good") + F.lit(smoothing * prior)) / (F.col("n_good") + F.col("n_bad") + F.lit(smoothing))
-    judged = lookup_join(rows, stored(counts.select("template", purity.alias("purity")), "purity"), "template")
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
+    pull = F.lit(smoothing) + F.lit(unlabelled_weight) * (F.col("n") - F.col("good") - F.col("bad"))
+    common = stored(shapes.groupBy("path").agg(*sums).select("path", ((F.col("good") + pull * prior) / (F.col("good") + F.col("bad") + pull)).alias("common")), "common")
+    templates = lookup_join(stored(shapes.groupBy(F.concat("host", "path").alias("template"), "path").agg(*sums), "templates"), common, "path")
+    purity = stored(templates.select("template", ((F.col("good") + pull * F.col("common")) / (F.col("good") + F.col("bad") + pull)).alias("purity")), "purity")
+    named = stored(lookup_join(shapes.select("key", F.concat("host", "path").alias("template")), purity, "template"), "named")
+    judged = lookup_join(rows.drop("parts"), named, "key")
     verdict = F.coalesce("ruled", F.when(F.col("purity") < min_purity * prior, "block").otherwise("allow"))
     return judged.select(F.col("page").alias(page_col), "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
 
 
-def _generalised(rows: DataFrame, level: int, min_pages: int, min_share: float, z_limit: float) -> DataFrame:
-    """``template`` with the segment of one more level."""
+def _differs(n: str, suffix: str, z_limit: float) -> Column:
+    """Whether a branch's labelled pages are good or bad unlike those of its whole parent."""
+    labelled, all_labelled = F.col(f"good{n}") + F.col(f"bad{n}"), F.col(f"good{suffix}") + F.col(f"bad{suffix}")
+    share = F.try_divide(F.col(f"good{suffix}"), all_labelled)
+    deviation = F.sqrt(labelled * share * (1 - share))
+    return F.coalesce((deviation > 0) & (F.abs(F.col(f"good{n}") - labelled * share) > z_limit * deviation), F.lit(False))
+
+
+def _generalised(shapes: DataFrame, level: int, min_pages: int, min_share: float, z_limit: float) -> DataFrame:
+    """``path`` with the segment of one more level, literal or a wildcard; works on shapes of urls with their counts, not on urls."""
     part = F.get("parts", F.lit(level))
-    rows = rows.withColumn("branch", F.when(part.isNotNull(), F.concat_ws("/", "template", part)))
-    children = rows.where("branch is not null").groupBy("template", "branch").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
-    )
-    children = stored(children, "branches")
-    parents = children.groupBy("template").agg(F.sum("n").alias("n_all"), F.sum("good").alias("good_all"), F.sum("bad").alias("bad_all"))
-    children = children.join(parents, "template")
-    fixed = (F.col("n") >= F.greatest(F.lit(min_pages), F.lit(min_share) * F.col("n_all"))) & ~F.regexp_like(F.element_at(F.split("branch", "/"), -1), F.lit(r"^[0-9a-f-]*[0-9][0-9a-f-]*(\.\w+)?$"))
-    differs = F.lit(False)
-    for mark in ("good", "bad"):  # the share of good and of bad pages among all of the branch
-        share = F.col(f"{mark}_all") / F.col("n_all")
-        deviation = F.sqrt(F.col("n") * share * (1 - share))
-        differs = differs | ((deviation > 0) & (F.abs(F.col(mark) - F.col("n") * share) > z_limit * deviation))
-    literal = stored(children.where(fixed & differs).select("branch", F.lit(True).alias("literal")), "literal")
-    rows = lookup_join(rows, literal, "branch", "left")
-    template = F.when(F.col("branch").isNull(), F.col("template")).when(F.col("literal"), F.col("branch")).otherwise(F.concat_ws("/", "template", F.lit(WILDCARD)))
-    return stored(rows.withColumn("template", template).drop("branch", "literal"), "urls")
+    shapes = shapes.withColumn("part", part).withColumn("node", F.concat("host", "path")).withColumn("branch", F.concat_ws("/", "node", "part")).withColumn("shared", F.concat_ws("/", "path", "part"))
+    there = shapes.where("part is not null")
+    sums = lambda suffix: [F.sum(c).alias(f"{c}{suffix}") for c in ("n", "good", "bad")]
+    children = stored(there.groupBy("branch", "node", "shared", "path", "part").agg(*sums("")), "branches")
+    over = {
+        "node": stored(children.groupBy("node").agg(*sums("_all")), "parents"),
+        "shared": stored(children.groupBy("shared").agg(*sums("_shared")), "shared"),
+        "path": stored(children.groupBy("path").agg(*sums("_everywhere")), "everywhere"),
+    }
+    judged = children
+    for key, totals in over.items():
+        judged = lookup_join(judged, totals, key)
+    often = (F.col("n") >= F.greatest(F.lit(min_pages), F.lit(min_share) * F.col("n_all"))) & (F.col("part") != WILDCARD)
+    literal = stored(judged.where(often & (_differs("", "_all", z_limit) | _differs("_shared", "_everywhere", z_limit))).select("branch", F.lit(True).alias("literal")), "literal")
+    named = lookup_join(shapes, literal, "branch", "left")
+    path = F.when(F.col("part").isNull(), F.col("path")).when(F.col("literal"), F.col("shared")).otherwise(F.concat("path", F.lit(f"/{WILDCARD}")))
+    longer = stored(named.select("key", "host", "parts", "n", "good", "bad", path.alias("path")), "shapes")
+    for table in (children, literal, *over.values()):
+        discard(table)
+    return longer
