@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Turns of one rendered row; longer conversations go on in the next block.
-BLOCK_TURNS = 64
+from ..operators.ranks import number_rows
+
 END = "<|end|>\n"
 
 
@@ -20,30 +20,42 @@ def _content(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrator: str = "system") -> DataFrame:
-    """``conv_col``, ``perspective``, ``block``, ``n_turns``, ``rendered`` and ``mask`` for each participant and block of BLOCK_TURNS turn numbers.
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrator: str = "system", block_turns: int | None = None) -> DataFrame:
+    """``conv_col``, ``perspective``, ``block``, ``n_turns``, ``rendered`` and ``mask`` for each participant.
+
+    A dialogue is rendered whole, in block 0. With ``block_turns``, its turns
+    are dealt by their place in it to blocks of so many, a row each, so that no
+    task holds a dialogue of any length; places come from one distributed sort.
 
     ``mask`` lists the open spans of ``rendered`` as start:length in
     characters, comma-joined; a span is an own turn with its end marker. Turns
     of the narrator stay as they are and it gets no perspective. A null
     speaker is called ``unknown``; a null text is empty; a null turn number is
     sorted first, as turn 0; equal turn numbers are sorted by speaker and
-    text. An empty table gives an empty result.
+    text. Rows that repeat are turns each; texts of any length are rendered
+    whole; other columns are ignored. An empty table gives an empty result.
     """
     turn = F.coalesce(F.col(turn_col).cast("long"), F.lit(0))
     rows = turns.select(
-        F.col(conv_col).alias("conv"), turn.alias("turn"), F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"), _content(F.col(text_col)).alias("text"),
-        F.floor(turn / BLOCK_TURNS).cast("long").alias("block"),
+        F.col(conv_col).alias("conv"), turn.alias("turn"), F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
+        F.concat(_content(F.col(text_col)), F.lit(END)).alias("body"), F.lit(0).cast("long").alias("block"),
     )
+    if block_turns:
+        rows = number_rows(rows, ["conv", "turn", "speaker", "body"], "place")
     cast = rows.where(F.col("speaker") != narrator).select("conv", F.col("speaker").alias("perspective")).distinct()
+    if block_turns:
+        firsts = rows.groupBy(F.col("conv").alias("begun")).agg(F.min("place").alias("first"))
+        cast = cast.join(firsts, cast["conv"].eqNullSafe(firsts["begun"])).drop("begun")
     each = rows.join(cast, rows["conv"].eqNullSafe(cast["conv"])).drop(cast["conv"])
+    if block_turns:
+        each = each.withColumn("block", F.floor((F.col("place") - F.col("first")) / block_turns).cast("long"))
     own = F.col("speaker") == F.col("perspective")
     head = (
         F.when(own, F.lit("<|assistant|>\n"))
         .when(F.col("speaker") == narrator, F.lit("<|system|>\n"))
         .otherwise(F.concat(F.lit("<|user name="), _content(F.col("speaker")), F.lit("|>\n")))
     )
-    piece = F.struct("turn", "speaker", F.concat("text", F.lit(END)).alias("body"), head.alias("head"), own.alias("own"))
+    piece = F.struct("turn", "speaker", "body", head.alias("head"), own.alias("own"))
     grouped = each.groupBy("conv", "perspective", "block").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
 
@@ -62,16 +74,16 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 ORACLE_SQL = """
 WITH t AS (
   SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS speaker,
-         replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body,
-         CAST(floor(coalesce(turn, 0) / 64.0) AS BIGINT) AS block
+         replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
   FROM conversations),
+b AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, body) - 1) // 64 AS block FROM t),
 c AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 p AS (
   SELECT t.*, c.perspective, speaker = perspective AS own,
          CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
               WHEN speaker = 'system' THEN '<|system|>' || chr(10)
               ELSE '<|user name=' || replace(speaker, '<|', '< |') || '|>' || chr(10) END AS head
-  FROM t JOIN c ON t.conv_id IS NOT DISTINCT FROM c.conv_id),
+  FROM b AS t JOIN c ON t.conv_id IS NOT DISTINCT FROM c.conv_id),
 o AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block
             ORDER BY turn, speaker, body ROWS UNBOUNDED PRECEDING) - length(body) AS begin_at

@@ -77,7 +77,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.rotate(table(spark, sf_dir, "conversations"))
+    return chat_format.rotate(table(spark, sf_dir, "conversations"), block_turns=64)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -158,3 +158,140 @@ def test_bpe_counts_and_looks_up_words_of_all_texts(spark):
     library = bpe.Tokenizer.from_file(path)
     got = {r.doc_id: list(r.ids) for r in bpe.encode_documents(docs, path, with_ids=True).collect()}
     assert got == {k: library.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
+def test_bpe_fuzz_equals_the_library(tmp_path, monkeypatch):
+    import random
+
+    import numpy as np
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, model, rng = bpe.Tokenizer.from_file(path), bpe.load_model(path), random.Random(5)
+    alphabets = ["abcdefghijklmnop  ", "ABCxyz's't're've'm'll'd '\"!?.,-_ ", "0123456789²½ ab", "éÈñÑßÿĀāŽƒǅȺȾɏ İıſ\xa0\xad ab", "“”‐–— ‧ a'b", "\n\t\r ab", "€часы日本😀 ab'", "\x00\x1c\x85　 a1!'s"]
+    texts = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.choice([0, 1, 3, 10, 40, 200]))) + rng.choice(["", "", "<|endoftext|>", " <|startoftext|> x", "<|nope|>", "z" * 70, "'''s"]) for _ in range(3000)]
+    texts.append(("lorem ipsum it's " * 5 + "\n") * 3000)  # a very long text
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    flat = tmp_path / "lexicon"
+    flat.write_bytes(bpe.compile_lexicon({w: model.merge(w.encode()) for w in ("ab", "a", "'s", "часы", "lorem", "abc")}))
+    for lexicon, size in ((None, 1 << 22), (bpe.Lexicon(str(flat)), 1 << 22), (bpe.Lexicon(str(flat)), 50)):
+        monkeypatch.setattr(bpe, "CHUNK_CHARS", size)
+        codec = bpe.Codec(model, lexicon)
+        got = codec.encode_all(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+    assert all(codec.decode(g) == library.decode(ids, skip_special_tokens=False) for g, ids in zip(got, want))
+
+
+def test_bpe_keeps_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(None, "a b", "x", 5), (1, None, "y", 6), (1, "", "y", 6)], "doc_id long, text string, ids string, words int")
+    got = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["ids", "words"]).collect()
+    assert sorted((r.doc_id or 0, r.ids, r.words, r.n_tokens) for r in got) == [(0, "x", 5, 2), (1, "y", 6, 0), (1, "y", 6, 0)]
+
+
+def test_hosts_far_out_in_the_prior_lose_their_documents(spark):
+    good, bad = " ".join(f"w{k}" for k in range(40)), "too short"
+    rows = [(f"h{h:02d}", bad if k % 100 < (45 if h == 7 else 8 + h % 5) else good) for h in range(20) for k in range(100)]
+    docs = spark.createDataFrame([(k, t, h) for k, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    kept = {}
+    for r in quality_rules.score_hosts(docs).collect():
+        kept.setdefault(rows[r.doc_id][0], set()).add((r.base_failed, r.kept))
+    assert kept.pop("h07") == {(True, False), (False, False)}  # under half of it fails, but far more than of the others
+    assert all(v == {(True, False), (False, True)} for v in kept.values())
+    even = spark.createDataFrame([(k, bad if k % 10 == 0 else good, f"h{k % 7}") for k in range(700)], "doc_id long, text string, source string")
+    assert all(r.kept != r.base_failed for r in quality_rules.score_hosts(even).collect())
+
+
+def test_templates_block_pages_without_a_rule(spark):
+    rules = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "org", "/")]
+    urls = [f"http://a{h}.net/ads/{k}" for h in range(3) for k in range(20)] + [f"http://a{h}.org/news/{k}.html" for h in range(3) for k in range(20)]
+    open_ = [f"http://x.com/{s}/{k}" for s in ("ads", "news", "else") for k in range(10)]
+    pages = spark.createDataFrame(list(enumerate(urls + open_)), "page_id long, url string")
+    got = {r.url: r for r in pages.join(url_filter.judge(pages, rules), "page_id").collect()}
+    assert {got[u].verdict for u in open_ if "/ads/" in u} == {"block"} and all(got[u].rule is None for u in open_)
+    assert {got[u].verdict for u in open_ if "/ads/" not in u} == {"allow"}
+    assert got["http://x.com/ads/3"].template == "x.com/ads/*" and got["http://a1.org/news/3.html"].verdict == "allow"
+    assert url_filter.judge(empty(pages), rules).count() == 0
+
+
+def test_unlabelled_pages_weigh_against_a_few_bad_ones(spark):
+    rules = [url_filter.Rule("block", "x.com", "/p/bad"), url_filter.Rule("allow", "org", "/")]
+    urls = [f"http://x.com/p/bad{k}" for k in range(14)] + [f"http://x.com/q/{k}" for k in range(3000)] + [f"http://o.org/z/{k}" for k in range(60)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r.url: r.verdict for r in pages.join(url_filter.judge(pages, rules), "page_id").collect()}
+    assert {got[u] for u in urls if "/q/" in u} == {"allow"}
+
+
+def test_url_parts_and_rules_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    urls = ["".join(rng.choice(["http", "://", "NET", ".", "example", "Example.net", "/", "en/", "/de/", "?q", "#f", "com", "org", "/fr/", "A"]) for _ in range(rng.randrange(1, 9))) for _ in range(600)] + [None, ""]
+    rules = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.judge(pages, rules).collect():
+        found = re.search(r"://([^/?#]*)([^?#]*)", urls[r.page_id] or "")
+        host, path = (found[1].lower(), found[2]) if found else ("", "")
+        fits = [x for x in rules if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        best = max(fits, key=lambda x: len(x.name), default=None)
+        assert (r.host, r.path, r.rule) == (host, path, best and best.name)
+        assert best is None or r.verdict == best.verdict
+
+
+def test_short_items_are_found_beyond_the_broadcast_limit(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, " ".join(WORDS[50:75])), (2, "two"), (3, "ONE two"), (4, "b a b"), (5, "wort  tude")], "item_id long, text string")
+    want = sorted((r.doc_id, r.n_hit, tuple(r.item_ids)) for r in decontaminate.find_overlaps(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_FINGERPRINTS", 0)
+    got = sorted((r.doc_id, r.n_hit, tuple(r.item_ids)) for r in decontaminate.find_overlaps(docs, items).collect())
+    assert got == want and dict((k, (n, i)) for k, n, i in got)[7] == (2, ("2", "3"))
+
+
+def test_long_dialogues_are_whole_or_in_blocks_by_place(spark):
+    turns = spark.createDataFrame([(1, None if k < 3 else 7, ("ann", "bob")[k % 2], f"t{k:03d}") for k in range(150)], "conv_id long, turn long, role string, text string")
+    whole = {r.perspective: r for r in chat_format.rotate(turns).collect()}
+    assert {p: (r.block, r.n_turns) for p, r in whole.items()} == {"ann": (0, 150), "bob": (0, 150)}
+    blocks = sorted((r.perspective, r.block, r.n_turns, r.rendered) for r in chat_format.rotate(turns, block_turns=64).collect())
+    assert [(p, b, n) for p, b, n, _ in blocks] == [(p, b, n) for p in ("ann", "bob") for b, n in ((0, 64), (1, 64), (2, 22))]
+    assert "".join(x for p, _, _, x in blocks if p == "ann") == whole["ann"].rendered
+    assert chat_format.rotate(empty(turns)).count() == chat_format.rotate(empty(turns), block_turns=2).count() == 0
+    assert license_scan.scan_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_toxicity_is_found_in_held_out_texts(spark):
+    import random
+
+    rng = random.Random(9)
+    plain, foul = [f"word{k}" for k in range(200)], ["scum", "idiot", "vermin", "filth"]
+    data = [(k, " ".join(rng.choices(plain, k=40) + (rng.choices(foul, k=6) if k % 7 == 0 else [])), 5) for k in range(1400)]
+    docs = spark.createDataFrame(data + [(5000, "", 1), (5001, None, 1)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(k, int(k % 7 == 0)) for k in range(1000) if k % 2], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs.where("doc_id < 1000"), labels), keep=["doc_id"]).collect()}
+    held = range(1000, 1400)
+    assert sum(got[k].predicted for k in held if k % 7 == 0) >= 0.9 * sum(k % 7 == 0 for k in held)
+    assert sum(got[k].predicted for k in held if k % 7) <= 0.02 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == 1402
+
+
+def test_language_of_held_out_texts(spark):
+    import random
+
+    rng = random.Random(2)
+    roots = {"aa": ["tala", "bero", "mino", "sudi", "kapo"], "bb": ["grax", "thwe", "zork", "plym", "vrox"]}
+    text = lambda lang: " ".join(rng.choice(roots[lang]) + rng.choice(roots[lang]) for _ in range(12))
+    docs = spark.createDataFrame([(k, text(lang), lang, 1) for k in range(300) for lang in roots], "doc_id long, text string, lang string, score int")
+    fresh = [(k, rng.choice(roots[lang])[::1] + "x" + rng.choice(roots[lang]) + " " + text(lang), lang) for k, lang in enumerate(["aa", "bb"] * 50)]
+    model = language_id.train(docs)
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model, keep=["doc_id"]).collect()}
+    assert sum(got[k].lang_pred == lang for k, _, lang in fresh) >= 99
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_shards_hold_every_row_once(spark):
+    import zlib
+
+    data = [(k % 500 if k else None, "x" * (k * 37 % 900) + "é" * (k % 3) if k % 50 else None, f"s{k % 5}") for k in range(2000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = sharding.shard(docs, n_shards=8).collect()
+    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, _ in data)
+    shards = {s: sorted(r.slot for r in got if r.shard == s) for s in range(8)}
+    assert all(slots == [*range(len(slots))] for slots in shards.values())
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(sizes) < 1.05 * min(sizes)
