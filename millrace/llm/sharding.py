@@ -3,8 +3,8 @@
 The rows of a node are split along the dimension that is widest in it, at the
 weighted median (or the quantile that fits the shards on both sides), until
 each leaf is one shard. Medians come from histograms that are refined around
-the target weight: Spark sums weights by bin, the driver sees a bounded number
-of bins, and no row leaves the executors. Rows only carry their metadata.
+the target weight. Nodes, their bins and cuts are tables of Spark, so the number
+of shards may grow with the data. Rows only carry their metadata.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import lookup_join
-from .scratch import stored
+from .scratch import discard, stored
 
 #: Bits of a sort key: a dimension's code, a hash of the text, a hash of the id.
 CODE_BITS, GROUP_BITS, ROW_BITS = 16, 24, 22
@@ -34,34 +34,35 @@ def _log_code(n: Column) -> Column:
     return F.least((F.log1p(n.cast("double")) * 2500).cast("int"), F.lit((1 << CODE_BITS) - 1))
 
 
-def _quantiles(rows: DataFrame, targets: dict[int, float], totals: dict[int, float], tolerance: float) -> dict[int, int]:
-    """For each node, the key below which the weight is nearest to its target; ``rows`` has node, key and weight."""
-    shift, found = KEY_BITS, {}
-    state = {node: (0, 0.0) for node in targets}  # prefix of the bin, weight below it
-    while state:
+def _cuts(keyed: DataFrame, targets: DataFrame, tolerance: float) -> DataFrame:
+    """``node`` and ``cut``, the key below which a node's weight is nearest to its ``target``; ``keyed`` has node, weight and key.
+
+    Bins of the key are refined around the target of each node. A node has
+    2**BIN_BITS bins at most, and all of them stay in Spark.
+    """
+    state = stored(targets.select("node", "target", F.lit(0).cast("long").alias("prefix"), F.lit(0.0).alias("below"), F.lit(None).cast("long").alias("cut")), "kd-state")
+    shift = KEY_BITS
+    while shift:
         step = min(BIN_BITS, shift)
         shift -= step
-        prefix = F.create_map(*(F.lit(x).cast("long") for node, (p, _) in state.items() for x in (node, p)))
-        inside = rows.where(F.col("node").isin(list(state))).withColumn("p", F.element_at(prefix, F.col("node").cast("long")))
-        inside = inside.where(F.shiftright("key", shift + step) == F.col("p"))
-        bins: dict[int, list] = {node: [] for node in state}
-        for r in inside.groupBy("node", F.shiftright("key", shift).alias("bin")).agg(F.sum("weight").alias("w")).collect():  # nodes x 2**BIN_BITS at most
-            bins[r.node].append((r.bin, r.w))
-        following = {}
-        for node, (_, below) in state.items():
-            for at, weight in sorted(bins[node]):
-                if below + weight >= targets[node]:
-                    if weight <= tolerance or not shift:
-                        later = below + weight - targets[node] < targets[node] - below
-                        found[node] = (at + later) << shift
-                    else:
-                        following[node] = (at, below)
-                    break
-                below += weight
-            else:
-                found[node] = 1 << KEY_BITS
+        going = state.where("cut is null").drop("cut")
+        if not going.limit(1).count():
+            break
+        going = stored(going, "kd-going")
+        inside = lookup_join(keyed, going, "node").where(F.shiftright("key", shift + step) == F.col("prefix"))
+        bins = inside.groupBy("node", "target", "below", F.shiftright("key", shift).alias("bin")).agg(F.sum("weight").alias("w"))
+        upto = F.col("below") + F.sum("w").over(W.partitionBy("node").orderBy("bin"))  # bins of a node
+        met = bins.withColumn("upto", upto).where("upto >= target").groupBy("node", "target").agg(F.min(F.struct("bin", "w", "upto")).alias("b"))
+        later = (F.col("b.upto") - F.col("target") < F.col("target") - (F.col("b.upto") - F.col("b.w"))).cast("long")
+        enough = (F.col("b.w") <= tolerance) | F.lit(shift == 0)
+        found = met.select("node", F.col("b.bin").alias("prefix"), (F.col("b.upto") - F.col("b.w")).alias("below"), F.when(enough, F.shiftleft(F.col("b.bin") + later, shift)).alias("cut"))
+        last = F.lit(1 << KEY_BITS).cast("long")  # a target that rounding puts beyond all weight
+        refined = going.select("node", "target").join(found, "node", "left").select("node", "target", F.coalesce("prefix", F.lit(0).cast("long")).alias("prefix"), F.coalesce("below", F.lit(0.0)).alias("below"), F.when(F.col("prefix").isNull(), last).otherwise(F.col("cut")).alias("cut"))
+        following = stored(state.where("cut is not null").union(refined), "kd-state")
+        discard(state)
+        discard(going)
         state = following
-    return found
+    return state.select("node", "cut")
 
 
 def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, doc_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -72,14 +73,16 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     none, and the crc of an empty text. Dimensions are the size, the share of
     other than ASCII bytes and the number of lines, all functions of the text,
     so equal texts share a shard unless a split must cut their group to keep
-    sizes near equal. Ids may repeat. An empty table gives an empty result.
+    sizes near equal. Ids may repeat or be null; texts of any length are sized
+    whole; of equally wide dimensions the first is split. An empty table gives
+    an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text)
     mask = lambda bits: F.lit((1 << bits) - 1)
     low = F.shiftleft(F.xxhash64(text).bitwiseAND(mask(GROUP_BITS)), ROW_BITS).bitwiseOR(F.xxhash64(F.col(doc_col).cast("string")).bitwiseAND(mask(ROW_BITS)))
     rows = docs.select(
-        F.col(doc_col).alias("doc"), (size + overhead).cast("long").alias("weight"), F.crc32(text.cast("binary")).alias("crc"), low.alias("low"), F.lit(0).alias("node"),
+        F.col(doc_col).alias("doc"), (size + overhead).cast("long").alias("weight"), F.crc32(text.cast("binary")).alias("crc"), low.alias("low"), F.lit(0).cast("long").alias("node"),
         _log_code(size).alias("c0"),
         ((size - F.char_length(text)) * 65535 / F.greatest(size, F.lit(1))).cast("int").alias("c1"),
         _log_code(size - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).alias("c2"),
@@ -90,31 +93,29 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     if n_shards is None:
         n_shards = max(1, math.ceil(total.w / target_bytes))
     leaf = total.w / n_shards
-    tree = {0: (0, n_shards)}  # node -> first shard, shards
-    spread: dict[str, float] = {}
-    next_node = 1
-    while total.n and any(n > 1 for _, n in tree.values()):
-        stats = rows.groupBy("node").agg(F.sum("weight").alias("w"), *(f(c).alias(f"{f.__name__}_{c}") for c in dims for f in (F.min, F.max))).collect()
-        if not spread:
-            spread = {c: max(stats[0][f"max_{c}"] - stats[0][f"min_{c}"], 1) for c in dims}
-        widest = {s.node: max(dims, key=lambda c: (s[f"max_{c}"] - s[f"min_{c}"]) / spread[c]) for s in stats}
-        weights = {s.node: s.w for s in stats}
-        split = {node: at for node, at in tree.items() if at[1] > 1 and node in weights}
-        dim = F.create_map(*(F.lit(x) for node in split for x in (node, dims.index(widest[node]))))
-        code = F.element_at(F.array(*dims), F.element_at(dim, F.col("node")) + 1)
-        keyed = rows.where(F.col("node").isin(list(split))).select("node", "weight", F.shiftleft(code.cast("long"), GROUP_BITS + ROW_BITS).bitwiseOR(F.col("low")).alias("key"))
-        targets = {node: weights[node] * (n // 2) / n for node, (_, n) in split.items()}
-        keys = _quantiles(keyed, targets, weights, TOLERANCE * leaf)
-        moved = F.col("node")
-        for node, (first, n) in split.items():
-            key = F.shiftleft(F.col(widest[node]).cast("long"), GROUP_BITS + ROW_BITS).bitwiseOR(F.col("low"))
-            moved = F.when((F.col("node") == node) & (key >= keys[node]), F.lit(next_node)).otherwise(moved)
-            tree[node], tree[next_node] = (first, n // 2), (first + n // 2, n - n // 2)
-            next_node += 1
-        tree = {node: at for node, at in tree.items() if at[1] == 1 or node in weights or node >= next_node - len(split)}
-        rows = stored(rows.withColumn("node", moved), "kd-rows")
-    names = F.create_map(*(F.lit(x) for node, (first, _) in tree.items() for x in (node, first)))
-    rows = rows.withColumn("shard", F.element_at(names, F.col("node")))
+    # A node is named by its first shard; it keeps the lower part of a split, and the upper one is a node of its own.
+    nodes = stored(docs.sparkSession.createDataFrame([(0, n_shards)], "node long, n long"), "kd-nodes")
+    span = rows.agg(*(F.coalesce(F.max(c) - F.min(c), F.lit(0)).alias(c) for c in dims)).first()
+    largest = n_shards if total.n else 1
+    while largest > 1:
+        widths = F.array(*((F.max(c) - F.min(c)) / F.lit(max(span[c], 1)) for c in dims))
+        stats = rows.groupBy("node").agg(F.sum("weight").alias("w"), widths.alias("widths"))
+        widest = (F.array_position("widths", F.array_max("widths")) - 1).cast("int")  # of equal ones the first
+        lower = F.floor(F.col("n") / 2)
+        splits = stored(stats.join(nodes.where("n > 1"), "node").select("node", lower.alias("lower"), widest.alias("dim"), (F.col("w") * lower / F.col("n")).alias("target")), "kd-splits")
+        code = F.element_at(F.array(*dims), F.col("dim") + 1)
+        key = F.shiftleft(code.cast("long"), GROUP_BITS + ROW_BITS).bitwiseOR(F.col("low"))
+        cuts = _cuts(lookup_join(rows, splits.select("node", "dim"), "node").select("node", "weight", key.alias("key")), splits.select("node", "target"), TOLERANCE * leaf)
+        found = lookup_join(rows, stored(splits.drop("target").join(cuts, "node"), "kd-cuts"), "node", "left")
+        moved = found.withColumn("node", F.when(key >= F.col("cut"), F.col("node") + F.col("lower")).otherwise(F.col("node")))
+        following = stored(moved.select(rows.columns), "kd-rows")
+        discard(rows)
+        rows = following
+        split, whole = nodes.where("n > 1"), nodes.where("n <= 1")
+        more = stored(whole.union(split.select("node", lower)).union(split.select(F.col("node") + lower, F.col("n") - lower)), "kd-nodes")
+        discard(nodes)
+        nodes, largest = more, largest - largest // 2
+    rows = rows.withColumn("shard", F.col("node").cast("int"))
     return _with_slots(rows, n_shards, total.n).select(F.col("doc").alias(doc_col), F.col("weight").alias("size"), F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
