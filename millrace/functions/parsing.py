@@ -24,6 +24,8 @@ _DATES = (
     (r"[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}", "d MMMM yyyy"),
     (r"[0-9]{4}", "yyyy"),
 )
+#: How each of the forms begins, and the four digits of its year.
+_LIKE_DATE = r"^(?=[0-9]{4}|[0-9]{1,2}[/ -]|[A-Za-z]{3,9} [0-9]).*[0-9]{4}"
 _TIMES = ((r"[ T][0-9]{2}:[0-9]{2}:[0-9]{2}", " HH:mm:ss"), (r"[ T][0-9]{2}:[0-9]{2}", " HH:mm"))
 
 
@@ -62,7 +64,7 @@ def parse_datetime(text: Column) -> Column:
     for date, form in _DATES[:7]:
         for time, time_form in _TIMES:
             tries.append(F.when(F.regexp_like(value, F.lit(f"^{date}{time}$")), F.try_to_timestamp(spaced, F.lit(form + time_form)).cast("timestamp_ntz")))
-    return F.when(F.regexp_like(value, F.lit("[0-9]{4}")), F.coalesce(*tries))  # each form has a year of four digits
+    return F.when(F.regexp_like(value, F.lit(_LIKE_DATE)), F.coalesce(*tries))
 
 
 def word_count(text: Column) -> Column:

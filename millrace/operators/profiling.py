@@ -104,7 +104,7 @@ def value_counts(df: DataFrame, names: list[str], order: Column | None = None) -
 
 def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
     """Distinct values of each column; values are shuffled as 128-bit hashes, never as text."""
-    hashed = (F.struct(F.lit(k).alias("k"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(k), v).alias("h2"), v.isNotNull().alias("there")) for k, c in enumerate(names) for v in (clean(df, c).cast("string"),))
+    hashed = (F.struct(F.lit(k).alias("k"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(k), v).alias("h2"), v.isNotNull().alias("there")) for k, c in enumerate(names) for v in (clean(df, c),))
     rows = df.select(F.explode(F.array(*hashed)).alias("p")).where("p.there").select("p.k", "p.h1", "p.h2")
     found = {r.k: r.u for r in rows.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("u")).collect()}
     return {c: found.get(k, 0) for k, c in enumerate(names)}
