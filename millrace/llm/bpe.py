@@ -22,7 +22,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -140,9 +140,14 @@ class Model:
         self.letters = byte_letters()
         self.bytes_of = {self.letters[b]: b for b in range(256)}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self._pair_tables()
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Its own reader of the file, for unusual texts."""
+        return Tokenizer.from_file(self.path)
+
     def library_words(self, text: str) -> list[bytes]:
         """The words of an unusual text without special tokens."""
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
@@ -327,9 +332,8 @@ class Lexicon:
         return self.ids[self.id_at[rank] : self.id_at[rank + 1]].tolist() if rank >= 0 else None
 
 
-@lru_cache(maxsize=2)
 def load_model(path: str) -> Model:
-    """The model of a file, read once in each process."""
+    """The model of a file; a task reads it once and lets it go at its end, as workers outlive tasks."""
     return Model(path)
 
 
