@@ -54,27 +54,26 @@ class Backoff:
             for size in range(1, NGRAM + 1):
                 for g in ngrams(word, size):
                     grams[size].setdefault(g, np.zeros(len(at)))[at[lang]] += n
-        self.words = self._log(words)
-        self.grams = [self._log({g: c for g, c in level.items() if c.sum() >= 5}) for level in grams]
+        self.words, self.word_table = self._log(words)
+        self.grams, self.gram_tables = map(list, zip(*(self._log({g: c for g, c in level.items() if c.sum() >= 5}) for level in grams)))
         self.unknown = np.zeros(len(at), np.float32)
 
-    @staticmethod
-    def _log(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def _log(self, counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+        """The row of each name in one table of log probabilities."""
         if not counts:
-            return {}
+            return {}, np.zeros((0, len(self.langs)), np.float32)
         table = np.array(list(counts.values())) + 0.1
-        table = np.log(table / table.sum(axis=0)).astype(np.float32)
-        return dict(zip(counts, table))
+        return {name: k for k, name in enumerate(counts)}, np.log(table / table.sum(axis=0)).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
         """Log probabilities of one word in each language."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
+        row = self.words.get(word)
+        if row is not None:
+            return self.word_table[row]
         for size in range(NGRAM, 0, -1):
-            known = [v for g in ngrams(word, size) if (v := self.grams[size].get(g)) is not None]
+            known = [k for g in ngrams(word, size) if (k := self.grams[size].get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.gram_tables[size][known].mean(axis=0)
         return self.unknown
 
 
@@ -170,7 +169,8 @@ def train(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang
 def identify(docs: DataFrame, model: Backoff, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) with ``lang_pred`` and ``score``.
 
-    A null text, or one without a letter, gets ``und`` and 0. Repeated rows
+    A null text, or one without a letter, gets ``und`` and 0. Of equally likely
+    languages the first by name is given. Texts of any length are read whole. Repeated rows
     are predicted each; an empty table gives an empty result. Columns named
     like the new ones are replaced.
     """
