@@ -145,15 +145,17 @@ def profile_dataframe(df: DataFrame, columns: list[str] | None = None, order_by:
     outlier_keys = outlier_keys or ([ROW_ID] if ROW_ID in df.columns else None)
     types = dict(df.dtypes)
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    made: list[Column] = []  # values that several aggregates look at are computed once for each row
     for k, c in enumerate(names):
-        value, kind = clean(df, c), family(types[c])
+        kind, value = family(types[c]), F.col(f"v{k}")
+        made.append(clean(df, c).alias(f"v{k}"))
         aggs.append(F.count(value).alias(f"n{k}"))
         if kind == "string":
-            aggs += [F.count(parse_number(value)).alias(f"num{k}"), F.bool_and(F.lower(strip(value)).isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"bool{k}")]
+            aggs += [F.count(f"x{k}").alias(f"num{k}"), F.bool_and(F.lower(strip(value)).isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"bool{k}")]
         if kind in ("string", "numeric"):
-            x = finite(numbers(df, c))
-            aggs += [f(x).alias(f"{f.__name__}{k}") for f in (F.min, F.max, F.avg, F.stddev_samp, F.count)]
-    row = df.agg(*aggs).first()
+            made.append(numbers(df, c).alias(f"x{k}"))
+            aggs += [f(finite(F.col(f"x{k}"))).alias(f"{f.__name__}{k}") for f in (F.min, F.max, F.avg, F.stddev_samp, F.count)]
+    row = df.select(*made).agg(*aggs).first()
     unique = distinct_counts(df, names)
     numeric = {k: row[f"num{k}"] / row[f"n{k}"] if row[f"n{k}"] else 0.0 for k, c in enumerate(names) if family(types[c]) == "string"}
     maybe_dates = [k for k, share in numeric.items() if row[f"n{k}"] and share < DATE_SHARE]
