@@ -295,11 +295,3 @@ def test_shards_hold_every_row_once(spark):
     assert all(slots == [*range(len(slots))] for slots in shards.values())
     sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
     assert max(sizes) < 1.05 * min(sizes)
-
-
-def test_many_shards_by_target_bytes(spark):
-    docs = spark.range(3000, numPartitions=4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 37 % 500).cast("int")).alias("text"))
-    got = sharding.shard(docs, target_bytes=8_000).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r.b for r in got)
-    assert len(got) == -(-total // 8_000) and all(r.s + 1 == r.n for r in got)
-    assert max(r.b for r in got) < 2 * 8_000
