@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
+def stored(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders by the columns ``by``, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _written.append(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.millrace_path = path
