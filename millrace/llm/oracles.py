@@ -64,3 +64,70 @@ reached AS (SELECT class_id AS a, class_id AS b FROM classes UNION SELECT r.a, e
 least_reached AS (SELECT a AS class_id, min(b) AS component_id FROM reached GROUP BY a)
 SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(component_id, d.doc_id) AS component_id
 FROM sets d LEFT JOIN classes c ON d.s = c.s LEFT JOIN least_reached USING (class_id)"""
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _above(name: str, base: str) -> str:
+    """Nodes of all levels above those of ``base`` (tree, pos, digest, n)."""
+    return f"""{name} AS (
+    SELECT tree, 0 AS level, pos, digest, n FROM {base}
+    UNION ALL
+    SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (n + 15) // 16 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 16, n)"""
+
+
+def _steps(name: str, base: str, nodes: str) -> str:
+    """For each node of ``base`` the siblings before and after it on all levels."""
+    on_level = "b.pos // (16 ** s.level)::BIGINT"
+    return f"""{name} AS (
+    SELECT tree, pos, list({{'b': before, 'a': after}} ORDER BY level) AS steps
+    FROM (
+        SELECT b.tree, b.pos, s.level, coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos < {on_level}), '') AS before, coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos > {on_level}), '') AS after
+        FROM {base} b JOIN {nodes} s ON b.tree = s.tree AND s.n > 1 AND s.pos // 16 = b.pos // (16 ** (s.level + 1))::BIGINT
+        GROUP BY b.tree, b.pos, s.level)
+    GROUP BY tree, pos)"""
+
+
+_NO_STEPS = "[]::STRUCT(b VARCHAR, a VARCHAR)[]"
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE crc AS (
+    SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384::BIGINT * (c & 1))) AS c FROM range(256) r(i))),
+marked AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 5 = 0 AS hit
+    FROM documents, crc),
+rows_ AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '1' || source END AS tree, {_leaf("text")} AS digest, {_leaf(f"(CASE WHEN hit THEN {_LOWER.format('text')} ELSE text END)")} AS claim FROM marked),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM rows_),
+{_above("nodes", "leaves")},
+subroots AS MATERIALIZED (SELECT tree AS name, '' AS tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_above("upper_", "subroots")},
+{_steps("low", "leaves", "nodes")},
+{_steps("high", "subroots", "upper_")},
+whole AS (
+    SELECT doc_id, l.digest AS leaf, claim, s.digest AS subroot, r.digest AS root, coalesce(low.steps, {_NO_STEPS}) || coalesce(high.steps, {_NO_STEPS}) AS steps
+    FROM leaves l JOIN subroots s ON l.tree = s.name JOIN (SELECT digest FROM upper_ WHERE n = 1) r ON true
+    LEFT JOIN low ON l.tree = low.tree AND l.pos = low.pos LEFT JOIN high ON s.pos = high.pos),
+folded AS (
+    SELECT *, sha256(array_to_string(list_transform(steps, lambda s: s.b || s.a), '')) AS proof_sha256,
+        list_reduce(list_prepend({{'b': claim, 'a': ''}}, steps), lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b AS folded_root
+    FROM whole)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_LOWER.format("coalesce(text, '')"))
+
+LEXICAL_SEARCH = rf"""
+WITH texts AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM texts),
+found AS (SELECT doc_id, n::BIGINT AS n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM texts) GROUP BY doc_id, n, term),
+asked AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM found, totals GROUP BY term),
+scores AS (
+    SELECT item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN found USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0) WHERE rank <= 20"""

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, oracles, quality_rules, sharding, toxicity, url_filter
+from . import bpe, chat_format, decontaminate, jaccard_join, language_id, lexical, license_scan, merkle, oracles, quality_rules, sharding, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations"), block_turns=64)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"), shingle=3, budget=2)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(fold("doc_id", 5) == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), claims={"text": tampered})
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -92,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_chat_format": op10_chat_format,
+        "op11_simhash": op11_simhash,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -101,4 +118,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": oracles.DECONTAMINATION,
         "op9_jaccard_join": oracles.JACCARD_JOIN,
         "op10_chat_format": chat_format.ORACLE_SQL,
+        "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
+        "op13_lexical_search": oracles.LEXICAL_SEARCH,
     }

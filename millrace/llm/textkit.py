@@ -132,3 +132,46 @@ def sums_by_text(values: np.ndarray, first_runs: np.ndarray) -> np.ndarray:
     """Sums of values over the runs of each text."""
     total = np.concatenate((np.zeros(1, values.dtype if values.dtype != bool else np.int64), np.cumsum(values, dtype=np.int64 if values.dtype == bool else values.dtype)))
     return total[first_runs[1:]] - total[first_runs[:-1]]
+
+
+#: Bytes of one text whose words are lists at once.
+PIECE_BYTES = 1 << 20
+_SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
+_PLAIN = bytes(32 if b in _SIGNS else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def text_bytes(texts: pa.Array) -> Iterator[memoryview]:
+    """The UTF-8 bytes of each text of a column; a null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist() if len(texts) else [0]
+    data = memoryview(texts.buffers()[2] or b"")
+    for start, end in zip(offsets, offsets[1:]):
+        yield data[start:end]
+
+
+def pieces(text: memoryview, separators: bytes) -> Iterator[bytes]:
+    """A text cut before separators into pieces of about PIECE_BYTES; a longer run is never cut."""
+    start = 0
+    while start < len(text):
+        end, at = start + PIECE_BYTES, len(text)
+        while end < len(text):
+            near = bytes(text[end : end + 4096]).translate(None, separators)  # as long as before if no separator is in it
+            if len(near) < min(4096, len(text) - end):
+                at = end + next(k for k, x in enumerate(bytes(text[end : end + 4096])) if x in separators)
+                break
+            end += 4096
+        yield bytes(text[start:at])
+        start = at
+
+
+def blank_words(text: memoryview) -> Iterator[list[bytes]]:
+    """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, piece by piece."""
+    for piece in pieces(text, b" \t\n\x0b\x0c\r"):
+        yield piece.translate(_LOWER).split()
+
+
+def plain_words(text: memoryview) -> Iterator[list[bytes]]:
+    """Runs of letters, digits and all beyond ASCII, with A-Z lower-cased, piece by piece."""
+    for piece in pieces(text, _SIGNS):
+        yield piece.translate(_PLAIN).split()
