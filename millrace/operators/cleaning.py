@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_boolean, parse_datetime
-from ..storage import range_parts, stored
-from ..types import ROW_ID, ColumnProfile, StepReport
+from ..storage import SMALL_ROWS, range_parts, stored
+from ..types import ROW_ID, Notes
 from .profiling import PERCENTILE_VALUES, clean, family, numbers, position, profile_dataframe, quoted, visible
 
 #: Repeated rows that a report names.
@@ -20,25 +20,25 @@ def replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*(new[c].alias(c) if c in new else quoted(c) for c in df.columns)) if new else df
 
 
-def coerce_types(df: DataFrame, profiles: list[ColumnProfile] | None = None) -> tuple[DataFrame, StepReport]:
+def coerce_types(df: DataFrame, profiles: list[Row] | None = None) -> tuple[DataFrame, Notes]:
     """Casts columns to the type of their kind; what can't be parsed becomes null and is counted."""
-    report = StepReport("coerce_types", "Convert columns to the type of their kind")
+    notes = Notes()
     new: dict[str, Column] = {}
     for p in profiles or profile_dataframe(df):
-        parse = {"numeric": numbers(df, p.name), "boolean": parse_boolean(clean(df, p.name).cast("string")), "datetime": parse_datetime(clean(df, p.name).cast("string"))}.get(p.kind)
+        parse = {"numeric": numbers(df, p.column_name), "boolean": parse_boolean(clean(df, p.column_name).cast("string")), "datetime": parse_datetime(clean(df, p.column_name).cast("string"))}.get(p.kind)
         if parse is None:
             continue
-        typed = family(dict(df.dtypes)[p.name]) == p.kind
-        new[p.name] = clean(df, p.name) if typed else parse
-        report.touched += [] if typed else [p.name]
-        report.details.append({"column": p.name, "to": p.kind, "failed_count": 0})
+        typed = family(dict(df.dtypes)[p.column_name]) == p.kind
+        new[p.column_name] = clean(df, p.column_name) if typed else parse
+        notes.touched += [] if typed else [p.column_name]
+        notes.details.append({"column": p.column_name, "to": p.kind, "failed_count": 0})
     if new:
         failed = df.agg(*(F.count_if(clean(df, c).isNotNull() & x.isNull()).alias(f"f{k}") for k, (c, x) in enumerate(new.items()))).first()
-        for k, detail in enumerate(report.details):
+        for k, detail in enumerate(notes.details):
             detail["failed_count"] = failed[k]
             if failed[k]:
-                report.warnings.append(f"{failed[k]} values of {detail['column']} could not be converted to {detail['to']} and are missing now")
-    return replaced(df, new), report
+                notes.warnings.append(f"{failed[k]} values of {detail['column']} could not be converted to {detail['to']} and are missing now")
+    return replaced(df, new), notes
 
 
 def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str] | None = None) -> DataFrame:
@@ -70,11 +70,11 @@ def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str]
     return filled.select(*(new[c].alias(c) if c in new else quoted(c) for c in df.columns))
 
 
-def most_frequent(df: DataFrame, profiles: list[ColumnProfile]) -> dict[str, object]:
+def most_frequent(df: DataFrame, profiles: list[Row]) -> dict[str, object]:
     """The most frequent value of each column, the least one of several: in one aggregate where values are few, else by counts of each value."""
-    few = [p.name for p in profiles if p.unique_count <= PERCENTILE_VALUES]
+    few = [p.column_name for p in profiles if p.n_unique <= PERCENTILE_VALUES]
     found = dict(zip(few, df.agg(*(F.mode(clean(df, c), True) for c in few)).first())) if few else {}
-    for c in (p.name for p in profiles if p.name not in few):
+    for c in (p.column_name for p in profiles if p.column_name not in few):
         counts = df.select(clean(df, c).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         found[c] = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "v"))).first()[0].v
     return found
@@ -82,43 +82,43 @@ def most_frequent(df: DataFrame, profiles: list[ColumnProfile]) -> dict[str, obj
 
 def impute_missing(
     df: DataFrame, *, numeric_strategy: str = "median", categorical_strategy: str = "mode", datetime_strategy: str = "ffill_bfill",
-    overrides: dict[str, str] | None = None, order_by: list[str] | None = None, profiles: list[ColumnProfile] | None = None,
-) -> tuple[DataFrame, StepReport]:
+    overrides: dict[str, str] | None = None, order_by: list[str] | None = None, profiles: list[Row] | None = None,
+) -> tuple[DataFrame, Notes]:
     """Fills nulls by strategy: mean, median, mode, ffill_bfill, constant:<value> or skip."""
-    report = StepReport("impute_missing", "Fill missing values")
+    notes = Notes()
     by_kind = {"numeric": numeric_strategy, "datetime": datetime_strategy} | dict.fromkeys(("categorical", "boolean", "text", "identifier"), categorical_strategy)
     constants: dict[str, Column] = {}
     fills: dict[str, object] = {}
-    modes: dict[str, ColumnProfile] = {}
+    modes: dict[str, Row] = {}
     carried: list[str] = []
     plan: dict[str, str] = {}
     types = dict(df.dtypes)
     nulls = {}
     for p in profiles or profile_dataframe(df):
-        if not p.null_count:
+        if not p.nulls:
             continue
-        nulls[p.name] = p.null_count
-        strategy = (overrides or {}).get(p.name) or by_kind.get(p.kind, "skip")
-        plan[p.name] = strategy
+        nulls[p.column_name] = p.nulls
+        strategy = (overrides or {}).get(p.column_name) or by_kind.get(p.kind, "skip")
+        plan[p.column_name] = strategy
         if strategy == "skip":
-            report.warnings.append(f"{p.name}: {p.null_count} missing values left as they are")
+            notes.warnings.append(f"{p.column_name}: {p.nulls} missing values left as they are")
         elif strategy in ("mean", "median") and p.kind == "numeric":
             if strategy in p.stats:
-                fills[p.name] = p.stats[strategy]
+                fills[p.column_name] = p.stats[strategy]
         elif strategy == "mode":
-            modes[p.name] = p
+            modes[p.column_name] = p
         elif strategy == "ffill_bfill":
-            carried.append(p.name)
+            carried.append(p.column_name)
         elif strategy.startswith("constant:"):
-            constant = F.lit(strategy.split(":", 1)[1]).try_cast(types[p.name])
+            constant = F.lit(strategy.split(":", 1)[1]).try_cast(types[p.column_name])
             if df.sparkSession.range(1).select(constant.isNull()).first()[0]:
-                report.warnings.append(f"{p.name}: the constant does not fit type {types[p.name]}, column left as it is")
-                plan[p.name] = "skip"
+                notes.warnings.append(f"{p.column_name}: the constant does not fit type {types[p.column_name]}, column left as it is")
+                plan[p.column_name] = "skip"
             else:
-                constants[p.name] = constant
+                constants[p.column_name] = constant
         else:
-            report.warnings.append(f"{p.name}: strategy {strategy!r} is not applicable to kind {p.kind}")
-            plan[p.name] = "skip"
+            notes.warnings.append(f"{p.column_name}: strategy {strategy!r} is not applicable to kind {p.kind}")
+            plan[p.column_name] = "skip"
     fills |= {c: v for c, v in most_frequent(df, [*modes.values()]).items() if v is not None}
     new: dict[str, Column] = {}
     for c, value in fills.items():
@@ -126,40 +126,62 @@ def impute_missing(
         literal = F.lit(value) if plan[c] in ("mean", "median") else F.lit(value).cast(types[c])
         new[c] = F.coalesce(base, literal)
     new |= {c: F.coalesce(clean(df, c), x) for c, x in constants.items()}
-    report.touched = [*new, *carried]
+    notes.touched = [*new, *carried]
     filled = replaced(df, new)
     if carried:
         filled = fill_forward_backward(filled, carried, order_by)
     for c, strategy in plan.items():
         done = c in new or c in carried
-        report.details.append({"column": c, "strategy": strategy, "filled_count": nulls[c] if done else 0, "fill_value": None if c not in fills else str(fills[c])})
+        notes.details.append({"column": c, "strategy": strategy, "filled_count": nulls[c] if done else 0, "fill_value": None if c not in fills else str(fills[c])})
         if not done and strategy != "skip":
-            report.warnings.append(f"{c}: {nulls[c]} values are still missing")
-    return filled, report
+            notes.warnings.append(f"{c}: {nulls[c]} values are still missing")
+    return filled, notes
+
+
+def _hashed(df: DataFrame, keys: list[str], order_by: list[str] | None) -> DataFrame:
+    """``df`` with a 128-bit hash of its keys, in which NaN is null and -0.0 is 0.0, and ``__at``, what rows are ordered by."""
+    marked = [x for c in keys for x in (clean(df, c), clean(df, c).isNull())]  # hashes skip nulls
+    return df.withColumns({"__h1": F.xxhash64(*marked), "__h2": F.xxhash64(F.lit(1), *marked), "__at": F.struct(position(df, order_by))})
 
 
 def duplicate_flags(df: DataFrame, subset: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
-    """``df`` with boolean ``__duplicate``: an earlier row has the same values; nulls are equal."""
-    keys = subset or visible(df)
-    order = W.partitionBy(*(quoted(c) for c in keys)).orderBy(position(df, order_by))
-    return df.withColumn("__duplicate", F.row_number().over(order) > 1)
+    """``df`` with boolean ``__duplicate``: an earlier row has the same values; nulls are equal, NaN is one.
 
+    Rows are numbered and stored; the first of each key comes from an aggregate
+    that each task begins by itself, so a frequent key is no single task's.
+    """
+    numbered = stored(_hashed(df, subset or visible(df), order_by).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    at = F.struct("__at", "__row")
+    first = numbered.groupBy("__h1", "__h2").agg(F.min(at).alias("__first"))
+    return numbered.join(first, ["__h1", "__h2"]).select(*(quoted(c) for c in df.columns), (at > F.col("__first")).alias("__duplicate"))
 
-def handle_duplicates(df: DataFrame, *, drop: bool = False, subset: list[str] | None = None, order_by: list[str] | None = None) -> tuple[DataFrame, StepReport]:
-    """Counts rows that repeat an earlier one, by 128-bit hashes, names the first of them by ``order_by``, and drops them if asked to."""
-    report = StepReport("handle_duplicates", "Find repeated rows")
+
+def handle_duplicates(df: DataFrame, *, drop: bool = False, subset: list[str] | None = None, order_by: list[str] | None = None) -> tuple[DataFrame, Notes]:
+    """Counts rows that repeat an earlier one, by 128-bit hashes, names the first of them by ``order_by``, and drops them if asked to.
+
+    One aggregate gives the keys that come up more than once, each with its
+    least position. Rows of other keys stay where they are; of the rows of
+    those, an aggregate keeps the first, so neither needs all rows of a key in
+    one task. NaN counts as null.
+    """
+    notes = Notes()
     keys = subset or visible(df)
-    marked = [x for c in keys for x in (clean(df, c), clean(df, c).isNull())]  # hashes skip nulls
-    hashes = df.select(F.xxhash64(*marked).alias("h1"), F.xxhash64(F.lit(1), *marked).alias("h2"))
-    counts = hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")).first()
+    hashed = _hashed(df, keys, order_by)
+    repeated = stored(hashed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first")).where("__n > 1"), "repeated")
+    found = repeated.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("d"), F.count(F.lit(1)).alias("k")).first()
+    several = F.broadcast(repeated) if found.k <= SMALL_ROWS else repeated
     named = order_by or ([ROW_ID] if ROW_ID in df.columns else None)
     first = []
-    if counts.d and named:
-        rows = duplicate_flags(df, keys, named).where("__duplicate").select(*(quoted(c) for c in named)).orderBy(*(quoted(c) for c in named)).limit(NAMED_DUPLICATES).collect()
+    if found.d and named:
+        rows = hashed.join(several, ["__h1", "__h2"]).where(F.col("__at") > F.col("__first")).select(*(quoted(c) for c in named)).orderBy(*(quoted(c) for c in named)).limit(NAMED_DUPLICATES).collect()
         first = [r[0] if len(named) == 1 else tuple(r) for r in rows]
-    report.details.append({"duplicate_count": counts.d, "dropped": bool(drop), "first_duplicates": first})
-    if counts.d and not drop:
-        report.warnings.append(f"{counts.d} duplicate rows found and NOT removed")
-    if drop and counts.d:
-        df = df.dropDuplicates() if subset is None and ROW_ID not in df.columns else duplicate_flags(df, keys, order_by).where("not __duplicate").drop("__duplicate")
-    return df, report
+    notes.details.append({"duplicate_count": found.d, "dropped": bool(drop), "first_duplicates": first})
+    if found.d and not drop:
+        notes.warnings.append(f"{found.d} duplicate rows found and NOT removed")
+    if drop and found.d:
+        marked = hashed.join(several.drop("__first"), ["__h1", "__h2"], "left")
+        columns = [quoted(c) for c in df.columns]
+        order = F.struct("__at", F.xxhash64(*columns)) if not any(t.startswith("map") for _, t in df.dtypes) else F.struct("__at")
+        firsts = marked.where("__n is not null").groupBy("__h1", "__h2").agg(F.min_by(F.struct(*columns), order).alias("__r"))
+        df = marked.where("__n is null").select(*columns).union(firsts.select(*(F.col("__r")[c].alias(c) for c in df.columns)))
+    return df, notes

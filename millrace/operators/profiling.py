@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parsing import FALSE_WORDS, TRUE_WORDS, parse_datetime, parse_number, strip
-from ..types import ROW_ID, ColumnProfile, Snapshot
+from ..types import ROW_ID, limits, shape
 from .ranks import quantiles
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -61,10 +62,17 @@ def finite(x: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x)
 
 
-def snapshot(df: DataFrame) -> Snapshot:
-    names = visible(df)
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(clean(df, c).isNull()).alias(f"n{k}") for k, c in enumerate(names))).first()
-    return Snapshot(row.rows, {c: row[f"n{k}"] for k, c in enumerate(names)}, {c: t for c, t in df.dtypes if c != ROW_ID})
+def shape_metrics(df: DataFrame) -> dict[str, Column]:
+    """Aggregates of which ``shape_from`` makes a table's shape."""
+    return {"rows": F.count(F.lit(1))} | {f"n{k}": F.count_if(clean(df, c).isNull()) for k, c in enumerate(visible(df))}
+
+
+def shape_from(df: DataFrame, found: dict) -> Row:
+    return shape(found["rows"], {c: found[f"n{k}"] for k, c in enumerate(visible(df))}, {c: t for c, t in df.dtypes if c != ROW_ID})
+
+
+def shape_of(df: DataFrame) -> Row:
+    return shape_from(df, df.agg(*(x.alias(k) for k, x in shape_metrics(df).items())).first().asDict())
 
 
 def classify(dtype: str, non_null: int, unique: int, numeric_ratio: float, datetime_ratio: float, is_boolean: bool) -> str:
@@ -132,8 +140,8 @@ def quartiles_of(df: DataFrame, names: list[str], unique: dict[str, int]) -> dic
     return found
 
 
-def profile_dataframe(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, samples: bool = False, outlier_keys: list[str] | None = None) -> list[ColumnProfile]:
-    """A profile of each column.
+def profile_dataframe(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, samples: bool = False, outlier_keys: list[str] | None = None) -> list[Row]:
+    """A profile of each column, a row of PROFILE.
 
     Dates are looked for only in text that is neither numeric nor boolean.
     ``samples`` adds the first distinct values, in the order of ``order_by``;
@@ -160,34 +168,33 @@ def profile_dataframe(df: DataFrame, columns: list[str] | None = None, order_by:
     numeric = {k: row[f"num{k}"] / row[f"n{k}"] if row[f"n{k}"] else 0.0 for k, c in enumerate(names) if family(types[c]) == "string"}
     maybe_dates = [k for k, share in numeric.items() if row[f"n{k}"] and share < DATE_SHARE]
     dates = df.agg(*(F.count(parse_datetime(clean(df, names[k]))).alias(f"dt{k}") for k in maybe_dates)).first() if maybe_dates else None
-    out = []
+    out: dict[str, dict] = {}
     for k, c in enumerate(names):
         n, kind = row[f"n{k}"], family(types[c])
-        p = ColumnProfile(c, "", n, row.rows - n, (row.rows - n) / row.rows if row.rows else 0.0, unique[c])
+        p = {"position": k, "column_name": c, "kind": "", "non_null": n, "nulls": row.rows - n, "null_ratio": (row.rows - n) / row.rows if row.rows else 0.0, "n_unique": unique[c], "numeric_ratio": 0.0, "datetime_ratio": 0.0, "samples": [], "n_outliers": 0, "outlier_rows": [], "stats": {}}
         if kind == "string":
-            p.numeric_convertible_ratio, p.datetime_convertible_ratio = numeric[k], dates[f"dt{k}"] / n if k in maybe_dates else 0.0
+            p["numeric_ratio"], p["datetime_ratio"] = numeric[k], dates[f"dt{k}"] / n if k in maybe_dates else 0.0
         elif n:
-            p.numeric_convertible_ratio, p.datetime_convertible_ratio = float(kind == "numeric"), float(kind == "datetime")
-        p.kind = classify(types[c], n, p.unique_count, p.numeric_convertible_ratio, p.datetime_convertible_ratio, kind == "string" and bool(row[f"bool{k}"]))
-        if p.kind == "numeric" and row[f"count{k}"]:
-            p.stats = {"min": row[f"min{k}"], "max": row[f"max{k}"], "mean": row[f"avg{k}"], "std": row[f"stddev_samp{k}"] or 0.0}
-        out.append(p)
-    measured = {p.name: (k, p) for k, p in enumerate(out) if p.stats}
-    for c, q in quartiles_of(df, [*measured], unique).items():
-        k, p = measured[c]
-        p.quartiles, p.stats["median"] = tuple(q), q[1]
-        p.bounds = iqr_bounds(row[f"count{k}"], q[0], q[2])
-    bounded = [p for p in out if p.bounds]
+            p["numeric_ratio"], p["datetime_ratio"] = float(kind == "numeric"), float(kind == "datetime")
+        p["kind"] = classify(types[c], n, unique[c], p["numeric_ratio"], p["datetime_ratio"], kind == "string" and bool(row[f"bool{k}"]))
+        if p["kind"] == "numeric" and row[f"count{k}"]:
+            p["stats"] = {"min": row[f"min{k}"], "max": row[f"max{k}"], "mean": row[f"avg{k}"], "std": row[f"stddev_samp{k}"] or 0.0}
+        out[c] = p
+    for c, q in quartiles_of(df, [c for c, p in out.items() if p["stats"]], unique).items():
+        stats, bounds = out[c]["stats"], iqr_bounds(row[f"count{out[c]['position']}"], q[0], q[2])
+        stats |= dict(zip(("q1", "median", "q3"), q)) | (dict(zip(("low", "high"), bounds)) if bounds else {})
+    bounded = [c for c, p in out.items() if "low" in p["stats"]]
     if bounded:
-        counts = df.agg(*(F.count_if(is_outlier(numbers(df, p.name), p.bounds)).alias(f"o{k}") for k, p in enumerate(bounded))).first()
-        for k, p in enumerate(bounded):
-            p.outlier_count = counts[k]
-            if outlier_keys and p.outlier_count:
-                p.outlier_indices = [r[0] if len(r) == 1 else tuple(r) for r in outlier_rows(df, p, outlier_keys).collect()]
+        outside = {c: is_outlier(numbers(df, c), (out[c]["stats"]["low"], out[c]["stats"]["high"])) for c in bounded}
+        counts = df.agg(*(F.count_if(x).alias(f"o{k}") for k, x in enumerate(outside.values()))).first()
+        for k, c in enumerate(bounded):
+            out[c]["n_outliers"] = counts[k]
+            if outlier_keys and counts[k]:
+                out[c]["outlier_rows"] = [json.dumps(r[0] if len(r) == 1 else [*r], default=str) for r in outlier_rows(df, Row(**out[c]), outlier_keys).collect()]
     if samples:
         for c, found in first_values(df, names, position(df, order_by)).items():
-            next(p for p in out if p.name == c).sample_values = found
-    return out
+            out[c]["samples"] = found
+    return [Row(**p) for p in out.values()]
 
 
 def is_outlier(x: Column, bounds: tuple[float, float] | None) -> Column:
@@ -201,9 +208,9 @@ def position(df: DataFrame, order_by: list[str] | None) -> Column:
     return F.struct(*(quoted(c) for c in names)) if len(names) > 1 else quoted(names[0])
 
 
-def outlier_rows(df: DataFrame, profile: ColumnProfile, order_by: list[str], limit: int = 100) -> DataFrame:
+def outlier_rows(df: DataFrame, profile: Row, order_by: list[str], limit: int = 100) -> DataFrame:
     """Keys of the first outlying rows."""
-    return df.where(is_outlier(numbers(df, profile.name), profile.bounds)).select(*order_by).orderBy(*order_by).limit(limit)
+    return df.where(is_outlier(numbers(df, profile.column_name), limits(profile))).select(*order_by).orderBy(*order_by).limit(limit)
 
 
 def any_of(conditions: list[Column]) -> Column:

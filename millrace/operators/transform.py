@@ -2,105 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.parsing import word_count
-from ..types import ColumnProfile, StepReport
+from ..types import Notes, limits
 from .cleaning import replaced
 from .profiling import PERCENTILE_VALUES, any_of, clean, distinct_counts, family, finite, is_outlier, numbers, profile_dataframe, quoted, value_counts, visible
 from .ranks import number_rows, quantiles
 
 #: Distinct values from which label codes come by a join, not from an array.
 LABEL_JOIN_VALUES = 1_000
-#: Distinct values that may become a column each.
-ONE_HOT_VALUES = 5_000
 
 
 def handle_outliers(
-    df: DataFrame, *, default_strategy: str = "flag", overrides: dict[str, str] | None = None, columns: list[str] | None = None, profiles: list[ColumnProfile] | None = None
-) -> tuple[DataFrame, StepReport]:
+    df: DataFrame, *, default_strategy: str = "flag", overrides: dict[str, str] | None = None, columns: list[str] | None = None, profiles: list[Row] | None = None
+) -> tuple[DataFrame, Notes]:
     """flag, clip, remove or skip values outside of the quartile bounds; all bounds come from the input."""
-    report = StepReport("handle_outliers", "Treat values outside of the quartile bounds")
+    notes = Notes()
     new: dict[str, Column] = {}
     flags: dict[str, Column] = {}
     masks: list[Column] = []
     for p in profiles or profile_dataframe(df):
-        if p.kind != "numeric" or columns is not None and p.name not in columns:
+        if p.kind != "numeric" or columns is not None and p.column_name not in columns:
             continue
-        strategy = (overrides or {}).get(p.name, default_strategy)
+        strategy = (overrides or {}).get(p.column_name, default_strategy)
         if strategy not in ("flag", "clip", "remove", "skip"):
-            report.warnings.append(f"{p.name}: unknown outlier strategy {strategy!r}")
+            notes.warnings.append(f"{p.column_name}: unknown outlier strategy {strategy!r}")
             continue
         if strategy == "skip":
-            if p.outlier_count:
-                report.warnings.append(f"{p.name}: {p.outlier_count} outliers left as they are")
+            if p.n_outliers:
+                notes.warnings.append(f"{p.column_name}: {p.n_outliers} outliers left as they are")
             continue
-        if not p.outlier_count:
+        if not p.n_outliers:
             continue
-        x, (low, high) = numbers(df, p.name), p.bounds
+        x, (low, high) = numbers(df, p.column_name), limits(p)
         if strategy == "flag":
-            flags[f"{p.name}__is_outlier"] = is_outlier(x, p.bounds)
+            flags[f"{p.column_name}__is_outlier"] = is_outlier(x, limits(p))
         elif strategy == "clip":
-            new[p.name] = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+            new[p.column_name] = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
         else:
-            masks.append(is_outlier(x, p.bounds))
-        report.details.append({"column": p.name, "strategy": strategy, "outlier_count": p.outlier_count, "lower": low, "upper": high})
-    report.touched = [*new]
+            masks.append(is_outlier(x, limits(p)))
+        notes.details.append({"column": p.column_name, "strategy": strategy, "outlier_count": p.n_outliers, "lower": low, "upper": high})
+    notes.touched = [*new]
     if masks:
         removed = df.where(any_of(masks)).count()
-        report.details.append({"strategy": "remove", "rows_removed": removed})
+        notes.details.append({"strategy": "remove", "rows_removed": removed})
         df = df.where(~any_of(masks))
     kept = [c for c in df.columns if c not in flags]
-    return df.select(*(new[c].alias(c) if c in new else quoted(c) for c in kept), *(x.alias(c) for c, x in flags.items())), report
+    return df.select(*(new[c].alias(c) if c in new else quoted(c) for c in kept), *(x.alias(c) for c, x in flags.items())), notes
 
 
-def encode_categoricals(df: DataFrame, *, one_hot_max_cardinality: int = 15, overrides: dict[str, str] | None = None, profiles: list[ColumnProfile] | None = None) -> tuple[DataFrame, StepReport]:
+def encode_categoricals(df: DataFrame, *, one_hot_max_cardinality: int = 15, overrides: dict[str, str] | None = None, profiles: list[Row] | None = None) -> tuple[DataFrame, Notes]:
     """Booleans to 0/1, few values to indicator columns in their place, many to sorted codes; null is code -1."""
-    report = StepReport("encode_categoricals", "Encode categories as numbers")
-    by_name = {p.name: p for p in profiles or profile_dataframe(df)}
+    notes = Notes()
+    by_name = {p.column_name: p for p in profiles or profile_dataframe(df)}
     chosen: dict[str, str] = {}
     for c, p in by_name.items():
         if p.kind in ("identifier", "text"):
-            report.warnings.append(f"{c} looks like {'an identifier' if p.kind == 'identifier' else 'free text'} and is left as it is")
+            notes.warnings.append(f"{c} looks like {'an identifier' if p.kind == 'identifier' else 'free text'} and is left as it is")
         elif p.kind == "categorical":
-            strategy = (overrides or {}).get(c) or ("one_hot" if p.unique_count <= one_hot_max_cardinality else "label")
+            strategy = (overrides or {}).get(c) or ("one_hot" if p.n_unique <= one_hot_max_cardinality else "label")
             if strategy in ("one_hot", "label"):
                 chosen[c] = strategy
             elif strategy != "skip":
-                report.warnings.append(f"{c}: unknown encoding {strategy!r}")
-    for c in [c for c, s in chosen.items() if s == "one_hot" and by_name[c].unique_count > ONE_HOT_VALUES]:
-        raise ValueError(f"{c} has {by_name[c].unique_count} values, too many for a column each")
-    inline = [c for c, s in chosen.items() if s == "one_hot" or by_name[c].unique_count <= LABEL_JOIN_VALUES]
+                notes.warnings.append(f"{c}: unknown encoding {strategy!r}")
+    inline = [c for c, s in chosen.items() if s == "one_hot" or by_name[c].n_unique <= LABEL_JOIN_VALUES]
     values: dict[str, list[str]] = {c: [] for c in inline}
     if inline:
         for r in value_counts(df, inline).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect():
             values[r.column] = r.v
     taken = set(df.columns)
-    report.touched = [c for c, p in by_name.items() if p.kind == "boolean" or chosen.get(c) == "label"]
+    notes.touched = [c for c, p in by_name.items() if p.kind == "boolean" or chosen.get(c) == "label"]
     out: list[Column] = []
     for c in df.columns:
         value = clean(df, c).cast("string") if c in by_name else quoted(c)
         if c in by_name and by_name[c].kind == "boolean":
             out.append(quoted(c).cast("boolean").cast("int").alias(c))
-            report.details.append({"column": c, "strategy": "boolean"})
+            notes.details.append({"column": c, "strategy": "boolean"})
         elif chosen.get(c) == "one_hot":
             for v in values[c]:
                 if f"{c}_{v}" in taken:
                     raise ValueError(f"column {c}_{v} exists already")
                 taken.add(f"{c}_{v}")
                 out.append(value.eqNullSafe(F.lit(v)).cast("int").alias(f"{c}_{v}"))
-            report.details.append({"column": c, "strategy": "one_hot", "values": values[c]})
+            notes.details.append({"column": c, "strategy": "one_hot", "values": values[c]})
         elif c in inline:
             codes = F.create_map(*(F.lit(x) for k, v in enumerate(values[c]) for x in (v, k)))
             out.append(F.coalesce(F.try_element_at(codes, value), F.lit(-1)).cast("int").alias(c))
-            report.details.append({"column": c, "strategy": "label", "mapping": dict(zip(values[c][:20], range(20)))})
+            notes.details.append({"column": c, "strategy": "label", "mapping": dict(zip(values[c][:20], range(20)))})
         else:
             out.append(quoted(c))
     for c in (c for c in chosen if c not in inline):
         df = _label_by_join(df, c)
-        report.details.append({"column": c, "strategy": "label"})
-    return df.select(*out), report
+        notes.details.append({"column": c, "strategy": "label"})
+    return df.select(*out), notes
 
 
 def _label_by_join(df: DataFrame, column: str) -> DataFrame:
@@ -111,42 +107,42 @@ def _label_by_join(df: DataFrame, column: str) -> DataFrame:
     return joined.select(*(F.coalesce("__code", F.lit(-1)).cast("int").alias(c) if c == column else quoted(c) for c in df.columns))
 
 
-def engineer_features(df: DataFrame, *, datetime_parts: bool = True, text_length: bool = True, profiles: list[ColumnProfile] | None = None) -> tuple[DataFrame, StepReport]:
+def engineer_features(df: DataFrame, *, datetime_parts: bool = True, text_length: bool = True, profiles: list[Row] | None = None) -> tuple[DataFrame, Notes]:
     """Year, month, day and weekday (Monday is 0) of datetimes; characters and words of text. Null gives null."""
-    report = StepReport("engineer_features", "Derive columns")
+    notes = Notes()
     added: dict[str, Column] = {}
     for p in profiles or profile_dataframe(df):
-        value = clean(df, p.name)
-        if p.kind == "datetime" and datetime_parts and family(dict(df.dtypes)[p.name]) == "datetime":
-            added |= {f"{p.name}__{n}": f(value) for n, f in (("year", F.year), ("month", F.month), ("day", F.day), ("weekday", F.weekday))}
+        value = clean(df, p.column_name)
+        if p.kind == "datetime" and datetime_parts and family(dict(df.dtypes)[p.column_name]) == "datetime":
+            added |= {f"{p.column_name}__{n}": f(value) for n, f in (("year", F.year), ("month", F.month), ("day", F.day), ("weekday", F.weekday))}
         elif p.kind == "text" and text_length:
-            added |= {f"{p.name}__length": F.char_length(value.cast("string")), f"{p.name}__word_count": word_count(value.cast("string"))}
+            added |= {f"{p.column_name}__length": F.char_length(value.cast("string")), f"{p.column_name}__word_count": word_count(value.cast("string"))}
         else:
             continue
-        report.details.append({"column": p.name, "kind": p.kind})
+        notes.details.append({"column": p.column_name, "kind": p.kind})
     if not added:
-        report.warnings.append("no column to derive features from")
-    return df.select(*(quoted(c) for c in df.columns if c not in added), *(x.alias(c) for c, x in added.items())), report
+        notes.warnings.append("no column to derive features from")
+    return df.select(*(quoted(c) for c in df.columns if c not in added), *(x.alias(c) for c, x in added.items())), notes
 
 
 def scale_features(
-    df: DataFrame, *, method: str = "standard", columns: list[str] | None = None, exclude_binary: bool = True, train_mask: Column | None = None, profiles: list[ColumnProfile] | None = None
-) -> tuple[DataFrame, StepReport]:
+    df: DataFrame, *, method: str = "standard", columns: list[str] | None = None, exclude_binary: bool = True, train_mask: Column | None = None, profiles: list[Row] | None = None
+) -> tuple[DataFrame, Notes]:
     """standard, minmax or robust scaling, fitted where ``train_mask`` holds; 0/1 columns stay as they are."""
-    report = StepReport("scale_features", f"Scale numbers ({method})")
+    notes = Notes()
     if method == "none":
-        report.warnings.append("scaling is switched off")
-        return df, report
+        notes.warnings.append("scaling is switched off")
+        return df, notes
     if method not in ("standard", "minmax", "robust"):
         raise ValueError(f"unknown scaling method {method!r}")
-    names = [c for c in columns if c in visible(df)] if columns is not None else [p.name for p in profiles or profile_dataframe(df) if p.kind == "numeric"]
+    names = [c for c in columns if c in visible(df)] if columns is not None else [p.column_name for p in profiles or profile_dataframe(df) if p.kind == "numeric"]
     if not names:
-        return df, report
+        return df, notes
     fit = (lambda x: F.when(train_mask, x)) if train_mask is not None else (lambda x: x)
     ranges: dict[str, list[float]] = {}
     if method == "robust":
         values = {c: fit(finite(numbers(df, c))) for c in names}
-        known = {p.name: p.unique_count for p in profiles or []}
+        known = {p.column_name: p.n_unique for p in profiles or []}
         unique = known | distinct_counts(df, [c for c in names if c not in known]) if any(c not in known for c in names) else known
         ranges = quantiles(df, {c: x for c, x in values.items() if unique[c] > PERCENTILE_VALUES}, (0.25, 0.5, 0.75)) if any(unique[c] > PERCENTILE_VALUES for c in names) else {}
     aggs = []
@@ -161,15 +157,15 @@ def scale_features(
         if exclude_binary and row[f"b{k}"]:
             continue
         if row[f"l{k}"]:
-            report.warnings.append(f"{c}: {row[f'l{k}']} values are no numbers, column not scaled")
+            notes.warnings.append(f"{c}: {row[f'l{k}']} values are no numbers, column not scaled")
             continue
         if row[f"n{k}"] < 2:
-            report.warnings.append(f"{c}: fewer than two values to fit, column not scaled")
+            notes.warnings.append(f"{c}: fewer than two values to fit, column not scaled")
             continue
         if row[f"m{k}"]:
-            report.warnings.append(f"{c}: {row[f'm{k}']} missing values stay missing")
+            notes.warnings.append(f"{c}: {row[f'm{k}']} missing values stay missing")
         center, spread = row[f"c{k}"], row[f"s{k}"] or 1.0
         new[c] = (numbers(df, c) - F.lit(center)) / F.lit(spread)
-        report.details.append({"column": c, "method": method, "center": center, "scale": spread, "fit_rows": row[f"n{k}"]})
-    report.touched = [*new]
-    return replaced(df, new), report
+        notes.details.append({"column": c, "method": method, "center": center, "scale": spread, "fit_rows": row[f"n{k}"]})
+    notes.touched = [*new]
+    return replaced(df, new), notes

@@ -5,17 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators.profiling import clean, profile_dataframe
-from ..types import AuditTrail, ColumnProfile, StepReport
 
 # Names of target columns, score tables and words of questions.
 TARGET_HINTS = ("target", "label", "class", "y", "outcome", "result")
 LARGE_ROWS, SMALL_ROWS, HIERARCHICAL_ROWS, HIGH_DIM, IMBALANCE, MANY_VALUES = 20_000, 200, 5_000, 0.5, 4.0, 15
-#: Classes that a balance names.
-NAMED_CLASSES = 1_000
 
 
 @dataclass
@@ -51,41 +48,45 @@ class Recommendation:
     notes: list[str]
 
 
-def detect_target(profiles: list[ColumnProfile]) -> str | None:
+def detect_target(profiles: list[Row]) -> str | None:
     """A column named like a target, or else the first boolean, or else the first with few categories."""
     for hint in TARGET_HINTS:
         for p in profiles:
-            if p.name.lower() == hint or p.name.lower().endswith("_" + hint):
-                return p.name
-    tests = (lambda p: p.kind == "boolean", lambda p: p.kind == "categorical" and 2 <= p.unique_count <= 20)
-    return next((p.name for test in tests for p in profiles if test(p)), None)
+            if p.column_name.lower() == hint or p.column_name.lower().endswith("_" + hint):
+                return p.column_name
+    tests = (lambda p: p.kind == "boolean", lambda p: p.kind == "categorical" and 2 <= p.n_unique <= 20)
+    return next((p.column_name for test in tests for p in profiles if test(p)), None)
 
 
-def problem_type(target: ColumnProfile | None) -> str:
+def problem_type(target: Row | None) -> str:
     if target is None:
         return "clustering"
-    if target.kind == "boolean" or target.kind == "categorical" and target.unique_count == 2:
+    if target.kind == "boolean" or target.kind == "categorical" and target.n_unique == 2:
         return "binary_classification"
     return "multiclass_classification" if target.kind == "categorical" else "regression"
 
 
+def class_counts(df: DataFrame, target: str) -> DataFrame:
+    """``class`` and ``n`` for every class of a target, however many there are."""
+    return df.select(clean(df, target).cast("string").alias("class")).where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
 def class_balance(df: DataFrame, target: str) -> dict | None:
-    """Number of classes, the largest one's ratio to the least, and the counts of the NAMED_CLASSES most frequent ones; None below two classes."""
-    sizes = df.select(clean(df, target).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    """Number of classes, the largest one's ratio to the least, and the counts of all as a table; None below two classes."""
+    sizes = class_counts(df, target)
     row = sizes.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("most"), F.min("n").alias("least")).first()
     if row.k < 2:
         return None
     ratio = row.most / row.least
-    counts = {r.v: r.n for r in sizes.orderBy(F.desc("n"), "v").limit(NAMED_CLASSES).collect()}
-    return {"classes": row.k, "ratio": round(ratio, 2), "is_imbalanced": ratio >= IMBALANCE, "class_counts": counts}
+    return {"classes": row.k, "ratio": round(ratio, 2), "is_imbalanced": ratio >= IMBALANCE, "class_counts": sizes}
 
 
-def traits(profiles: list[ColumnProfile], target: str | None) -> Traits:
-    rest = [p for p in profiles if p.name != target]
-    n_rows = profiles[0].non_null_count + profiles[0].null_count if profiles else 0
+def traits(profiles: list[Row], target: str | None) -> Traits:
+    rest = [p for p in profiles if p.column_name != target]
+    n_rows = profiles[0].non_null + profiles[0].nulls if profiles else 0
     return Traits(
         n_rows, len(rest), round(len(rest) / n_rows, 4) if n_rows else 0.0, any(p.kind == "categorical" for p in rest),
-        any(p.kind in ("categorical", "identifier") and p.unique_count > MANY_VALUES for p in rest), any(p.outlier_count for p in rest),
+        any(p.kind in ("categorical", "identifier") and p.n_unique > MANY_VALUES for p in rest), any(p.n_outliers for p in rest),
         round(sum(p.null_ratio for p in rest) / len(rest), 4) if rest else 0.0,
     )
 
@@ -129,9 +130,9 @@ def score_algorithms(problem: str, t: Traits, imbalanced: bool = False) -> list[
     return sorted(found, key=lambda a: -a.score)
 
 
-def recommend_algorithms(df: DataFrame, target_column: str | None = None, profiles: list[ColumnProfile] | None = None) -> Recommendation:
+def recommend_algorithms(df: DataFrame, target_column: str | None = None, profiles: list[Row] | None = None) -> Recommendation:
     profiles = profiles or profile_dataframe(df)
-    by_name = {p.name: p for p in profiles}
+    by_name = {p.column_name: p for p in profiles}
     if target_column is not None and target_column not in by_name:
         raise ValueError(f"no column {target_column}")
     target = target_column or detect_target(profiles)
@@ -153,21 +154,22 @@ def recommend_algorithms(df: DataFrame, target_column: str | None = None, profil
 class AdvisorBackend(Protocol):
     """What an advisor must offer; the rule-based one is the default."""
 
-    def suggest_column_role(self, profile: ColumnProfile) -> tuple[str, float]: ...
+    def suggest_column_role(self, profile: Row) -> tuple[str, float]: ...
 
-    def explain_step(self, report: StepReport) -> str: ...
+    def explain_step(self, step: Row) -> str: ...
 
 
 class RuleAdvisor:
-    def suggest_column_role(self, profile: ColumnProfile) -> tuple[str, float]:
+    def suggest_column_role(self, profile: Row) -> tuple[str, float]:
         if profile.kind == "identifier":
             return "identifier", 0.8
         if profile.null_ratio > 0.9:
             return "drop_candidate", 0.6
         return "feature", 0.5 if profile.kind in ("numeric", "categorical", "boolean", "datetime") else 0.3
 
-    def explain_step(self, report: StepReport) -> str:
-        return f"{report.description}: rows {report.row_delta:+d}, columns {report.column_delta:+d}, missing values {report.nulls_after - report.nulls_before:+d}, {len(report.warnings)} warning(s)."
+    def explain_step(self, step: Row) -> str:
+        changes = {"rows": step.rows_after - step.rows_before, "columns": step.columns_after - step.columns_before, "missing values": step.nulls_after - step.nulls_before}
+        return f"{step.description}: {', '.join(f'{n} {d:+d}' for n, d in changes.items())}, {len(step.warnings)} warning(s)."
 
 
 INTENTS = {
@@ -193,7 +195,7 @@ def intent_expr(message):
     return out
 
 
-def answer_question(question: str, df: DataFrame, name: str, *, audit_trail: AuditTrail | None = None, target_column: str | None = None) -> dict:
+def answer_question(question: str, df: DataFrame, name: str, *, audit_trail: list[Row] | None = None, target_column: str | None = None) -> dict:
     """An answer and the figures behind it."""
     if not question.strip():
         raise ValueError("the question is empty")
@@ -204,19 +206,19 @@ def answer_question(question: str, df: DataFrame, name: str, *, audit_trail: Aud
         best = " or ".join(a.name for a in r.algorithms[:2])
         return {"intent": intent, "answer": f"For {r.problem.replace('_', ' ')} on {name}, try {best}.", "data": [a.to_dict() for a in r.algorithms[:5]]}
     if intent == "data_quality":
-        gaps = {p.name: p.null_count for p in profiles if p.null_count}
+        gaps = {p.column_name: p.nulls for p in profiles if p.nulls}
         answer = f"{name} has {sum(gaps.values())} missing values in {len(gaps)} column(s)."
         if gaps:
             answer += f" Most are in {max(gaps, key=gaps.get)}."
-        for step in audit_trail.steps if audit_trail else []:
-            if step.name == "impute_missing":
+        for step in audit_trail or []:
+            if step.step == "impute_missing":
                 answer += f" Imputation filled {step.nulls_before - step.nulls_after} of {step.nulls_before}."
         return {"intent": intent, "answer": answer, "data": gaps}
     if intent == "outlier":
-        odd = {p.name: p.outlier_count for p in profiles if p.outlier_count}
+        odd = {p.column_name: p.n_outliers for p in profiles if p.n_outliers}
         return {"intent": intent, "answer": f"{name} has outliers in {len(odd)} column(s)." if odd else f"{name} has no outliers.", "data": odd}
     kinds: dict[str, int] = {}
     for p in profiles:
         kinds[p.kind] = kinds.get(p.kind, 0) + 1
-    rows = profiles[0].null_count + profiles[0].non_null_count if profiles else 0
-    return {"intent": intent, "answer": f"{name} has {rows} rows and {len(profiles)} columns.", "data": kinds | {"missing": sum(p.null_count for p in profiles)}}
+    rows = profiles[0].nulls + profiles[0].non_null if profiles else 0
+    return {"intent": intent, "answer": f"{name} has {rows} rows and {len(profiles)} columns.", "data": kinds | {"missing": sum(p.nulls for p in profiles)}}

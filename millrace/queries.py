@@ -9,12 +9,14 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.parsing import parse_datetime
 from .operators import cleaning, combine, synthetic, transform
-from .operators.profiling import outlier_rows, profile_dataframe, snapshot, visible
+from .operators.profiling import outlier_rows, profile_dataframe, shape_of, visible
+from .operators.ranks import quantiles
 from .plans import pipeline, recommend
-from .sources import catalog, files
+from .sources import catalog, files, single
 from .storage import shared_dir
-from .types import PipelineConfig, profile_table
+from .types import PipelineConfig, profile_table, step_table
 
 # Tables with gaps and dirt, derived from the given ones; the text is valid in both engines.
 VIEWS = {
@@ -88,6 +90,55 @@ def _(t, spark):
     return rows(spark, [(s["rows"], len(s["columns"]), s["name"], ",".join(s["columns"]), s["parent"], len(s["warnings"]))], "n_rows long, n_columns int, name string, columns string, parent string, n_warnings int")
 
 
+def _fresh(spark, extension: str) -> str:
+    return f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}.{extension}"
+
+
+@query("ingest_misfits", "SELECT o_orderkey, (3 + (o_orderkey % 11 = 0)::INT + (o_orderkey % 13 = 0)::INT)::INT AS fields FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0")
+def _(t, spark):
+    """Records with more fields than the header; a delimiter inside quotes makes no field, an empty last field is one, and short records are no misfits."""
+    key, path = F.col("o_orderkey"), _fresh(spark, "csv")
+    line = F.concat(key.cast("string"), F.when(key % 7 == 0, F.lit("")).otherwise(F.lit(',"a,b"')), F.when((key % 7 == 0) & (key % 11 != 0) & (key % 13 != 0), F.lit("")).otherwise(F.when(key % 7 == 0, F.lit(",c,d")).otherwise(F.lit(',"say ""x, y"""'))), F.when(key % 11 == 0, F.lit(",more")).otherwise(F.lit("")), F.when(key % 13 == 0, F.lit(",")).otherwise(F.lit("")))
+    single.write_lines(t("orders").select(line.alias("value")), path, before="key,one,two\n")
+    return files.misfits(spark, path, 3).select(F.split("record", ",")[0].cast("long").alias("o_orderkey"), "fields")
+
+
+@query("ingest_json_array", "SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '}{\"[' || c_mktsegment END AS sign FROM customer")
+def _(t, spark):
+    path = _fresh(spark, "json")
+    marked = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit('}{"['), "c_mktsegment"))
+    files.write(t("customer").select("c_custkey", "c_name", "c_acctbal", marked.alias("sign")), path, "json", ["c_custkey"])
+    df = files.ingest(spark, path).dataframe
+    return df.select(*visible(df))
+
+
+@query("ingest_xlsx", "SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE '<&' || s_name END AS sign FROM supplier")
+def _(t, spark):
+    path = _fresh(spark, "xlsx")
+    files.write(t("supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("<&"), "s_name")).alias("sign")), path, "xlsx", ["s_suppkey"])
+    df = files.ingest(spark, path).dataframe
+    return df.select(*visible(df))
+
+
+@query("download_csv", "SELECT 'orders_cleaned.csv' AS name, 1::BIGINT AS n_files, count(*) AS n_rows, 1 AS first_key FROM orders")
+def _(t, spark):
+    """One file of many parts, in order, under its own name."""
+    folder = f"{shared_dir(spark)}/download-{uuid.uuid4().hex}"
+    path = files.download(t("orders").repartition(7).select("o_orderkey", "o_totalprice"), folder, "orders.csv", "csv", ["o_orderkey"])
+    back = spark.read.option("header", True).csv(path)
+    first = int(back.first().o_orderkey) - t("orders").agg(F.min("o_orderkey")).first()[0] + 1
+    return rows(spark, [(path.rsplit("/", 1)[1], len(back.inputFiles()), back.count(), first)], "name string, n_files long, n_rows long, first_key int")
+
+
+@query("dataset_trail", "SELECT k AS position, step, count(*) AS rows_after, 'nation' AS parent FROM nation, (VALUES (0, 'coerce_types'), (1, 'impute_missing'), (2, 'handle_duplicates'), (3, 'handle_outliers'), (4, 'encode_categoricals'), (5, 'engineer_features'), (6, 'scale_features')) s(k, step) GROUP BY k, step")
+def _(t, spark):
+    """The steps that made a registered dataset, and what it was derived from, as the log has them."""
+    raw = catalog.register(t("nation"), "nation")
+    out, trail = pipeline.run_pipeline(catalog.get(spark, raw), order_by=["n_nationkey"])
+    view = catalog.register(out, "nation", parent=raw, trail=step_table(spark, trail))
+    return catalog.audit_trail(spark, view).select("position", "step", "rows_after", F.lit(catalog.ancestors(spark, view)[0]).alias("parent"))
+
+
 # --- profiling ---
 
 def _profiles(t, *names: str) -> list:
@@ -103,18 +154,18 @@ EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "ts_gap", "flag"]
 
 @query("profile_counts", _counts_sql("messy_events", EVENTS, "count({c}) AS non_null, count(*) - count({c}) AS nulls, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 4) AS null_ratio"))
 def _(t, spark):
-    return rows(spark, [(p.name, p.non_null_count, p.null_count, round(p.null_ratio, 4)) for _, p in _profiles(t, "messy_events")], "column_name string, non_null long, nulls long, null_ratio double")
+    return rows(spark, [(p.column_name, p.non_null, p.nulls, round(p.null_ratio, 4)) for _, p in _profiles(t, "messy_events")], "column_name string, non_null long, nulls long, null_ratio double")
 
 
 @query("profile_distinct", _counts_sql("messy_events", EVENTS, "count(DISTINCT {c}) AS n_unique"))
 def _(t, spark):
-    return rows(spark, [(p.name, p.unique_count) for _, p in _profiles(t, "messy_events")], "column_name string, n_unique long")
+    return rows(spark, [(p.column_name, p.n_unique) for _, p in _profiles(t, "messy_events")], "column_name string, n_unique long")
 
 
 @query("profile_samples", " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, {c} AS sample FROM (SELECT {c}, min(event_id) AS f FROM messy_events WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY f LIMIT 5))" for c in ("event_type",)))
 def _(t, spark):
     p = profile_dataframe(t("messy_events"), ["event_type"], ["event_id"], samples=True)
-    return rows(spark, [(x.name, v) for x in p for v in x.sample_values], "column_name string, sample string")
+    return rows(spark, [(x.column_name, v) for x in p for v in x.samples], "column_name string, sample string")
 
 
 NUMBER_SQL = "regexp_full_match(trim({c}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
@@ -123,7 +174,7 @@ NUMBER_SQL = "regexp_full_match(trim({c}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([e
 @query("profile_numeric_ratio", f"SELECT round(avg(CASE WHEN {NUMBER_SQL.format(c='num_str')} THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM messy_strings WHERE num_str NOT LIKE ' %'")
 def _(t, spark):
     p = profile_dataframe(files.normalised(t("messy_strings")), ["num_str"])[0]
-    return rows(spark, [(round(p.numeric_convertible_ratio, 6),)], "ratio double")
+    return rows(spark, [(round(p.numeric_ratio, 6),)], "ratio double")
 
 
 SOME_DATES = "CASE WHEN event_id % 5 = 0 THEN concat('on ', date_str) WHEN event_id % 7 = 0 THEN '2024-13-40' ELSE date_str END"
@@ -133,7 +184,7 @@ IS_DATE = "coalesce(try_strptime({c}, '%Y-%m-%d'), try_strptime({c}, '%d/%m/%Y')
 @query("profile_datetime_ratio", f"SELECT round(avg(CASE WHEN {IS_DATE.format(c='d')} THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM (SELECT {SOME_DATES} AS d FROM messy_strings)")
 def _(t, spark):
     p = profile_dataframe(t("messy_strings").select(F.expr(SOME_DATES).alias("d")))[0]
-    return rows(spark, [(round(p.datetime_convertible_ratio, 6),)], "ratio double")
+    return rows(spark, [(round(p.datetime_ratio, 6),)], "ratio double")
 
 
 @query("profile_is_boolean", "SELECT bool_and(lower(trim(bool_str)) IN ('true','t','yes','y','1','false','f','no','n','0')) AS is_boolean FROM messy_strings")
@@ -158,7 +209,7 @@ def _kind_sql() -> str:
 
 
 def _kinds(t, spark):
-    found = [(n, p.name, p.kind) for n in KINDS_SQL for p in profile_dataframe(files.normalised(t(n)))]
+    found = [(n, p.column_name, p.kind) for n in KINDS_SQL for p in profile_dataframe(files.normalised(t(n)))]
     return rows(spark, found, "table_name string, column_name string, kind string")
 
 
@@ -170,7 +221,7 @@ STATS_SQL = "min({c}) AS lowest, max({c}) AS highest, round(avg({c}), 4) AS mean
 
 @query("profile_stats", " UNION ALL ".join(f"SELECT '{c}' AS column_name, {STATS_SQL.format(c=f'CAST({c} AS DOUBLE)')} FROM events" for c in ("event_id", "user_id", "value")))
 def _(t, spark):
-    found = [(p.name, *(round(p.stats[k], 4) if k in ("mean", "median", "std") else p.stats[k] for k in ("min", "max", "mean", "median", "std"))) for p in profile_dataframe(t("events")) if p.kind == "numeric"]
+    found = [(p.column_name, *(round(p.stats[k], 4) if k in ("mean", "median", "std") else p.stats[k] for k in ("min", "max", "mean", "median", "std"))) for p in profile_dataframe(t("events")) if p.kind == "numeric"]
     return rows(spark, found, "column_name string, lowest double, highest double, mean double, median double, std double")
 
 
@@ -184,7 +235,7 @@ def _outlier_sql(select: str, t: str, c: str, where: str) -> str:
 
 @query("profile_outliers", _outlier_sql("'value' AS column_name, count(*) AS n_outliers", "events", "value", "{o}"))
 def _(t, spark):
-    return rows(spark, [(p.name, p.outlier_count) for p in profile_dataframe(t("events"), ["value"])], "column_name string, n_outliers long")
+    return rows(spark, [(p.column_name, p.n_outliers) for p in profile_dataframe(t("events"), ["value"])], "column_name string, n_outliers long")
 
 
 query("outlier_summary", _outlier_sql("'value' AS column_name, count(*) AS n_outliers", "events", "value", "{o}"))(
@@ -192,15 +243,15 @@ query("outlier_summary", _outlier_sql("'value' AS column_name, count(*) AS n_out
 )
 
 
-@query("outlier_indices", _outlier_sql("event_id", "events", "value", "{o}") + " ORDER BY event_id LIMIT 100")
+@query("outlier_rows", _outlier_sql("event_id", "events", "value", "{o}") + " ORDER BY event_id LIMIT 100")
 def _(t, spark):
     return outlier_rows(t("events"), profile_dataframe(t("events"), ["value"])[0], ["event_id"])
 
 
 @query("snapshot_nulls", _counts_sql("messy_events", EVENTS, "count(*) AS n_rows, count(*) - count({c}) AS nulls"))
 def _(t, spark):
-    s = snapshot(t("messy_events"))
-    return rows(spark, [(c, s.rows, n) for c, n in s.null_counts.items()], "column_name string, n_rows long, nulls long")
+    s = shape_of(t("messy_events"))
+    return rows(spark, [(c, s.n_rows, n) for c, n in s.nulls.items()], "column_name string, n_rows long, nulls long")
 
 
 @query("quality_summary", "SELECT sum(n) AS nulls, count(*) FILTER (WHERE n > 0) AS columns_hit FROM (" + _counts_sql("messy_events", EVENTS, "count(*) - count({c}) AS n") + ")")
@@ -211,7 +262,18 @@ def _(t, spark):
 
 @query("profile_all", _counts_sql("messy_events", EVENTS, "count({c}) AS non_null, count(DISTINCT {c}) AS n_unique"))
 def _(t, spark):
-    return rows(spark, [(p.name, p.non_null_count, p.unique_count) for p in profile_dataframe(t("messy_events"))], "column_name string, non_null long, n_unique long")
+    return rows(spark, [(p.column_name, p.non_null, p.n_unique) for p in profile_dataframe(t("messy_events"))], "column_name string, non_null long, n_unique long")
+
+
+_HALF = "CASE WHEN l_orderkey % 2 = 0 THEN 1.0 ELSE l_extendedprice END"
+
+
+@query("quantiles_skewed", " UNION ALL ".join(f"SELECT {p}::DOUBLE AS p, round(quantile_cont(v, {p}), 4) AS v FROM (SELECT {_HALF} AS v FROM lineitem)" for p in (0.1, 0.25, 0.5, 0.75, 0.99)))
+def _(t, spark):
+    """Half of the values are equal; the distributed selection, whatever the number of values."""
+    wanted = (0.1, 0.25, 0.5, 0.75, 0.99)
+    found = quantiles(t("lineitem"), {"v": F.expr(_HALF)}, wanted)["v"]
+    return rows(spark, [(p, round(x, 4)) for p, x in zip(wanted, found)], "p double, v double")
 
 
 # --- coercion ---
@@ -232,6 +294,18 @@ query("coerce_types", f"SELECT 'num_str' AS column_name, count(*) FILTER (WHERE
     lambda t, spark: rows(spark, [(d["column"], d["failed_count"]) for d in _coerced(t)[1].details], "column_name string, failed long")
 )
 
+# Forms of one moment: the pattern that writes it, and what is left of the moment.
+FORMS = (("MMM d, yyyy hh:mm a", "date_trunc('minute', ts)"), ("d MMMM yyyy HH:mm", "date_trunc('minute', ts)"), ("M/d/yyyy hh:mm:ss a", "date_trunc('second', ts)"), ("yyyy-MM-dd'T'HH:mm:ss'+02:30'", "date_trunc('second', ts) - INTERVAL 150 MINUTE"), ("dd-MMM-yyyy", "date_trunc('day', ts)"))
+
+
+@query("coerce_datetime_forms", f"SELECT event_id, strftime(CASE event_id % {len(FORMS)} {' '.join(f'WHEN {k} THEN {e}' for k, (_, e) in enumerate(FORMS))} END, '%Y-%m-%d %H:%M:%S') AS moment FROM events")
+def _(t, spark):
+    text = F.lit(None)
+    for k, (form, _) in enumerate(FORMS):
+        text = F.when(F.col("event_id") % len(FORMS) == k, F.date_format("ts", form)).otherwise(text)
+    return t("events").select("event_id", F.date_format(parse_datetime(text), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
 # --- imputation ---
 
 MEDIAN = "(SELECT quantile_cont(value, 0.5) FROM messy_events)"
@@ -277,6 +351,16 @@ query("dup_indices", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PART
 query("dedupe_all", "SELECT DISTINCT lang, source FROM documents")(lambda t, spark: cleaning.handle_duplicates(t("documents").select("lang", "source"), drop=True)[0])
 query("dedupe_subset", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")(lambda t, spark: cleaning.handle_duplicates(t("documents"), drop=True, subset=["text"], order_by=["doc_id"])[0].select("doc_id"))
 
+_NAN = "CASE event_id % 5 WHEN 0 THEN {nan} WHEN 1 THEN NULL WHEN 2 THEN 0.0 WHEN 3 THEN {zero} ELSE event_id % 3 END"
+
+
+@query("dedupe_nan", f"SELECT min(event_id) AS event_id FROM (SELECT event_id, user_id, {_NAN.format(nan='NULL', zero='0.0')} AS v FROM events) GROUP BY user_id, v")
+def _(t, spark):
+    """NaN counts as null, and -0.0 as 0.0."""
+    value = F.expr(_NAN.format(nan="double('NaN')", zero="-0.0D"))
+    return cleaning.handle_duplicates(t("events").select("event_id", "user_id", value.cast("double").alias("v")), drop=True, subset=["user_id", "v"], order_by=["event_id"])[0].select("event_id")
+
+
 # --- outliers ---
 
 
@@ -352,7 +436,7 @@ query("dup_report", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTI
     lambda t, spark: rows(spark, [(k,) for k in cleaning.handle_duplicates(t("documents"), subset=["text"], order_by=["doc_id"])[1].details[0]["first_duplicates"]], "doc_id long")
 )
 query("profile_outlier_rows", _outlier_sql("event_id", "events", "value", "{o}") + " ORDER BY event_id LIMIT 100")(
-    lambda t, spark: rows(spark, [(k,) for k in profile_dataframe(t("events"), ["value"], outlier_keys=["event_id"])[0].outlier_indices], "event_id long")
+    lambda t, spark: rows(spark, [(int(k),) for k in profile_dataframe(t("events"), ["value"], outlier_keys=["event_id"])[0].outlier_rows], "event_id long")
 )
 query("profile_table", " UNION ALL ".join(f"SELECT {k} AS position, '{c}' AS column_name, count({c}) AS non_null, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 4) AS null_ratio, count(DISTINCT {c}) AS n_unique FROM messy_events" for k, c in enumerate(EVENTS)))(
     lambda t, spark: profile_table(spark, profile_dataframe(t("messy_events"))).select("position", "column_name", "non_null", "null_ratio", "n_unique")
@@ -414,7 +498,7 @@ query("rec_class_balance", "SELECT count(*) AS classes, round(max(n) / CAST(min(
     lambda t, spark: rows(spark, [tuple(recommend.class_balance(t("events"), "event_type")[k] for k in ("classes", "ratio", "is_imbalanced"))], "classes long, ratio double, is_imbalanced boolean")
 )
 
-query("rec_class_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")(lambda t, spark: rows(spark, [*recommend.class_balance(t("events"), "event_type")["class_counts"].items()], "event_type string, n long"))
+query("rec_class_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")(lambda t, spark: recommend.class_balance(t("events"), "event_type")["class_counts"].withColumnRenamed("class", "event_type"))
 
 
 @query("rec_characteristics", "SELECT count(*) AS n_rows, 5 AS n_features, round(5.0 / count(*), 4)::DOUBLE AS ratio, 0.0::DOUBLE AS missing FROM events")
@@ -437,7 +521,7 @@ query("rec_scores_classification", _values([("Logistic Regression", "0.6"), ("Ra
 query("rec_scores_regression", _values([("Linear Regression", "0.55"), ("Ridge / Lasso Regression", "0.55"), ("Random Forest Regressor", "0.85"), ("Gradient Boosting Regressor", "0.8"), ("Support Vector Regression", f"CASE WHEN {_n} > 20000 THEN 0.15 ELSE 0.45 END")]))(_scores("regression", "lineitem"))
 query("rec_scores_clustering", _values([("K-Means", "0.65"), ("DBSCAN", "0.7"), ("Hierarchical (Agglomerative) Clustering", f"CASE WHEN {_n} > 5000 THEN 0.25 ELSE 0.45 END")]))(_scores("clustering", "lineitem"))
 query("advise_roles", f"SELECT column_name, CASE kind WHEN 'identifier' THEN 'identifier' ELSE 'feature' END AS role, CASE kind WHEN 'identifier' THEN 0.8 WHEN 'text' THEN 0.3 ELSE 0.5 END::DOUBLE AS confidence FROM ({_kind_sql()}) WHERE table_name = 'customer'")(
-    lambda t, spark: rows(spark, [(p.name, *recommend.RuleAdvisor().suggest_column_role(p)) for p in profile_dataframe(t("customer"))], "column_name string, role string, confidence double")
+    lambda t, spark: rows(spark, [(p.column_name, *recommend.RuleAdvisor().suggest_column_role(p)) for p in profile_dataframe(t("customer"))], "column_name string, role string, confidence double")
 )
 _has = lambda words: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 query("chat_intent", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_has(w)} THEN '{n}'" for n, w in recommend.INTENTS.items()) + " ELSE 'summary' END AS intent FROM conversations")(
@@ -458,8 +542,8 @@ def _(t, spark):
 
 @query("pipeline_multi_source", "SELECT 'combine_datasets' AS step, 0 AS position, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS rows_after")
 def _(t, spark):
-    _, trail = pipeline.run_pipeline_multi_source([("customer", t("customer").select("c_name", "c_acctbal")), ("supplier", t("supplier").select("s_name"))], PipelineConfig(coerce_types=False, encode_categoricals=False, engineer_features=False, scale_method="none", datetime_impute_strategy="skip", categorical_impute_strategy="skip"), order_by=["c_name", "s_name"])
-    return rows(spark, [(trail.steps[0].name, 0, trail.steps[0].after.rows)], "step string, position int, rows_after long")
+    _, trail = pipeline.run_pipeline_multi_source([("customer", t("customer").select("c_name", "c_acctbal")), ("supplier", t("supplier").select("s_name"))], PipelineConfig(coerce_types=False, encode=False, engineer_features=False, scale_method="none", datetime_impute_strategy="skip", categorical_impute_strategy="skip"), order_by=["c_name", "s_name"])
+    return rows(spark, [(trail[0].step, 0, trail[0].rows_after)], "step string, position int, rows_after long")
 
 
 _STEPS = ("coerce_types", "impute_missing", "handle_duplicates", "handle_outliers", "encode_categoricals", "engineer_features", "scale_features")
@@ -475,13 +559,19 @@ _PAIRS = f"(SELECT count(*) FROM (SELECT DISTINCT user_id, coalesce(event_type,
 ))
 def _(t, spark):
     _, trail = pipeline.run_pipeline(t("messy_events"), PipelineConfig(dedupe=True, dedupe_subset=["user_id", "event_type"]), order_by=["event_id"])
-    return trail.table(spark).select("position", "step", "rows_before", "rows_after", "nulls_before", "nulls_after")
+    return step_table(spark, trail).select("position", "step", "rows_before", "rows_after", "nulls_before", "nulls_after")
 
 
 @query("run_step", "SELECT 'handle_duplicates' AS step, count(*) AS rows_before, count(DISTINCT text) AS rows_after FROM documents")
 def _(t, spark):
-    _, report = pipeline.run_step(t("documents").select("text"), lambda df: cleaning.handle_duplicates(df, drop=True))
-    return rows(spark, [(report.name, report.before.rows, report.after.rows)], "step string, rows_before long, rows_after long")
+    _, step = pipeline.run_step(t("documents").select("text"), "handle_duplicates", lambda df: cleaning.handle_duplicates(df, drop=True))
+    return rows(spark, [(step.step, step.rows_before, step.rows_after)], "step string, rows_before long, rows_after long")
+
+
+@query("explain_step", """SELECT printf('Find repeated rows: rows %+d, columns +0, missing values +0, 0 warning(s).', (count(DISTINCT text) - count(*))::INT) AS answer FROM documents""")
+def _(t, spark):
+    _, step = pipeline.run_step(t("documents").select("text"), "handle_duplicates", lambda df: cleaning.handle_duplicates(df, drop=True))
+    return rows(spark, [(recommend.RuleAdvisor().explain_step(step),)], "answer string")
 
 
 # --- synthetic rows ---

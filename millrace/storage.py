@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
 
@@ -38,6 +39,22 @@ def stored(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     return found
 
 
+def stored_counted(df: DataFrame, label: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """Store ``df``, with aggregates over its rows that are taken while its tasks write them, once each even if a task runs again."""
+    watch = Observation()
+    found = stored(df.observe(watch, *(x.alias(k) for k, x in metrics.items())), label)
+    return found, watch.get
+
+
+#: Rows of a table of keys that is broadcast at most; their keys are short.
+SMALL_ROWS = 1_000_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A stored table of short keys, broadcast if it is counted to be small; else left to a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing reads any more."""
     _delete(df.sparkSession, df.millrace_path)
