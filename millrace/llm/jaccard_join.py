@@ -368,20 +368,21 @@ def _candidates(texts: DataFrame, owners: DataFrame, frequent: tuple[np.ndarray,
     of = W.partitionBy("doc")  # a prefix
     counted = both.withColumn("e", F.count(F.lit(1)).over(of.orderBy("i").rowsBetween(W.unboundedPreceding, -1))).withColumn("shared", F.count(F.lit(1)).over(of)).where("shingle is not null")
     enough = (F.col("known") == 0) | (F.col("shared") >= least_shared(percent))
-    lists = stored(counted.where(enough).select("shingle", "doc", "comp", "n", "i", F.when(F.col("known") == 1, F.col("e")).otherwise(F.col("i")).alias("e")), "lists")
+    lists = stored(counted.where(enough).select("shingle", "doc", "comp", "n", "i", F.when(F.col("known") == 1, F.col("e")).otherwise(F.col("i")).alias("e"), F.when(F.col("known") == 1, F.col("shared")).otherwise(F.col("n")).alias("shared")), "lists")
     block = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    left = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "a"), ("n", "n1"), ("i", "i1"), ("e", "e1"), ("comp", "c1"))), F.explode(F.array(block, block + 1)).alias("block"))
-    right = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "b"), ("n", "n2"), ("i", "i2"), ("e", "e2"), ("comp", "c2"))), block.alias("block"))
+    left = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "a"), ("n", "n1"), ("i", "i1"), ("e", "e1"), ("comp", "c1"), ("shared", "s1"))), F.explode(F.array(block, block + 1)).alias("block"))
+    right = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "b"), ("n", "n2"), ("i", "i2"), ("e", "e2"), ("comp", "c2"), ("shared", "s2"))), block.alias("block"))
     larger = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
     most = F.least("e1", "e2") + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
-    joined = left.join(right, ["shingle", "block"]).where(larger & (F.col("c1") != F.col("c2")) & _enough(F.col("n1"), F.col("n2"), most, percent))
+    # Of the two prefixes, all of the one that ends first must be in the other but for the shingles that may differ.
+    common = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    must = F.greatest(F.lit(1), F.least(*(least_shared(percent) - F.ceil(percent * F.col(n) / 100) + common for n in ("n1", "n2"))))  # prefix length - (n - common)
+    possible = F.least("s1", "s2") >= must  # neither prefix has fewer shingles that other components have
+    joined = left.join(right, ["shingle", "block"]).where(larger & (F.col("c1") != F.col("c2")) & possible & _enough(F.col("n1"), F.col("n2"), most, percent))
     turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("c1", "c2", "c1"), ("c2", "c1", "c2"), ("n1", "n2", "n1"), ("n2", "n1", "n2"))]
     pairs = met.where(F.col("kind") == PAIR).select("a", "b", "c1", "c2", "n1", "n2").union(joined.select(*turned))
 
-    # Of the two prefixes, all of the one that ends first must be in the other but for the shingles that may differ.
-    common = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
-    must = [least_shared(percent) - F.ceil(percent * F.col(n) / 100) + common for n in ("n1", "n2")]  # prefix length - (n - common)
-    enough = pairs.groupBy("a", "b", "c1", "c2", "n1", "n2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.least(*must)))
+    enough = pairs.groupBy("a", "b", "c1", "c2", "n1", "n2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= must)
     found = stored(enough.select(F.col("a").cast(doc_type).alias("a"), F.col("b").cast(doc_type).alias("b"), F.col("c1").cast(doc_type).alias("c1"), F.col("c2").cast(doc_type).alias("c2"), "k"), "candidates")
     for table in (met, mixed, listed, lists):
         discard(table)
