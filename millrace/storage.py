@@ -39,6 +39,12 @@ def stored(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     return found
 
 
+def claimed(path: str) -> str:
+    """A path in the shared folder that goes with the intermediate tables."""
+    _written.append(path)
+    return path
+
+
 def stored_counted(df: DataFrame, label: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
     """Store ``df``, with aggregates over its rows that are taken while its tasks write them, once each even if a task runs again."""
     watch = Observation()
