@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .scratch import discard, stored
+from .scratch import claimed, discard, shared_dir, stored
+from .textkit import slices
 
 #: Words in the lexicon; all others are merged when they come up.
 LEXICON_WORDS = 60_000
@@ -41,7 +42,7 @@ COUNTED_WORDS = 400_000
 #: Longer words, in bytes, are not in the lexicon, and are merged with a heap.
 LONG_WORD = 64
 #: Characters that are cut into words at once; a longer text is divided at blanks.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 21
 
 # In these characters, the rules below are those of the tokenizer file; other texts go through its own normalizer and splitter.
 _USUAL_END = 0x2028
@@ -99,7 +100,7 @@ def cut_words(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_names(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word; words of one hash are compared later."""
     names, length = np.zeros(len(starts), np.uint64), ends - starts
     active, k = np.arange(len(starts)), 0
     with np.errstate(over="ignore"):
@@ -347,6 +348,13 @@ def _pieces(text: str) -> list[str]:
     return [*found, text[start:]]
 
 
+def _firsts(number: np.ndarray) -> np.ndarray:
+    """Where each number comes first."""
+    one = np.full(int(number.max(initial=-1)) + 1, -1)
+    one[number[::-1]] = np.arange(len(number))[::-1]
+    return one
+
+
 def usual_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different words of usual texts, the number of each word in turn, and the place of each text's first word (texts + 1 values)."""
     low = [unicodedata.normalize("NFC", t).lower() for t in texts]
@@ -354,8 +362,11 @@ def usual_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     starts, ends = cut_words(chars)
     number = pd.factorize(word_names(chars, starts, ends))[0]
-    one = np.full(int(number.max(initial=-1)) + 1, -1)
-    one[number[::-1]] = np.arange(len(number))[::-1]  # where each word comes first
+    one, length = _firsts(number), ends - starts
+    same = one[number]
+    if (length != length[same]).any() or (chars[ragged(starts, length)] != chars[ragged(starts[same], length)]).any():  # different words with one hash
+        number = pd.factorize(np.array([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())], object))[0]
+        one = _firsts(number)
     words = [joined[a:b].encode() for a, b in zip(starts[one].tolist(), ends[one].tolist())]
     bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in low])))
     return words, number, np.searchsorted(starts, bounds)
@@ -469,7 +480,7 @@ def count_pieces(docs: DataFrame, text_col: str, tokenizer: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.binary()).cast(pa.string()), pa.array([n for _, n in short], pa.int64())], names=["piece", "n"])
 
         found: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches, 0):
             for _, words, number, _ in split_texts(model, [t or "" for t in batch.column(0).to_pylist()]):
                 found.update(dict(zip(words, np.bincount(number, minlength=len(words)).tolist())))
                 if len(found) > COUNTED_WORDS:
@@ -503,26 +514,32 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_col: str = "doc_id", t
     """Token counts and digests of the ids and of the decoded text, for each row.
 
     ``with_ids`` adds the ids and the decoded text; ``keep`` names further
-    columns to pass through. A null text counts as empty: no ids, and the
-    decoded text ''. Repeated rows are encoded each; an empty table gives an
-    empty result.
+    columns to pass through, of which those are left out that are named like
+    one of the results. A null text counts as empty: no ids, and the decoded
+    text ''. Texts of any length are encoded whole, in pieces that end at
+    blanks; no ties can arise. Repeated rows are encoded each; an empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     flat = build_lexicon(docs, text_col, tokenizer, words)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="millrace-")
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(flat)
-    spark.sparkContext.addFile(os.path.join(folder, name))  # the driver serves it to every executor, later ones too
-
-    passed = [doc_col, *(keep or [])]
+    with tempfile.TemporaryDirectory(prefix="millrace-") as folder:
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(flat)
+        target = claimed(f"{shared_dir(spark)}/{name}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(path(os.path.join(folder, name)), path(target))
+    spark.sparkContext.addFile(target)  # every executor fetches it from the shared folder, later ones too
+
+    made = {"n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ())}
+    passed = [c for c in dict.fromkeys([doc_col, *(keep or [])]) if c not in made]
     rows = docs.select(*dict.fromkeys([*passed, text_col]))
     text_at = rows.columns.index(text_col)
     passed_at = [rows.columns.index(c) for c in passed]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(load_model(tokenizer), Lexicon(SparkFiles.get(name)))
-        for batch in batches:
+        for batch in slices(batches, text_at):
             counts, id_sums, text_sums, all_ids, decoded = [], [], [], [], []
             for ids in codec.encode_all([t or "" for t in batch.column(text_at).to_pylist()]):
                 text = codec.decode(ids)

@@ -7,9 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-from ..storage import discard, release, shared_dir, stored
+from ..storage import claimed, discard, release, shared_dir, stored
 
-__all__ = ["discard", "release", "shared_dir", "small_batches", "stored"]
+__all__ = ["claimed", "discard", "release", "shared_dir", "small_batches", "stored"]
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a chunk by itself.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C17)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C17, -1, 1 << 64))
@@ -123,6 +123,17 @@ def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[Chunk]:
         first = last
 
 
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each, in column ``text_at``, have so many bytes at most, or are a single one."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total, first = np.concatenate(([0], np.cumsum(sizes))), 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(total, total[first] + most, side="right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def owner(first_runs: np.ndarray) -> np.ndarray:
     """The text of each run, from the index of each text's first run."""
     return np.repeat(np.arange(len(first_runs) - 1), np.diff(first_runs))
