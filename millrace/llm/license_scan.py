@@ -1,17 +1,18 @@
 """License scanning by conditional compression.
 
-The words around each mention of licensing are compressed alone and with each
-template as a raw zstandard dictionary. Templates that shrink them are
-candidates; a line of one is confirmed, or not, by the exact differences in
-wording of the stretch that it fits best, wherever that begins and ends. So a
-notice may be wrapped over lines, commented, or stand inside a longer line.
+The words around mentions of licensing are cut into windows of bounded length
+that overlap by the longest notice. Each is compressed alone and with each
+template as a raw zstandard dictionary. Templates are ranked by how much they
+shrink it; the first of them that has a line which the exact differences in
+wording confirm wins, wherever the stretch that the line fits begins and ends.
+So a notice may be wrapped over lines, commented, or stand inside a longer
+line. What is left of the window is looked at again.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ CUES = r"(?i)licen[sc]e|copyright|public domain|all rights reserved|spdx|warrant
 #: Distinct blocks that a worker remembers; it forgets all when there are more.
 MEMORY_BLOCKS = 50_000
 MEMORY_CHARS = 500
+_WORD = re.compile(r"\w+")
+_SIGNS = re.compile(r"[^\w\s]*")
 
 
 class Scanner:
@@ -52,9 +55,14 @@ class Scanner:
             name: zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for name, text in templates.items()
         }
-        self.lines = {name: [w for line in text.split("\n") if (w := re.findall(r"\w+", line.lower()))] for name, text in templates.items()}
+        lines = {name: [w for line in text.split("\n") if (w := _WORD.findall(line.lower()))] for name, text in templates.items()}
+        self.number = {w: k for k, w in enumerate(sorted({w for own in lines.values() for line in own for w in line}))}
+        #: The lines of each template as numbers of words, how often each has each word, and the words of the template's name in it.
+        self.lines = {name: [np.array([self.number[w] for w in line], np.int64) for line in own] for name, own in lines.items()}
+        self.bags = {name: np.array([np.bincount(line, minlength=len(self.number)) for line in own]).reshape(len(own), -1) for name, own in self.lines.items()}
+        self.own = {name: [{self.number[w] for w in set(_WORD.findall(name.lower())) & set(line)} for line in own] for name, own in lines.items()}
         #: Words around a mention that a notice with it may reach to.
-        self.reach = max((len(w) + int(max_changed * len(w)) for lines in self.lines.values() for w in lines), default=0)
+        self.reach = max((len(w) + int(max_changed * len(w)) for own in lines.values() for w in own), default=1)
         self.cue = re.compile(CUES)
         self.known: dict[str, tuple] = {}
 
@@ -72,82 +80,122 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[int, str, int, int, int, bool]]:
         """Line, best template, bytes alone, bytes with it, words changed and whether confirmed: of notices, and of lines that mention licensing outside them."""
-        cues = [(m.start(), m.end()) for m in self.cue.finditer(text)]
+        cues = [m.span() for m in self.cue.finditer(text)]
         if not cues:
             return []
-        spans = [m.span() for m in re.finditer(r"\w+", text)]
-        words = [text[a:b].lower() for a, b in spans]
+        spans = [m.span() for m in _WORD.finditer(text)]
+        words = np.array([self.number.get(text[a:b].lower(), -1) for a, b in spans], np.int64)
         starts = [a for a, _ in spans]
         mentions = [max(0, bisect_right(starts, a) - 1) for a, _ in cues]
-        pieces: list[list[int]] = []
-        for at in mentions:
-            low, high = max(0, at - self.reach), min(len(words), at + self.reach + 1)
-            if pieces and low <= pieces[-1][1]:
-                pieces[-1][1] = high
-            else:
-                pieces.append([low, high])
-        out, notices, todo = [], [], pieces
-        while todo:
-            low, high = todo.pop()
-            if bisect_left(mentions, high) == bisect_left(mentions, low):
-                continue  # no mention is left here
-            alone, with_template = self.sizes(text[spans[low][0] : spans[high - 1][1]])
-            candidates = sorted((n, name) for name, n in with_template.items() if n < alone)
-            found = max((f for _, name in candidates if (f := self._best_line(name, words[low:high]))), key=lambda f: f[0], default=None)
-            if found:
-                _, changed, name, a, b = found
-                first, last = spans[low + a][0], spans[low + b - 1][1]
-                end = re.compile(r"[^\w\s]*").match(text, last).end()
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        notices, out = [], []
+        for low, high in self._around(mentions, len(words)):
+            for a, b, name, changed in self._notices(text, spans, words, mentions, low, high):
+                first, end = spans[a][0], _SIGNS.match(text, spans[b - 1][1]).end()
                 alone, with_template = self.sizes(text[first:end])
-                todo += [[low, low + a], [low + b, high]]
-                if with_template[name] < alone and bisect_left(mentions, low + b) > bisect_left(mentions, low + a):
-                    notices.append((first, end))
-                    out.append((text.count("\n", 0, first), name, alone, with_template[name], changed, True))
-        seen = set()
+                notices.append((first, end))
+                out.append((bisect_left(breaks, first), name, alone, with_template[name], changed, True))
+        notices.sort()
+        ends = [end for _, end in notices]
+        seen = -1
         for a, b in cues:
-            line = text.count("\n", 0, a)
-            if line in seen or any(x < b and a < y for x, y in notices):
+            line = bisect_left(breaks, a)
+            k = bisect_right(ends, a)
+            if line == seen or k < len(notices) and notices[k][0] < b:
                 continue
-            seen.add(line)
-            block = text[text.rfind("\n", 0, a) + 1 :].split("\n", 1)[0]
-            alone, with_template = self.sizes(block)
+            seen = line
+            begin, end = breaks[line - 1] + 1 if line else 0, breaks[line] if line < len(breaks) else len(text)
+            alone, with_template = self.sizes(text[begin:end])
             best = min(with_template, key=lambda name: (with_template[name], name))
-            block_words = re.findall(r"\w+", block.lower())
-            out.append((line, best, alone, with_template[best], min((self._fit(w, block_words)[0] for w in self.lines[best]), default=len(block_words)), False))
+            out.append((line, best, alone, with_template[best], self._least_changed(best, words[bisect_left(starts, begin) : bisect_left(starts, end)]), False))
         return sorted(out)
 
-    def _best_line(self, name: str, words: list[str]) -> tuple[int, int, str, int, int] | None:
-        """The line of a template that explains most of ``words`` within the changes allowed: its score, words changed, template, and where it starts and ends."""
-        best, have, named = None, Counter(words), set(re.findall(r"\w+", name.lower()))
-        for line in self.lines[name]:
+    def _around(self, mentions: list[int], n_words: int) -> list[list[int]]:
+        """Stretches of words that a notice with a mention may lie in."""
+        found: list[list[int]] = []
+        for at in mentions:
+            low, high = max(0, at - self.reach), min(n_words, at + self.reach + 1)
+            if found and low <= found[-1][1]:
+                found[-1][1] = high
+            else:
+                found.append([low, high])
+        return found
+
+    def _notices(self, text: str, spans: list, words: np.ndarray, mentions: list[int], low: int, high: int) -> Iterator[tuple[int, int, str, int]]:
+        """Notices of a stretch of any length, from windows of twice the reach, so that each notice lies whole in one; windows overlap by the reach."""
+        todo = [(low, high)]
+        while todo:
+            low, high = todo.pop()
+            at = low
+            while at < high:
+                end = min(at + 2 * self.reach, high)
+                found = self._best(text, spans, words, mentions, at, end)
+                if found:
+                    yield found
+                    todo.append((at, found[0]))
+                    at = found[1]
+                elif end == high:
+                    break
+                else:
+                    at += self.reach
+
+    def _best(self, text: str, spans: list, words: np.ndarray, mentions: list[int], low: int, high: int) -> tuple[int, int, str, int] | None:
+        """The notice of the template that shrinks a window most, of those whose wording confirms it."""
+        if low >= high or bisect_left(mentions, high) == bisect_left(mentions, low):
+            return None
+        block = text[spans[low][0] : spans[high - 1][1]]
+        alone, with_template = self.sizes(block)
+        part = words[low:high]
+        have = np.bincount(part[part >= 0], minlength=len(self.number))
+        for name in sorted((n for n, size in with_template.items() if size < alone), key=lambda n: (with_template[n], n)):
+            for changed, a, b in self._fitting(name, part, have):
+                if bisect_left(mentions, low + b) > bisect_left(mentions, low + a):
+                    own_alone, own_with = self.sizes(text[spans[low + a][0] : spans[low + b - 1][1]])
+                    if own_with[name] < own_alone:
+                        return low + a, low + b, name, changed
+        return None
+
+    def _fitting(self, name: str, words: np.ndarray, have: np.ndarray) -> list[tuple[int, int, int]]:
+        """Stretches of ``words`` that lines of a template fit within the changes allowed, with the words changed; those that explain most come first."""
+        found = []
+        missing = self.bags[name].sum(axis=1) - np.minimum(self.bags[name], have).sum(axis=1)
+        for line, own, lacks in zip(self.lines[name], self.own[name], missing.tolist()):
             allowed = int(self.max_changed * len(line))
-            if len(line) - sum((Counter(line) & have).values()) > allowed or (best and len(line) <= best[0]):
-                continue  # so many words are missing, or even an exact fit would explain less
+            if lacks > allowed:
+                continue
             changed, start, end = self._fit(line, words)
-            score = len(line) - 2 * changed
-            own = named.intersection(line)  # another license's name is no small change
-            if changed <= allowed and start < end and own.issubset(words[start:end]) and (best is None or score > best[0]):
-                best = score, changed, name, start, end
-        return best
+            if changed <= allowed and start < end and own.issubset(words[start:end].tolist()):  # another license's name is no small change
+                found.append((len(line) - 2 * changed, changed, start, end))
+        return [x[1:] for x in sorted(found, key=lambda x: -x[0])]
+
+    def _least_changed(self, name: str, words: np.ndarray) -> int:
+        """Words changed in the line of a template that fits best, whether that is allowed or not."""
+        have = np.bincount(words[words >= 0], minlength=len(self.number))
+        missing = (self.bags[name].sum(axis=1) - np.minimum(self.bags[name], have).sum(axis=1)).tolist()
+        best = None
+        for k in sorted(range(len(missing)), key=missing.__getitem__):
+            if best is not None and missing[k] >= best:
+                break
+            cost = int(self._costs(self.lines[name][k], words, True).min())
+            best = cost if best is None else min(best, cost)
+        return len(words) if best is None else best
 
     @staticmethod
-    def _fit(line: list[str], words: list[str]) -> tuple[int, int, int]:
+    def _costs(line: np.ndarray, words: np.ndarray, free: bool) -> np.ndarray:
+        """For each place in ``words`` the changes that make of the line what ends there; ``free``: wherever it begins."""
+        at = np.arange(len(words) + 1)
+        row = np.zeros(len(words) + 1, np.int64) if free else at.copy()
+        for w in line.tolist():
+            step = row + 1
+            step[1:] = np.minimum(step[1:], row[:-1] + (words != w))
+            row = np.minimum.accumulate(step - at) + at
+        return row
+
+    def _fit(self, line: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
         """Words inserted, deleted or replaced in the stretch of ``words`` that a line fits best, and where it starts and ends."""
-
-        def costs(a: list[str], b: list[str], free: bool) -> np.ndarray:
-            names = {w: k for k, w in enumerate(dict.fromkeys(a))}
-            codes = np.array([names.get(w, -1) for w in b], np.int64)
-            at = np.arange(len(b) + 1)
-            row = np.zeros(len(b) + 1, np.int64) if free else at.copy()
-            for w in a:
-                step = row + 1
-                step[1:] = np.minimum(step[1:], row[:-1] + (codes != names[w]))
-                row = np.minimum.accumulate(step - at) + at
-            return row
-
-        ends = costs(line, words, True)
+        ends = self._costs(line, words, True)
         end = int(ends.argmin())
-        back = costs(line[::-1], words[max(0, end - 2 * len(line)) : end][::-1], False)
+        back = self._costs(line[::-1], words[max(0, end - 2 * len(line)) : end][::-1], False)
         return int(ends[end]), end - int(back.argmin()), end
 
 
@@ -157,8 +205,11 @@ def scan_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     Blocks are the notices found, which mention licensing and differ from a
     line of a template in no more than ``max_changed`` of its words, wherever
     they begin and end; and, not confirmed, the lines with a mention outside
-    them. Null and empty texts have no blocks; repeated rows are scanned each;
-    an empty table gives an empty result; other columns are ignored.
+    them. Of templates that shrink a window alike the first by name counts, of
+    lines that explain as many words the first of the template. Null and empty
+    texts have no blocks; texts of any length are scanned whole, in time that
+    grows with their length; repeated rows are scanned each; an empty table
+    gives an empty result; other columns are ignored.
     """
     templates = templates or TEMPLATES
     rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where(F.regexp_like("text", F.lit(CUES)))
