@@ -21,7 +21,7 @@ from .scratch import stored
 #: Words of a window; an occurrence of one in a document is a hit.
 WINDOW = 10
 #: Words of a hashed run, and runs of which one is kept: K + W - 1 == WINDOW.
-K = 4
+K = 7
 W = WINDOW - K + 1
 #: Bits of a packed fingerprint that hold its position; the others hold its hash.
 POSITION_BITS = 30
@@ -54,7 +54,7 @@ def _runs(words: Column, k: int) -> Column:
 
 
 def _least(runs: Column, length: int = 1) -> Column:
-    """The least of every W consecutive runs, and of fewer at the end, each time from the least of three shorter stretches."""
+    """The least of every W consecutive runs, and of fewer at the end, each time from the least of up to three shorter stretches."""
     if length == W:
         return F.array_distinct(runs)
     longer = min(3 * length, W)
@@ -92,12 +92,19 @@ def _met(prints: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of documents whose fingerprint an item has, and the first row of each document in any case."""
     if items.count() <= BROADCAST_FINGERPRINTS:
         items = F.broadcast(items)
-        return prints.join(items, "print", "left").where(F.col("item_id").isNotNull() | (F.col("k") == 0))
+        return prints.join(items, "print", "left").where(F.col("class_id").isNotNull() | (F.col("k") == 0))
     hits = prints.where("print is not null").join(items, "print")  # a null, of which there may be many, meets nothing
     none = [F.lit(None).cast(t).alias(c) for c, t in items.dtypes if c != "print"]
     return hits.unionByName(prints.where("k = 0").select("print", "id", "n_words", "k", "at", *none))
 
 
+def _classes(items: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of items (``id`` and ``key``) by their keys: stored tables of ``class_id`` with the key, and of ``class_id`` with each ``item_id``."""
+    items = stored(items.distinct(), "bench-prints")
+    classes = stored(items.select(*key).distinct().withColumn("class_id", F.monotonically_increasing_id()), "bench-classes")
+    return classes, stored(items.join(classes, key).select("class_id", F.col("id").alias("item_id")), "bench-members")
+
+
 def _extended(found: DataFrame) -> DataFrame:
     """Spans of documents, of a window at least, that are in an item."""
     def agrees(shift: int) -> Column:
@@ -114,8 +121,8 @@ def _extended(found: DataFrame) -> DataFrame:
     same = F.lit(True)
     for shift in range(K):
         same = same & agrees(shift)
-    spans = found.where(same).select("id", "item_id", "at", reach(range(-1, K - WINDOW - 1, -1)).alias("left"), reach(range(K, WINDOW)).alias("right"))
-    return spans.where(F.col("left") + F.col("right") + K >= WINDOW).select("id", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("left") + K + F.col("right")).alias("length"))
+    spans = found.where(same).select("id", "class_id", "at", reach(range(-1, K - WINDOW - 1, -1)).alias("left"), reach(range(K, WINDOW)).alias("right"))
+    return spans.where(F.col("left") + F.col("right") + K >= WINDOW).select("id", "class_id", (F.col("at") - F.col("left")).alias("start"), (F.col("left") + K + F.col("right")).alias("length"))
 
 
 def _around() -> Column:
@@ -148,30 +155,37 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", do
 
     spelled = bench.select("id", words_of(F.col("text")).alias("words"))
     before = F.least("at", F.lit(WINDOW - K))
-    of_items = _prints(bench).where("print is not null").join(spelled, "id")
-    items = stored(of_items.select("print", F.col("id").alias("item_id"), before.alias("item_before"), _around().alias("item_words")).distinct(), "bench-prints")
-    met = stored(_met(_prints(texts), items), "met")
+    of_items = _prints(bench).where("print is not null").join(spelled, "id").select("print", "id", before.alias("item_before"), _around().alias("item_words"))
+    # Items that agree in a run and the words around it are one class, so a run that many of them share is few rows of the join.
+    classes, members = _classes(of_items, ["print", "item_before", "item_words"])
+    met = stored(_met(_prints(texts), classes), "met")
 
     # Only texts with a hit are cut into words again; their words never go through the join of the fingerprints.
-    hits = met.where("item_id is not null").select("id", "at", "item_id", "item_before", "item_words")
+    hits = met.where("class_id is not null").select("id", "at", "class_id", "item_before", "item_words")
     hit_ids = stored(hits.select("id").distinct(), "hit-ids")
     spelled = texts.join(checked_broadcast(hit_ids), "id", "left_semi").select("id", words_of(F.col("text")).alias("words")).dropDuplicates(["id"])
-    spans = _extended(hits.join(spelled, "id").select("id", "at", before.alias("before"), _around().alias("words"), "item_id", "item_before", "item_words"))
+    spans = _extended(hits.join(spelled, "id").select("id", "at", before.alias("before"), _around().alias("words"), "class_id", "item_before", "item_words"))
+    spans = stored(spans, "spans")
+    found_items = spans.select("id", "class_id").distinct().join(members, "class_id").select("id", "item_id")
 
     lengths = sorted(r.n for r in bench.where(F.col("n") < WINDOW).select("n").distinct().collect())  # nine at most
     if lengths:
-        short = stored(_short_runs(bench.where(F.col("n") < WINDOW), lengths).where("n_words = length").join(bench.select("id", words_of(F.col("text")).alias("item_words")), "id").select("print", "length", F.col("id").alias("item_id"), "item_words").distinct(), "bench-short")
+        short = _short_runs(bench.where(F.col("n") < WINDOW), lengths).where("n_words = length").join(bench.select("id", words_of(F.col("text")).alias("item_words")), "id")
+        short, members = _classes(short.select("id", "print", "length", "item_words"), ["print", "length", "item_words"])
         shorts = F.broadcast(short) if short.count() <= BROADCAST_FINGERPRINTS else short
-        occurring = stored(_short_runs(texts, lengths).join(shorts, ["print", "length"]).select("id", "at", "length", "item_id", "item_words"), "short-met")
+        occurring = stored(_short_runs(texts, lengths).join(shorts, ["print", "length"]).select("id", "at", "length", "class_id", "item_words"), "short-met")
         short_ids = stored(occurring.select("id").distinct(), "hit-ids")
         spelled = texts.join(checked_broadcast(short_ids), "id", "left_semi").select("id", words_of(F.col("text")).alias("words")).dropDuplicates(["id"])
         exact = F.slice("words", F.col("at") + 1, F.col("length")) == F.col("item_words")
-        spans = spans.union(occurring.join(spelled, "id").where(exact).select("id", "item_id", F.col("at").alias("start"), "length"))
+        occurring = stored(occurring.join(spelled, "id").where(exact).select("id", "class_id", F.col("at").alias("start"), "length"), "short-spans")
+        spans = spans.union(occurring)
+        found_items = found_items.union(occurring.select("id", "class_id").distinct().join(members, "class_id").select("id", "item_id"))
 
     covered = F.size(F.array_distinct(F.flatten(F.transform("hit_spans", lambda s: F.sequence(s.start, s.start + s.length - 1)))))
     nothing = F.lit(None)
     rows = met.where("k = 0").select("id", "n_words", nothing.cast("string").alias("item_id"), nothing.cast("struct<start:int,length:int>").alias("span"), F.lit(0).alias("rows"))
-    rows = rows.union(spans.select("id", nothing.cast("long"), "item_id", F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length")), F.lit(0)))
+    rows = rows.union(spans.select("id", nothing.cast("long"), nothing.cast("string"), F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length")), F.lit(0)))
+    rows = rows.union(found_items.select("id", nothing.cast("long"), "item_id", nothing.cast("struct<start:int,length:int>"), F.lit(0)))
     rows = rows.union(texts.select("id", nothing.cast("long"), nothing.cast("string"), nothing.cast("struct<start:int,length:int>"), F.lit(1)))
     return (
         rows.groupBy("id")
