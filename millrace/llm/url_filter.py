@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import lookup_join
@@ -56,7 +57,7 @@ def _first_rule(rules: list[Rule], value) -> Column:
 
 def judge(
     pages: DataFrame, rules: list[Rule], page_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, label_col: str = "good",
-    min_pages: int = 5, min_share: float = 0.02, z_limit: float = 1.96, smoothing: float = 4.0, unlabelled_weight: float = 0.1, min_purity: float = 0.25, max_depth: int = 8,
+    min_pages: int = 5, min_share: float = 0.02, z_limit: float = 1.96, smoothing: float = 4.0, unlabelled_weight: float = 0.1, min_purity: float = 0.25, max_depth: int | None = None,
 ) -> DataFrame:
     """``page_col``, ``host``, ``path``, ``rule``, ``template``, ``purity`` and ``verdict`` for each page.
 
@@ -65,8 +66,9 @@ def judge(
     good examples. Each unlabelled page of a template adds ``unlabelled_weight``
     to the pull towards the purity of the same template on all hosts. A page
     without a rule is blocked if its template's purity is under ``min_purity``
-    times that of all labelled pages; one that equals it is allowed. Segments
-    after ``max_depth`` count as one; urls of any length are read whole. A url that is
+    times that of all labelled pages; one that equals it is allowed. All
+    segments count, or with ``max_depth`` those after it as one; urls of any
+    length are read whole. Columns of other names aren't looked at. A url that is
     null or has no ``://`` has an empty host and path and the template of the
     empty host's root. Repeated rows are judged each; an empty table gives an
     empty result; without any label every purity is 1.
@@ -79,16 +81,18 @@ def judge(
         marks = labels.groupBy(F.col(page_col).alias("page")).agg(F.min(label_col).alias("good"))
         rows = rows.join(marks, "page", "left")
     parts = F.array_remove(F.split("path", "/"), "")
-    parts = F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("**")))).otherwise(parts)
+    if max_depth is not None:
+        parts = F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("**")))).otherwise(parts)
     shape = F.transform(parts, lambda part: F.when(F.regexp_like(part, F.lit(VARIABLE)), WILDCARD).otherwise(part))
     rows = stored(rows.select("page", "host", "path", "rule", "ruled", "good", shape.alias("parts")).withColumn("key", F.array_join(F.concat(F.array("host"), "parts"), "/")), "urls")
     counts = (F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     shapes = stored(rows.groupBy("key").agg(F.any_value("host").alias("host"), F.any_value("parts").alias("parts"), *counts).withColumn("path", F.lit("")), "shapes")
-    depth = shapes.agg(F.coalesce(F.max(F.size("parts")), F.lit(0)).alias("d")).first().d
+    depth = _literal_depth(shapes, min_pages)
     for level in range(depth):
         longer = _generalised(shapes, level, min_pages, min_share, z_limit)
         discard(shapes)
         shapes = longer
+    shapes = shapes.withColumn("path", F.concat("path", F.repeat(F.lit(f"/{WILDCARD}"), F.greatest(F.size("parts") - depth, F.lit(0)))))
 
     seen = shapes.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
     prior = seen.g / (seen.g + seen.b) if seen.g + seen.b else 1.0
@@ -103,6 +107,13 @@ def judge(
     return judged.select(F.col("page").alias(page_col), "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
 
 
+def _literal_depth(shapes: DataFrame, min_pages: int) -> int:
+    """The last level at which a segment may stay literal: deeper, each host has fewer pages than a literal needs, so all segments become wildcards."""
+    sizes = shapes.groupBy("host", F.size("parts").alias("depth")).agg(F.sum("n").alias("n"))  # a row for each host and depth
+    deeper = sizes.withColumn("upto", F.sum("n").over(W.partitionBy("host").orderBy(F.desc("depth"))))
+    return deeper.where(F.col("upto") >= min_pages).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("d")).first().d
+
+
 def _differs(n: str, suffix: str, z_limit: float) -> Column:
     """Whether a branch's labelled pages are good or bad unlike those of its whole parent."""
     labelled, all_labelled = F.col(f"good{n}") + F.col(f"bad{n}"), F.col(f"good{suffix}") + F.col(f"bad{suffix}")
