@@ -8,6 +8,7 @@ spans that a loss mask leaves open: the assistant's own turns.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.ranks import number_rows
@@ -55,19 +56,13 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         .when(F.col("speaker") == narrator, F.lit("<|system|>\n"))
         .otherwise(F.concat(F.lit("<|user name="), _content(F.col("speaker")), F.lit("|>\n")))
     )
-    piece = F.struct("turn", "speaker", "body", head.alias("head"), own.alias("own"))
-    grouped = each.groupBy("conv", "perspective", "block").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
-
-    def step(done: Column, p: Column) -> Column:
-        begin = done.at + F.char_length(p.head)
-        span = F.concat_ws(":", begin, F.char_length(p.body))
-        return F.struct((begin + F.char_length(p.body)).alias("at"), F.when(p.own, F.array_append(done.spans, span)).otherwise(done.spans).alias("spans"))
-
+    of = W.partitionBy("conv", "perspective", "block").orderBy("turn", "speaker", "body").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = each.select("conv", "perspective", "block", own.alias("own"), F.concat(head, "body").alias("piece"), F.char_length("body").alias("length"), F.sum(F.char_length(head) + F.char_length("body")).over(of).alias("end"))
+    grouped = placed.groupBy("conv", "perspective", "block").agg(F.sort_array(F.collect_list(F.struct("end", "length", "own", "piece"))).alias("pieces"))  # one dialogue, as it is returned
+    spans = F.transform(F.filter("pieces", lambda p: p.own), lambda p: F.concat_ws(":", p.end - p.length, p.length))
     return grouped.select(
         F.col("conv").alias(conv_col), "perspective", "block", F.size("pieces").cast("long").alias("n_turns"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.body)), "").alias("rendered"),
-        F.array_join(F.aggregate("pieces", start, step).spans, ",").alias("mask"),
+        F.array_join(F.col("pieces.piece"), "").alias("rendered"), F.array_join(spans, ",").alias("mask"),
     )
 
 
@@ -76,7 +71,7 @@ WITH t AS (
   SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS speaker,
          replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
   FROM conversations),
-b AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, body) - 1) // 64 AS block FROM t),
+b AS (SELECT *, 0::BIGINT AS block FROM t),
 c AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 p AS (
   SELECT t.*, c.perspective, speaker = perspective AS own,
