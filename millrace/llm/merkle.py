@@ -1,7 +1,7 @@
 """A Merkle manifest of a table: a tree for each group, and one over their roots.
 
 Leaves are numbered within their group by a range sort, and aligned blocks of
-``ARITY ** LEVELS`` of them are gathered. A block's root is a node of the next
+``ARITY ** levels`` of them are gathered. A block's root is a node of the next
 tier, whose blocks are made alike, until a group is one block; the roots of
 the groups are a tree of their own. Authentication paths then come down from
 the top: each block gets the path of its root, which distributed joins carry,
@@ -28,9 +28,8 @@ from .joins import checked_broadcast
 from .scratch import small_batches, stored
 
 ARITY = 16
-#: Levels of a block.
+#: Levels of a block: 4,096 nodes.
 LEVELS = 3
-BLOCK = ARITY**LEVELS
 _ROW_BITS = 33  # monotonically_increasing_id holds the row below these bits
 
 _PATH = "array<struct<before:string,after:string>>"
@@ -94,30 +93,38 @@ def fold(leaf: str, path: list[Step]) -> str:
     return leaf
 
 
-def _levels(size: int, blocks: int) -> int:
+def _levels(size: int, blocks: int, levels: int) -> int:
     """Levels of a block of a group: all of them where the group has more blocks."""
-    return LEVELS if blocks > 1 else height(size)
+    return levels if blocks > 1 else height(size)
 
 
-def _root_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _root_batches(levels: int):
     """tree, block, the number of blocks of the tree and the block's root."""
-    for batch in batches:
-        roots = [block_root([x.hex() for x in digests], _levels(len(digests), blocks)) for blocks, digests in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(roots, pa.string())], names=["tree", "block", "blocks", "root"])
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = [block_root([x.hex() for x in digests], _levels(len(digests), blocks, levels)) for blocks, digests in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(roots, pa.string())], names=["tree", "block", "blocks", "root"])
+
+    return batches_of
 
 
-def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _path_batches(levels: int):
     """For each node of a block its place and its path to the top, as siblings before and after it on each level."""
-    for batch in batches:
-        for tree, block, blocks, digests, above in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            rest = [(x["before"], x["after"]) for x in above]
-            paths = [[{"before": b, "after": a} for b, a in [*path, *rest]] for path in traverse([x.hex() for x in digests], _levels(len(digests), blocks))]
-            n = len(paths)
-            places = pa.array(range(block * BLOCK, block * BLOCK + n), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([tree] * n, pa.binary()), places, pa.array(paths, pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())])))], names=["tree", "block", "path"])
+    kind = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree, block, blocks, digests, above in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                rest = [(x["before"], x["after"]) for x in above]
+                paths = [[{"before": b, "after": a} for b, a in [*path, *rest]] for path in traverse([x.hex() for x in digests], _levels(len(digests), blocks, levels))]
+                n, first = len(paths), block * ARITY**levels
+                yield pa.RecordBatch.from_arrays([pa.array([tree] * n, pa.binary()), pa.array(range(first, first + n), pa.int64()), pa.array(paths, kind)], names=["tree", "block", "path"])
+
+    return batches_of
 
 
-def _proof_batches(id_type: pa.DataType):
+def _proof_batches(id_type: pa.DataType, levels: int):
     """For each leaf of a block the digest of its path, and the root that its claimed digest folds to."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +132,7 @@ def _proof_batches(id_type: pa.DataType):
             for blocks, digests, above, ids, claims, subroot in zip(*(batch.column(k).to_pylist() for k in range(2, 8))):
                 rest = [(x["before"], x["after"]) for x in above]
                 proofs, folded, leaves = [], [], [x.hex() for x in digests]
-                for path, claim in zip(traverse(leaves, _levels(len(leaves), blocks)), claims):
+                for path, claim in zip(traverse(leaves, _levels(len(leaves), blocks, levels)), claims):
                     whole = [*path, *rest]
                     proofs.append(sha256("".join(b + a for b, a in whole).encode()).hexdigest())
                     folded.append(fold(claim.hex(), whole))
@@ -148,11 +155,11 @@ def _placed(nodes: DataFrame, *order: str) -> DataFrame:
     return numbered.select(*(c for c in nodes.columns if c != "salt"), (F.col("at") + F.col("shift")).alias("place"))
 
 
-def _blocks(placed: DataFrame, *more: str) -> DataFrame:
+def _blocks(placed: DataFrame, levels: int, *more: str) -> DataFrame:
     """One row for each aligned block of nodes (``tree``, ``place``, ``digest`` and others): ``tree``, ``block``, ``blocks`` of its tree, and lists in order."""
-    block = F.floor(F.col("place") / BLOCK).cast("long")
+    block = F.floor(F.col("place") / ARITY**levels).cast("long")
     entry = F.struct("place", "digest", *more)
-    lists = placed.groupBy("tree", block.alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("e"))  # BLOCK entries at most
+    lists = placed.groupBy("tree", block.alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("e"))  # a block's entries at most
     rows = lists.select("tree", "block", F.col("e.digest").alias("digests"), *(F.col(f"e.{c}").alias(c) for c in more))
     rows = stored(rows, "blocks")
     counts = rows.groupBy("tree").agg((F.max("block") + 1).alias("blocks"))
@@ -160,16 +167,16 @@ def _blocks(placed: DataFrame, *more: str) -> DataFrame:
     return stored(counted.select("tree", "block", "blocks", "digests", *more), "blocks")
 
 
-def _roots(blocks: DataFrame) -> DataFrame:
-    found = blocks.select("tree", "block", "blocks", "digests").mapInArrow(_root_batches, "tree binary, block long, blocks long, root string")
+def _roots(blocks: DataFrame, levels: int) -> DataFrame:
+    found = blocks.select("tree", "block", "blocks", "digests").mapInArrow(_root_batches(levels), "tree binary, block long, blocks long, root string")
     return stored(found, "roots")
 
 
-def _tiers(blocks: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def _tiers(blocks: DataFrame, levels: int) -> tuple[list[DataFrame], DataFrame]:
     """Blocks of all tiers, the lowest first, and each tree's root (``tree``, ``root``). Trees of one block leave, others go on."""
     tiers, tops = [blocks], []
     while True:
-        roots = _roots(tiers[-1])
+        roots = _roots(tiers[-1], levels)
         tops.append(roots.where("blocks = 1").select("tree", "root"))
         if not roots.where("blocks > 1").limit(1).count():
             found = tops[0]
@@ -177,7 +184,7 @@ def _tiers(blocks: DataFrame) -> tuple[list[DataFrame], DataFrame]:
                 found = found.union(top)
             return tiers, found
         nodes = roots.where("blocks > 1").select("tree", F.col("block").alias("place"), F.unhex("root").alias("digest"))
-        tiers.append(_blocks(nodes))
+        tiers.append(_blocks(nodes, levels))
 
 
 def _with_paths(blocks: DataFrame, paths: DataFrame, *more: str) -> DataFrame:
@@ -187,7 +194,7 @@ def _with_paths(blocks: DataFrame, paths: DataFrame, *more: str) -> DataFrame:
     return both.select("tree", "block", "blocks", "digests", "path", *more)
 
 
-def _down(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
+def _down(tiers: list[DataFrame], tops: DataFrame, levels: int) -> DataFrame:
     """The paths (``tree``, ``block``, ``path``) of the roots of the lowest tier's blocks, from those of the trees' roots (``tree``, ``path``)."""
     top = tops.select("tree", F.lit(0).cast("long").alias("block"), "path")
     paths = None
@@ -197,7 +204,7 @@ def _down(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
         if tier is tiers[0]:
             return stored(paths, "paths")
         with small_batches(tier.sparkSession):
-            paths = stored(_with_paths(tier, paths).mapInArrow(_path_batches, f"tree binary, block long, path {_PATH}"), "paths")
+            paths = stored(_with_paths(tier, paths).mapInArrow(_path_batches(levels), f"tree binary, block long, path {_PATH}"), "paths")
 
 
 def record_digest(values: Iterable[Column]) -> Column:
@@ -206,7 +213,7 @@ def record_digest(values: Iterable[Column]) -> Column:
     return F.sha2(F.concat(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts)), 256)
 
 
-def manifest(docs: DataFrame, claims: dict[str, Column] | None = None, id_col: str = "doc_id", group_col: str = "source", columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text")) -> DataFrame:
+def manifest(docs: DataFrame, claims: dict[str, Column] | None = None, id_col: str = "doc_id", group_col: str = "source", columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), levels: int = LEVELS) -> DataFrame:
     """``id_col``, ``leaf``, ``subroot``, ``root``, ``proof_sha256``, ``folded_root`` and ``verified`` for each row of ``docs``.
 
     A leaf is the ``record_digest`` of ``columns``; ``claims`` gives for some of
@@ -218,30 +225,31 @@ def manifest(docs: DataFrame, claims: dict[str, Column] | None = None, id_col: s
     levels, ``folded_root`` what its claimed digest gives with them. Values may
     be null, empty or very long (a row is hashed where it is read). Repeated
     rows have a leaf each; equal leaves are interchangeable. An empty table
-    gives an empty result; columns of other names aren't looked at.
+    gives an empty result; columns of other names aren't looked at. ``levels``
+    are those of a block, of which a task holds one at a time.
     """
     spark, named = docs.sparkSession, {c: F.col(c) for c in columns}
     leaf, claim = record_digest(named.values()), record_digest((named | (claims or {})).values())
     tree = F.col(group_col).cast("string").cast("binary")
     salt = F.xxhash64(F.monotonically_increasing_id())  # equal rows may be many
     leaves = stored(docs.select(F.col(id_col).alias("id"), tree.alias("tree"), F.unhex(leaf).alias("digest"), F.unhex(claim).alias("claim"), salt.alias("salt")), "leaves")
-    blocks = _blocks(_placed(leaves, "id", "digest"), "id", "claim")
-    tiers, subroots = _tiers(blocks)
+    blocks = _blocks(_placed(leaves, "id", "digest"), levels, "id", "claim")
+    tiers, subroots = _tiers(blocks, levels)
     subroots = stored(subroots.withColumnRenamed("root", "subroot"), "subroots")
 
     groups = subroots.select(F.lit(b"").alias("tree"), F.col("tree").alias("name"), F.unhex("subroot").alias("digest"), F.lit(0).alias("salt"))
     placed = stored(_placed(groups, "name"), "groups")
-    upper, roots = _tiers(_blocks(placed.select("tree", "place", "digest")))
-    inner = _down(upper, roots.select("tree", F.array().cast(_PATH).alias("path")))
+    upper, roots = _tiers(_blocks(placed.select("tree", "place", "digest"), levels), levels)
+    inner = _down(upper, roots.select("tree", F.array().cast(_PATH).alias("path")), levels)
     with small_batches(spark):
-        group_paths = stored(_with_paths(upper[0], inner).mapInArrow(_path_batches, f"tree binary, block long, path {_PATH}"), "paths")
+        group_paths = stored(_with_paths(upper[0], inner).mapInArrow(_path_batches(levels), f"tree binary, block long, path {_PATH}"), "paths")
     tops = placed.select("name", "place").join(group_paths.select(F.col("block").alias("place"), "path"), "place").select(F.col("name").alias("tree"), "path")
 
-    below = _with_paths(blocks, _down(tiers, stored(tops, "tops")), "id", "claim")
+    below = _with_paths(blocks, _down(tiers, stored(tops, "tops"), levels), "id", "claim")
     below = below.join(subroots.withColumnRenamed("tree", "t"), F.col("tree").eqNullSafe(F.col("t"))).drop("t")
     id_type = leaves.schema["id"].dataType
     with small_batches(spark):
-        found = below.mapInArrow(_proof_batches(to_arrow_type(id_type)), f"id {id_type.simpleString()}, leaf string, subroot string, proof_sha256 string, folded_root string")
+        found = below.mapInArrow(_proof_batches(to_arrow_type(id_type), levels), f"id {id_type.simpleString()}, leaf string, subroot string, proof_sha256 string, folded_root string")
         found = stored(found, "proofs")
     top = roots.first()
     root = F.lit(top.root if top else None).cast("string")

@@ -36,6 +36,10 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
     short OR repeats AS base_failed, NOT (short OR repeats) AND NOT rejected AS kept
 FROM failed JOIN verdicts USING (host)"""
 
+#: Documents of which some hosts have many that fail; the text is valid in both engines.
+UNLIKE_HOSTS = "SELECT doc_id, source, CASE WHEN source IN ('src3', 'src7') AND doc_id % 4 < 3 THEN 'too short' ELSE text END AS text FROM documents"
+QUALITY_OF_UNLIKE_HOSTS = QUALITY_RULES.replace("FROM documents)", f"FROM ({UNLIKE_HOSTS}))")
+
 DECONTAMINATION = rf"""
 WITH texts AS (SELECT doc_id, {_PLAIN_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
 items AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_PLAIN_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark) WHERE len(w) > 0),
@@ -66,6 +70,14 @@ SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(c.class_id, d.doc_id)
 FROM sets d LEFT JOIN classes c ON d.s = c.s LEFT JOIN least_reached USING (class_id)"""
 
 
+LINK_COUNTS = (
+    JACCARD_JOIN[: JACCARD_JOIN.index("reached AS (")]
+    + """sizes AS (SELECT class_id, count(*) AS k FROM sets d JOIN classes c ON d.s = c.s GROUP BY class_id),
+others AS (SELECT e.a AS class_id, sum(z.k) AS others FROM both_ways e JOIN sizes z ON e.b = z.class_id GROUP BY e.a)
+SELECT d.doc_id, (coalesce(z.k - 1, 0) + coalesce(others, 0))::BIGINT AS n_links
+FROM sets d LEFT JOIN classes c ON d.s = c.s LEFT JOIN sizes z ON c.class_id = z.class_id LEFT JOIN others o ON c.class_id = o.class_id"""
+)
+
 _FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 
 

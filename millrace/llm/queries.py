@@ -94,6 +94,18 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def quality_of_unlike_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules where hosts differ, so that some lose all their documents."""
+    docs = spark.sql(oracles.UNLIKE_HOSTS.replace("FROM documents", "FROM {t}"), t=table(spark, sf_dir, "documents"))
+    judged = quality_rules.score_hosts(docs)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def jaccard_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other documents each one links to."""
+    return jaccard_join.link_counts(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -109,6 +121,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_simhash": op11_simhash,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_lexical_search": op13_lexical_search,
+        "quality_of_unlike_hosts": quality_of_unlike_hosts,
+        "jaccard_link_counts": jaccard_link_counts,
     }
 
 
@@ -120,4 +134,6 @@ def oracle_sql() -> dict[str, str]:
         "op10_chat_format": chat_format.ORACLE_SQL,
         "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
         "op13_lexical_search": oracles.LEXICAL_SEARCH,
+        "quality_of_unlike_hosts": oracles.QUALITY_OF_UNLIKE_HOSTS,
+        "jaccard_link_counts": oracles.LINK_COUNTS,
     }

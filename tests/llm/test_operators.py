@@ -295,3 +295,164 @@ def test_shards_hold_every_row_once(spark):
     assert all(slots == [*range(len(slots))] for slots in shards.values())
     sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
     assert max(sizes) < 1.05 * min(sizes)
+
+
+def cue_lines(rng, n):
+    return [f"this line has the word license number {k} {rng.choice('abc')}" for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [50, 300, 500, 700, 900, 3000])
+def test_notices_among_many_mentions_are_found(n):
+    import random
+
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for seed in range(4):
+        lines = cue_lines(random.Random(seed), n)
+        lines.insert(seed * n // 3, "Released under the MIT License.")
+        sure = [x for x in scanner.scan("\n".join(lines)) if x[5]]
+        assert [(x[0], x[1], x[4]) for x in sure] == [(seed * n // 3, "MIT", 0)]
+
+
+def test_each_template_line_is_found_at_every_offset():
+    """Every line that mentions licensing, slid over the words of a text; its line number and wording are exact."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    filler = [f"v{k * 7919 % 4999}" for k in range(330)]
+    for name, text in license_scan.TEMPLATES.items():
+        for line in text.split("\n"):
+            if not re.search(license_scan.CUES, line):
+                continue
+            for offset in range(0, 330, 41):
+                around = " ".join(filler[:offset]) + "\n" * (offset % 3) + "\n" + line + " " + " ".join(filler[offset:])
+                sure = [x for x in scanner.scan(around) if x[5]]
+                assert any(x[1] == name and x[4] == 0 and x[0] <= offset % 3 + 1 for x in sure), (name, line, offset)
+
+
+def test_templates_are_ranked_by_how_much_they_shrink():
+    """A text within the changes allowed of two templates is named by the one that it has more of."""
+    words = [f"part{k}" for k in range(20)]
+    one, two = " ".join(["license", *words]), " ".join(["license", *words[:17], "x1", "x2", "x3"])
+    scanner = license_scan.Scanner({"A": one, "B": two})
+    for text, name in ((" ".join(["license", *words[:19], "y"]), "A"), (" ".join(["license", *words[:17], "x1", "x2", "y"]), "B")):
+        alone, sizes = scanner.sizes(text)
+        assert min(sizes, key=sizes.get) == name and sizes["A"] != sizes["B"] and max(sizes.values()) < alone
+        assert [(x[1], x[4], x[5]) for x in scanner.scan(text)] == [(name, 1, True)]
+    even = license_scan.Scanner({"A": one, "B": two})
+    even.sizes = lambda block: (100, {"A": 50, "B": 50})
+    assert [x[1] for x in even.scan(" ".join(["license", *words[:17], "x1", "x2", "y"]))] == ["A"]  # without the ranking the other one wins
+
+
+def test_scanning_takes_time_in_proportion():
+    import random
+    import time
+
+    took = []
+    for n in (2_000, 10_000):
+        text = "\n".join(cue_lines(random.Random(1), n))
+        began = time.process_time()
+        found = license_scan.Scanner(license_scan.TEMPLATES).scan(text)
+        took.append(time.process_time() - began)
+        assert len(found) == n and not any(x[5] for x in found)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_license_scan_keeps_repeats_and_other_columns_apart(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "x", True)] * 2 + [(2, None, "y", False), (3, "", "y", False)], "doc_id long, text string, license string, confirmed boolean")
+    got = [(r.doc_id, r.license, r.confirmed) for r in license_scan.scan_documents(docs).collect()]
+    assert got == [(1, "MIT", True)] * 2
+
+
+def overlaps_by_force(docs, items):
+    """Hit words and items of each text."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = defaultdict(set)
+    for k, t in items:
+        w = words(t)
+        n = min(len(w), 10)
+        for i in range(len(w) - n + 1) if w else ():
+            windows[tuple(w[i : i + n])].add(str(k))
+    out = {}
+    for k, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[i : i + n])):
+                    hit |= {*range(i, i + n)}
+                    found |= own
+        out[k] = (len(w), len(hit), sorted(found))
+    return out
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_decontamination_equals_brute_force(spark, monkeypatch, limit):
+    """Shared runs of all lengths around a window, one run that many items and texts share, equal and short items, hits at both ends."""
+    import random
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_FINGERPRINTS", limit)
+    rng = random.Random(6)
+    fresh = iter(f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(17_000))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    common, passage = take(9), take(30)
+    items = [(k, " ".join(take(5) + common + take(5))) for k in range(25)] + [(100, " ".join(passage)), (101, " ".join(passage)), (102, " ".join(take(4) + passage[3:20])), (103, "uno duo"), (104, "Uno, DUO!"), (105, None), (106, "..."), (107, " ".join(passage[:10]))]
+    docs = [(k, " ".join(take(6) + common + take(6))) for k in range(25)]
+    docs += [(100 + n, " ".join(take(3) + passage[:n] + take(3))) for n in range(7, 15)] + [(200, " ".join(passage[-10:])), (201, " ".join(passage[5:15] + take(1) + passage[16:27])), (202, "x uno duo"), (203, None), (204, ""), (205, " ".join(passage * 3)), (206, items[3][1].upper())]
+    want = overlaps_by_force(docs, items)
+    got = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in got} == want
+    assert {k for k, (_, n, _) in want.items() if n} == {*range(110 - 0, 115), 200, 201, 202, 205, 206}
+    assert all(r.contaminated == (r.n_hit > 0) for r in got) and rng
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, model = bpe.Tokenizer.from_file(path), bpe.load_model(path)
+    texts = ["one two three four one", "alpha beta one\ngamma it's", "z" * 90 + " " + "y" * 90]
+    monkeypatch.setattr(bpe, "word_names", lambda chars, starts, ends: (np.arange(len(starts)) % 3).astype(np.uint64))
+    got = bpe.Codec(model, None).encode_all(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_leaves_out_kept_columns_named_like_results(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "s")], "doc_id long, text string, n_tokens string, source string")
+    r = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["n_tokens", "source", "doc_id"]).first()
+    assert (r.doc_id, r.n_tokens, r.source) == (1, 2, "s")
+
+
+@pytest.mark.parametrize("deep", [3, 12])
+def test_branches_may_part_at_any_depth(spark, deep):
+    rules = [url_filter.Rule("block", "x.net", "/" + "s/" * deep + "bad/old"), url_filter.Rule("allow", "x.net", "/" + "s/" * deep + "good/old")]
+    path = lambda kind, age, k: f"http://x.net/{'s/' * deep}{kind}/{age}/{k}"
+    urls = [path(kind, age, k) for kind in ("bad", "good") for age in ("old", "new") for k in range(40)] + ["http://x.net/" + "q/" * 300]
+    pages = spark.createDataFrame([(k, u, "t") for k, u in enumerate(urls * 2)], "page_id long, url string, template string")
+    got = defaultdict(set)
+    for r in pages.drop("template").join(url_filter.judge(pages, rules), "page_id").collect():
+        got[r.url].add((r.verdict, r.template.count("*")))
+    assert all({v for v, _ in got[path(kind, "new", k)]} == {verdict} for kind, verdict in (("bad", "block"), ("good", "allow")) for k in range(40))
+    assert [n for _, n in got[urls[-1]]] == [300]
+
+
+def test_dialogue_rows_that_repeat_and_other_columns(spark):
+    turns = spark.createDataFrame([(None, 1, "ann", "hé", "x")] * 3 + [(None, 2, "bob", None, "y"), (2, 1, "system", "s", "z")], "conv_id long, turn int, role string, text string, rendered string")
+    got = {(r.conv_id, r.perspective): r for r in chat_format.rotate(turns).collect()}
+    assert set(got) == {(None, "ann"), (None, "bob")} and {r.n_turns for r in got.values()} == {4}
+    for (_, who), r in got.items():
+        own = [r.rendered[a : a + n] for a, n in (map(int, s.split(":")) for s in r.mask.split(","))]
+        assert own == {"ann": ["hé" + chat_format.END] * 3, "bob": [chat_format.END]}[who]
+
+
+@pytest.mark.parametrize("shards", [7, 40])
+def test_shards_by_target_bytes_are_a_tree_of_near_equal_leaves(spark, shards):
+    rng = __import__("random").Random(shards)
+    data = [(k, ("é" if k % 5 == 0 else "x") * rng.randrange(1, 900) + "\n" * (k % 7)) for k in range(4000)] + [(5000 + k, "the same text " * 20) for k in range(900)]
+    docs = spark.createDataFrame([(k, t, 9, "c") for k, t in data], "doc_id long, text string, node int, shard string")
+    total = sum(len(t.encode()) + 16 for _, t in data)
+    got = sharding.shard(docs, target_bytes=-(-total // shards)).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += r.size
+    assert sorted(r.doc_id for r in got) == sorted(k for k, _ in data) and sorted(sizes) == [*range(shards)]
+    assert max(sizes.values()) < 1.1 * total / shards
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == [*range(sum(r.shard == s for r in got))]
+    assert sharding.shard(docs.where("false"), target_bytes=1000).count() == 0
