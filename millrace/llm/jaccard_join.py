@@ -43,8 +43,8 @@ SKETCH = 4
 #: A set is compared with a leader that has so many of these minima too; the index finds what this misses.
 SAME_MINIMA = 2
 MAX_ROUNDS = 8
-#: Another round follows one that finds so many links for each set.
-LINKS_A_SET = 0.05
+#: Another round follows one that finds more links for each set than this: what is one component by then needs no pairs of the index.
+LINKS_A_SET = 0.001
 #: A list of so many entries is paired where it is gathered; longer ones are joined by blocks of like sizes.
 SHORT_LIST = 64
 #: Lists of frequent shingles are gathered in so many parts.
@@ -290,7 +290,22 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = moved
         if not moved.where("comp <> was").limit(1).count():
             discard(both)
-            return moved
+            return moved  # doc, comp and was
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels (``doc``, ``comp``) after more links (a, b), which are looked at as links between components."""
+    if labels is None:
+        return connected(links)
+    ends = stored(_named(links.select(F.col("a").alias("doc")).union(links.select("b")).distinct(), labels), "ends")
+    both = links.join(ends.select(F.col("doc").alias("a"), F.col("comp").alias("c1")), "a").join(ends.select(F.col("doc").alias("b"), F.col("comp").alias("c2")), "b")
+    joined = connected(both.where("c1 <> c2").select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct())
+    every = labels.select("doc", "comp").union(ends.join(labels, "doc", "left_anti").select("doc", "comp"))
+    moved = every.join(joined.select(F.col("doc").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    found = stored(moved.select("doc", F.coalesce("to", "comp").alias("comp")), "labels")
+    for table in (ends, joined, labels):
+        discard(table)
+    return found
 
 
 def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -477,24 +492,29 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     """
     texts = _texts(docs, doc_col, text_col)
     members, owners, frequent = _index(texts, shingle)
-    lists, labels, found = _minima_lists(owners, percent), None, None
+    lists, labels = _minima_lists(owners, percent), None
     few = LINKS_A_SET * owners.count()
     for turn in range(MAX_ROUNDS):
         named = stored(_named(lists, labels), "minima") if turn else lists
         more = _leader_links(named, turn, texts, shingle, percent)
-        found = stored(found.union(more), "links") if turn else more
-        labels = connected(found)
-        if more.count() <= few:
+        if turn:
+            discard(named)
+        n_more = more.count()
+        labels = _merged(labels, more)
+        discard(more)
+        if n_more <= few:
             break
+    discard(lists)
     named = stored(_named(owners.select("doc"), labels), "owners")
     candidates = _candidates(texts, named, frequent, shingle, percent)
     ends = (F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"))
     first = stored(candidates.select("a", "b", "k", *ends).groupBy("c1", "c2").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
-    found = stored(found.union(_links(first, texts, shingle, percent)), "links")
-    labels = connected(found)
+    labels = _merged(labels, _links(first, texts, shingle, percent))
     rest = candidates.select("a", "b").join(first, ["a", "b"], "left_anti")
     for end, comp in (("a", "c1"), ("b", "c2")):
         rest = rest.join(labels.select(F.col("doc").alias(end), F.col("comp").alias(comp)), end, "left")
     apart = stored(rest.where(F.coalesce("c1", "a") != F.coalesce("c2", "b")).select("a", "b"), "pairs")
-    labels = connected(found.union(_links(apart, texts, shingle, percent))).select(F.col("doc").alias("class"), "comp")
+    labels = _merged(labels, _links(apart, texts, shingle, percent)).select(F.col("doc").alias("class"), "comp")
+    for table in (named, candidates, first, apart):
+        discard(table)
     return members.join(labels, "class", "left").select(F.col("doc").alias(doc_col), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"))
