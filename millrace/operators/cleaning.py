@@ -48,13 +48,15 @@ def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str]
     reads see the same ranges. Each range is filled forward by itself; the last
     values of the ranges before it and the first ones from it on, one row for
     each range, are carried over, so no task sees more than its range. Rows
-    that are equal in the order may be taken in any order.
+    that are equal in the order may be taken in any order, and however many
+    there are, they may lie in several ranges.
     """
     names = order_by or ([ROW_ID] if ROW_ID in df.columns else df.columns)
     clear = df.select(*(clean(df, c).alias(c) if c in columns else quoted(c) for c in df.columns))
-    ranged = clear.repartitionByRange(range_parts(clear), *(quoted(c) for c in names)).sortWithinPartitions(*(quoted(c) for c in names))
+    order = [*(quoted(c) for c in names), F.col("__tie")]
+    ranged = clear.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(range_parts(clear), *order).sortWithinPartitions(*order)
     ranged = stored(ranged.withColumn("__part", F.spark_partition_id()), "ranged")
-    key = position(df, names)
+    key = F.struct(*order)
     edges = ranged.groupBy("__part").agg(
         *(x.alias(f"{side}{k}") for k, c in enumerate(columns) for side, x in (("l", F.max_by(quoted(c), F.when(quoted(c).isNotNull(), key))), ("f", F.min_by(quoted(c), F.when(quoted(c).isNotNull(), key)))))
     )
@@ -63,7 +65,7 @@ def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str]
         x.alias(f"{side}{k}") for k in range(len(columns)) for side, x in (
             ("l", F.last(f"l{k}", True).over(over.rowsBetween(W.unboundedPreceding, -1))), ("f", F.first(f"f{k}", True).over(over.rowsBetween(0, W.unboundedFollowing))))
     ))
-    of = W.partitionBy("__part").orderBy(*(quoted(c) for c in names)).rowsBetween(W.unboundedPreceding, 0)
+    of = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     filled = ranged.join(F.broadcast(carried), "__part")  # bounded by the number of ranges
     # What is still null stands before its range's first value and has none in an earlier range.
     new = {c: F.coalesce(quoted(c), F.last(quoted(c), True).over(of), F.col(f"l{k}"), F.col(f"f{k}")) for k, c in enumerate(columns)}

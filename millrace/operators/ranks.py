@@ -19,9 +19,11 @@ def number_rows(df: DataFrame, order: Sequence[str] = (), name: str = "__rank")
 
     Rows are stored once in ranges of the order; a row's number is its place in
     its range and the rows of the ranges before it, one sum for each range.
+    Equal rows may lie in several ranges.
     """
+    columns = df.columns
     if order:
-        df = df.repartitionByRange(range_parts(df), *order).sortWithinPartitions(*order)
+        df = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(range_parts(df), *order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
     placed = stored(df.withColumn("__place", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("__place", _ROW_BITS)
     counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
@@ -29,7 +31,7 @@ def number_rows(df: DataFrame, order: Sequence[str] = (), name: str = "__rank")
     offsets = counts.select("__part", before.alias("__before"))
     numbered = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # bounded by the number of ranges
     within = F.col("__place").bitwiseAND((1 << _ROW_BITS) - 1)
-    return numbered.select(*df.columns, (F.col("__before") + within).alias(name))
+    return numbered.select(*columns, (F.col("__before") + within).alias(name))
 
 
 def quantiles(df: DataFrame, values: dict[str, Column], probabilities: Sequence[float]) -> dict[str, list[float]]:

@@ -528,6 +528,19 @@ query("chat_intent", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_has(w)} T
     lambda t, spark: t("conversations").select("conv_id", "turn", recommend.intent_expr(F.col("text")).alias("intent"))
 )
 
+# A table without a target: the figures that scores depend on come from it; none of its columns has outliers, categories or few rows for its columns.
+_LABELS = "(SELECT count(*) FROM labels)"
+_CLUSTERING = f"(SELECT algorithm, score::DOUBLE AS score FROM (VALUES ('K-Means', 0.65), ('DBSCAN', 0.55), ('Hierarchical (Agglomerative) Clustering', CASE WHEN {_LABELS} > 5000 THEN 0.25 ELSE 0.45 END)) v(algorithm, score))"
+query("recommend_ranked", f"SELECT row_number() OVER (ORDER BY score DESC)::INT AS place, algorithm, score FROM {_CLUSTERING}")(
+    lambda t, spark: rows(spark, [(k, a.name, a.to_dict()["score"]) for k, a in enumerate(recommend.recommend_algorithms(t("labels")).algorithms, 1)], "place int, algorithm string, score double")
+)
+query("recommend_notes", "SELECT 0 AS place, printf('%.1f%% of values are missing: impute them first', 100 * round((count(*) - count(quality_gap)) / count(*)::DOUBLE / 4, 4)) AS note FROM messy_labels UNION ALL SELECT 1, 'no target column was found'")(
+    lambda t, spark: rows(spark, [*enumerate(recommend.recommend_algorithms(t("messy_labels")).notes)], "place int, note string")
+)
+query("chat_recommend", f"SELECT 'For clustering on labels, try ' || string_agg(algorithm, ' or ' ORDER BY score DESC) || '.' AS answer FROM (SELECT * FROM {_CLUSTERING} ORDER BY score DESC LIMIT 2)")(
+    lambda t, spark: rows(spark, [(recommend.answer_question("which model fits?", t("labels"), "labels")["answer"],)], "answer string")
+)
+
 # --- pipeline ---
 
 
@@ -591,6 +604,20 @@ def _(t, spark):
     return marked.agg(F.count(F.lit(1)).cast("int").alias("n_rows"), nulls.cast("int").alias("nulls"), F.count_distinct("event_type").cast("int").alias("n_types"), F.count_if(F.col("known").isNull()).cast("int").alias("foreign_types"), F.count_if((F.col("ts") < F.col("lo")) | (F.col("ts") > F.col("hi"))).cast("int").alias("outside_span"))
 
 
+@query("synthetic_kinds", "SELECT 400 AS n_rows, 0 AS foreign_flags, 0 AS foreign_texts, 0 AS broken_numbers, 0 AS far_numbers, 2::INT AS n_flags FROM (SELECT count(*) FROM labels)")
+def _(t, spark):
+    """0/1 columns and text are drawn from the source as they are; whole numbers stay whole and within six deviations of the jitter of their span."""
+    flags = synthetic.generate_synthetic(t("labels").select("quality"), n_rows=400, seed=5)[0]
+    source = t("documents").select("text", "n_chars")
+    made = synthetic.generate_synthetic(source, n_rows=400, seed=5)[0]
+    known = source.select(F.xxhash64("text").alias("h")).distinct()
+    foreign = made.select(F.xxhash64("text").alias("h")).join(known, "h", "left_anti").count()
+    span = source.agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), (6 * 0.03 * F.stddev("n_chars")).alias("reach")).first()
+    found = made.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") != F.rint("n_chars")).alias("broken"), F.count_if((F.col("n_chars") < span.lo - span.reach) | (F.col("n_chars") > span.hi + span.reach)).alias("far")).first()
+    drawn = flags.agg(F.count_if(~F.col("quality").isin(0, 1)).alias("foreign"), F.count_distinct("quality").alias("kinds")).first()
+    return rows(spark, [(found.n, drawn.foreign, foreign, found.broken, found.far, drawn.kinds)], "n_rows int, foreign_flags int, foreign_texts int, broken_numbers int, far_numbers int, n_flags int")
+
+
 @query("augment_keeps_source", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(t, spark):
     """The source's rows among the augmented ones: placeholders name the others."""
