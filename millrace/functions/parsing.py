@@ -10,7 +10,7 @@ FALSE_WORDS = ("false", "f", "no", "n", "0")
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _INFINITE = r"^[+-]?(?i:inf|infinity)$"
 # Dates are cut into fields by one pattern; each form fills some of the fields, and the others are empty.
-_Y, _ONE, _NAME = r"(\d{4})", r"(\d{1,2})", r"([A-Za-z]{3,9})\.?"
+_Y, _ONE, _NAME = r"(\d{4})", r"(\d{1,2})", r"([A-Za-z]{3,9}+)\.?"
 _FORMS = (
     f"{_Y}[-/]{_ONE}[-/]{_ONE}",  # groups 1 to 3: year, month, day
     r"(\d{4})(\d{2})(\d{2})",  # 4 to 6: year, month, day
@@ -55,7 +55,9 @@ def parse_datetime(text: Column) -> Column:
     A date may be followed by a time, of 12 hours with AM or PM, and that by a
     zone; months may be named in English, whole or by three letters.
     """
-    cut = F.split(F.regexp_replace(strip(text), _MOMENT, _MARK + _MARK.join(_FIELDS.values())), _MARK)
+    value = strip(text)
+    # Other text has no fields, and all that follows is null at once; this is no condition around the rest, so the fields are cut once for each row.
+    cut = F.split(F.when(F.regexp_like(value, F.lit(_MOMENT)), F.regexp_replace(value, _MOMENT, _MARK + _MARK.join(_FIELDS.values()))), _MARK)
     field = {name: F.get(cut, F.lit(k + 1)) for k, name in enumerate(_FIELDS)}
     number = {name: F.when(c != "", c).try_cast("int") for name, c in field.items() if name not in ("name", "half")}
     name = F.lower(field["name"])
