@@ -72,7 +72,10 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     none, and the crc of an empty text. Dimensions are the size, the share of
     other than ASCII bytes and the number of lines, all functions of the text,
     so equal texts share a shard unless a split must cut their group to keep
-    sizes near equal. Ids may repeat. An empty table gives an empty result.
+    sizes near equal. Ids may repeat. Texts of any length are measured whole;
+    of rows that are equal in a dimension a split goes by the hash of the text,
+    then of the id. Other columns aren't looked at. An empty table gives an
+    empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text)

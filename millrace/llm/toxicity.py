@@ -202,9 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Classifier, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
     """The columns ``keep`` (the others by default, and the text) with ``score`` and ``predicted``.
 
-    A null or empty text is scored too; repeated rows are scored each; an
-    empty table gives an empty result. Columns named like the new ones are
-    replaced.
+    A null or empty text is scored too; texts of any length are read whole;
+    repeated rows are scored each, equal texts alike; a score that equals the
+    threshold is predicted; an empty table gives an empty result. Columns named
+    like the new ones are replaced.
     """
     passed = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted")]
     rows = docs.select(*dict.fromkeys([*passed, text_col]))

@@ -145,3 +145,23 @@ def test_stages_take_null_and_repeated_ids(spark, corpus):
     assert sorted(map(tuple, near), key=key) == sorted([(7, one), (None, two), (None, passage), (None, None), (8, passage + more), (8, "clean words stay")], key=key)
     clean = corpus_pipeline.drop_benchmark_passages(spark, docs, folder).select("doc_id", "text").collect()
     assert sorted(map(tuple, clean), key=key) == sorted([(k, t) for k, t in rows if passage not in (t or "")], key=key)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_pass_columns_on_whatever_their_names_are(spark, corpus, name):
+    """With columns named like those that operators make, a stage keeps the rows that it keeps without them, repeated and nameless ones too."""
+    folder, data = corpus
+    clashing = ("score", "predicted", "lang_pred", "row_key", "component_id", "hit_id", "text_hash", "n_tokens", "doc", "class")
+    data = [r for r in data if r[0] is not None and r[0] < 40 or r[0] in (200, 201, 202, 203, 204)] + [(None, None, None, None, None), (None, data[5][1], "en", "s", 1)] + [data[1]] * 2
+    plain = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    wide = plain.select("*", *(F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in clashing))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    key = lambda r: tuple(map(str, r))
+    want, got = stage(spark, plain, folder), stage(spark, wide, folder)
+    if name == "bpe":
+        assert sorted(map(tuple, got.select(want.columns).collect()), key=key) == sorted(map(tuple, want.collect()), key=key) and want.count() == len(data)
+        return
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert sorted((tuple(r)[: len(plain.columns)] for r in rows), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in clashing)
