@@ -42,7 +42,8 @@ SHARED = 4
 SKETCH = 4
 #: A set is compared with a leader that has so many of these minima too; the index finds what this misses.
 SAME_MINIMA = 2
-MAX_ROUNDS = 8
+#: Rounds of leaders; the first ones may have leaders that link with nothing.
+MIN_ROUNDS, MAX_ROUNDS = 3, 8
 #: Another round follows one that finds more links for each set than this: what is one component by then needs no pairs of the index.
 LINKS_A_SET = 0.001
 #: A list of so many entries is paired where it is gathered; longer ones are joined by blocks of like sizes.
@@ -339,9 +340,15 @@ def _index(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, tuple[
 
 
 def _leader_links(lists: DataFrame, turn: int, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a < b) of sets with a leader: of those with the same minima, the one that agrees in most of them."""
-    pick = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "comp")
-    leaders = lists.groupBy("k", "least").agg(F.min(pick).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    """Links (a < b) of sets with a leader: of those with the same minima, the one that agrees in most of them.
+
+    The leader of a minimum is of the component that most of its sets are in,
+    another member each turn, so that what is linked already draws others in,
+    and a set that links with nothing leads once at most.
+    """
+    of_comp = lists.groupBy("k", "least", "comp").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0), "doc", "n", "comp")).alias("member"), F.count(F.lit(1)).alias("size"))
+    first = F.xxhash64("member.doc", F.lit(turn)) if turn else -F.col("member.doc")
+    leaders = of_comp.groupBy("k", "least").agg(F.max_by("member", F.struct("size", first, "member.doc")).alias("leader"), F.sum("size").alias("size")).where("size > 1")
     leaders = stored(leaders.select("k", "least", F.col("leader.doc").alias("b"), F.col("leader.n").alias("n2"), F.col("leader.comp").alias("c2")), "leaders")
     near = lists.join(leaders, ["k", "least"]).where((F.col("comp") != F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
     best = near.groupBy("doc", "b").agg(F.count(F.lit(1)).alias("same")).where(F.col("same") >= SAME_MINIMA).groupBy("doc").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
@@ -502,7 +509,7 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
         n_more = more.count()
         labels = _merged(labels, more)
         discard(more)
-        if n_more <= few:
+        if n_more <= few and turn >= MIN_ROUNDS - 1:
             break
     discard(lists)
     named = stored(_named(owners.select("doc"), labels), "owners")
