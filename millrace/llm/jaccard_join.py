@@ -5,8 +5,14 @@ minima of their shingles, name a leader, are compared with it, and what leads
 to one leader is one component that needs no comparison inside. Rounds with new
 leaders follow while many near copies stand in different components.
 
+Large groups of similar sets that stay apart, as they lie just below the
+threshold, are described by their differences from a centre, the shingles that
+most of them have. Whether two of them link follows from sizes and differences
+alone, so those pairs are settled and the index has none of them.
+
 The inverted index then holds the prefix of each set, rarest shingles first,
-with positions. A list inside one component is skipped; long lists are cut into
+with positions. A list inside one component or one centre's group is skipped;
+long lists are cut into
 blocks of like set sizes, and a pair of entries is skipped whose sizes or
 positions leave too few common shingles, counting only those that any set of
 another component has. Pairs of different components that
@@ -54,6 +60,14 @@ SALTS = 64
 PAIRS_AT_ONCE = 256
 #: Members of one leader whose pairs are made in one task, about; larger groups are cut into squares of so many.
 MEMBERS_A_BUCKET = 500
+#: Components that share a minimum, from which on their sets get a centre; the pairs of fewer ones are left to the index.
+LARGE_GROUP = 64
+#: Sets of which a centre is made, about; any other centre gives the same links.
+CENTRE_OF = 32
+#: Members of one centre in a side of a square of pairs, about.
+MEMBERS_A_SQUARE = 150
+#: Shingles of all centres up to which these are broadcast.
+BROADCAST_SHINGLES = 2_000_000
 
 
 def shingle_sets(chunk: Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,12 +237,12 @@ def _meeting_batches(percent: int):
     """From index entries in order of shingles: the pairs of short lists that may link, and the entries of other lists as they are.
 
     Of sets that have frequent shingles in their prefix, the entries of short
-    lists that hold several components come too (SHARED).
+    lists that hold several components and groups come too (SHARED).
     """
-    names = ["kind", "shingle", "a", "b", "c1", "c2", "n1", "n2", "i", "known"]
+    names = ["kind", "shingle", "a", "b", "c1", "c2", "n1", "n2", "i", "known", "grp"]
 
     def rows(kind: int, x: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) -> dict[str, np.ndarray]:
-        found = {"kind": np.full(len(one), kind), "shingle": x["shingle"][one], "i": x["i"][one], "known": (x["often"][one] > PLAIN).astype(np.int64)}
+        found = {"kind": np.full(len(one), kind), "shingle": x["shingle"][one], "i": x["i"][one], "known": (x["often"][one] > PLAIN).astype(np.int64), "grp": x["grp"][one]}
         return found | {f: x[k][at] for f, k, at in (("a", "doc", one), ("b", "doc", two), ("c1", "comp", one), ("c2", "comp", two), ("n1", "n", one), ("n2", "n", two))}
 
     def pairs_of(x: dict[str, np.ndarray], at: np.ndarray, run: np.ndarray) -> list[dict[str, np.ndarray]]:
@@ -241,7 +255,7 @@ def _meeting_batches(percent: int):
             one, two = np.where(swap, two, one), np.where(swap, one, two)
             n1, n2, i1, i2 = x["n"][one], x["n"][two], x["i"][one], x["i"][two]
             most = np.minimum(i1, i2) + np.minimum(n1 - i1, n2 - i2)
-            good = (x["comp"][one] != x["comp"][two]) & (100 * most >= percent * (n1 + n2 - most)) & (x["doc"][one] != x["doc"][two])
+            good = (x["comp"][one] != x["comp"][two]) & (x["grp"][one] != x["grp"][two]) & (100 * most >= percent * (n1 + n2 - most)) & (x["doc"][one] != x["doc"][two])
             found.append(rows(PAIR, x, one[good], two[good]))
         return found
 
@@ -258,7 +272,8 @@ def _meeting_batches(percent: int):
             starts = np.flatnonzero(np.concatenate(([True], x["shingle"][1:] != x["shingle"][:-1])))
             length = np.diff(np.append(starts, size))
             run = np.repeat(np.arange(len(starts)), length)
-            several = (np.minimum.reduceat(x["comp"], starts) != np.maximum.reduceat(x["comp"], starts))[run]
+            differ = lambda k: np.minimum.reduceat(x[k], starts) != np.maximum.reduceat(x[k], starts)
+            several = (differ("comp") & differ("grp"))[run]
             whole = (length[run] > SHORT_LIST) | (x["often"] == FREQUENT)
             whole |= False if long is None else x["shingle"] == long
             going = np.zeros(size, bool) if ended else (run == run[-1]) & ~whole
@@ -270,7 +285,7 @@ def _meeting_batches(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]), pa.int64()) for k in names], names=names)
 
         for batch in batches:
-            x = {k: batch.column(j).to_numpy(zero_copy_only=False).astype(np.int64) for j, k in enumerate(("shingle", "doc", "comp", "n", "i", "often"))}
+            x = {k: batch.column(j).to_numpy(zero_copy_only=False).astype(np.int64) for j, k in enumerate(("shingle", "doc", "comp", "n", "i", "often", "grp"))}
             yield settle({k: np.concatenate((rest[k], v)) for k, v in x.items()} if rest else x, False)
         if rest:
             yield settle(rest, True)
@@ -372,35 +387,36 @@ def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, owners: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int, percent: int) -> DataFrame:
-    """Pairs (a < b) of different ``comp`` (c1, c2) that meet in enough lists; ``owners`` has doc and comp."""
+    """Pairs (a < b) of different ``comp`` (c1, c2) and ``grp`` that meet in enough lists; ``owners`` has doc, comp and grp."""
     doc_type = texts.schema["doc"].dataType.simpleString()
     prefixes = texts.mapInArrow(_prefix_batches(*frequent, shingle, percent), f"doc {doc_type}, n int, rare int, prefix array<bigint>").where("size(prefix) > 0")
-    entries = prefixes.join(owners.select(F.col("doc").cast("long").alias("doc"), F.col("comp").cast("long").alias("comp")), "doc").select("doc", "comp", "n", "rare", F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "shingle"))
+    entries = prefixes.join(owners.select(F.col("doc").cast("long").alias("doc"), F.col("comp").cast("long").alias("comp"), F.col("grp").cast("long").alias("grp")), "doc").select("doc", "comp", "grp", "n", "rare", F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "shingle"))
     often = F.when(F.col("i") >= F.col("rare"), FREQUENT).when(F.col("size") > F.col("rare"), BESIDE_FREQUENT).otherwise(PLAIN)
     salt = F.when(often == FREQUENT, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int")
-    gathered = entries.select("shingle", "doc", "comp", "n", "i", often.alias("often"), salt.alias("salt")).repartition("shingle", "salt").sortWithinPartitions("shingle").drop("salt")
+    gathered = entries.select("shingle", "doc", "comp", "n", "i", often.alias("often"), "grp", salt.alias("salt")).repartition("shingle", "salt").sortWithinPartitions("shingle").drop("salt")
     with small_batches(texts.sparkSession):
-        met = stored(gathered.mapInArrow(_meeting_batches(percent), "kind long, shingle long, a long, b long, c1 long, c2 long, n1 long, n2 long, i long, known long"), "met")
+        met = stored(gathered.mapInArrow(_meeting_batches(percent), "kind long, shingle long, a long, b long, c1 long, c2 long, n1 long, n2 long, i long, known long, grp long"), "met")
 
-    entries = met.where(F.col("kind") == ENTRY).select("shingle", F.col("a").alias("doc"), F.col("c1").alias("comp"), F.col("n1").alias("n"), "i", "known")
-    mixed = stored(entries.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle"), "mixed")
+    entries = met.where(F.col("kind") == ENTRY).select("shingle", F.col("a").alias("doc"), F.col("c1").alias("comp"), F.col("n1").alias("n"), "i", "known", "grp")
+    ends = (f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "grp") for f in (F.min, F.max))
+    mixed = stored(entries.groupBy("shingle").agg(*ends).where("min_comp <> max_comp and min_grp <> max_grp").select("shingle"), "mixed")
     listed = stored(entries.join(mixed, "shingle"), "listed")
     beside = met.where(F.col("kind") == SHARED).select(F.col("a").alias("doc"), "i").join(listed.select("doc").distinct(), "doc", "left_semi")
     both = listed.unionByName(beside, allowMissingColumns=True)
     of = W.partitionBy("doc")  # a prefix
     counted = both.withColumn("e", F.count(F.lit(1)).over(of.orderBy("i").rowsBetween(W.unboundedPreceding, -1))).withColumn("shared", F.count(F.lit(1)).over(of)).where("shingle is not null")
     enough = (F.col("known") == 0) | (F.col("shared") >= least_shared(percent))
-    lists = stored(counted.where(enough).select("shingle", "doc", "comp", "n", "i", F.when(F.col("known") == 1, F.col("e")).otherwise(F.col("i")).alias("e"), F.when(F.col("known") == 1, F.col("shared")).otherwise(F.col("n")).alias("shared")), "lists")
+    lists = stored(counted.where(enough).select("shingle", "doc", "comp", "grp", "n", "i", F.when(F.col("known") == 1, F.col("e")).otherwise(F.col("i")).alias("e"), F.when(F.col("known") == 1, F.col("shared")).otherwise(F.col("n")).alias("shared")), "lists")
     block = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    left = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "a"), ("n", "n1"), ("i", "i1"), ("e", "e1"), ("comp", "c1"), ("shared", "s1"))), F.explode(F.array(block, block + 1)).alias("block"))
-    right = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "b"), ("n", "n2"), ("i", "i2"), ("e", "e2"), ("comp", "c2"), ("shared", "s2"))), block.alias("block"))
+    left = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "a"), ("n", "n1"), ("i", "i1"), ("e", "e1"), ("comp", "c1"), ("grp", "g1"), ("shared", "s1"))), F.explode(F.array(block, block + 1)).alias("block"))
+    right = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "b"), ("n", "n2"), ("i", "i2"), ("e", "e2"), ("comp", "c2"), ("grp", "g2"), ("shared", "s2"))), block.alias("block"))
     larger = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
     most = F.least("e1", "e2") + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
     # Of the two prefixes, all of the one that ends first must be in the other but for the shingles that may differ.
     common = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
     must = F.greatest(F.lit(1), F.least(*(least_shared(percent) - F.ceil(percent * F.col(n) / 100) + common for n in ("n1", "n2"))))  # prefix length - (n - common)
     possible = F.least("s1", "s2") >= must  # neither prefix has fewer shingles that other components have
-    joined = left.join(right, ["shingle", "block"]).where(larger & (F.col("c1") != F.col("c2")) & possible & _enough(F.col("n1"), F.col("n2"), most, percent))
+    joined = left.join(right, ["shingle", "block"]).where(larger & (F.col("c1") != F.col("c2")) & (F.col("g1") != F.col("g2")) & possible & _enough(F.col("n1"), F.col("n2"), most, percent))
     turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("c1", "c2", "c1"), ("c2", "c1", "c2"), ("n1", "n2", "n1"), ("n2", "n1", "n2"))]
     pairs = met.where(F.col("kind") == PAIR).select("a", "b", "c1", "c2", "n1", "n2").union(joined.select(*turned))
 
@@ -416,6 +432,80 @@ def _enough(n: Column, m: Column, common: Column, percent: int) -> Column:
     return 100 * common >= percent * (n + m - common)
 
 
+def _centre_members(lists: DataFrame, texts: DataFrame, shingle: int) -> DataFrame | None:
+    """``doc``, ``n``, ``comp``, ``grp`` and what ``_settled`` needs for the sets that are near the centre of a large group; none without such groups.
+
+    Sets with one minimum have a candidate for a centre, and equal ones count
+    as one. Each set keeps the candidate that most sets are near to, and
+    ``grp`` is the least document of those that keep it.
+    """
+    of_comp = lists.groupBy("k", "least", "comp").agg(F.count(F.lit(1)).alias("size"))
+    large = stored(of_comp.groupBy("k", "least").agg(F.count(F.lit(1)).alias("comps"), F.sum("size").alias("size")).where(F.col("comps") >= LARGE_GROUP).select("k", "least", "size"), "large")
+    if not large.limit(1).count():
+        discard(large)
+        return None
+    voter = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / CENTRE_OF)) == 0
+    near = stored(lists.join(checked_broadcast(large), ["k", "least"]).select("doc", "n", "comp", "k", "least", voter.alias("voter")), "near")
+    needed = texts.join(checked_broadcast(near.select("doc").distinct()), "doc", "left_semi")
+    doc_type = texts.schema["doc"].dataType.simpleString()
+    with small_batches(texts.sparkSession):
+        sets = stored(needed.mapInArrow(_set_batches(shingle), f"doc {doc_type}, items array<bigint>").dropDuplicates(["doc"]), "sets")
+    votes = sets.join(near.where("voter").select("doc", "k", "least"), "doc").select("k", "least", F.explode("items").alias("item")).groupBy("k", "least", "item").agg(F.count(F.lit(1)).alias("n"))
+    voters = near.where("voter").groupBy("k", "least").agg(F.count(F.lit(1)).alias("all"))
+    elected = votes.join(voters, ["k", "least"]).where(2 * F.col("n") > F.col("all")).groupBy("k", "least").agg(F.array_sort(F.collect_list("item")).alias("l"))
+    named = stored(elected.withColumn("centre", F.xxhash64("l")), "elected")
+    centres = stored(named.groupBy("centre").agg(F.any_value("l").alias("l")), "centres")
+    if (centres.agg(F.sum(F.size("l"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+        centres = F.broadcast(centres)
+    tried = near.join(checked_broadcast(named.select("k", "least", "centre")), ["k", "least"]).select("doc", "n", "comp", "centre").distinct()
+    parted = tried.join(sets, "doc").join(centres, "centre").select("doc", "n", "comp", "centre", F.size("l").alias("nl"), F.array_except("l", "items").alias("minus"), F.array_except("items", "l").alias("plus"))
+    alike = 3 * (F.col("nl") - F.size("minus")) >= F.col("n") + F.col("nl")  # half of the union at least, so differences are bounded
+    parted = stored(parted.where(alike).select("doc", "n", "comp", "centre", "nl", F.size("minus").alias("m"), F.size("plus").alias("p"), F.concat("minus", "plus").alias("d")), "parted")
+    liked = parted.groupBy("centre").agg(F.count(F.lit(1)).alias("likes"))
+    kept = parted.select("doc", "centre").join(checked_broadcast(liked), "centre").groupBy("doc").agg(F.max_by("centre", F.struct("likes", "centre")).alias("centre"))
+    kept = stored(kept, "kept")
+    groups = kept.groupBy("centre").agg(F.min("doc").alias("grp"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    found = stored(parted.join(kept, ["doc", "centre"]).join(checked_broadcast(stored(groups, "groups")), "centre"), "centred")
+    for table in (large, near, sets, named, parted, kept):
+        discard(table)
+    return found
+
+
+def _settled(lists: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame | None, DataFrame]:
+    """Groups (``doc``, ``grp``) of sets whose pairs are settled by their centre, and the links (a < b) inside them between different ``comp``.
+
+    A set is its centre l without m shingles and with p others, d in all, so
+    two of them share |l| - m1 - m2 + |d1 & d2|, and d1 & d2 has
+    min(m1, m2) + min(p1, p2) shingles at most. Members are dealt into squares
+    of pairs of bounded size; a pair becomes a row only if it links.
+    """
+    members = _centre_members(lists, texts, shingle)
+    doc_type = texts.schema["doc"].dataType.simpleString()
+    if members is None:
+        return None, stored(texts.sparkSession.createDataFrame([], f"a {doc_type}, b {doc_type}"), "links")
+    g = F.ceil(F.col("size") / MEMBERS_A_SQUARE).cast("int")
+    dealt = members.withColumn("g", g).withColumn("u", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
+    fields = ("doc", "n", "m", "p", "d", "comp")
+    left = dealt.select("grp", "nl", F.col("u").alias("k1"), F.explode(F.sequence("u", F.col("g") - 1)).alias("k2"), *(F.col(c).alias(f"{c}1") for c in fields))
+    right = dealt.select("grp", F.explode(F.sequence(F.lit(0), "u")).alias("k1"), F.col("u").alias("k2"), *(F.col(c).alias(f"{c}2") for c in fields))
+    once = (F.col("comp1") != F.col("comp2")) & ((F.col("k1") < F.col("k2")) | (F.col("doc1") < F.col("doc2")))
+    common = lambda both: F.col("nl") - F.col("m1") - F.col("m2") + both
+    possible = _enough(F.col("n1"), F.col("n2"), common(F.least("m1", "m2") + F.least("p1", "p2")), percent)
+    linked = _enough(F.col("n1"), F.col("n2"), common(F.size(F.array_intersect("d1", "d2"))), percent)
+    pairs = left.join(right, ["grp", "k1", "k2"]).where(once & F.when(possible, linked).otherwise(False))
+    found = stored(pairs.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")), "links")
+    groups = stored(members.select("doc", "grp"), "groups")
+    discard(members)
+    return groups, found
+
+
+def _with_groups(owners: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``grp`` of each row by groups, or its own document."""
+    if groups is None:
+        return owners.withColumn("grp", F.col("doc"))
+    return owners.join(groups, "doc", "left").withColumn("grp", F.coalesce("grp", "doc"))
+
+
 def _group_links(star: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Groups (``doc``, ``comp``) of sets that link to one leader, by the links with leaders; and all links inside groups.
 
@@ -442,9 +532,12 @@ def _group_links(star: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
 def _all_links(owners: DataFrame, frequent: tuple[np.ndarray, np.ndarray], texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a < b) of all classes that link, each once."""
-    groups, inside = _group_links(_leader_links(_minima_lists(owners, percent), 0, texts, shingle, percent), texts, shingle, percent)
-    candidates = _candidates(texts, stored(_named(owners.select("doc"), groups), "owners"), frequent, shingle, percent)
-    return stored(inside.union(_links(candidates.select("a", "b"), texts, shingle, percent)), "all-links")
+    lists = _minima_lists(owners, percent)
+    groups, inside = _group_links(_leader_links(lists, 0, texts, shingle, percent), texts, shingle, percent)
+    centred, across = _settled(stored(_named(lists, groups), "minima"), texts, shingle, percent)
+    named = stored(_with_groups(_named(owners.select("doc"), groups), centred), "owners")
+    candidates = _candidates(texts, named, frequent, shingle, percent)
+    return stored(inside.union(across).union(_links(candidates.select("a", "b"), texts, shingle, percent)), "all-links")
 
 
 def _texts(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
@@ -511,8 +604,12 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
         discard(more)
         if n_more <= few and turn >= MIN_ROUNDS - 1:
             break
-    discard(lists)
-    named = stored(_named(owners.select("doc"), labels), "owners")
+    named = stored(_named(lists, labels), "minima")
+    centred, across = _settled(named, texts, shingle, percent)
+    labels = _merged(labels, across)
+    for table in (lists, named, across):
+        discard(table)
+    named = stored(_with_groups(_named(owners.select("doc"), labels), centred), "owners")
     candidates = _candidates(texts, named, frequent, shingle, percent)
     ends = (F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"))
     first = stored(candidates.select("a", "b", "k", *ends).groupBy("c1", "c2").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b"), "pairs")

@@ -165,3 +165,50 @@ def test_stages_pass_columns_on_whatever_their_names_are(spark, corpus, name):
     rows = got.collect()
     assert sorted((tuple(r)[: len(plain.columns)] for r in rows), key=key) == sorted(map(tuple, want.collect()), key=key)
     assert all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in clashing)
+
+
+def just_apart(seed, copies=150):
+    """Texts that differ from a text that isn't there in three words each: similar, but most pairs lie below 80 of 100."""
+    rng = random.Random(seed)
+    base = [f"base{k}" for k in range(150)]
+    texts = []
+    for k in range(copies):
+        words = list(base)
+        for at in rng.sample(range(len(base)), 3):
+            words[at] = f"other{k}x{at}"
+        texts.append(" ".join(words))
+    return dict(enumerate(texts))
+
+
+def test_pairs_just_below_the_threshold_are_not_made(spark, monkeypatch):
+    texts, listed, real = just_apart(5), [], jaccard_join.stored
+
+    def counted(df, label, *more):
+        found = real(df, label, *more)
+        if label == "lists":  # entries that the index joins with each other
+            listed.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(docs).collect()}
+    assert got == classes_by_force(texts, 5, 80)
+    assert listed[0] <= len(texts)
+
+
+@pytest.mark.parametrize(("shingle", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_centres_of_small_groups_keep_all_links(spark, monkeypatch, shingle, percent):
+    for name, value in (("LARGE_GROUP", 2), ("CENTRE_OF", 2), ("MEMBERS_A_SQUARE", 3), ("BROADCAST_SHINGLES", 100)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = near_copies(13) | {1000 + k: text for k, text in just_apart(6, 20).items()}
+    rows = list(texts.items())
+    docs = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(docs, shingle=shingle, percent=percent).collect()}
+    assert got == classes_by_force(texts, shingle, percent)
+    sets = {}
+    for k, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        sets[k] = frozenset(tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1) if words else 0))
+    first = {s: min(k for k in texts if sets[k] == s) for s in sets.values() if s}
+    linked = sorted((min(a, b), max(a, b)) for s, a in first.items() for r, b in first.items() if a < b and 100 * len(s & r) >= percent * len(s | r))
+    assert sorted((r.class_a, r.class_b) for r in jaccard_join.links(docs, shingle=shingle, percent=percent).collect()) == linked
