@@ -140,17 +140,11 @@ def quartiles_of(df: DataFrame, names: list[str], unique: dict[str, int]) -> dic
     return found
 
 
-def profile_dataframe(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, samples: bool = False, outlier_keys: list[str] | None = None) -> list[Row]:
-    """A profile of each column, a row of PROFILE.
+def _counts(df: DataFrame, names: list[str], stats: bool) -> tuple[Row, dict[int, float], dict[int, float]]:
+    """Counts of rows and values, with ``stats`` those of numbers too; and the shares of numbers and of dates in text columns, by their places.
 
     Dates are looked for only in text that is neither numeric nor boolean.
-    ``samples`` adds the first distinct values, in the order of ``order_by``;
-    ``outlier_keys`` the keys of the first outlying rows, in their own order.
     """
-    names = columns or visible(df)
-    if not names:
-        return []
-    outlier_keys = outlier_keys or ([ROW_ID] if ROW_ID in df.columns else None)
     types = dict(df.dtypes)
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     made: list[Column] = []  # values that several aggregates look at are computed once for each row
@@ -160,20 +154,49 @@ def profile_dataframe(df: DataFrame, columns: list[str] | None = None, order_by:
         aggs.append(F.count(value).alias(f"n{k}"))
         if kind == "string":
             aggs += [F.count(f"x{k}").alias(f"num{k}"), F.bool_and(F.lower(strip(value)).isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"bool{k}")]
-        if kind in ("string", "numeric"):
+        if kind == "string" or stats and kind == "numeric":
             made.append(numbers(df, c).alias(f"x{k}"))
+        if stats and kind in ("string", "numeric"):
             aggs += [f(finite(F.col(f"x{k}"))).alias(f"{f.__name__}{k}") for f in (F.min, F.max, F.avg, F.stddev_samp, F.count)]
     row = df.select(*made).agg(*aggs).first()
-    unique = distinct_counts(df, names)
     numeric = {k: row[f"num{k}"] / row[f"n{k}"] if row[f"n{k}"] else 0.0 for k, c in enumerate(names) if family(types[c]) == "string"}
     maybe_dates = [k for k, share in numeric.items() if row[f"n{k}"] and share < DATE_SHARE]
-    dates = df.agg(*(F.count(parse_datetime(clean(df, names[k]))).alias(f"dt{k}") for k in maybe_dates)).first() if maybe_dates else None
+    found = df.agg(*(F.count(parse_datetime(clean(df, names[k]))).alias(f"dt{k}") for k in maybe_dates)).first() if maybe_dates else None
+    return row, numeric, {k: found[f"dt{k}"] / row[f"n{k}"] for k in maybe_dates}
+
+
+def kinds(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
+    """The kind of each column, as profiles have it, without their statistics; values are told apart only where the kind depends on it."""
+    names, types = columns or visible(df), dict(df.dtypes)
+    if not names:
+        return {}
+    row, numeric, dates = _counts(df, names, False)
+    kind = lambda k, unique: classify(types[names[k]], row[f"n{k}"], unique, numeric.get(k, 0.0), dates.get(k, 0.0), k in numeric and bool(row[f"bool{k}"]))
+    asked = [c for k, c in enumerate(names) if kind(k, 0) != kind(k, row[f"n{k}"]) or kind(k, 0) == "categorical"]
+    unique = distinct_counts(df, asked) if asked else {}
+    return {c: kind(k, unique.get(c, 0)) for k, c in enumerate(names)}
+
+
+def profile_dataframe(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, samples: bool = False, outlier_keys: list[str] | None = None) -> list[Row]:
+    """A profile of each column, a row of PROFILE.
+
+    Dates are looked for only in text that is neither numeric nor boolean.
+    ``samples`` adds the first distinct values, in the order of ``order_by``;
+    ``outlier_keys`` the keys of the first outlying rows, in their own order.
+    """
+    names = columns or visible(df)
+    if not names:
+        return []
+    outlier_keys = outlier_keys or ([ROW_ID] if ROW_ID in df.columns else None)
+    types = dict(df.dtypes)
+    row, numeric, dates = _counts(df, names, True)
+    unique = distinct_counts(df, names)
     out: dict[str, dict] = {}
     for k, c in enumerate(names):
         n, kind = row[f"n{k}"], family(types[c])
         p = {"position": k, "column_name": c, "kind": "", "non_null": n, "nulls": row.rows - n, "null_ratio": (row.rows - n) / row.rows if row.rows else 0.0, "n_unique": unique[c], "numeric_ratio": 0.0, "datetime_ratio": 0.0, "samples": [], "n_outliers": 0, "outlier_rows": [], "stats": {}}
         if kind == "string":
-            p["numeric_ratio"], p["datetime_ratio"] = numeric[k], dates[f"dt{k}"] / n if k in maybe_dates else 0.0
+            p["numeric_ratio"], p["datetime_ratio"] = numeric[k], dates.get(k, 0.0)
         elif n:
             p["numeric_ratio"], p["datetime_ratio"] = float(kind == "numeric"), float(kind == "datetime")
         p["kind"] = classify(types[c], n, unique[c], p["numeric_ratio"], p["datetime_ratio"], kind == "string" and bool(row[f"bool{k}"]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.parsing import parse_datetime
 from .operators import cleaning, combine, synthetic, transform
-from .operators.profiling import outlier_rows, profile_dataframe, shape_of, visible
+from .operators.profiling import kinds, outlier_rows, profile_dataframe, shape_of, visible
 from .operators.ranks import quantiles
 from .plans import pipeline, recommend
 from .sources import catalog, files, single
@@ -209,7 +209,7 @@ def _kind_sql() -> str:
 
 
 def _kinds(t, spark):
-    found = [(n, p.column_name, p.kind) for n in KINDS_SQL for p in profile_dataframe(files.normalised(t(n)))]
+    found = [(n, c, kind) for n in KINDS_SQL for c, kind in kinds(files.normalised(t(n))).items()]
     return rows(spark, found, "table_name string, column_name string, kind string")
 
 

@@ -343,3 +343,16 @@ def test_class_counts_and_trail_table(spark):
     _, trail = pipeline.run_pipeline(df, order_by=["feature"])
     assert [r.step for r in step_table(spark, trail).orderBy("position").collect()] == [s.step for s in trail]
     assert column_table(spark, trail).count() > 0
+
+
+def test_kinds_are_those_of_profiles_and_count_few_columns(spark, monkeypatch):
+    from millrace.operators import profiling
+
+    sql = """SELECT id, id % 3 = 0 AS flag, CAST(id AS STRING) AS digits, concat('name', id) AS name, concat('c', id % 3) AS word, '2024-01-15' AS day,
+        CAST(NULL AS STRING) AS nothing, array(id) AS listed, CAST(id AS DOUBLE) AS number, timestamp_ntz '2024-01-15 00:00:00' AS moment FROM range(200)"""
+    df, asked, real = spark.sql(sql), [], profiling.distinct_counts
+    expected = {p.column_name: p.kind for p in profiling.profile_dataframe(df)}
+    monkeypatch.setattr(profiling, "distinct_counts", lambda table, names: asked.extend(names) or real(table, names))
+    assert profiling.kinds(df) == expected
+    assert {*asked} == {"name", "word"}
+    assert profiling.kinds(df.limit(0)) == {p.column_name: p.kind for p in profiling.profile_dataframe(df.limit(0))}
