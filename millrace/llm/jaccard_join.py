@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ PAIRS_AT_ONCE = 256
 MEMBERS_A_BUCKET = 500
 #: Components that share a minimum, from which on their sets get a centre; the pairs of fewer ones are left to the index.
 LARGE_GROUP = 64
-#: Sets of which a centre is made, about; any other centre gives the same links.
+#: Sets of which a centre is made, about, and components that a core of such a group has at least; any other centre gives the same links.
 CENTRE_OF = 32
 #: Members of one centre in a side of a square of pairs, about.
 MEMBERS_A_SQUARE = 150
@@ -407,7 +408,7 @@ def _candidates(texts: DataFrame, owners: DataFrame, frequent: tuple[np.ndarray,
     counted = both.withColumn("e", F.count(F.lit(1)).over(of.orderBy("i").rowsBetween(W.unboundedPreceding, -1))).withColumn("shared", F.count(F.lit(1)).over(of)).where("shingle is not null")
     enough = (F.col("known") == 0) | (F.col("shared") >= least_shared(percent))
     lists = stored(counted.where(enough).select("shingle", "doc", "comp", "grp", "n", "i", F.when(F.col("known") == 1, F.col("e")).otherwise(F.col("i")).alias("e"), F.when(F.col("known") == 1, F.col("shared")).otherwise(F.col("n")).alias("shared")), "lists")
-    block = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    block = _size_block(F.col("n"), percent)
     left = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "a"), ("n", "n1"), ("i", "i1"), ("e", "e1"), ("comp", "c1"), ("grp", "g1"), ("shared", "s1"))), F.explode(F.array(block, block + 1)).alias("block"))
     right = lists.select("shingle", *(F.col(x).alias(y) for x, y in (("doc", "b"), ("n", "n2"), ("i", "i2"), ("e", "e2"), ("comp", "c2"), ("grp", "g2"), ("shared", "s2"))), block.alias("block"))
     larger = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
@@ -427,38 +428,89 @@ def _candidates(texts: DataFrame, owners: DataFrame, frequent: tuple[np.ndarray,
     return found
 
 
+def _size_block(n: Column, percent: int) -> Column:
+    """Sets of two sizes can link only if their blocks are the same or next to each other."""
+    return F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("int")
+
+
 def _enough(n: Column, m: Column, common: Column, percent: int) -> Column:
     """100 * intersection >= percent * union."""
     return 100 * common >= percent * (n + m - common)
 
 
-def _centre_members(lists: DataFrame, texts: DataFrame, shingle: int) -> DataFrame | None:
-    """``doc``, ``n``, ``comp``, ``grp`` and what ``_settled`` needs for the sets that are near the centre of a large group; none without such groups.
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the minima of each set (centre, l)."""
+    for batch in batches:
+        lists = batch.column(1)
+        first = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))))
+        minima = _minima(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), first)
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists, _lists([minima], [np.arange(0, len(minima) + 1, SKETCH)])], names=["centre", "l", "minima"])
+
 
-    Sets with one minimum have a candidate for a centre, and equal ones count
-    as one. Each set keeps the candidate that most sets are near to, and
-    ``grp`` is the least document of those that keep it.
+def _cores(lists: DataFrame, percent: int) -> DataFrame | None:
+    """``doc``, ``core`` and ``size`` of sets that agree in two minima and about in size with CENTRE_OF components or more; none without such sets.
+
+    A frequent shingle is a minimum of many sets that have nothing else in
+    common, which one minimum doesn't show. Each set is in its largest core only.
     """
     of_comp = lists.groupBy("k", "least", "comp").agg(F.count(F.lit(1)).alias("size"))
-    large = stored(of_comp.groupBy("k", "least").agg(F.count(F.lit(1)).alias("comps"), F.sum("size").alias("size")).where(F.col("comps") >= LARGE_GROUP).select("k", "least", "size"), "large")
+    large = stored(of_comp.groupBy("k", "least").agg(F.count(F.lit(1)).alias("comps")).where(F.col("comps") >= LARGE_GROUP).select("k", "least"), "large")
     if not large.limit(1).count():
         discard(large)
         return None
-    voter = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / CENTRE_OF)) == 0
-    near = stored(lists.join(checked_broadcast(large), ["k", "least"]).select("doc", "n", "comp", "k", "least", voter.alias("voter")), "near")
-    needed = texts.join(checked_broadcast(near.select("doc").distinct()), "doc", "left_semi")
+    near = lists.join(checked_broadcast(large), ["k", "least"]).groupBy("doc", "comp", "n").agg(F.collect_list(F.struct("k", "least")).alias("minima"))
+    pairs = F.flatten(F.transform("minima", lambda x: F.transform(F.filter("minima", lambda y: x["k"] < y["k"]), lambda y: F.xxhash64(x, y, _size_block(F.col("n"), percent)))))
+    shared = stored(near.select("doc", "comp", F.explode(pairs).alias("core")), "shared")
+    of_core = shared.groupBy("core", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("core").agg(F.count(F.lit(1)).alias("comps"), F.sum("size").alias("size"))
+    several = stored(of_core.where(F.col("comps") >= CENTRE_OF).select("core", "size"), "several")
+    best = stored(shared.join(checked_broadcast(several), "core").groupBy("doc").agg(F.max_by("core", F.struct("size", "core")).alias("core")), "best")
+    sizes = best.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= CENTRE_OF)
+    found = stored(best.join(checked_broadcast(sizes), "core").select("doc", "core", "size"), "cores")
+    for table in (large, shared, several, best):
+        discard(table)
+    return found if found.limit(1).count() else None
+
+
+def _centre_members(lists: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """``doc``, ``n``, ``comp``, ``grp`` and what ``_settled`` needs for the sets that are near the centre of a large group; none without such groups.
+
+    Sets of one core have a candidate for a centre, and equal ones count as
+    one. Sets of other cores or of none try it too if they share a minimum with
+    it and are about as large, one candidate for each minimum. Each set keeps the
+    candidate that most sets are near to, and ``grp`` is the least document of
+    those that keep it.
+    """
+    cores = _cores(lists, percent)
+    if cores is None:
+        return None
     doc_type = texts.schema["doc"].dataType.simpleString()
-    with small_batches(texts.sparkSession):
-        sets = stored(needed.mapInArrow(_set_batches(shingle), f"doc {doc_type}, items array<bigint>").dropDuplicates(["doc"]), "sets")
-    votes = sets.join(near.where("voter").select("doc", "k", "least"), "doc").select("k", "least", F.explode("items").alias("item")).groupBy("k", "least", "item").agg(F.count(F.lit(1)).alias("n"))
-    voters = near.where("voter").groupBy("k", "least").agg(F.count(F.lit(1)).alias("all"))
-    elected = votes.join(voters, ["k", "least"]).where(2 * F.col("n") > F.col("all")).groupBy("k", "least").agg(F.array_sort(F.collect_list("item")).alias("l"))
+
+    def sets_of(docs: DataFrame, label: str) -> DataFrame:
+        needed = texts.join(checked_broadcast(docs), "doc", "left_semi")
+        with small_batches(texts.sparkSession):
+            return stored(needed.mapInArrow(_set_batches(shingle), f"doc {doc_type}, items array<bigint>").dropDuplicates(["doc"]), label)
+
+    voters = stored(cores.where(F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / CENTRE_OF)) == 0), "voters")
+    voting = sets_of(voters.select("doc"), "voting")
+    votes = voting.join(checked_broadcast(voters), "doc").select("core", F.explode("items").alias("item")).groupBy("core", "item").agg(F.count(F.lit(1)).alias("n"))
+    every = voters.groupBy("core", "size").agg(F.count(F.lit(1)).alias("all"))
+    elected = votes.join(checked_broadcast(every), "core").where(2 * F.col("n") > F.col("all")).groupBy("core", "size").agg(F.array_sort(F.collect_list("item")).alias("l"))
     named = stored(elected.withColumn("centre", F.xxhash64("l")), "elected")
-    centres = stored(named.groupBy("centre").agg(F.any_value("l").alias("l")), "centres")
+    centres = named.groupBy("centre").agg(F.any_value("l").alias("l"))
+    centres = stored(centres.mapInArrow(_sketch_batches, "centre long, l array<bigint>, minima array<bigint>"), "centres")
+    held = centres.select("centre", F.size("l").alias("nl"), "minima").join(checked_broadcast(named.groupBy("centre").agg(F.sum("size").alias("size"))), "centre")
+    around = F.explode(F.array(*(_size_block(F.col("nl"), percent) + k for k in (-1, 0, 1)))).alias("block")
+    sketched = held.select("centre", "size", around, "minima").select("centre", "size", "block", F.posexplode("minima").alias("k", "least"))
+    sketched = stored(sketched.groupBy("k", "least", "block").agg(F.max_by("centre", F.struct("size", "centre")).alias("centre")), "sketched")
+    beside = lists.withColumn("block", _size_block(F.col("n"), percent)).join(checked_broadcast(sketched), ["k", "least", "block"]).select("doc", "centre")
+    own = cores.join(checked_broadcast(named.select("core", "centre")), "core").select("doc", "centre")
+    sized = lists.where("k = 0").select("doc", "n", "comp")
+    tried = stored(beside.union(own).distinct().join(sized, "doc").select("doc", "n", "comp", "centre"), "tried")
+    sets = sets_of(tried.select("doc").distinct(), "sets")
+    spelled = centres.select("centre", "l")
     if (centres.agg(F.sum(F.size("l"))).first()[0] or 0) <= BROADCAST_SHINGLES:
-        centres = F.broadcast(centres)
-    tried = near.join(checked_broadcast(named.select("k", "least", "centre")), ["k", "least"]).select("doc", "n", "comp", "centre").distinct()
-    parted = tried.join(sets, "doc").join(centres, "centre").select("doc", "n", "comp", "centre", F.size("l").alias("nl"), F.array_except("l", "items").alias("minus"), F.array_except("items", "l").alias("plus"))
+        spelled = F.broadcast(spelled)
+    parted = tried.join(sets, "doc").join(spelled, "centre").select("doc", "n", "comp", "centre", F.size("l").alias("nl"), F.array_except("l", "items").alias("minus"), F.array_except("items", "l").alias("plus"))
     alike = 3 * (F.col("nl") - F.size("minus")) >= F.col("n") + F.col("nl")  # half of the union at least, so differences are bounded
     parted = stored(parted.where(alike).select("doc", "n", "comp", "centre", "nl", F.size("minus").alias("m"), F.size("plus").alias("p"), F.concat("minus", "plus").alias("d")), "parted")
     liked = parted.groupBy("centre").agg(F.count(F.lit(1)).alias("likes"))
@@ -466,7 +518,7 @@ def _centre_members(lists: DataFrame, texts: DataFrame, shingle: int) -> DataFra
     kept = stored(kept, "kept")
     groups = kept.groupBy("centre").agg(F.min("doc").alias("grp"), F.count(F.lit(1)).alias("size")).where("size > 1")
     found = stored(parted.join(kept, ["doc", "centre"]).join(checked_broadcast(stored(groups, "groups")), "centre"), "centred")
-    for table in (large, near, sets, named, parted, kept):
+    for table in (cores, voters, voting, named, centres, sketched, tried, sets, parted, kept):
         discard(table)
     return found
 
@@ -479,7 +531,7 @@ def _settled(lists: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     min(m1, m2) + min(p1, p2) shingles at most. Members are dealt into squares
     of pairs of bounded size; a pair becomes a row only if it links.
     """
-    members = _centre_members(lists, texts, shingle)
+    members = _centre_members(lists, texts, shingle, percent)
     doc_type = texts.schema["doc"].dataType.simpleString()
     if members is None:
         return None, stored(texts.sparkSession.createDataFrame([], f"a {doc_type}, b {doc_type}"), "links")

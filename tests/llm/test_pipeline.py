@@ -196,6 +196,29 @@ def test_pairs_just_below_the_threshold_are_not_made(spark, monkeypatch):
     assert listed[0] <= len(texts)
 
 
+def test_sets_with_one_frequent_shingle_in_common_elect_no_centre(spark, monkeypatch):
+    """What a centre is made of must not grow with sets that share a minimum and nothing else; sets just apart get theirs beside them."""
+    rng, elected, real = random.Random(3), [], jaccard_join.stored
+
+    def counted(df, label, *more):
+        found = real(df, label, *more)
+        if label == "elected":
+            elected.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    monkeypatch.setattr(jaccard_join, "LARGE_GROUP", 8)
+    monkeypatch.setattr(jaccard_join, "CENTRE_OF", 8)
+    texts = {k: " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(15, 31))), "one very common line here"]) for k in range(400)}
+    apart = {1000 + k: text for k, text in just_apart(7, 60).items()}
+    for more, most in (({}, 0), (apart, 6)):
+        elected.clear()
+        docs = spark.createDataFrame(list((texts | more).items()), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in jaccard_join.components(docs).collect()}
+        assert got == classes_by_force(texts | more, 5, 80)
+        assert bool(more) <= sum(elected) <= most
+
+
 @pytest.mark.parametrize(("shingle", "percent"), [(3, 90), (5, 80), (2, 60)])
 def test_centres_of_small_groups_keep_all_links(spark, monkeypatch, shingle, percent):
     for name, value in (("LARGE_GROUP", 2), ("CENTRE_OF", 2), ("MEMBERS_A_SQUARE", 3), ("BROADCAST_SHINGLES", 100)):
