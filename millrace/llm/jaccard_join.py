@@ -39,7 +39,10 @@ from .joins import checked_broadcast
 from .scratch import discard, small_batches, stored
 from .textkit import BLANKS, Chunk, byte_codes, chunks, mix, owner
 
-#: A shingle that so many different sets of one batch have is counted over the corpus.
+#: Shingles in which frequent ones are looked for at once; batches of texts are smaller, so that little is held outside the heap.
+COUNTED_AT_ONCE = 2_500_000
+BATCH_BYTES = "4m"
+#: A shingle that so many different sets of those have is counted over the corpus.
 HEAVY_IN_BATCH = 3
 #: Of those, the most frequent ones are ordered last in every prefix; the bound touches the order only, not results.
 HEAVY_SHINGLES = 200_000
@@ -138,11 +141,20 @@ def _often(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprint_batches(shingle: int):
-    """Writes for each text its set's size, fingerprint and minima, then shingles that several different sets of the batch have."""
+    """Writes for each text its set's size, fingerprint and minima; and for every COUNTED_AT_ONCE shingles those that several different sets of them have."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, seen, held, doc_type = [], np.zeros(0, np.uint64), 0, None
+
+        def told(docs: pa.Array, n: np.ndarray, p1: np.ndarray, p2: pa.Array, minima: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([docs, pa.array(n, pa.int64()), pa.array(p1.view(np.int64), pa.int64()), p2, minima], names=["doc", "n", "p1", "p2", "minima"])
+
+        def often() -> pa.RecordBatch:
+            names, n = _often(heavy)
+            return told(pa.nulls(len(n), doc_type), n, names, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.int64())))
+
         for batch in batches:
-            docs, sizes, prints, minima, heavy, seen = batch.column(0), [], ([], []), [], [], np.zeros(0, np.uint64)
+            doc_type, sizes, prints, minima = batch.column(0).type, [np.zeros(0, np.int64)], ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]), []
             for chunk in chunks(batch.column(1)):
                 hashes, first = shingle_sets(chunk, shingle)
                 total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(h))) for h in (hashes, mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
@@ -155,12 +167,14 @@ def _fingerprint_batches(shingle: int):
                 once = once[~np.isin(both[0][once], seen)]  # copies don't make a shingle frequent
                 seen = np.concatenate((seen, both[0][once]))
                 heavy.append(hashes[np.isin(owner(first), once)])
-            names, n = _often(heavy)
-            join = lambda parts: pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64())
+                held += len(heavy[-1])
             sketches = _lists(minima, [np.arange(0, len(m) + 1, SKETCH) for m in minima])
-            more = pa.nulls(len(n), pa.int64())
-            columns = ((docs, pa.nulls(len(n), docs.type)), (join(sizes), pa.array(n, pa.int64())), (join(prints[0]), pa.array(names, pa.int64())), (join(prints[1]), more), (sketches, pa.nulls(len(n), sketches.type)))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(parts) for parts in columns], names=["doc", "n", "p1", "p2", "minima"])
+            yield told(batch.column(0), np.concatenate(sizes), np.concatenate(prints[0]), pa.array(np.concatenate(prints[1]).view(np.int64)), sketches)
+            if held >= COUNTED_AT_ONCE:
+                yield often()
+                heavy, seen, held = [], np.zeros(0, np.uint64), 0
+        if heavy:
+            yield often()
 
     return batches_of
 
@@ -332,14 +346,14 @@ def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     doc_type = texts.schema["doc"].dataType.simpleString()
     one = pairs.join(spelled.alias("s1"), F.col("a") == F.col("s1.doc")).select("a", "b", F.col("s1.text").alias("x"))
     both = one.join(spelled.alias("s2"), F.col("b") == F.col("s2.doc")).select("a", "b", "x", F.col("s2.text").alias("y"))
-    with small_batches(pairs.sparkSession):
+    with small_batches(pairs.sparkSession, BATCH_BYTES):
         return stored(both.mapInArrow(_link_batches(shingle, percent), f"a {doc_type}, b {doc_type}"), "links")
 
 
 def _index(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray]]:
     """Size and class of each row; size and minima of each class, by the document that stands for it; names of frequent shingles, ascending, with their places in the order."""
     doc_type = texts.schema["doc"].dataType.simpleString()
-    with small_batches(texts.sparkSession):
+    with small_batches(texts.sparkSession, BATCH_BYTES):
         scanned = stored(texts.mapInArrow(_fingerprint_batches(shingle), f"doc {doc_type}, n long, p1 long, p2 long, minima array<bigint>"), "prints")
     prints, often = scanned.where("p2 is not null"), scanned.where("p2 is null")
     classes = stored(prints.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc").alias("class"), F.any_value("minima").alias("minima")), "classes")
@@ -395,7 +409,7 @@ def _candidates(texts: DataFrame, owners: DataFrame, frequent: tuple[np.ndarray,
     often = F.when(F.col("i") >= F.col("rare"), FREQUENT).when(F.col("size") > F.col("rare"), BESIDE_FREQUENT).otherwise(PLAIN)
     salt = F.when(often == FREQUENT, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int")
     gathered = entries.select("shingle", "doc", "comp", "n", "i", often.alias("often"), "grp", salt.alias("salt")).repartition("shingle", "salt").sortWithinPartitions("shingle").drop("salt")
-    with small_batches(texts.sparkSession):
+    with small_batches(texts.sparkSession, BATCH_BYTES):
         met = stored(gathered.mapInArrow(_meeting_batches(percent), "kind long, shingle long, a long, b long, c1 long, c2 long, n1 long, n2 long, i long, known long, grp long"), "met")
 
     entries = met.where(F.col("kind") == ENTRY).select("shingle", F.col("a").alias("doc"), F.col("c1").alias("comp"), F.col("n1").alias("n"), "i", "known", "grp")
@@ -487,7 +501,7 @@ def _centre_members(lists: DataFrame, texts: DataFrame, shingle: int, percent: i
 
     def sets_of(docs: DataFrame, label: str) -> DataFrame:
         needed = texts.join(checked_broadcast(docs), "doc", "left_semi")
-        with small_batches(texts.sparkSession):
+        with small_batches(texts.sparkSession, BATCH_BYTES):
             return stored(needed.mapInArrow(_set_batches(shingle), f"doc {doc_type}, items array<bigint>").dropDuplicates(["doc"]), label)
 
     voters = stored(cores.where(F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / CENTRE_OF)) == 0), "voters")
